@@ -1,7 +1,7 @@
 """Token counts of a byte-level BPE vocabulary, without making identifiers.
 
-A text is cut into pieces at single spaces between other characters, where tokens of
-this kind never join; each piece is pre-split by the vocabulary's pattern and each part
+A text is cut into pieces at single spaces or line feeds between other characters, where
+tokens of this kind never join; each piece is pre-split by the vocabulary's pattern and each part
 is merged with a heap and a linked list: repeatedly the adjacent pair of lowest rank,
 leftmost first, is popped and joined. The count of a part is its bytes less its merges.
 Counts of pieces are remembered per worker in two generations of bounded size, so
@@ -124,8 +124,8 @@ class Counter:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.parts = Generations(self._count_part)
-        self.pieces = Generations(self._count_plain)
-        self.beside, self.alone = re.compile(r" \s|\s "), re.compile(r"(?<=\S)(?= \S)")
+        self.pieces = Generations(self._count_piece)
+        self.beside, self.alone = re.compile(r"\s\s"), re.compile(r"(?<=\S)(?= \S)")
 
     def _count_part(self, part: str) -> int:
         return self.merger.count([*map(self.symbol.__getitem__, part.encode())])
@@ -142,18 +142,21 @@ class Counter:
             return self.parts.young[piece[:-1]] + 1
         return sum(map(self._count_part, self.split(piece)))
 
-    def _count_text(self, text: str) -> int:
-        if self.beside.search(text):  # a cut is exact only where a space stands alone
-            return self._sum(self.alone.split(text))
-        first, *rest = text.split(" ")
-        return self._sum([first, *[" " + x for x in rest]])
+    def _count_piece(self, piece: str) -> int:
+        """A piece after a single space, or after a single line feed that it starts with."""
+        if piece[:1] == "\n":
+            return 1 + (self._count_plain(piece[1:]) if len(piece) > 1 else 0)
+        return self._count_plain(" " + piece)
 
-    def _sum(self, pieces: list[str]) -> int:
-        long = 0
+    def _count_text(self, text: str) -> int:
+        if self.beside.search(text):  # a cut is exact only where a white space stands alone
+            return sum(map(self._count_plain, self.alone.split(text)))
+        pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        long = -1  # for the line feed put before
         if max(map(len, pieces)) >= LONG:
-            long = sum(map(self._count_plain, [p for p in pieces if len(p) >= LONG]))
+            long += sum(map(self._count_piece, [p for p in pieces if len(p) >= LONG]))
             pieces = [p for p in pieces if len(p) < LONG]
-        values = list(map(self.pieces.young.get, pieces))
+        values = [*map(self.pieces.young.get, pieces)]
         if None in values:
             self.pieces.fill(pieces)
             values = map(self.pieces.young.__getitem__, pieces)
