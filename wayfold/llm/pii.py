@@ -59,7 +59,7 @@ def _valid(kind: str, hit: Column) -> Column:
         part = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]|)"
         return hit.rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind == "card":
-        return F.length(digits).between(14, 19) & F.luhn_check(digits)
+        return F.length(digits).between(14, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(10, 15)
     if kind == "iban":
@@ -153,6 +153,9 @@ def digest(df: DataFrame) -> DataFrame:
 
     found = with_spans(df.select("doc_id", "text"))
     spans = F.col("pii_spans")
-    count = {f"n_{k}": F.size(F.filter(spans, lambda x, k=k: x["kind"] == k)).cast("long") for k in BASE}
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter(spans, lambda x: x["kind_no"] < len(BASE))
-    return found.select("doc_id", *(c.alias(k) for k, c in count.items()), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), F.round(F.aggregate(spans, F.lit(0.0), lambda a, x: F.greatest(a, x["score"])), 2).alias("top_score"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), F.round(F.aggregate(spans, F.lit(0.0), lambda a, x: F.greatest(a, x["score"])), 2).alias("top_score"))
