@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, packing, pii, quality, simhash, tokens, topk, urls
+from wayfold.llm import bpe, embed_dedup, packing, pii, quality, simhash, tokens, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "action string, host string, path string"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.group(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_topk": op4_topk,
     "op5_quality": op5_quality,
     "op6_urls": op6_urls,
+    "op7_embeddings": op7_embeddings,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
 }
