@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, embed_dedup, packing, pii, quality, simhash, tokens, topk, urls
+from wayfold.llm import bpe, chat, embed_dedup, packing, pii, quality, simhash, tokens, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
@@ -67,12 +71,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_embeddings": op7_embeddings,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
+    "op10_chat": op10_chat,
 }
 
 _FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
 _BY_LENGTH = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
 
 ORACLE_SQL: dict[str, str] = {
+    # The tables hold no tool calls; tests/llm compares those with a plain-Python version.
+    "op10_chat": """
+SELECT conv_id, turn, coalesce(role, 'unknown') AS role, turn AS anchor_turn, 0 AS turn_rank, 0 AS n_calls, 0 AS n_valid,
+       CAST(NULL AS BOOLEAN) AS linked,
+       '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(coalesce(role, 'unknown')) AS VARCHAR) || '}' AS message
+FROM conversations""",
     "op4_topk": """
 WITH rows AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
