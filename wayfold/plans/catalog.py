@@ -1,14 +1,589 @@
-"""Every query by name, with its DuckDB twin."""
+"""Every query by name, with its DuckDB twin.
+
+Each query runs an operator of the library over a relation derived from the whole tables
+(derive.py); the twin says the same in plain SQL, by other means where there is a choice
+(rings by unnested edges, pairs by a plain distance condition).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from wayfold.functions import density, errors, geo, ids, present, seasonal, tags
+from wayfold.operators import objects, places
+from wayfold.operators import sequences as seqs
+from wayfold.plans import refresh
+from wayfold.plans.derive import oracle, relation
+from wayfold.streaming import session
+
+Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+STOCKHOLM = (59.33, 18.06)
+COORD = {"leisure": "leisure", "natural": "nature", "dog": "dog", "name": "name", "fenced": "fenced", "barrier": "barrier", "lit": "lit", "surface": "surface", "dog:conditional": "dog_conditional"}
+TAG = tags.of_columns(COORD)
+DAY = "2026-07-15"
+SQUARE = [(59.0, 17.6), (59.75, 17.6), (59.75, 18.6), (59.0, 18.6)]
+HOLE = [(59.4, 18.0), (59.45, 18.05), (59.4, 18.1), (59.35, 18.05)]
+
+
+def query(name: str, sql: str | None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = oracle(sql)
+        return f
+
+    return keep
+
+
+def hav(a: str, b: str, c: str, d: str) -> str:
+    """Metres between (a, b) and (c, d) in SQL."""
+    la, lo = f"sin(radians({c} - {a}) / 2)", f"sin(radians({d} - {b}) / 2)"
+    return f"(12742000.0 * asin(sqrt({la} * {la} + cos(radians({a})) * cos(radians({c})) * {lo} * {lo})))"
+
+
+def dist(m: str) -> str:
+    """A formatted distance in SQL."""
+    t = f"CAST(floor({m} / 100 + 0.5) AS BIGINT)"
+    return f"CASE WHEN {m} < 1000 THEN CAST(CAST(floor({m} + 0.5) AS BIGINT) AS VARCHAR) || ' m' WHEN {m} >= 10000 THEN CAST(CAST(floor({m} / 1000 + 0.5) AS BIGINT) AS VARCHAR) || ' km' ELSE CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || ' km' END"
+
+
+def _rings(rings: list[list[tuple[float, float]]]) -> str:
+    """Edges of constant rings as a table ring(ring, lat_a, lon_a, lat_b, lon_b)."""
+    rows = [f"({k}, {p[i - 1][0]!r}, {p[i - 1][1]!r}, {p[i][0]!r}, {p[i][1]!r})" for k, p in enumerate(rings) for i in range(len(p))]
+    return f"(SELECT ring, CAST(lat_a AS DOUBLE) AS lat_a, CAST(lon_a AS DOUBLE) AS lon_a, CAST(lat_b AS DOUBLE) AS lat_b, CAST(lon_b AS DOUBLE) AS lon_b FROM (VALUES {', '.join(rows)}) AS r(ring, lat_a, lon_a, lat_b, lon_b))"
+
+
+def _inside(points: str, rings: list[list[tuple[float, float]]]) -> str:
+    """query_id, ring of the points inside, by counting crossed edges."""
+    return f"""SELECT query_id, ring FROM {points} p, {_rings(rings)} e
+  WHERE (lat_b > at_lat) <> (lat_a > at_lat) AND at_lon < lon_b + (at_lat - lat_b) * (lon_a - lon_b) / (lat_a - lat_b)
+  GROUP BY query_id, ring HAVING count(*) % 2 = 1"""
+
+
+def at(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return relation(spark, sf_dir, name)
+
+
+def twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relation twins in the canonical columns of places."""
+    t = at(spark, sf_dir, "twins")
+    season = F.when(F.col("season").isNotNull(), F.struct(F.col("season").alias("kind"), F.lit(None).alias("from"), F.lit(None).alias("to")).cast(seasonal.RULE_TYPE))
+    return t.select("id", "kind", "name", "lat", "lon", F.struct("leash_required", "fenced", "lit", "surface").alias("tags"), F.lit("designated").alias("provenance"), season.alias("seasonal"))
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
+    """Dog parks within 25 km of central Stockholm, nearest first."""
+    near = places.within(at(spark, sf_dir, "spots"), *STOCKHOLM, 25_000, "dog_park")
+    return near.orderBy("meters", "id").select("id", present.spot_label(F.col("name"), F.col("kind")).alias("label"), F.round("meters", 3).alias("meters"), present.format_distance(F.col("meters")).alias("distance"))
+
+
+# --- radius, rank, expanding search ------------------------------------------------------
+
+
+@query("radius_filter", f"SELECT id, kind, round({hav('59.33', '18.06', 'lat', 'lon')}, 3) AS meters FROM {{spots}} WHERE kind = 'dog_park' AND {hav('59.33', '18.06', 'lat', 'lon')} <= 10000")
+def radius_filter(spark, d):
+    return places.within(at(spark, d, "spots"), *STOCKHOLM, 10_000, "dog_park").select("id", "kind", F.round("meters", 3).alias("meters"))
+
+
+@query("nearest_ten", f"SELECT id, kind, round(m, 3) AS meters FROM (SELECT id, kind, {hav('59.33', '18.06', 'lat', 'lon')} AS m FROM {{spots}}) ORDER BY m, CASE kind WHEN 'dog_park' THEN 0 ELSE 1 END, id LIMIT 10")
+def nearest_ten(spark, d):
+    spots = at(spark, d, "spots").withColumn("meters", geo.haversine_m(F.lit(STOCKHOLM[0]), F.lit(STOCKHOLM[1]), F.col("lat"), F.col("lon")))
+    layer = F.when(F.col("kind") == "dog_park", 0).otherwise(1)
+    return spots.orderBy("meters", layer, "id").limit(10).select("id", "kind", F.round("meters", 3).alias("meters"))
+
+
+NEAR = f"SELECT p.query_id, s.*, {hav('p.at_lat', 'p.at_lon', 's.lat', 's.lon')} AS m FROM {{points}} p JOIN {{spots}} s ON {hav('p.at_lat', 'p.at_lon', 's.lat', 's.lon')} <= 5000"
+
+
+@query("nearest_rank", f"SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY m, CASE kind WHEN 'dog_park' THEN 0 ELSE 1 END, id) AS INTEGER) AS rank, round(m, 3) AS meters FROM ({NEAR})")
+def nearest_rank(spark, d):
+    near = places.near_points(at(spark, d, "spots"), at(spark, d, "points"), 5_000)
+    return places.ranked(near, ["query_id"]).select("query_id", "id", "rank", F.round("meters", 3).alias("meters"))
+
+
+def _collapsed(by: str, rows: str) -> str:
+    """CTEs pairs (best target of each node) and kept (rows that stay), by a plain distance condition."""
+    same = " AND ".join(f"n.{c} = a.{c}" for c in by.split(", ") if c)
+    lead = f"n.{by.replace(', ', ', n.')}, " if by else ""
+    part = f"{by}, " if by else ""
+    anti = " AND ".join(f"g.{c} = r.{c}" for c in [*(c for c in by.split(", ") if c), "kind"])
+    d = hav("n.lat", "n.lon", "a.lat", "a.lon")
+    return f"""pairs AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part}kind, node_id ORDER BY gap, area_id) AS best FROM (
+    SELECT {lead}n.kind, n.id AS node_id, a.id AS area_id, {d} AS gap
+    FROM {rows} n JOIN {rows} a ON {same + ' AND ' if same else ''}n.kind = a.kind AND starts_with(n.id, 'node/') AND NOT starts_with(a.id, 'node/')
+      AND abs(n.lat - a.lat) < 0.001 AND {d} <= 50 AND (n.name IS NULL OR a.name IS NULL OR lower(trim(n.name)) = lower(trim(a.name)))
+  )) WHERE best = 1
+), kept AS (
+  SELECT r.* FROM {rows} r WHERE NOT EXISTS (SELECT 1 FROM pairs g WHERE {anti} AND g.node_id = r.id)
+)"""
+
+
+def _expanding(kind: str, enough: int) -> str:
+    m = hav("p.at_lat", "p.at_lon", "s.lat", "s.lon")
+    return f"""WITH each AS (
+  SELECT p.query_id, r.radius_m, s.id, s.kind, s.name, s.lat, s.lon
+  FROM {{points}} p JOIN {{twins}} s ON s.kind = '{kind}' AND abs(s.lat - p.at_lat) < 0.25 AND {m} <= 25000
+  JOIN (VALUES (3000), (10000), (25000)) AS r(radius_m) ON {m} <= r.radius_m
+), {_collapsed('query_id, radius_m', 'each')}, counts AS (
+  SELECT query_id, radius_m, count(*) AS n FROM kept GROUP BY query_id, radius_m
+), reached AS (
+  SELECT query_id, coalesce(min(radius_m) FILTER (WHERE n >= {enough}), 25000) AS radius_m FROM counts GROUP BY query_id
+)
+SELECT p.query_id, CAST(coalesce(c.radius_m, 25000) AS INTEGER) AS searched_radius_m, coalesce(c.n, 0) AS n
+FROM {{points}} p LEFT JOIN reached r ON r.query_id = p.query_id LEFT JOIN counts c ON c.query_id = r.query_id AND c.radius_m = r.radius_m"""
+
+
+@query("expanding_search_parks", _expanding("dog_park", 5))
+def expanding_search_parks(spark, d):
+    return places.expanding_counts(twins(spark, d), at(spark, d, "points"), "dog_park")
+
+
+@query("expanding_search_bathing", _expanding("bathing_spot", 3))
+def expanding_search_bathing(spark, d):
+    return places.expanding_counts(twins(spark, d), at(spark, d, "points"), "bathing_spot")
+
+
+@query("collapse_pairs", f"WITH {_collapsed('', '{twins}').split(', kept AS')[0]} SELECT kind, node_id, area_id, round(gap, 3) AS meters FROM pairs")
+def collapse_pairs(spark, d):
+    return places.collapse_pairs(twins(spark, d)).select("kind", "node_id", "area_id", F.round("meters", 3).alias("meters"))
+
+
+def _first(column: str) -> str:
+    return f"(SELECT min_by(t.{column}, g.gap) FROM pairs g JOIN {{twins}} t ON t.id = g.node_id AND t.kind = g.kind WHERE g.kind = k.kind AND g.area_id = k.id AND t.{column} IS NOT NULL)"
+
+
+@query("collapse_result", f"WITH {_collapsed('', '{twins}')} SELECT id, kind, lat, lon, " + ", ".join(f"coalesce(k.{c}, {_first(c)}) AS {c}" for c in ("name", "leash_required", "fenced", "lit", "surface", "season")) + " FROM kept k")
+def collapse_result(spark, d):
+    out = places.collapse(twins(spark, d))
+    return out.select("id", "kind", "lat", "lon", "name", "tags.leash_required", "tags.fenced", "tags.lit", "tags.surface", F.col("seasonal.kind").alias("season"))
+
+
+@query("layer_union_dedup", """WITH shifted AS (
+  SELECT 'node/' || CAST(CAST(split_part(id, '/', 2) AS BIGINT) % 700 AS VARCHAR) AS id, kind, lat, lon FROM {spots}
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE kind WHEN 'dog_park' THEN 0 ELSE 1 END, lat, lon) AS n FROM shifted
+) SELECT id, kind FROM ranked WHERE n = 1""")
+def layer_union_dedup(spark, d):
+    n = F.split_part(F.col("id"), F.lit("/"), F.lit(2)).cast("long") % 700
+    rows = at(spark, d, "spots").withColumn("id", F.concat(F.lit("node/"), n.cast("string")))
+    return places.union_layers(rows.where("kind = 'dog_park'"), rows.where("kind = 'bathing_spot'")).select("id", "kind")
+
+
+@query("marker_diff", """WITH a AS (SELECT id, lat, lon FROM {spots} WHERE CAST(split_part(id, '/', 2) AS BIGINT) % 3 <> 0),
+b AS (SELECT id, CASE WHEN CAST(split_part(id, '/', 2) AS BIGINT) % 4 = 0 THEN lat + 1 ELSE lat END AS lat, lon FROM {spots} WHERE CAST(split_part(id, '/', 2) AS BIGINT) % 5 <> 0)
+SELECT b.id, 'create' AS action FROM b WHERE b.id NOT IN (SELECT id FROM a)
+UNION ALL SELECT a.id, 'remove' FROM a WHERE a.id NOT IN (SELECT id FROM b)
+UNION ALL SELECT a.id, 'move' FROM a JOIN b ON a.id = b.id WHERE a.lat <> b.lat OR a.lon <> b.lon""")
+def marker_diff(spark, d):
+    rows = at(spark, d, "spots").select("id", "lat", "lon", F.split_part(F.col("id"), F.lit("/"), F.lit(2)).cast("long").alias("n"))
+    new = rows.where("n % 5 <> 0").withColumn("lat", F.when(F.col("n") % 4 == 0, F.col("lat") + 1).otherwise(F.col("lat")))
+    return places.marker_plan(rows.where("n % 3 <> 0"), new)
+
+
+@query("viewport_extent", "SELECT kind, min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east FROM {spots} GROUP BY kind")
+def viewport_extent(spark, d):
+    return at(spark, d, "spots").groupBy("kind").agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
+
+
+# --- coverage and density ----------------------------------------------------------------
+
+_X, _Y = "radians({1} - at_lon) * cos(radians(at_lat)) * 6371000.0", "radians({0} - at_lat) * 6371000.0"
+
+
+def _gaps(points: str, rings: list) -> str:
+    """query_id, ring, gap: metres from each point to each ring's boundary."""
+    return f"""SELECT query_id, ring, min(sqrt((ax + t * dx) * (ax + t * dx) + (ay + t * dy) * (ay + t * dy))) AS gap FROM (
+    SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) END AS t FROM (
+      SELECT query_id, ring, ax, ay, bx - ax AS dx, by_ - ay AS dy FROM (
+        SELECT query_id, ring, {_X.format('', 'lon_a')} AS ax, {_Y.format('lat_a')} AS ay, {_X.format('', 'lon_b')} AS bx, {_Y.format('lat_b')} AS by_
+        FROM {points} p, {_rings(rings)} e))) GROUP BY query_id, ring"""
+
+
+def coverage(spark: SparkSession) -> DataFrame:
+    rows = [("include", 0, [{"lat": a, "lon": o} for a, o in SQUARE]), ("exclude", 0, [{"lat": a, "lon": o} for a, o in HOLE])]
+    return spark.createDataFrame(rows, f"role string, ring_no int, points {geo.RING_TYPE}")
+
+
+@query("coverage_admission", f"""WITH inside AS ({_inside('{points}', [SQUARE, HOLE])}), gaps AS ({_gaps('{points}', [SQUARE, HOLE])})
+SELECT p.query_id, ok AS covered, CASE WHEN ok THEN 'local' ELSE 'live' END AS answer_source FROM (
+  SELECT p.query_id, EXISTS (SELECT 1 FROM inside i WHERE i.query_id = p.query_id AND ring = 0) AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.query_id = p.query_id AND ring = 1)
+    AND (SELECT min(gap) FROM gaps g WHERE g.query_id = p.query_id) >= 3000 AS ok FROM {{points}} p) p""")
+def coverage_admission(spark, d):
+    return places.admit(at(spark, d, "points"), coverage(spark), 3_000).select("query_id", "covered", "answer_source")
+
+
+@query("ring_distance", f"SELECT query_id, round(gap, 3) AS meters FROM ({_gaps('{globe}', [HOLE])})")
+def ring_distance(spark, d):
+    return at(spark, d, "globe").select("query_id", F.round(geo.ring_distance_m(F.col("at_lat"), F.col("at_lon"), geo.ring(HOLE)), 3).alias("meters"))
+
+
+@query("mapping_density", f"SELECT p.query_id, CASE WHEN i.query_id IS NULL THEN 'sparse' ELSE 'dense' END AS density FROM {{globe}} p LEFT JOIN (SELECT DISTINCT query_id FROM ({_inside('{globe}', list(density.DENSE_REGIONS.values()))})) i ON i.query_id = p.query_id")
+def mapping_density(spark, d):
+    return at(spark, d, "globe").select("query_id", density.mapping_density("at_lat", "at_lon").alias("density"))
+
+
+@query("empty_message", f"""SELECT p.query_id, CASE WHEN i.query_id IS NULL THEN 'No dog parks mapped within 25 km' ELSE 'No dog parks within 25 km' END AS title
+FROM {{globe}} p LEFT JOIN (SELECT DISTINCT query_id FROM ({_inside('{globe}', list(density.DENSE_REGIONS.values()))})) i ON i.query_id = p.query_id""")
+def empty_message(spark, d):
+    return at(spark, d, "globe").select("query_id", present.empty_message(F.lit(25_000.0), "at_lat", "at_lon")["title"].alias("title"))
+
+
+# --- tags --------------------------------------------------------------------------------
+
+_LEASH = "CASE dog WHEN 'leashed' THEN true WHEN 'unleashed' THEN false END"
+_FENCED = "CASE WHEN fenced = 'yes' THEN true WHEN fenced = 'no' THEN false WHEN barrier = 'fence' THEN true WHEN barrier = 'no' THEN false END"
+_LIT = "CASE WHEN lit IS NULL OR lit = '' THEN NULL ELSE lit <> 'no' END"
+_GRADE = "CASE WHEN dog = 'designated' THEN 'designated' WHEN dog IN ('yes', 'leashed', 'unleashed') THEN 'permitted' WHEN dog = 'no' THEN NULL ELSE 'name-match' END"
+_PARK = "coalesce(leisure = 'dog_park', false)"
+_BATH = "(coalesce((leisure IN ('bathing_place', 'swimming_area') OR nature = 'beach') AND dog IN ('yes', 'designated'), false) OR coalesce((leisure IS NOT NULL OR nature IS NOT NULL) AND lower(name) LIKE '%hundbad%', false))"
+
+
+@query("tag_display", f"SELECT n, {_LEASH} AS leash_required, {_FENCED} AS fenced, {_LIT} AS lit, nullif(surface, '') AS surface FROM {{tagged}}")
+def tag_display(spark, d):
+    return at(spark, d, "tagged").select("n", F.explode(F.array(tags.display_tags(TAG))).alias("t")).select("n", "t.*")
+
+
+@query("provenance_grade", f"SELECT n, {_GRADE} AS grade FROM {{tagged}}")
+def provenance_grade(spark, d):
+    return at(spark, d, "tagged").select("n", tags.provenance(TAG).alias("grade"))
+
+
+@query("bathing_candidates", f"SELECT n, {_PARK} AS park, {_BATH} AS bathing FROM {{tagged}}")
+def bathing_candidates(spark, d):
+    return at(spark, d, "tagged").select("n", tags.is_dog_park(TAG).alias("park"), tags.is_bathing_candidate(TAG).alias("bathing"))
+
+
+@query("preselect_superset", f"SELECT n FROM {{tagged}} WHERE {_PARK} OR dog IS NOT NULL OR coalesce(name LIKE '%undbad%' OR name LIKE '%UNDBAD%', false)")
+def preselect_superset(spark, d):
+    return at(spark, d, "tagged").where(tags.is_preselected(TAG)).select("n")
+
+
+_ID = "CASE left(feature, 1) WHEN 'n' THEN 'node/' || substr(feature, 2) WHEN 'w' THEN 'way/' || substr(feature, 2) WHEN 'r' THEN 'relation/' || substr(feature, 2) ELSE CASE WHEN n % 2 = 0 THEN 'way/' ELSE 'relation/' END || CAST(n // 2 AS VARCHAR) END"
+
+
+@query("area_id_decode", f"SELECT n, {_ID} AS id FROM {{tagged}}")
+def area_id_decode(spark, d):
+    return at(spark, d, "tagged").select("n", ids.spot_id(F.col("feature")).alias("id"))
+
+
+@query("convert_flatmap", f"""SELECT {_ID} AS id, 'dog_park' AS kind, nullif(name, '') AS name, 'designated' AS provenance FROM {{tagged}} WHERE {_PARK}
+UNION ALL SELECT {_ID}, 'bathing_spot', nullif(name, ''), {_GRADE} FROM {{tagged}} WHERE {_BATH} AND ({_GRADE}) IS NOT NULL""")
+def convert_flatmap(spark, d):
+    rows = at(spark, d, "tagged").withColumn("id", ids.spot_id(F.col("feature")))
+    return places.from_features(rows, TAG).select("id", "kind", "name", "provenance")
+
+
+_MONTHS = " ".join(f"WHEN '{m[:3].lower()}' THEN {k}" for k, m in enumerate(seasonal.MONTH_NAMES, 1))
+_BAN = r"(?i)^\s*no\s*@\s*\(?\s*(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s*(\d{1,2})?\s*-\s*(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s*(\d{1,2})?\s*\)?\s*$"
+_PARSED = f"""parsed AS (
+  SELECT n, dog_conditional AS v, ban, CASE lower(left(regexp_extract(ban, '{_BAN}', 1), 3)) {_MONTHS} END AS m1, regexp_extract(ban, '{_BAN}', 2) AS d1,
+         CASE lower(left(regexp_extract(ban, '{_BAN}', 3), 3)) {_MONTHS} END AS m2, regexp_extract(ban, '{_BAN}', 4) AS d2
+  FROM (SELECT n, dog_conditional, list_filter(string_split(dog_conditional, ';'), lambda c: regexp_matches(c, '{_BAN}'))[1] AS ban FROM {{tagged}})
+), lengths AS (SELECT [31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31] AS len), rules AS (
+  SELECT n, v, m1, m2, CASE WHEN d1 = '' THEN 1 ELSE TRY_CAST(d1 AS INTEGER) END AS day1, CASE WHEN d2 = '' THEN len[m2] ELSE TRY_CAST(d2 AS INTEGER) END AS day2, len FROM parsed, lengths
+), ruled AS (
+  SELECT n, CASE WHEN v IS NULL OR v = '' THEN NULL WHEN m1 IS NOT NULL AND m2 IS NOT NULL AND day1 BETWEEN 1 AND len[m1] AND day2 BETWEEN 1 AND len[m2] THEN 'ban' ELSE 'unparsed' END AS kind, m1, day1, m2, day2 FROM rules
+)"""
+
+
+@query("seasonal_parse", f"""WITH {_PARSED}
+SELECT n, kind, CASE WHEN kind = 'ban' THEN m1 * 100 + day1 END AS from_md, CASE WHEN kind = 'ban' THEN m2 * 100 + day2 END AS to_md FROM ruled""")
+def seasonal_parse(spark, d):
+    rows = at(spark, d, "tagged").select("n", seasonal.parse_conditional(F.col("dog_conditional")).alias("r"))
+    md = lambda c: (F.col(f"r.{c}.month") * 100 + F.col(f"r.{c}.day")).alias(f"{c}_md")
+    return rows.select("n", F.col("r.kind").alias("kind"), md("from"), md("to"))
+
+
+_TODAY = "(month(day) * 100 + dayofmonth(day))"
+_HOLDS = f"CASE WHEN m1 * 100 + day1 > m2 * 100 + day2 THEN {_TODAY} >= m1 * 100 + day1 OR {_TODAY} <= m2 * 100 + day2 ELSE {_TODAY} BETWEEN m1 * 100 + day1 AND m2 * 100 + day2 END"
+
+
+@query("banned_on", f"""WITH {_PARSED}, days AS (SELECT *, DATE '2026-01-01' + CAST(n % 365 AS INTEGER) AS day FROM ruled)
+SELECT n, CASE WHEN kind = 'ban' THEN {_HOLDS} WHEN kind = 'unparsed' THEN false END AS banned FROM days""")
+def banned_on(spark, d):
+    rows = at(spark, d, "tagged").select("n", seasonal.parse_conditional(F.col("dog_conditional")).alias("r"))
+    return rows.select("n", seasonal.banned_on(F.col("r"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("n") % 365).cast("int"))).alias("banned"))
+
+
+def _md(m: str, day: str) -> str:
+    return f"CAST({day} AS VARCHAR) || ' ' || ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][{m}]"
+
+
+@query("seasonal_caption", f"""WITH {_PARSED}, days AS (SELECT *, DATE '{DAY}' AS day FROM ruled), held AS (SELECT *, kind = 'ban' AND ({_HOLDS}) AS now, {_md('m1', 'day1')} || ' – ' || {_md('m2', 'day2')} AS win FROM days)
+SELECT n, CASE WHEN kind IS NULL THEN 'Verify signage on site' WHEN kind = 'unparsed' THEN 'Seasonal rules apply — check signs on site' WHEN now THEN 'Dogs banned now (' || win || ')' ELSE 'Dogs banned ' || win END AS text, coalesce(now, false) AS banned_now FROM held""")
+def seasonal_caption(spark, d):
+    rows = at(spark, d, "tagged").select("n", seasonal.parse_conditional(F.col("dog_conditional")).alias("r"))
+    return rows.select("n", seasonal.caption(F.col("r"), F.lit(DAY).cast("date")).alias("c")).select("n", "c.*")
+
+
+@query("describe_tags", f"""SELECT n, concat_ws(' · ', CASE WHEN {_LEASH} THEN 'Leash required' WHEN NOT ({_LEASH}) THEN 'Off-leash OK' END, CASE WHEN {_FENCED} THEN 'Fenced' WHEN NOT ({_FENCED}) THEN 'Not fenced' END,
+  CASE WHEN {_LIT} THEN 'Lit' WHEN NOT ({_LIT}) THEN 'Not lit' END, 'Surface: ' || replace(nullif(surface, ''), '_', ' ')) AS line FROM {{tagged}}""")
+def describe_tags(spark, d):
+    return at(spark, d, "tagged").select("n", present.describe_tags(tags.display_tags(TAG)).alias("line"))
+
+
+# --- presentation ------------------------------------------------------------------------
+
+
+@query("spot_labels", "SELECT id, CASE WHEN trim(coalesce(name, '')) <> '' THEN name WHEN kind = 'dog_park' THEN 'Unnamed dog park' ELSE 'Unnamed bathing spot' END AS label, CASE WHEN kind = 'bathing_spot' THEN 'Dog bathing area' END AS grade FROM {spots}")
+def spot_labels(spark, d):
+    return at(spark, d, "spots").select("id", present.spot_label(F.col("name"), F.col("kind")).alias("label"), present.provenance_label(F.lit("designated"), F.col("kind")).alias("grade"))
+
+
+@query("format_distance", f"SELECT session, seq, {dist('at_ms')} AS text FROM {{marks}}")
+def format_distance(spark, d):
+    return at(spark, d, "marks").select("session", "seq", present.format_distance(F.col("at_ms")).alias("text"))
+
+
+_AGENTS = ["iPhone OS", "Android 14", "Windows"]
+
+
+@query("directions_url", """WITH l AS (SELECT seq, CAST(seq AS VARCHAR) || ',' || CAST(session AS VARCHAR) AS dest, CASE WHEN seq % 2 = 0 THEN '59,18' END AS o, seq % 3 AS a FROM {fixes})
+SELECT seq, CASE a WHEN 0 THEN 'https://maps.apple.com/?daddr=' || dest || coalesce('&saddr=' || o, '') WHEN 1 THEN CASE WHEN o IS NULL THEN 'geo:' || dest || '?q=' || dest ELSE 'https://www.google.com/maps/dir/?api=1&destination=' || dest || '&origin=' || o END
+  ELSE 'https://www.google.com/maps/dir/?api=1&destination=' || dest || coalesce('&origin=' || o, '') END AS url FROM l""")
+def directions_url(spark, d):
+    to = present.pair(F.col("seq"), F.col("session"))
+    agent = F.get(F.array(*map(F.lit, _AGENTS)), (F.col("seq") % 3).cast("int"))
+    return at(spark, d, "fixes").select("seq", present.directions_url(to, F.when(F.col("seq") % 2 == 0, "59,18"), agent).alias("url"))
+
+
+def _cell(x: str) -> str:
+    n = f"CAST(floor({x} * 1000 + 0.5) AS BIGINT)"
+    return f"CASE WHEN {n} < 0 THEN '-' ELSE '' END || CAST(abs({n}) // 1000 AS VARCHAR) || '.' || lpad(CAST(abs({n}) % 1000 AS VARCHAR), 3, '0')"
+
+
+@query("cache_key", f"SELECT query_id, 'dog-parks-v1-' || {_cell('at_lat')} || ',' || {_cell('at_lon')} || ',3000' AS key FROM {{globe}}")
+def cache_key(spark, d):
+    return at(spark, d, "globe").select("query_id", present.cache_key(F.lit("dog_park"), F.col("at_lat"), F.col("at_lon"), F.lit(3000.4)).alias("key"))
+
+
+@query("cache_ttl", "SELECT event_id FROM {events} WHERE epoch_ms(TIMESTAMP '2024-01-20 00:00:00') - epoch_ms(ts) >= 0 AND epoch_ms(TIMESTAMP '2024-01-20 00:00:00') - epoch_ms(ts) < 604800000")
+def cache_ttl(spark, d):
+    entries = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("stored_at"))
+    return seqs.fresh(entries, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id")
+
+
+@query("layer_note", f"""WITH near AS (SELECT p.query_id, count(s.id) AS n, min({hav('p.at_lat', 'p.at_lon', 's.lat', 's.lon')}) AS m FROM {{points}} p LEFT JOIN {{spots}} s ON s.kind = 'bathing_spot' AND {hav('p.at_lat', 'p.at_lon', 's.lat', 's.lon')} <= 5000 GROUP BY p.query_id)
+SELECT query_id, CASE WHEN n = 0 THEN 'No bathing spots within 5.0 km.' ELSE CASE WHEN n = 1 THEN '1 bathing spot' ELSE CAST(n AS VARCHAR) || ' bathing spots' END || CASE WHEN m < 1000 THEN '' ELSE ', nearest ' || {dist('m')} END || '.' END AS text, n = 0 OR m > 3000 AS invite FROM near""")
+def layer_note(spark, d):
+    points = at(spark, d, "points")
+    near = places.near_points(at(spark, d, "spots").where("kind = 'bathing_spot'"), points, 5_000).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("meters").alias("m"))
+    got = points.select("query_id").join(near, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    note = present.layer_note(F.lit("ready"), F.col("n"), F.col("m"), F.lit(5000.0), F.lit(False))
+    return got.select("query_id", note.alias("t")).select("query_id", "t.text", "t.invite")
+
+
+# --- versioned objects -------------------------------------------------------------------
+
+
+@query("newest_version_wins", "SELECT type, id, version, payload FROM (SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY version DESC, seq DESC, payload DESC) AS n FROM {objects}) WHERE n = 1")
+def newest_version_wins(spark, d):
+    return objects._pick(at(spark, d, "objects").drop("op"), ["type", "id"], ["version", "seq", "payload"]).select("type", "id", "version", "payload")
+
+
+@query("diff_replay", """WITH state AS (SELECT type, id, version, payload, CAST(0 AS BIGINT) AS seq, 'keep' AS op FROM {objects} WHERE seq % 3 = 0),
+base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY version DESC, payload DESC) AS n FROM state) WHERE n = 1),
+every AS (SELECT type, id, version, payload, seq, op FROM base UNION ALL SELECT type, id, version, payload, seq, op FROM {objects} WHERE seq % 3 <> 0),
+last AS (SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY seq DESC, version DESC, payload DESC) AS n FROM every)
+SELECT type, id, version, payload FROM last WHERE n = 1 AND op <> 'delete'""")
+def diff_replay(spark, d):
+    rows = at(spark, d, "objects")
+    state = objects._pick(rows.where("seq % 3 = 0").select("type", "id", "version", "payload"), ["type", "id"], ["version", "payload"])
+    return objects.replay(state, rows.where("seq % 3 <> 0"), 0).select("type", "id", "version", "payload")
+
+
+def way_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Ways of line items over the nodes of parts, as objects."""
+    none = lambda t: F.lit(None).cast(t)
+    ways = at(spark, d, "way_nodes").groupBy("way").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda x: x["node"]).alias("refs"))
+    ways = ways.select(F.lit("way").alias("type"), F.col("way").alias("id"), none("double").alias("lat"), none("double").alias("lon"), "refs", none("array<struct<type:string,ref:bigint,role:string>>").alias("members"), F.map_from_arrays(F.array(F.lit("leisure")), F.array(F.when(F.col("way") % 4 == 0, "dog_park").otherwise("park"))).alias("tags"))
+    nodes = at(spark, d, "nodes").select(F.lit("node").alias("type"), F.col("node").alias("id"), "lat", "lon", none("array<bigint>").alias("refs"), none("array<struct<type:string,ref:bigint,role:string>>").alias("members"), none("map<string,string>").alias("tags"))
+    return ways.unionByName(nodes)
+
+
+@query("check_refs", "SELECT DISTINCT 'node' AS child_type, node AS child_id, 'way' AS parent_type, way AS parent_id FROM {way_nodes} WHERE node NOT IN (SELECT node FROM {nodes})")
+def check_refs(spark, d):
+    return objects.missing_references(way_objects(spark, d))
+
+
+@query("missing_counts", "SELECT count(*) AS missing, count(DISTINCT way) AS parents FROM (SELECT DISTINCT node, way FROM {way_nodes} WHERE node NOT IN (SELECT node FROM {nodes}))")
+def missing_counts(spark, d):
+    gone = objects.missing_references(way_objects(spark, d))
+    return gone.agg(F.count(F.lit(1)).alias("missing"), F.count_distinct("parent_type", "parent_id").alias("parents"))
+
+
+@query("closure_semi", "SELECT 'way' AS type, way AS id FROM (SELECT DISTINCT way FROM {way_nodes}) WHERE way % 4 = 0 UNION ALL SELECT 'node', node FROM {nodes} WHERE node IN (SELECT node FROM {way_nodes} WHERE way % 4 = 0)")
+def closure_semi(spark, d):
+    return objects.closure(way_objects(spark, d), tags.is_dog_park(tags.of_map("tags"))).select("type", "id")
+
+
+@query("geometry_assembly", "SELECT 'way' AS type, way AS id, round((min(lat) + max(lat)) / 2, 7) AS lat, round((min(lon) + max(lon)) / 2, 7) AS lon FROM {way_nodes} w LEFT JOIN {nodes} p ON p.node = w.node WHERE way % 4 = 0 GROUP BY way HAVING count(*) = count(lat)")
+def geometry_assembly(spark, d):
+    return objects.assemble(way_objects(spark, d), tags.is_dog_park(tags.of_map("tags"))).select("type", "id", "lat", "lon")
+
+
+@query("bbox_center", "SELECT way, round((min(lat) + max(lat)) / 2, 7) AS lat, round((min(lon) + max(lon)) / 2, 7) AS lon FROM {way_nodes} w JOIN {nodes} p ON p.node = w.node GROUP BY way")
+def bbox_center(spark, d):
+    both = at(spark, d, "way_nodes").join(at(spark, d, "nodes"), "node")
+    mid = lambda c: geo.round_coord((F.min(c) + F.max(c)) / 2).alias(c)
+    return both.groupBy("way").agg(mid("lat"), mid("lon"))
+
+
+_NEAR_STHLM = hav("59.3293", "18.0686", "lat", "lon")
+
+
+@query("publish_gate_counts", f"""WITH c AS (SELECT count(*) AS a, count(*) FILTER (WHERE kind = 'dog_park') AS p, count(*) FILTER (WHERE kind = 'dog_park' AND {_NEAR_STHLM} <= 3000) AS s, count(*) FILTER (WHERE kind = 'bathing_spot') AS b FROM {{spots}})
+SELECT g.no, g.gate, n, g.least, n >= g.least AS passed FROM (
+  SELECT 0 AS no, 'any' AS gate, a AS n, CAST(1 AS BIGINT) AS least FROM c UNION ALL SELECT 1, 'dog parks', p, 200 FROM c UNION ALL SELECT 2, 'dog parks near Stockholm', s, 20 FROM c UNION ALL SELECT 3, 'bathing spots', b, 5 FROM c) g""")
+def publish_gate_counts(spark, d):
+    return seqs.gate_counts(at(spark, d, "spots"), "europe/sweden")
+
+
+@query("kind_counts", "SELECT kind, count(*) AS n FROM {spots} GROUP BY kind")
+def kind_counts(spark, d):
+    return seqs.kind_counts(at(spark, d, "spots"))
+
+
+@query("safety_timestamp", "SELECT min(o_orderdate) - INTERVAL 24 HOURS AS safety_ts FROM {orders}")
+def safety_timestamp(spark, d):
+    return objects.safety_timestamp(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").alias("ts")))
+
+
+@query("asof_sequence", "SELECT max_by(o_orderkey, (o_orderdate, o_orderkey)) AS seq FROM {orders} WHERE o_orderdate <= TIMESTAMP '1996-03-01 12:00:00'")
+def asof_sequence(spark, d):
+    history = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").alias("ts"), F.col("o_orderkey").cast("long").alias("seq"))
+    return objects.sequence_as_of(history, F.lit("1996-03-01 12:00:00").cast(history.schema["ts"].dataType))
+
+
+@query("diff_plan", "SELECT CAST(unnest(range(5062, 5101)) AS BIGINT) AS seq")
+def diff_plan(spark, d):
+    return spark.createDataFrame([(n,) for n in objects.plan_diffs(5061, 5100)], "seq long")
+
+
+@query("sequence_path", "SELECT n, CASE n % 2 WHEN 0 THEN '' ELSE '' END || substr(lpad(CAST(n * 977 AS VARCHAR), 9, '0'), 1, 3) || '/' || substr(lpad(CAST(n * 977 AS VARCHAR), 9, '0'), 4, 3) || '/' || substr(lpad(CAST(n * 977 AS VARCHAR), 9, '0'), 7, 3) AS path FROM {tagged}")
+def sequence_path(spark, d):
+    return at(spark, d, "tagged").select("n", ids.sequence_path(F.col("n") * 977).alias("path"))
+
+
+# --- sequences and policies --------------------------------------------------------------
+
+
+@query("first_mark", "SELECT session, milestone, at_ms, detail FROM (SELECT *, row_number() OVER (PARTITION BY session, milestone ORDER BY at_ms, seq) AS n FROM {marks}) WHERE n = 1")
+def first_mark(spark, d):
+    return seqs.first_marks(at(spark, d, "marks"))
+
+
+@query("timeline_deltas", """WITH f AS (SELECT session, milestone, at_ms, detail FROM (SELECT *, row_number() OVER (PARTITION BY session, milestone ORDER BY at_ms, seq) AS n FROM {marks}) WHERE n = 1),
+t AS (SELECT *, at_ms - coalesce(lag(at_ms) OVER (PARTITION BY session ORDER BY at_ms, milestone), 0) AS delta_ms FROM f)
+SELECT session, milestone, delta_ms, milestone || chr(9) || CAST(CAST(floor(at_ms + 0.5) AS BIGINT) AS VARCHAR) || 'ms' || chr(9) || '(+' || CAST(CAST(floor(delta_ms + 0.5) AS BIGINT) AS VARCHAR) || 'ms)' || coalesce(chr(9) || detail, '') AS line FROM t""")
+def timeline_deltas(spark, d):
+    return seqs.step_deltas(seqs.first_marks(at(spark, d, "marks"))).select("session", "milestone", "delta_ms", "line")
+
+
+@query("movement_requery", f"""SELECT session, seq, round(m, 3) AS moved_m, coalesce(m >= 250, true) AS asks FROM (SELECT session, seq, {hav('la', 'lo', 'lat', 'lon')} AS m FROM (
+  SELECT *, lag(lat) OVER (PARTITION BY session ORDER BY seq) AS la, lag(lon) OVER (PARTITION BY session ORDER BY seq) AS lo FROM {{fixes}}))""")
+def movement_requery(spark, d):
+    out = seqs.moves(at(spark, d, "fixes"), order=("seq",))
+    return out.select("session", "seq", F.round("moved_m", 3).alias("moved_m"), "asks")
+
+
+@query("latest_token", "SELECT session, layer, token, seq FROM (SELECT *, max(token) OVER (PARTITION BY session, layer) AS newest FROM {answers}) WHERE token = newest")
+def latest_token(spark, d):
+    return seqs.latest_answers(at(spark, d, "answers")).select("session", "layer", "token", "seq")
+
+
+@query("rate_gate", """SELECT session, seq, max(at_ms - n * 1000) OVER (PARTITION BY session ORDER BY at_ms, seq ROWS UNBOUNDED PRECEDING) + n * 1000 AS go_at_ms
+FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY at_ms, seq) AS n FROM {marks})""")
+def rate_gate(spark, d):
+    return seqs.rate_gate(at(spark, d, "marks"), "session").select("session", "seq", "go_at_ms")
+
+
+_KIND = "CASE seq % 4 WHEN 0 THEN 'rate-limited' WHEN 1 THEN 'busy' WHEN 2 THEN 'http-error' ELSE 'timeout' END"
+
+
+@query("retry_wait", f"""SELECT seq, CASE WHEN {_KIND} IN ('rate-limited', 'busy') AND seq % 3 < 2 AND w <= 30000 THEN w END AS wait_ms FROM (
+  SELECT seq, coalesce(CASE WHEN seq % 5 = 0 THEN CAST(seq % 50 AS DOUBLE) * 1000 END, 2000.0 * pow(2, seq % 3)) AS w FROM {{fixes}})""")
+def retry_wait(spark, d):
+    seq = F.col("seq")
+    kind = F.get(F.array(*map(F.lit, ("rate-limited", "busy", "http-error", "timeout"))), (seq % 4).cast("int"))
+    header = F.when(seq % 5 == 0, (seq % 50).cast("string"))
+    after = errors.retry_after_ms(header, F.lit("2026-01-01").cast("timestamp"))
+    return at(spark, d, "fixes").select("seq", errors.wait_before_retry_ms(kind, seq % 3, after).alias("wait_ms"))
+
+
+_STATUS = "[200, 400, 404, 429, 500, 503, 504][seq % 7 + 1]"
+
+
+@query("error_map", f"""SELECT seq, k AS kind, k IS NOT NULL AND (k IN ('rate-limited', 'busy') OR s >= 500) AS retryable, CASE WHEN k <> 'http-error' THEN k WHEN s >= 500 THEN 'server-error' WHEN k IS NOT NULL THEN 'request-error' END AS message, s IN (404, 410) AS gone
+FROM (SELECT seq, s, CASE WHEN s = 200 THEN NULL WHEN s = 429 THEN 'rate-limited' WHEN s = 504 THEN 'busy' ELSE 'http-error' END AS k FROM (SELECT seq, {_STATUS} AS s FROM {{fixes}}))""")
+def error_map(spark, d):
+    status = F.get(F.array(*map(F.lit, (200, 400, 404, 429, 500, 503, 504))), (F.col("seq") % 7).cast("int"))
+    rows = at(spark, d, "fixes").select("seq", status.alias("s")).withColumn("kind", errors.kind_of_status(F.col("s")))
+    key = F.when(F.col("kind").isNotNull(), errors.failure_key(F.col("kind"), F.col("s")))
+    return rows.select("seq", "kind", F.coalesce(errors.retryable(F.col("kind"), F.col("s")), F.lit(False)).alias("retryable"), key.alias("message"), errors.is_gone(F.col("s")).alias("gone"))
+
+
+@query("geocode_limit", "SELECT p_name AS label, CAST(p_partkey AS DOUBLE) / 100 AS lat, CAST(p_size AS DOUBLE) AS lon FROM {part} WHERE p_size % 3 <> 0 AND p_name ILIKE '%a%' ORDER BY p_retailprice DESC, p_name, lat, lon LIMIT 5")
+def geocode_limit(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    rows = part.select(F.col("p_name").alias("label"), F.col("p_retailprice").alias("importance"), (F.col("p_partkey") / 100).cast("string").alias("lat"), F.when(F.col("p_size") % 3 == 0, " ").otherwise(F.col("p_size").cast("string")).alias("lon"))
+    return seqs.geocode(rows, "a")
+
+
+# --- beyond SQL --------------------------------------------------------------------------
+
+
+@query("repair_loop", None)
+def repair_loop(spark, d):
+    """Ways with missing nodes, repaired from a source that has every node; the state after."""
+    state = way_objects(spark, d).withColumns({"version": F.lit(1), "ts": F.lit(None).cast("timestamp")}).select("type", "id", "version", "ts", "lat", "lon", "refs", "members", "tags")
+    none = lambda t: F.lit(None).cast(t)
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.lit("node").alias("type"), F.col("p_partkey").cast("long").alias("id"), F.lit(2).alias("version"), none("timestamp").alias("ts"), F.lit(59.0).alias("lat"), F.lit(18.0).alias("lon"), none("array<bigint>").alias("refs"), none("array<struct<type:string,ref:bigint,role:string>>").alias("members"), none("map<string,string>").alias("tags"))
+    fixed, _ = objects.repair(state, state.where("type = 'way'").unionByName(part), F.lit(True), passes=1, budget=1_000_000_000)
+    return fixed.groupBy("type", "version").agg(F.count(F.lit(1)).alias("n"))
+
+
+def session_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events of users as events of sessions: fixes, answers, toggles and choices."""
+    f = at(spark, d, "fixes")
+    kinds = ["location-requested", "position-fixed", "search-succeeded", "bathing-toggled", "bathing-search-succeeded", "spot-selected", "position-fixed", "search-failed", "retry-requested", "directions-requested"]
+    n = F.row_number().over(Window.partitionBy("session").orderBy("seq"))
+    kind = F.get(F.array(*map(F.lit, kinds)), ((n - 1) % len(kinds)).cast("int"))
+    payload = F.to_json(F.struct("lat", "lon", F.concat(F.lit("node/"), F.col("seq") % 3).alias("id"), F.array(F.struct(F.lit("node/1").alias("id"), "lat", "lon")).alias("spots"), F.lit(3000).alias("radius")))
+    return f.select(F.col("session").cast("string").alias("session"), "seq", kind.alias("kind"), payload.alias("payload"))
+
+
+@query("session_machine", None)
+def session_machine(spark, d):
+    return session.run_batch(session_events(spark, d))
+
+
+@query("geojson_depth", None)
+def geojson_depth(spark, d):
+    """Features of every nesting built from parts, read as GeoJSON and converted."""
+    from wayfold.sources.features import to_rows
+
+    t = at(spark, d, "tagged")
+    p = F.concat(F.lit("["), F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit("]"))
+    line = F.concat(F.lit("["), p, F.lit(","), p, F.lit("]"))
+    shape = lambda kind, c: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), c, F.lit("}"))
+    polygon, multi = F.concat(F.lit("["), line, F.lit("]")), F.concat(F.lit("[["), line, F.lit("]]"))
+    geometry = F.when(F.col("n") % 5 == 0, shape("Point", p)).when(F.col("n") % 5 == 1, shape("LineString", line)).when(F.col("n") % 5 == 2, shape("Polygon", polygon)).when(F.col("n") % 5 == 3, shape("MultiPolygon", multi)).otherwise(F.concat(F.lit('{"type":"GeometryCollection","geometries":['), shape("Point", p), F.lit(","), shape("LineString", line), F.lit("]}")))
+    properties = F.to_json(F.create_map(F.lit("leisure"), F.coalesce("leisure", F.lit("none")), F.lit("dog"), F.coalesce("dog", F.lit("none"))))
+    text = F.concat(F.lit('{"type":"Feature","id":"'), F.col("feature"), F.lit('","properties":'), properties, F.lit(',"geometry":'), geometry, F.lit("}"))
+    rows = to_rows(t.select(F.parse_json(text).alias("f")))
+    return places.once(places.from_features(rows, tags.of_map("tags"))).select("id", "kind", "lat", "lon", "provenance")
+
+
+@query("planet_places", None)
+def planet_places(spark, d):
+    """The whole conversion: preselect with references, assemble, convert, one of each."""
+    return refresh.to_places(refresh.preselect(way_objects(spark, d))).select("id", "kind", "lat", "lon")
