@@ -97,22 +97,31 @@ def _score(kind: str, words: str, start: float, text: Column, at: Column, end: C
     return F.lit(start) + F.when(near.rlike(rf"\b(?:{words})"), 0.25).otherwise(0.0)
 
 
+def _unused(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` starts with."""
+    prefix = "__pii_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def with_spans(df: DataFrame, text: str = "text", to: str = "pii_spans") -> DataFrame:
     """Add ``to``: array<struct<start int, end int, kind string, kind_no int, score double>>,
     ordered by start, then kind as listed. All other columns stay as they are."""
     body = F.coalesce(F.col(text), F.lit(""))
+    mine = _unused(df)
     hits, parts = {}, {}
     for kind, pattern, sign, *_ in KINDS:
-        hits[f"__hits_{kind}"] = F.when(_may_have(kind, body, sign), F.regexp_extract_all(body, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        hits[f"{mine}hits_{kind}"] = F.when(_may_have(kind, body, sign), F.regexp_extract_all(body, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     found = df.withColumns(hits)
     for kind, pattern, *_ in KINDS:
-        parts[f"__parts_{kind}"] = F.when(F.size(f"__hits_{kind}") > 0, F.split(body, pattern, -1)).otherwise(F.array().cast("array<string>"))
+        parts[f"{mine}parts_{kind}"] = F.when(F.size(f"{mine}hits_{kind}") > 0, F.split(body, pattern, -1)).otherwise(F.array().cast("array<string>"))
     found = found.withColumns(parts)
     empty = F.array().cast("array<struct<start:int,end:int,kind:string,kind_no:int,score:double>>")
 
     def spans(kind: str, start: float, words: str) -> Column:
-        h = F.col(f"__hits_{kind}")
-        both = F.arrays_zip(h.alias("hit"), _starts(F.col(f"__parts_{kind}"), h).alias("at"))
+        h = F.col(f"{mine}hits_{kind}")
+        both = F.arrays_zip(h.alias("hit"), _starts(F.col(f"{mine}parts_{kind}"), h).alias("at"))
         both = F.filter(both, lambda x: _valid(kind, x["hit"]))
         made = F.transform(both, lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["hit"])).alias("end"), F.lit(kind).alias("kind"), F.lit(ORDER[kind]).alias("kind_no"), _score(kind, words, start, body, x["at"], x["at"] + F.length(x["hit"])).alias("score")))
         return F.when(F.size(h) > 0, F.filter(made, lambda s: s["score"] >= THRESHOLD)).otherwise(empty)
@@ -128,7 +137,8 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
     Texts without spans, null ones included, stay as they are; so do all other columns
     but ``n_chars``, which follows the text where it is present."""
-    marked = with_spans(df, text, "__pii")
+    spans, fold = f"{_unused(df)}spans", f"{_unused(df)}fold"
+    marked = with_spans(df, text, spans)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -136,12 +146,12 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         piece = F.concat(a["out"], F.substr(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(inside, a["out"]).otherwise(piece).alias("out"))
 
-    folded = F.aggregate(F.col("__pii"), start, step)
-    done = marked.withColumn("__fold", F.when(F.size("__pii") > 0, folded))
-    new = F.when(F.col("__fold").isNull(), F.col(text)).otherwise(F.concat(F.col("__fold.out"), F.substr(F.col(text), F.col("__fold.at") + 1)))
+    folded = F.aggregate(F.col(spans), start, step)
+    done = marked.withColumn(fold, F.when(F.size(spans) > 0, folded))
+    new = F.when(F.col(fold).isNull(), F.col(text)).otherwise(F.concat(F.col(f"{fold}.out"), F.substr(F.col(text), F.col(f"{fold}.at") + 1)))
     done = done.withColumn(text, new)
     if "n_chars" in df.columns:
-        done = done.withColumn("n_chars", F.when(F.col("__fold").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
+        done = done.withColumn("n_chars", F.when(F.col(fold).isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
     return done.select(*df.columns)
 
 
