@@ -117,6 +117,7 @@ class Loader:
         if got and self.stored:
             try:
                 write_text(self.spark, self.stored, self.spark.read.text(self.path, wholetext=True).first()[0])
+                return read_dataset(self.spark, self.stored) or got  # later reads don't depend on the published path
             except Exception:  # a copy that can't be stored is no failure
                 pass
         return got

@@ -38,7 +38,7 @@ def parse_state(text: str) -> tuple[int, str]:
 def read_states(spark: SparkSession, path: str) -> DataFrame:
     """seq and ts of many state files, read and parsed as a table."""
     lines = F.split("value", r"\r?\n")
-    pairs = F.transform(F.filter(F.transform(lines, F.trim), lambda x: ~x.startswith("#") & x.contains("=")), lambda x: F.struct(F.regexp_extract(x, "^([^=]*)=", 1).alias("k"), F.replace(F.regexp_extract(x, "^[^=]*=(.*)$", 1), F.lit("\\:"), F.lit(":")).alias("v")))
+    pairs = F.transform(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: ~x.startswith("#") & x.contains("=")), lambda x: F.struct(F.regexp_extract(x, "^([^=]*)=", 1).alias("k"), F.replace(F.regexp_extract(x, "^[^=]*=(.*)$", 1), F.lit("\\:"), F.lit(":")).alias("v")))
     of = lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
     read = spark.read.text(path, wholetext=True).where(F.size(F.filter(pairs, lambda p: p["k"].isin("sequenceNumber", "timestamp"))) >= 2)
     return read.select(of("sequenceNumber").cast("long").alias("seq"), of("timestamp").cast("timestamp").alias("ts"))
