@@ -106,7 +106,7 @@ def plain_chat(rows):
         at = first.get((c, ref)) if ref is not None else None
         m = {"content": content, "role": role, "tool_call_id": ref, "tool_calls": None if calls is None else [{k: x[k] for k in ("arguments", "id", "name") if k in x} for x in calls]}
         message = json.dumps({k: v for k, v in m.items() if v is not None}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        result.append((c, t, at[0] if at else t, at[1] + 1 if at else 0, len(calls or []), None if ref is None else at is not None, message))
+        result.append((c, t, at[0] if at else t, at[1] + 1 if at else 0, len(calls or []), at is not None, message))
     return result
 
 

@@ -70,8 +70,8 @@ def _read(df: DataFrame, schemas: dict[str, list[tuple[str, str, bool]]]) -> Dat
 
 
 def format_chat(df: DataFrame, schemas: dict[str, list[tuple[str, str, bool]]] | None = None) -> DataFrame:
-    """conv_id, turn, role, anchor_turn, turn_rank, n_calls, n_valid, linked (null unless a
-    result) and message (canonical JSON) for every row of conv_id, turn, role, text."""
+    """conv_id, turn, role, anchor_turn, turn_rank, n_calls, n_valid, linked (a result
+    whose call is there) and message (canonical JSON) for every row of conv_id, turn, role, text."""
     read = _read(df, SCHEMAS if schemas is None else schemas)
     of = read.where("calls is not null").select("conv_id", "turn", F.posexplode("calls").alias("number", "call"))
     first = of.where("call.id is not null").groupBy("conv_id", F.col("call.id").alias("tool_call_id")).agg(F.min(F.struct("turn", "number")).alias("at"))
@@ -88,6 +88,6 @@ def format_chat(df: DataFrame, schemas: dict[str, list[tuple[str, str, bool]]] |
         F.coalesce(F.col("at.number") + 1, F.lit(0)).alias("turn_rank"),
         F.when(F.col("calls").isNull(), 0).otherwise(n).alias("n_calls"),
         F.when(F.col("calls").isNull(), 0).otherwise(F.size(F.filter("calls", lambda c: c["valid"]))).alias("n_valid"),
-        F.when(F.col("tool_call_id").isNotNull(), F.col("at").isNotNull()).alias("linked"),
+        F.col("at").isNotNull().alias("linked"),
         F.to_json(fields).alias("message"),
     )

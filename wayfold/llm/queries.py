@@ -81,7 +81,7 @@ ORACLE_SQL: dict[str, str] = {
     # The tables hold no tool calls; tests/llm compares those with a plain-Python version.
     "op10_chat": """
 SELECT conv_id, turn, coalesce(role, 'unknown') AS role, turn AS anchor_turn, 0 AS turn_rank, 0 AS n_calls, 0 AS n_valid,
-       CAST(NULL AS BOOLEAN) AS linked,
+       false AS linked,
        '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(coalesce(role, 'unknown')) AS VARCHAR) || '}' AS message
 FROM conversations""",
     "op4_topk": """
