@@ -295,10 +295,10 @@ _PARSED = f"""parsed AS (
 
 
 @query("seasonal_parse", f"""WITH {_PARSED}
-SELECT n, kind, CASE WHEN kind = 'ban' THEN m1 * 100 + day1 END AS from_md, CASE WHEN kind = 'ban' THEN m2 * 100 + day2 END AS to_md FROM ruled""")
+SELECT n, kind, CASE WHEN kind = 'ban' THEN CAST(m1 * 100 + day1 AS VARCHAR) END AS from_md, CASE WHEN kind = 'ban' THEN CAST(m2 * 100 + day2 AS VARCHAR) END AS to_md FROM ruled""")
 def seasonal_parse(spark, d):
     rows = at(spark, d, "tagged").select("n", seasonal.parse_conditional(F.col("dog_conditional")).alias("r"))
-    md = lambda c: (F.col(f"r.{c}.month") * 100 + F.col(f"r.{c}.day")).alias(f"{c}_md")
+    md = lambda c: (F.col(f"r.{c}.month") * 100 + F.col(f"r.{c}.day")).cast("string").alias(f"{c}_md")
     return rows.select("n", F.col("r.kind").alias("kind"), md("from"), md("to"))
 
 

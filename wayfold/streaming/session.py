@@ -170,13 +170,25 @@ def _run(session: str, s: State, events: pd.DataFrame) -> tuple[State, pd.DataFr
 
 
 def run_batch(events: DataFrame) -> DataFrame:
-    """One row an event, over whole sessions in order of seq. A session is one user's visit,
-    so a group is small; its events are sorted by the shuffle's task."""
-
-    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _run(key[0], dict(START), pdf.sort_values("seq", kind="stable"))[1]
-
-    return events.select("session", "seq", "kind", "payload").groupBy("session").applyInPandas(whole, OUT)
+    """One row an event, over whole sessions in order of seq.
+
+    A session's steps depend on each other, so a session is one task's work; but it is read
+    as a sorted run in batches, with only its state held, however long it is."""
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, s = None, dict(START)
+        for pdf in batches:
+            out = []
+            for name, part in pdf.groupby("session", sort=False, dropna=False):
+                if name != now:
+                    now, s = name, dict(START)
+                s, rows = _run(name, s, part)
+                out.append(rows)
+            if out:
+                yield pd.concat(out)
+
+    rows = events.select("session", "seq", "kind", "payload").repartition("session").sortWithinPartitions("session", "seq")
+    return rows.mapInPandas(whole, OUT)
 
 
 def run_stream(events: DataFrame) -> DataFrame:
