@@ -168,4 +168,4 @@ def digest(df: DataFrame) -> DataFrame:
         return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter(spans, lambda x: x["kind_no"] < len(BASE))
-    return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), F.round(F.aggregate(spans, F.lit(0.0), lambda a, x: F.greatest(a, x["score"])), 2).alias("top_score"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))

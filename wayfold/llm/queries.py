@@ -77,7 +77,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
 _BY_LENGTH = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
 
+_BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+_HITS = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS h, regexp_split_to_array(t, '{p}') AS p FROM d WHERE regexp_matches(t, '{p}')" for k, (kind, p) in enumerate(_BASE))
+
 ORACLE_SQL: dict[str, str] = {
+    # The base spans. The tables hold nothing that only the method's added kinds would find;
+    # tests/llm has cases of those.
+    "op1_pii": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({_HITS}), x AS (
+  SELECT doc_id, k, kind, h[i] AS hit, regexp_replace(h[i], '[^0-9]', '', 'g') AS digits,
+         CAST(list_sum(list_transform(p[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda s: length(s))), 0) AS BIGINT) AS pos
+  FROM (SELECT *, unnest(generate_series(1, len(h))) AS i FROM m)
+), good AS (
+  SELECT *, kind || ':' || CAST(pos AS VARCHAR) || ':' || CAST(pos + length(hit) AS VARCHAR) AS span FROM x
+  WHERE kind = 'email'
+     OR kind = 'ip' AND len(list_filter(string_split(hit, '.'), lambda s: coalesce(TRY_CAST(s AS HUGEINT) > 255, true))) = 0
+     OR kind = 'phone' AND length(digits) BETWEEN 10 AND 15
+     OR kind = 'card' AND length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(digits)), lambda j:
+        CAST(digits[length(digits) - j] AS INTEGER) * (1 + j % 2) - CASE WHEN CAST(digits[length(digits) - j] AS INTEGER) * (1 + j % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0
+), byd AS (
+  SELECT doc_id, string_agg(span, ',' ORDER BY pos, k) AS spans, count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHERE k = 1) AS n_ip,
+         count(*) FILTER (WHERE k = 2) AS n_card, count(*) FILTER (WHERE k = 3) AS n_phone FROM good GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN byd ON byd.doc_id = d.doc_id""",
+    "op7_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (
+  SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE list_inner_product(e, e) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9
+), r(vec_id, reach) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reach
+)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, (SELECT min(reach) FROM r WHERE r.vec_id = e.vec_id) AS component_id,
+       e.vec_id = (SELECT min(reach) FROM r WHERE r.vec_id = e.vec_id) AS kept
+FROM embeddings e""",
     # The tables hold no tool calls; tests/llm compares those with a plain-Python version.
     "op10_chat": """
 SELECT conv_id, turn, coalesce(role, 'unknown') AS role, turn AS anchor_turn, 0 AS turn_rank, 0 AS n_calls, 0 AS n_valid,
