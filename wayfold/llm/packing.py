@@ -33,17 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.tokens import LONG, PATTERN, Generations, byte_letters
+from wayfold.llm.tokens import PATTERN, byte_letters
 
 LENGTH, END_ID = 2048, 1
 SENTENCE_CUT, WORD_CUT, STEP, FREE_CUT, FREE_STEP = 4, 10, 12, 24, 64
 #: Tokens after which a block is packed, and bytes of ids in a batch sent back.
 BLOCK, BATCH = 96 * 2048, 4 << 20
-WORDS = 250_000
 
 
 class Ids:
-    """Ids of whole texts by one byte-level BPE file, remembering pieces as tokens.py does."""
+    """Ids of whole texts by one byte-level BPE file."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -58,9 +57,6 @@ class Ids:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.ordinary = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.pieces = Generations(self._piece, WORDS)
-        self.beside = re.compile(r"\s\s")
-        self.feed = self._ids("\n")
         size = max([*ranks.values(), *self.special.values()]) + 1
         self.ends = np.zeros(size, bool)
         self.ends[[i for t, i in ranks.items() if t[-1:] in b".!?\n"]] = True
@@ -70,30 +66,11 @@ class Ids:
     def _ids(self, text: str) -> bytes:
         return array("I", self.ordinary(text)).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if piece[:1] == "\n":
-            return self.feed + (self._ids(piece[1:]) if len(piece) > 1 else b"")
-        return self._ids(" " + piece)
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.beside.search(text):
-            return self._ids(text)
-        pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-        if max(map(len, pieces)) >= LONG:
-            return self._ids(text)
-        found = [*map(self.pieces.young.get, pieces)]
-        if None in found:
-            self.pieces.fill(pieces)
-            found = map(self.pieces.young.__getitem__, pieces)
-        return b"".join(found)[len(self.feed) :]
-
     def encode(self, text: str) -> bytes:
         """Ids as native unsigned 32-bit integers; special strings as the library has them."""
         if self.special_at is None or "<" not in text or not self.special_at.search(text):
-            return self._plain(text)
-        return b"".join(array("I", [self.special[x]]).tobytes() if k % 2 else self._plain(x) for k, x in enumerate(self.special_at.split(text)))
+            return self._ids(text)
+        return b"".join(array("I", [self.special[x]]).tobytes() if k % 2 else self._ids(x) for k, x in enumerate(self.special_at.split(text)))
 
 
 @lru_cache(maxsize=2)
