@@ -77,9 +77,8 @@ def agree(a, b):
     return a.isNull() | b.isNull() | (clean(a) == clean(b))
 
 
-def collapse_pairs(rows: DataFrame, by: Sequence[str] = (), limit_m: float = COLLAPSE_M) -> DataFrame:
-    """by, kind, node_id, area_id, meters: each node's nearest area of the same kind within
-    ``limit_m`` and with an agreeing name (ties: smaller area id).
+def _close_pairs(rows: DataFrame, by: Sequence[str] = (), limit_m: float = COLLAPSE_M) -> DataFrame:
+    """by, kind, node_id, area_id, meters of every node and area that one could collapse into.
 
     Joined on kind and latitude band, nodes standing in three bands; never all with all."""
     size = max(_BAND, limit_m / 111_000.0 * 1.1)
@@ -88,8 +87,13 @@ def collapse_pairs(rows: DataFrame, by: Sequence[str] = (), limit_m: float = COL
     nodes = rows.where(ids.is_node(F.col("id"))).select(*by, "kind", F.explode(F.array(band - 1, band, band + 1)).alias("__band"), F.col("id").alias("node_id"), F.col("name").alias("__name"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
     areas = rows.where(ids.is_area(F.col("id"))).select(*by, "kind", band.alias("__band"), F.col("id").alias("area_id"), "name", "lat", "lon")
     both = nodes.join(areas, keys).withColumn("meters", geo.haversine_m(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon")))
-    both = both.where((F.col("meters") <= limit_m) & agree(F.col("__name"), F.col("name")))
-    best = both.groupBy(*by, "kind", "node_id").agg(F.min(F.struct("meters", "area_id")).alias("best"))
+    return both.where((F.col("meters") <= limit_m) & agree(F.col("__name"), F.col("name"))).select(*by, "kind", "node_id", "area_id", "meters")
+
+
+def collapse_pairs(rows: DataFrame, by: Sequence[str] = (), limit_m: float = COLLAPSE_M) -> DataFrame:
+    """by, kind, node_id, area_id, meters: each node's nearest area of the same kind within
+    ``limit_m`` and with an agreeing name (ties: smaller area id)."""
+    best = _close_pairs(rows, by, limit_m).groupBy(*by, "kind", "node_id").agg(F.min(F.struct("meters", "area_id")).alias("best"))
     return best.select(*by, "kind", "node_id", F.col("best.area_id").alias("area_id"), F.col("best.meters").alias("meters"))
 
 
@@ -111,24 +115,37 @@ def collapse(rows: DataFrame, by: Sequence[str] = (), limit_m: float = COLLAPSE_
     return left.select(*rows.columns)
 
 
-def expanding(places: DataFrame, points: DataFrame, kind: str, radii: Sequence[float] = RADII_M, enough: int | None = None) -> DataFrame:
-    """For each point the places of the first radius that holds ``enough`` of them after
-    collapse, else of the widest; with ``meters`` and ``searched_radius_m``.
-
-    A pair is looked at once for each radius that covers it; collapse and count are taken
-    per point and radius in the same plan."""
-    near = near_points(places.where(F.col("kind") == kind), points.select("query_id", "at_lat", "at_lon"), float(max(radii)))
-    each = near.withColumn("radius_m", F.explode(F.filter(F.array(*(F.lit(int(r)) for r in radii)), lambda r: F.col("meters") <= r)))
-    kept = collapse(each, ["query_id", "radius_m"])
-    counts = kept.groupBy("query_id", "radius_m").agg(F.count(F.lit(1)).alias("n"))
-    reached = counts.groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("n") >= (enough or ENOUGH[kind]), F.col("radius_m"))), F.lit(int(max(radii)))).alias("radius_m"))
-    return kept.join(reached, ["query_id", "radius_m"]).withColumnRenamed("radius_m", "searched_radius_m")
+def expanding_counts(places: DataFrame, points: DataFrame, kind: str, radii: Sequence[float] = RADII_M, enough: int | None = None) -> DataFrame:
+    """query_id, searched_radius_m, n for every point: the first radius that holds ``enough``
+    places after collapse, else the widest; none within the widest is an answer too.
+
+    A node is collapsed at a radius that covers both it and an area to collapse into. Such
+    pairs don't depend on the point, so they are found once among the places, and a point
+    only needs the least radius at which each node is gone; one aggregate counts all radii."""
+    some = places.where(F.col("kind") == kind)
+    near = near_points(some.select("id", "lat", "lon"), points.select("query_id", "at_lat", "at_lon"), float(max(radii))).select("query_id", "id", "meters")
+    pairs = _close_pairs(some).select("node_id", "area_id")
+    area = near.select("query_id", F.col("id").alias("area_id"), F.col("meters").alias("area_m"))
+    gone = near.join(pairs, F.col("id") == F.col("node_id")).join(area, ["query_id", "area_id"])
+    gone = gone.groupBy("query_id", "id").agg(F.min(F.greatest("meters", "area_m")).alias("gone_m"))
+    stays = lambda r: (F.col("meters") <= float(r)) & (F.col("gone_m").isNull() | (F.col("gone_m") > float(r)))
+    counts = near.join(gone, ["query_id", "id"], "left").groupBy("query_id").agg(*(F.count_if(stays(r)).alias(f"n{k}") for k, r in enumerate(radii)))
+    order = sorted(range(len(radii)), key=lambda k: radii[k])
+    pick = F.struct(F.lit(int(radii[order[-1]])).alias("r"), F.coalesce(f"n{order[-1]}", F.lit(0)).cast("long").alias("n"))
+    for k in reversed(order):
+        pick = F.when(F.col(f"n{k}") >= (enough or ENOUGH[kind]), F.struct(F.lit(int(radii[k])).alias("r"), F.col(f"n{k}").alias("n"))).otherwise(pick)
+    got = points.select("query_id").join(counts, "query_id", "left").withColumn("__pick", pick)
+    return got.select("query_id", F.col("__pick.r").alias("searched_radius_m"), F.col("__pick.n").alias("n"))
 
 
-def expanding_counts(places: DataFrame, points: DataFrame, kind: str, radii: Sequence[float] = RADII_M, enough: int | None = None) -> DataFrame:
-    """query_id, searched_radius_m, n for every point: no places within the widest is an answer too."""
-    got = expanding(places, points, kind, radii, enough).groupBy("query_id", "searched_radius_m").agg(F.count(F.lit(1)).alias("n"))
-    return points.select("query_id").join(got, "query_id", "left").select("query_id", F.coalesce("searched_radius_m", F.lit(int(max(radii)))).alias("searched_radius_m"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+def expanding(places: DataFrame, points: DataFrame, kind: str, radii: Sequence[float] = RADII_M, enough: int | None = None) -> DataFrame:
+    """For each point the collapsed places of its searched radius (expanding_counts), with
+    ``meters`` and ``searched_radius_m``."""
+    asked = points.select("query_id", "at_lat", "at_lon")
+    reached = expanding_counts(places, asked, kind, radii, enough).select("query_id", "searched_radius_m")
+    near = near_points(places.where(F.col("kind") == kind), asked, float(max(radii)))
+    inside = near.join(reached, "query_id").where(F.col("meters") <= F.col("searched_radius_m"))
+    return collapse(inside, ["query_id"])
 
 
 def union_layers(parks: DataFrame, bathing: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -151,6 +151,11 @@ def expanding_search_bathing(spark, d):
     return places.expanding_counts(twins(spark, d), at(spark, d, "points"), "bathing_spot")
 
 
+@query("expanding_rows", _expanding("dog_park", 5).split("SELECT p.query_id, CAST")[0] + "SELECT k.query_id, k.radius_m AS searched_radius_m, k.id FROM kept k JOIN reached r ON r.query_id = k.query_id AND r.radius_m = k.radius_m")
+def expanding_rows(spark, d):
+    return places.expanding(twins(spark, d), at(spark, d, "points"), "dog_park").select("query_id", "searched_radius_m", "id")
+
+
 @query("collapse_pairs", f"WITH {_collapsed('', '{twins}').split(', kept AS')[0]} SELECT kind, node_id, area_id, round(gap, 3) AS meters FROM pairs")
 def collapse_pairs(spark, d):
     return places.collapse_pairs(twins(spark, d)).select("kind", "node_id", "area_id", F.round("meters", 3).alias("meters"))
@@ -586,4 +591,5 @@ def geojson_depth(spark, d):
 @query("planet_places", None)
 def planet_places(spark, d):
     """The whole conversion: preselect with references, assemble, convert, one of each."""
-    return refresh.to_places(refresh.preselect(way_objects(spark, d))).select("id", "kind", "lat", "lon")
+    kept = refresh.durable(refresh.preselect(way_objects(spark, d)))
+    return refresh.to_places(kept).select("id", "kind", "lat", "lon")

@@ -6,6 +6,8 @@ metadata last. ``stream_refresh`` does the same from a stream of change rows."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,10 +61,8 @@ def refresh(spark: SparkSession, meta_path: str, state_path: str, changes: DataF
     plan = objects.plan_diffs(meta["sequenceNumber"], head[0], max_diffs)
     old = spark.read.parquet(state_path)
     wanted = changes.where(F.col("seq").between(meta["sequenceNumber"] + 1, head[0]))
-    base = spark.conf.get("spark.checkpoint.dir", None) or out_state
-    work = lambda df: _cut(df, f"{base}/refresh-{uuid.uuid4().hex}")
-    new, report = advance(old, wanted, source, meta["sequenceNumber"], max_repairs, work)
-    rows = work(to_places(new))
+    new, report = advance(old, wanted, source, meta["sequenceNumber"], max_repairs, durable)
+    rows = durable(to_places(new))
     rings = boundary.parse_boundary(PLANET)
     if gate:
         assert_sane(rows, region, len(rings["include"]))
@@ -72,9 +72,18 @@ def refresh(spark: SparkSession, meta_path: str, state_path: str, changes: DataF
     return report | {"diffs": len(plan), "kinds": {r["kind"]: r["n"] for r in kind_counts(rows).collect()}}
 
 
-def _cut(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def durable(df: DataFrame) -> DataFrame:
+    """Write a frame that is used more than once to the folder that executors share, and
+    read it back; a folder of our own only in local mode without that setting."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
+    path = f"{base.rstrip('/')}/refresh-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stream_refresh(changes: DataFrame, state_dir: str, checkpoint: str):
