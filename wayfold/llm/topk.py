@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS, FINAL = 8192, 4
+ROWS, FINAL = 8192, 32
 #: Share of the lists that is read at each step.
-DEPTHS = (1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)
+DEPTHS = (1 / 8, 1 / 4, 1 / 2, 3 / 4, 1)
 
 
 class Lists:
@@ -40,27 +40,27 @@ class Lists:
 
     def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best, by score and then smaller id."""
-        n = len(self.ids)
-        part, seen = np.zeros(n, np.int64), np.zeros((n, len(q)))
-        own = self.ids == query_id
-        used = np.flatnonzero(q)
-        best, worst = np.zeros(len(q)), np.zeros(len(q))
-        for d in used:
-            worst[d] = q[d] * self.values[d, 0 if q[d] > 0 else -1]
-        done, left = 0, np.flatnonzero(~own)
+        n, used = len(self.ids), np.flatnonzero(q)
+        up = q[used] > 0
+        part, seen = np.zeros(n, np.int64), np.zeros((n, len(used)))
+        # the most and the least that each unread list can still give
+        rest = np.zeros((len(used), 2))
+        rest[:, 1] = np.where(up, q[used] * self.values[used, 0], q[used] * self.values[used, -1]) if n else 0
+        done, left = 0, np.flatnonzero(self.ids != query_id)
         for share in DEPTHS:
             depth = max(done, math.ceil(n * share))
-            for d in used:
-                at = slice(n - depth, n - done) if q[d] > 0 else slice(done, depth)
+            for j, d in enumerate(used):
+                at = slice(n - depth, n - done) if up[j] else slice(done, depth)
                 rows = self.order[d, at]
                 part[rows] += q[d] * self.values[d, at]
-                seen[rows, d] = 1
-                best[d] = 0 if depth == n else q[d] * self.values[d, n - depth - 1 if q[d] > 0 else depth]
+                seen[rows, j] = 1
+                rest[j, 0] = 0 if depth == n else q[d] * self.values[d, n - depth - 1 if up[j] else depth]
             done = depth
             if depth == n or len(left) <= k:
                 break
-            high = part[left] + (best.sum() - seen[left] @ best)
-            low = part[left] + (worst.sum() - seen[left] @ worst)
+            known = seen @ rest if len(left) > 0.7 * n else seen[left] @ rest
+            known = known[left] if len(known) == n else known
+            high, low = (part[left] + (rest[:, c].sum() - known[:, c]) for c in (0, 1))
             bar = np.partition(low, len(low) - k)[len(low) - k]
             left = left[high >= bar]
             if len(left) <= FINAL * k:
