@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import tags
 from wayfold.operators import objects, places, sequences
-from wayfold.sources import boundary, dataset, features, osm_xml, state
+from wayfold.sources import boundary, dataset, features, live, osm_xml, state
 
 NO_TAGS = (None, None, None, None)
 
@@ -293,3 +293,26 @@ def test_dataset(spark, tmp_path):
 def test_geocode(spark):
     g = spark.createDataFrame([("Stockholm", 0.9, "59.33", "18.06"), ("Stockholm x", 0.5, " ", "18"), ("", 1.0, "1", "2"), ("stock", 0.1, "1", "2"), ("Berlin", 1.0, "1", "2")], "label string, importance double, lat string, lon string")
     assert [tuple(r) for r in sequences.geocode(g, "STOCK").collect()] == [("Stockholm", 59.33, 18.06), ("stock", 1.0, 2.0)]
+
+
+def test_live_answers(spark):
+    good = {"type": "node", "id": 1, "lat": 59.0, "lon": 18.0, "center": {"lat": 1, "lon": 1}, "tags": {"name": "A", "dog": "leashed", "n": 5}}
+    rows = [good, good | {"tags": {}}, {"type": "way", "id": 2, "center": {"lat": 59.1, "lon": 18.1}, "tags": {"dog": "no"}}, {"type": "way", "id": 3}, {"type": "", "id": 4, "lat": 1, "lon": 1}, {"type": "node", "id": "5", "lat": 1, "lon": 1}, {"type": "way", "id": 6, "lat": 1, "center": {"lat": 2, "lon": 3}}, 7]
+    body = lambda extra: spark.createDataFrame([(json.dumps({"elements": rows} | extra),)], "body string")
+    parks = {r.id: r for r in live.to_places(live.elements(body({})), "dog_park").collect()}
+    assert {k: (r.lat, r.lon, r.name) for k, r in parks.items()} == {"node/1": (59.0, 18.0, "A"), "way/2": (59.1, 18.1, None), "way/6": (2.0, 3.0, None)}
+    assert parks["node/1"].tags.leash_required is True and parks["node/1"].provenance == "designated"
+    bathing = {r.id: r.provenance for r in live.to_places(live.elements(body({"remark": ""})), "bathing_spot").collect()}
+    assert bathing == {"node/1": "permitted", "way/6": "name-match"}
+    for extra, kind in (({"remark": "runtime error: Query timed out"}, "timeout"), ({"elements": 5}, "malformed-response")):
+        with pytest.raises(Exception, match=f"refused answer: {kind}"):
+            live.elements(body(extra)).collect()
+    table = spark.createDataFrame([("node/1", 59.0, 18.0, {"leisure": "dog_park"}), ("node/2", 59.0, 18.1, {"leisure": "dog_park"}), ("way/3", 59.0, 18.0, {"natural": "beach", "dog": "yes"})], "id string, lat double, lon double, tags map<string,string>")
+    assert [r.id for r in live.select_live(table, 59.0, 18.0, 100.2, "dog_park").collect()] == ["node/1"]
+    assert [r.id for r in live.select_live(table, 59.0, 18.0, 100.2, "bathing_spot").collect()] == ["way/3"]
+
+
+def test_first_guess(spark):
+    at = lambda t: F.lit(t).cast("timestamp")
+    got = spark.range(1).select(*(objects.first_guess(F.lit(n), at("2026-07-22"), at(t)) for n, t in ((5061, "2026-07-20 12:00:00"), (3, "2026-01-01"), (10, "2026-07-25")))).first()
+    assert tuple(got) == (5058, 1, 10)

@@ -134,6 +134,13 @@ def plan_diffs(stored: int, current: int, most: int = MAX_DIFFS) -> list[int]:
     return list(range(stored + 1, current + 1))
 
 
+def first_guess(head_seq: Column, head_ts: Column, safe: Column) -> Column:
+    """Where a walk back to ``safe`` may start: whole days behind the head and one more, from
+    1 to the head."""
+    days = F.ceil((F.unix_millis(head_ts) - F.unix_millis(safe)) / 86_400_000)
+    return F.least(F.greatest(head_seq - days - 1, F.lit(1)), head_seq).cast("long")
+
+
 def safety_timestamp(stamps: DataFrame) -> DataFrame:
     """The oldest ``ts`` less a day, as one row; no row at all raises when read."""
     oldest = F.min("ts") - F.expr(f"interval {REWIND_HOURS} hours")
