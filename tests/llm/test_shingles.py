@@ -1,0 +1,50 @@
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from wayfold.llm import shingles, simhash
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_copies():
+    """Families of texts with few to many words changed, a common passage, and odd texts."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(3000)])
+    passage = " ".join(rng.choice(words, 40))
+    out = [None, "", "  ", "a b", "A  b", "a b c d e"]
+    for n in (12, 30, 60, 120, 400):
+        for _ in range(12):
+            base = rng.choice(words, n)
+            for k in (0, 1, 2, n // 40, n // 30, n // 20):
+                new = base.copy()
+                new[rng.choice(n, k, replace=False)] = rng.choice(words, k)
+                out.append(" ".join(new) + (" " + passage if rng.random() < 0.4 else ""))
+    return out
+
+
+def brute_groups(texts):
+    forest = simhash.Forest(len(texts))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    forest.join(*np.array(links).T)
+    return forest.find(np.arange(len(texts)))
+
+
+@pytest.mark.parametrize("sample", [4096, 0])
+def test_every_pair_of_similarity_08_is_linked(spark, monkeypatch, sample):
+    monkeypatch.setattr(shingles, "SAMPLE", sample)
+    texts = near_copies()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in shingles.group(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_groups(texts).tolist()
+
+
+def test_the_stage_keeps_one_of_near_copies(spark):
+    texts = near_copies()
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.stage_near_duplicates(spark, df, "").collect()}
+    assert kept == set(brute_groups(texts).tolist())
+    assert corpus_pipeline.stage_near_duplicates(spark, df.limit(0), "").count() == 0

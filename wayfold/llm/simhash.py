@@ -236,12 +236,12 @@ def group(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     return prints.join(of, "fp").select(key, "fp", "component_id")
 
 
-def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", grouping=group) -> DataFrame:
     """The rows of ``df`` whose key is the smallest of its group; one row where a key repeats.
 
-    The texts are shuffled once, by a sort-merge join at every size: the kept ids grow with
+    ``grouping`` makes the groups: by fingerprints, or shingles.group by exact similarity. The texts are shuffled once, by a sort-merge join at every size: the kept ids grow with
     the input, so they are never broadcast. Rows with a null key stay."""
-    kept = group(df, text, key).where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
+    kept = grouping(df, text, key).where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
     kept = cut(kept, "kept")
     out = df.join(kept.select(key).hint("merge"), key, "left_semi").select(*df.columns)
     out = out.dropDuplicates([key]) if kept.where("copies > 1").limit(1).count() else out
