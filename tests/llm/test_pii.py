@@ -68,3 +68,18 @@ def test_empty_and_native(spark, no_docs, docs, capsys):
     assert pii.digest(no_docs).count() == 0 and pii.redact(no_docs).count() == 0
     pii.redact(docs).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_an_iban_ends_where_its_number_ends(spark):
+    german, british, unknown = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "ZZ14 ABCD 1234 5678 9012"
+    assert int("".join(str(int(c, 36)) for c in (unknown[4:] + unknown[:4]).replace(" ", ""))) % 97 == 1
+    tails = ["", " Thanks", " THANKS", " 12345", " and", ".", " X", f" {german}"]
+    cases = [(x, x + t) for x in (german, british, unknown) for t in tails]
+    got = pii.digest(spark.createDataFrame([(i, f"iban {t}") for i, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()
+    for r in got:
+        x, t = cases[r.doc_id]
+        assert f"iban:5:{5 + len(x)}" in r.spans.split(","), t
+        if t.endswith(german) and not t.startswith("ZZ"):
+            assert f"iban:{5 + len(t) - len(german)}:{5 + len(t)}" in r.spans.split(","), t
+    red = pii.redact(spark.createDataFrame([(1, f"iban {german} THANKS")], "doc_id long, text string")).first()
+    assert red.text == "iban <IBAN> THANKS"

@@ -12,8 +12,10 @@ and national_id (3-2-4 digits, only beside an identity word).
 
 Null text is empty; an empty text or table gives no spans; repeated rows each get their
 own result; extra columns are not read unless asked for. Offsets are code points with an
-exclusive end. Repetitions are possessive, so Java's matcher neither recurses nor backs
-off on very long runs; they accept the same strings as the plain forms.
+exclusive end. Unbounded repetitions of the base kinds are possessive, so Java's matcher
+neither recurses nor backs off on very long runs; they accept the same strings as the plain
+forms. An iban of a country in ``IBAN_LENGTHS`` has that country's length, whatever follows it;
+of another country, it is the longest run of whole groups that passes mod-97.
 """
 
 from __future__ import annotations
@@ -27,13 +29,21 @@ WINDOW = 40  # characters read before and after a span for context words
 _LOCAL = "[A-Za-z0-9._%+-]"
 _LABEL = "[A-Za-z0-9-]"
 
+#: Characters of a bank account number, by country (the IBAN registry).
+IBAN_LENGTHS = {c: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL FK SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in codes.split()}
+_BY_LENGTH = "|".join(rf"(?:{'|'.join(c for c in IBAN_LENGTHS if IBAN_LENGTHS[c] == n)})[0-9]{{2}}(?:[\x20]?[A-Z0-9]){{{n - 4}}}" for n in sorted(set(IBAN_LENGTHS.values())))
+
 #: kind, order among equal starts, pattern, cheap test of the text, base score, context words
 KINDS = [
     ("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", "@", 0.9, "mail|contact|write"),
     ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, "ip|host|server|address|login"),
     ("card", r"[0-9](?:[\x20-]?[0-9])++", None, 0.8, "card|visa|credit|amex|pay"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, "phone|tel|call|fax|mobile"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None, 0.7, "iban|account|bank|bic"),
+    ("iban", rf"(?<![A-Za-z0-9])(?:{_BY_LENGTH}|[A-Z]{{2}}[0-9]{{2}}(?:[\x20]?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])", None, 0.7, "iban|account|bank|bic"),
     ("phone_local", r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", None, 0.3, "phone|tel|call|fax|mobile"),
     ("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social security|identity|passport"),
 ]
@@ -63,10 +73,19 @@ def _valid(kind: str, hit: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(10, 15)
     if kind == "iban":
-        return F.length(F.replace(hit, F.lit(" "), F.lit(""))).between(15, 34) & (_mod97(hit) == 1)
+        length = F.length(F.replace(hit, F.lit(" "), F.lit("")))
+        own = F.element_at(F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair)), F.left(hit, F.lit(2)))
+        return length.between(15, 34) & F.coalesce(length == own, F.lit(True)) & (_mod97(hit) == 1)
     return F.lit(True)
 
 
+def _longest_valid(kind: str, hit: Column) -> Column:
+    """The longest run of the hit's groups, from the first on, that is valid; else null."""
+    groups = F.split(hit, " ")
+    ends = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, 1, k), " "))
+    return F.get(F.filter(ends, lambda x: _valid(kind, x)), F.lit(0))
+
+
 def _may_have(kind: str, text: Column, sign: str | None) -> Column:
     if kind == "iban":
         return text.rlike("[A-Z]{2}[0-9]{2}")
@@ -122,7 +141,11 @@ def with_spans(df: DataFrame, text: str = "text", to: str = "pii_spans") -> Data
     def spans(kind: str, start: float, words: str) -> Column:
         h = F.col(f"{mine}hits_{kind}")
         both = F.arrays_zip(h.alias("hit"), _starts(F.col(f"{mine}parts_{kind}"), h).alias("at"))
-        both = F.filter(both, lambda x: _valid(kind, x["hit"]))
+        if kind == "iban":
+            both = F.transform(both, lambda x: F.struct(_longest_valid(kind, x["hit"]).alias("hit"), x["at"].alias("at")))
+            both = F.filter(both, lambda x: x["hit"].isNotNull())
+        else:
+            both = F.filter(both, lambda x: _valid(kind, x["hit"]))
         made = F.transform(both, lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["hit"])).alias("end"), F.lit(kind).alias("kind"), F.lit(ORDER[kind]).alias("kind_no"), _score(kind, words, start, body, x["at"], x["at"] + F.length(x["hit"])).alias("score")))
         return F.when(F.size(h) > 0, F.filter(made, lambda s: s["score"] >= THRESHOLD)).otherwise(empty)
 
