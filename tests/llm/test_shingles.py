@@ -5,9 +5,12 @@ import corpus_pipeline
 from wayfold.llm import shingles, simhash
 
 
+def word_sets(texts):
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+
+
 def jaccard(a, b):
-    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in (a, b))
-    return len(a & b) / len(a | b) if a | b else 1.0
+    return len(a & b) / len(a | b) if a and b else 0.0
 
 
 def near_copies():
@@ -26,25 +29,82 @@ def near_copies():
     return out
 
 
-def brute_groups(texts):
-    forest = simhash.Forest(len(texts))
-    links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
-    forest.join(*np.array(links).T)
-    return forest.find(np.arange(len(texts)))
+def forest_of(n, links):
+    forest = simhash.Forest(n)
+    if links:
+        forest.join(*np.array(links).T)
+    return forest.find(np.arange(n))
 
 
-@pytest.mark.parametrize("sample", [4096, 0])
-def test_every_pair_of_similarity_08_is_linked(spark, monkeypatch, sample):
-    monkeypatch.setattr(shingles, "SAMPLE", sample)
-    texts = near_copies()
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in shingles.group(df).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_groups(texts).tolist()
+def brute_kept(texts):
+    """Two rounds in plain Python: fingerprints within four bits, then similarity among those left."""
+    prints = np.array([simhash.fingerprint(t, 5) for t in texts], np.uint64)
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    first = sorted(set(forest_of(len(texts), [(i, j) for i, j in np.argwhere(near) if i > j]).tolist()))
+    sets = word_sets([texts[i] for i in first])
+    root = forest_of(len(first), [(i, j) for i in range(len(first)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8])
+    return {first[k] for k in set(root.tolist())}, sets, first
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
 
 
-def test_the_stage_keeps_one_of_near_copies(spark):
+@pytest.mark.parametrize("slots", [1 << 24, 1 << 15])
+def test_the_stage_keeps_one_of_near_copies(spark, monkeypatch, slots):
+    monkeypatch.setattr(shingles, "_SLOTS", slots)
     texts = near_copies()
-    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r.doc_id for r in corpus_pipeline.stage_near_duplicates(spark, df, "").collect()}
-    assert kept == set(brute_groups(texts).tolist())
-    assert corpus_pipeline.stage_near_duplicates(spark, df.limit(0), "").count() == 0
+    kept = {r.doc_id for r in corpus_pipeline.stage_near_duplicates(spark, frame(spark, texts), "").collect()}
+    assert kept == brute_kept(texts)[0]
+    # what stays has no similar pair
+    sets = dict(zip(sorted(kept), word_sets([texts[i] for i in sorted(kept)])))
+    assert not [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+
+
+def test_the_stage_on_an_empty_table(spark):
+    assert corpus_pipeline.stage_near_duplicates(spark, frame(spark, ["x"]).limit(0), "").count() == 0
+
+
+def test_bands_meet_at_the_threshold():
+    """Recall of the bands and the sketch over random sets of similarity 0.8 and 0.85."""
+    rng = np.random.default_rng(2)
+    for similarity, least in ((0.8, 0.98), (0.85, 0.995)):
+        met = 0
+        for _ in range(400):
+            n = int(rng.integers(20, 400))
+            both = int(np.ceil(2 * n * similarity / (1 + similarity)))
+            own = rng.integers(0, 1 << 63, 2 * n - both, dtype=np.uint64) * np.uint64(2)
+            (a, s), (b, t) = (shingles.bands_and_sketch(x) for x in (own[:n], own[n - both :]))
+            gap = np.bitwise_count(np.frombuffer(s, np.uint8) ^ np.frombuffer(t, np.uint8)).sum()
+            met += bool((a == b).any()) and gap <= shingles.SKETCH_BITS
+        assert met >= least * 400, similarity
+
+
+def test_a_large_group_of_unlike_texts_that_meet(spark):
+    """Many texts of one passage with differing ends: whole and exact, in few pairs."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(3000)])
+    passage = " ".join(rng.choice(words, 60))
+    texts = [passage + " " + " ".join(rng.choice(words, int(k))) for k in rng.integers(2, 40, 150)]
+    kept = {r.doc_id for r in simhash.one_of_each(frame(spark, texts)).collect()}
+    assert kept == brute_kept(texts)[0]
+
+
+def test_different_texts_of_one_id_both_stay(spark):
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{i}" for i in range(3000)])
+    a, b = (" ".join(rng.choice(words, 80)) for _ in range(2))
+    rows = [(1, a, "en"), (1, b, "en"), (1, b, "en"), (2, a, "de"), (3, b + " more", "de"), (None, a, "x"), (None, a, "x")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, a), (0, a), (1, a), (1, b)])
+
+
+def test_runs_stay_whole_across_batches():
+    import pyarrow as pa
+
+    at = np.repeat([1, 2, 3, 9], [3, 5, 1, 4])
+    for step in (1, 2, 3, 13):
+        batches = [pa.RecordBatch.from_arrays([pa.array(at[k : k + step])], names=["at"]) for k in range(0, len(at), step)]
+        runs = [t["at"].to_pylist() for t in shingles._whole_runs(iter(batches))]
+        assert sum(runs, []) == at.tolist()
+        assert all(not set(a) & set(b) for a, b in zip(runs, runs[1:]))

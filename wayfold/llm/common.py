@@ -3,8 +3,6 @@ components and small helpers for Python workers."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +10,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is
-    unset, as in local tests."""
+    """The folder of ``spark.checkpoint.dir``, which all executors must share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = os.path.join(tempfile.gettempdir(), "checkpoints")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return path.rstrip("/")
 
 
@@ -62,7 +57,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large and small stars.
 
-    ``edges``: u, v (long), any orientation; loops and repeats are fine. Returns
+    ``edges``: u, v (any type with an order), any orientation; loops and repeats are fine. Returns
     node, root, where root is the smallest node of the component, for every node
     that has an edge to another node. Each round is a few shuffles of the edge list,
     kept in the shared folder; nothing but two counts reaches the driver.
@@ -72,13 +67,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out._wayfold_path = now._wayfold_path
+            return out
         seen = mark
         then = cut(_small_star(_large_star(now)), "edges")
         drop(now)
         now = then
-
-
-def text_column(df: DataFrame, name: str = "text"):
-    """The text with null as empty."""
-    return F.coalesce(F.col(name), F.lit(""))

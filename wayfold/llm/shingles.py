@@ -1,17 +1,21 @@
-"""Groups of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
-
-Texts link where shared shingles / all shingles of the two reaches ``THRESHOLD``; groups
-are what links connect. No link is lost: under any one order of all shingles, two sets that
-similar share one of their first n - ceil(0.8 n) + 1 (the prefix filter). The order puts
-shingles that are common in a bounded sample last and is by hash otherwise, so the sample
-only steers the work. Texts of equal sets are one class. Classes that meet at a shingle are
-first compared with one of them; then only those which that left in different groups are
-compared with each other, so a large group of copies doesn't make all its pairs. Pairs
-that share too little of their prefixes go; the others are checked on the whole sets.
-
-Words are lower-case and parted by white space; a text of fewer words than a shingle is one
-shingle; null, empty and blank texts have none and are one class. Shingles and sets are
-known by 64-bit hashes.
+"""Pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+
+Beyond a few bits SimHash can't serve: at a similarity of 0.8 some 10 of 64 bits differ (up
+to 18 with all of the spread), where a ball round a fingerprint holds so much of the space
+that no branch of a vantage-point tree falls out. So texts that ``simhash`` has left are
+proposed to each other by MinHash: ``BANDS`` bands of ``ROWS`` minima meet in at least one
+band with a chance of 0.997 at a similarity of 0.8, and above 0.9999 from 0.85 on. One bit of
+each minimum (a sketch of 256) then holds back what is clearly less similar: 25.6 of them
+differ on average at 0.8, and ``SKETCH_BITS`` may. What is left is checked exactly on the
+whole sets, so nothing below the threshold links.
+
+A band's meeting never makes all its pairs. First every text is checked with one head, the
+closest by sketch among the heads of its bands; then only pairs that this left in different
+groups are. Each text is in ``BANDS`` small rows, whatever its length, and only texts that
+met any other have their sets made again.
+
+Words are lower-cased (A-Z) and parted by white space; a text of fewer words than a shingle
+is one shingle. Texts without words are similar to none here. Shingles are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,108 +31,87 @@ from pyspark.sql import types as T
 from wayfold.llm.common import components, cut, drop
 
 WORDS, THRESHOLD, SEED = 5, 0.8, 42
-#: Classes that the order of shingles is made from.
-SAMPLE = 4_096
+ROWS, BANDS, SKETCH_BITS = 8, 32, 45
+#: Bits of the filter that holds back texts which met no other, before their sets are made.
 _SLOTS = 1 << 24
 
+_RNG = np.random.default_rng(20240301)
+_TIMES, _PLUS = (_RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) for _ in range(2))
+_TIMES |= np.uint32(1)
+_MIX, _SALT = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1), _RNG.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The distinct hashes of the shingles, in order."""
+
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hashes of all shingles in order, repeats included (unsigned)."""
     import xxhash
 
     tokens = (text or "").encode().lower().split()
     n = len(tokens)
     if n == 0:
-        return np.zeros(0, np.int64)
-    joined = b" ".join(tokens)
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     if n <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64).view(np.int64)
-    digest = xxhash.xxh64_intdigest
+        return np.array([digest(joined, SEED)], np.uint64)
     at = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1)
     starts = [0, *at[: n - words].tolist()]
     ends = (at[words - 1 :] - 1).tolist()
-    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends)], np.uint64).view(np.int64))
-
-
-def _fp(own: np.ndarray) -> int:
-    import xxhash
-
-    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends)], np.uint64)
 
 
-def _least_first(own: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The set in the one order of all shingles."""
-    if not len(common) or not len(own):
-        return own
-    k = np.minimum(np.searchsorted(common, own), len(common) - 1)
-    return own[np.argsort(np.where(common[k] == own, count[k], 0), kind="stable")]
+def bands_and_sketch(own: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """One hash for each band, and one bit for each minimum, of a set of hashes."""
+    if not len(own):
+        return np.zeros(0, np.int64), b""
+    low = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
+    x = (own >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(x), 2048):  # bounded memory for very long texts
+        np.minimum(low, (x[k : k + 2048, None] * _TIMES + _PLUS).min(axis=0), out=low)
+    bands = (low.reshape(BANDS, ROWS).astype(np.uint64) * _MIX).sum(axis=1, dtype=np.uint64) + _SALT
+    return bands.view(np.int64), np.packbits(low & np.uint32(1)).tobytes()
 
 
-def _least(x, threshold: float):
-    """The least whole number of at least threshold * x."""
-    return np.ceil(threshold * x - 1e-9).astype(np.int64)
-
-
-def _common(df: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in more than one text of the sample, and in how many."""
+def sketches(df: DataFrame, text: str, key: str, words: int, fingerprint) -> DataFrame:
+    """key, h (hash of key and text), fp (``fingerprint`` of the shingle hashes), n (size
+    of the set), bands and bits of every row, in one narrow pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([shingle_set(x.as_py(), words).tobytes() for x in batch.column(0)], pa.binary())], names=["shingles"])
-
-    hashed = df.select(F.xxhash64(text).alias("h")).distinct().orderBy("h").limit(SAMPLE)
-    texts = df.select(F.col(text).alias("__text"), F.xxhash64(text).alias("h")).join(F.broadcast(hashed), "h", "left_semi").groupBy("h").agg(F.first("__text").alias("__text"))
-    rows = texts.select("__text").mapInArrow(run, "shingles binary").collect()
-    found, count = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[0], np.int64) for r in rows)]), return_counts=True)
-    return found[count > 1], count[count > 1]
-
-
-def prints(df: DataFrame, text: str, key: str, words: int, threshold: float) -> DataFrame:
-    """key, fp (hash of the set), h (hash of the text), n (size of the set) and its prefix."""
-    common, count = _common(df, text, words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps, sizes, firsts = [], [], []
-            for x in batch.column(1):
-                own = shingle_set(x.as_py(), words)
-                n = len(own)
-                fps.append(_fp(own))
-                sizes.append(n)
-                firsts.append(_least_first(own, common, count)[: n - int(_least(np.float64(n), threshold)) + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], names=[key, "fp", "h", "n", "prefix"])
-
-    some = df.select(key, F.col(text).alias("__text"), F.xxhash64(text).alias("h"))
-    fields = [some.schema.fields[0], *(T.StructField(k, t) for k, t in (("fp", T.LongType()), ("h", T.LongType()), ("n", T.IntegerType()), ("prefix", T.BinaryType())))]
+            fps, sizes, bands, bits = [], [], [], []
+            for x in batch.column(2):
+                hashes = shingle_hashes(x.as_py(), words)
+                own = np.unique(hashes)
+                fps.append(fingerprint(hashes))
+                sizes.append(len(own))
+                b, s = bands_and_sketch(own)
+                bands.append(b)
+                bits.append(s)
+            ends = np.cumsum([0, *map(len, bands)])
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), listed, pa.array(bits, pa.binary())], names=[key, "h", "fp", "n", "bands", "bits"])
+
+    some = df.select(key, F.xxhash64(key, text).alias("h"), F.col(text).alias("__text"))
+    fields = [some.schema.fields[0], *(T.StructField(k, t) for k, t in (("h", T.LongType()), ("fp", T.LongType()), ("n", T.IntegerType()), ("bands", T.ArrayType(T.LongType())), ("bits", T.BinaryType())))]
     return some.mapInArrow(run, T.StructType(fields))
 
 
-def prefixes(own: DataFrame) -> DataFrame:
-    """at (a shingle of the prefix), fp and n."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(2).to_pylist()
-            many = np.array([len(x) // 8 for x in raw], np.int64)
-            at = np.frombuffer(b"".join(raw), np.int64)
-            fp, n = (np.repeat(batch.column(k).to_numpy(), many) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(fp), pa.array(n)], names=["at", "fp", "n"])
-
-    return own.select("fp", "n", "prefix").mapInArrow(run, "at long, fp long, n int")
-
-
-def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The batches, cut anew so that rows of one ``at`` stay together."""
-    held = None
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        now = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
-        now = now if held is None else {k: np.concatenate([held[k], now[k]]) for k in now}
-        end = int(np.searchsorted(now["at"], now["at"][-1])) if len(now["at"]) else 0
+        if not batch.num_rows:
+            continue
+        at = batch.column("at").to_numpy()
+        end = int(np.searchsorted(at, at[-1]))
         if end:
-            yield {k: x[:end] for k, x in now.items()}
-        held = {k: x[end:] for k, x in now.items()}
-    if held is not None and len(held["at"]):
-        yield held
+            yield pa.Table.from_batches([*held, batch.slice(0, end)])
+            held = [batch.slice(end)]
+        elif held and held[-1].column("at")[0].as_py() != at[0]:
+            yield pa.Table.from_batches(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -143,114 +126,126 @@ def _ends(new: np.ndarray) -> np.ndarray:
     return np.append(starts[1:], len(new))[np.cumsum(new) - 1]
 
 
-def meetings(first: DataFrame) -> DataFrame:
-    """The rows of shingles at which classes meet, with the least of these classes."""
+def meetings(own: DataFrame) -> DataFrame:
+    """at, h: the rows of bands at which two or more texts meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _whole_runs(batches):
-            once = _changes(x["at"], x["fp"])
-            x = {k: v[once] for k, v in x.items()}
-            new = _changes(x["at"])
-            start = np.flatnonzero(new)[np.cumsum(new) - 1]
-            x |= {"head": x["fp"][start], "head_n": x["n"][start]}
-            many = _ends(new) - start > 1
-            yield pa.RecordBatch.from_pydict({k: pa.array(v[many]) for k, v in x.items()})
+        for t in _whole_runs(batches):
+            at = t["at"].to_numpy()
+            new = _changes(at)
+            many = _ends(new) - np.flatnonzero(new)[np.cumsum(new) - 1] > 1
+            yield from t.filter(pa.array(many)).combine_chunks().to_batches()
+
+    rows = own.select(F.explode("bands").alias("at"), "h")
+    return rows.repartition("at").sortWithinPartitions("at", "h").mapInArrow(run, "at long, h long")
+
+
+class _Run:
+    """Columns of some whole bands, and which pairs of rows may be similar."""
+
+    def __init__(self, t: pa.Table, threshold: float):
+        self.h, self.at, self.n = (t[c].to_numpy() for c in ("h", "at", "n"))
+        self.bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(self.h), -1)
+        self.threshold = threshold
+
+    def gap(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Sketch bits that differ; -1 where the pair can't be similar."""
+        a, b = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        differ = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=1).astype(np.int64)
+        return np.where((a >= self.threshold * b - 1e-9) & (differ <= SKETCH_BITS), differ, -1)
+
 
-    dealt = first.repartition("at").sortWithinPartitions("at", "fp")
-    return dealt.mapInArrow(run, "at long, fp long, n int, head long, head_n int")
+def _pairs(a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
+    good = (gap >= 0) & (a != b)
+    return pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (a, b, gap)], names=["a", "b", "gap"])
 
 
-def _enough(pairs: DataFrame, threshold: float) -> DataFrame:
-    """a, b of the pairs that share enough of their prefixes.
+def to_heads(met: DataFrame, threshold: float) -> DataFrame:
+    """a, b: each text b with the closest of its bands' heads (their first texts), a."""
 
-    The prefix that ends first in the order shares with the other set only what stands in
-    both prefixes, so the sets share at most that and what lies behind the prefix."""
-    rest = F.greatest(*(F.ceil(F.col(n) * threshold - 1e-9) - 1 for n in ("an", "bn")))
-    need = F.ceil((F.col("an") + F.col("bn")) * (threshold / (1 + threshold)) - 1e-9)
-    return pairs.groupBy("a", "b", "an", "bn").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") + rest >= need).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_runs(batches):
+            r = _Run(t, threshold)
+            new = _changes(r.at)
+            i, head = np.arange(len(r.h)), np.flatnonzero(new)[np.cumsum(new) - 1]
+            yield _pairs(r.h[head], r.h[i], r.gap(head, i))
+
+    found = met.repartition("at").sortWithinPartitions("at", "h").mapInArrow(run, "a long, b long, gap long")
+    return found.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("best")).select("best.a", "b")
 
 
 def across(met: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a, b of different groups, of sizes an, bn, once for each shingle they meet at."""
+    """a, b: pairs of different groups that meet and may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _whole_runs(batches):
-            at, fp, n, root = (x[k] for k in ("at", "fp", "n", "root"))
-            end, other = _ends(_changes(at)), _ends(_changes(at, root))
+        for t in _whole_runs(batches):
+            r, root = _Run(t, threshold), t["root"].to_numpy()
+            end, other = _ends(_changes(r.at)), _ends(_changes(r.at, root))
             i = np.flatnonzero(other < end)
             j = other[i]
             while len(i):
-                fits = np.minimum(n[i], n[j]) >= _least(np.maximum(n[i], n[j]).astype(float), threshold)
-                p, q = i[fits], j[fits]
-                p, q = np.where(fp[p] < fp[q], p, q), np.where(fp[p] < fp[q], q, p)
-                if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (fp[p], fp[q], n[p], n[q])], names=["a", "b", "an", "bn"])
+                for k in range(0, len(i), 65536):
+                    p, q = i[k : k + 65536], j[k : k + 65536]
+                    yield _pairs(np.minimum(r.h[p], r.h[q]), np.maximum(r.h[p], r.h[q]), r.gap(p, q))
                 j = j + 1
                 more = j < end[i]
                 i, j = i[more], j[more]
 
-    of = met.join(roots.hint("merge"), met["fp"] == roots["node"], "left").select("at", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    return of.repartition("at").sortWithinPartitions("at", "root").mapInArrow(run, "a long, b long, an int, bn int")
+    of = met.join(roots.hint("merge"), met["h"] == roots["node"], "left").select("at", "h", "n", "bits", F.coalesce("root", "h").alias("root"))
+    found = of.repartition("at").sortWithinPartitions("at", "root", "h").mapInArrow(run, "a long, b long, gap long")
+    return found.select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, own: DataFrame, df: DataFrame, text: str, words: int, threshold: float) -> DataFrame:
-    """The pairs whose sets are similar enough, as edges u, v.
-
-    Sets are made anew from the texts. A bitmap of bounded size holds most other texts back
-    before that."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+def sets_of(df: DataFrame, asked: DataFrame, text: str, key: str, words: int) -> DataFrame:
+    """h and shingles (sorted hashes) of the asked texts. A bitmap of fixed size, gathered by
+    an aggregate, holds most other texts back before their shingles are made."""
     slot = F.col("h").bitwiseAND(_SLOTS - 1) + 1
-    texts = own.groupBy("fp").agg(F.min("h").alias("h")).join(asked.hint("merge"), "fp", "left_semi")
-    maps = texts.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    maps = asked.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     whole = np.zeros(_SLOTS // 8, np.uint8)
     for bucket, bits in maps:
         whole[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(bits)] = np.frombuffer(bits, np.uint8)
 
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = batch.column(0).to_numpy() & (_SLOTS - 1)
-            some = batch.column(1).filter(pa.array((whole[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)))
-            own = [shingle_set(x.as_py(), words) for x in some]
-            yield pa.RecordBatch.from_arrays([pa.array([_fp(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["fp", "shingles"])
+            some = batch.filter(pa.array((whole[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)))
+            made = pa.array([np.unique(shingle_hashes(x.as_py(), words)).tobytes() for x in some.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([some.column(0), made], names=["h", "shingles"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = df.select(F.xxhash64(key, text).alias("h"), F.col(text).alias("__text")).mapInArrow(run, "h long, shingles binary")
+    return made.join(asked.hint("merge"), "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sets are similar enough, as edges u, v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                both = np.concatenate([x, y])
+                both = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)])
                 both.sort(kind="stable")
                 shared = np.count_nonzero(both[1:] == both[:-1])
                 good.append(shared >= threshold * (len(both) - shared) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    some = df.select(F.xxhash64(text).alias("h"), F.col(text).alias("__text")).mapInArrow(hold, "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))
-    left = pairs.join(some.withColumnRenamed("shingles", "x").hint("merge"), pairs["a"] == F.col("fp")).drop("fp")
-    both = left.join(some.withColumnRenamed("shingles", "y").hint("merge"), left["b"] == F.col("fp")).select("a", "b", "x", "y")
-    return both.mapInArrow(check, "u long, v long")
+    left = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def links(own: DataFrame, df: DataFrame, text: str, words: int, threshold: float) -> DataFrame:
-    """Edges u, v between classes that connect what the links connect."""
-    met = cut(meetings(prefixes(own)), "meetings")
-    similar = F.least("n", "head_n") >= F.ceil(F.greatest("n", "head_n") * threshold - 1e-9)
-    stars = met.where((F.col("fp") != F.col("head")) & similar).select(F.col("head").alias("a"), F.col("fp").alias("b"), F.col("head_n").alias("an"), F.col("n").alias("bn"))
-    stars = cut(_enough(stars, threshold), "stars")
-    near = cut(verified(stars, own, df, text, words, threshold), "links")
-    others = cut(_enough(across(met, components(near), threshold), threshold), "others")
+def similar(own: DataFrame, df: DataFrame, text: str, key: str, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """node, root (both h): the groups of the rows of ``own`` (sketches, h unique) that
+    similar pairs connect. ``df`` has their texts. Rows similar to none aren't listed."""
+    met = cut(meetings(own), "meetings")
+    met_sketches = cut(met.join(own.select("h", "n", "bits").hint("merge"), "h").select("at", "h", "n", "bits"), "met")
+    sets = cut(sets_of(df, met.select("h").distinct(), text, key, words), "sets")
+    near = cut(verified(to_heads(met_sketches, threshold), sets, threshold), "links")
     drop(met)
-    far = cut(verified(others, own, df, text, words, threshold), "links")
-    drop(stars), drop(others)
-    return near.unionByName(far)
-
-
-def group(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """key, fp and component_id (the smallest key reachable by links) of every row."""
-    own = cut(prints(df, text, key, words, threshold), "prints")
-    roots = components(links(own, df, text, words, threshold))
-    classes = own.groupBy("fp").agg(F.min(key).alias("least"))
-    of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of = cut(of, "classes")
-    named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = cut(of.join(named, "root").select("fp", "component_id"), "of")
-    return own.select(key, "fp").join(of, "fp").select(key, "fp", "component_id")
+    first = components(near)
+    rest = cut(across(met_sketches, first, threshold), "others")
+    far = cut(verified(rest, sets, threshold), "links")
+    roots = components(near.unionByName(far))
+    for done in (met_sketches, sets, rest, near, far, first):
+        drop(done)
+    return roots

@@ -12,7 +12,9 @@ connected components over the forests give the groups.
 
 Null or empty text, or white space only: fingerprint zero, linked like any other. Texts of
 fewer words than a shingle give one shingle of all their words. Repeated rows are rows
-of one class; extra columns are not read. An empty table gives an empty result.
+of one class; a key that stands for different texts doesn't link them. Rows with a null key
+have the group of their fingerprint, or null where no row with a key is in it. Extra columns
+are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfold.llm import shingles
 from wayfold.llm.common import components, cut, drop
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -35,31 +38,19 @@ SHARD, SAMPLE = 32_768, 8_192
 _LEAF = 512
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    import xxhash
-
-    tokens = (text or "").encode().lower().split()
-    n = len(tokens)
-    if n == 0:
-        return 0
-    joined = b" ".join(tokens)
-    if n <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    digest = xxhash.xxh64_intdigest
-    at = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1)
-    starts = [0, *at[: n - words].tolist()]
-    ends = (at[words - 1 :] - 1).tolist()
-    return _majority([digest(joined[s:e], SEED) for s, e in zip(starts, ends)])
-
-
-def _majority(hashes: list[int]) -> int:
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     n, ones = len(hashes), np.zeros(64, np.int64)
     for k in range(0, n, 65536):
-        some = np.array(hashes[k : k + 65536], "<u8").view(np.uint8).reshape(-1, 8)
+        some = hashes[k : k + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    return majority(shingles.shingle_hashes(text, words))
+
+
 def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS) -> DataFrame:
     """key and fp (the 64 bits as a long) of every row, in one narrow pass."""
 
@@ -201,50 +192,81 @@ def join_shard(home: np.ndarray, visitors: np.ndarray, radius: int = RADIUS) ->
 
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Forest edges u, v between distinct fingerprints (column fp) that link, in shards."""
+    """Forest edges u, v between classes (least, fp; fp distinct) that link, in shards."""
     n = classes.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / SHARD)))
     sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE) if depth else classes.limit(0)
     tree = Tree(np.array([r[0] for r in sample.select("fp").collect()], np.int64).view(np.uint64), depth, radius)
+    kind = classes.schema["least"].dataType.simpleString()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            fps = batch.column(1).to_numpy(zero_copy_only=False)
             idx, shard, visits = tree.route(fps.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array(fps[idx]), pa.array(visits)], names=["shard", "fp", "visits"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), batch.column(0).take(pa.array(idx)), pa.array(fps[idx]), pa.array(visits)], names=["shard", "least", "fp", "visits"])
 
     def match(group: pa.Table) -> pa.Table:
-        fps = group.column("fp").to_numpy().view(np.uint64)
-        visits = group.column("visits").to_numpy()
-        u, v = join_shard(np.sort(fps[~visits]), np.sort(fps[visits]), radius)
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-    routed = classes.select("fp").mapInArrow(route, "shard long, fp long, visits boolean")
-    return routed.groupBy("shard").applyInArrow(match, "u long, v long")
-
-
-def group(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, fp and component_id (the smallest key reachable by links) of every row."""
-    prints = cut(fingerprints(df, text, key), "prints")
+        group = group.sort_by("fp")
+        fps, visits = group["fp"].to_numpy().view(np.uint64), group["visits"].to_numpy()
+        order = np.argsort(fps, kind="stable")
+        u, v = join_shard(fps[order][~visits[order]], fps[order][visits[order]], radius)
+        place = lambda x: pa.array(order[np.searchsorted(fps[order], x)])
+        u, v = (group.take(place(x)) for x in (u, v))
+        return pa.table({"ul": u["least"], "uf": u["fp"], "vl": v["least"], "vf": v["fp"]})
+
+    routed = classes.select("least", "fp").mapInArrow(route, f"shard long, least {kind}, fp long, visits boolean")
+    found = routed.groupBy("shard").applyInArrow(match, f"ul {kind}, uf long, vl {kind}, vf long")
+    node = lambda k: F.struct(F.col(f"{k}l").isNull().alias("none"), F.col(f"{k}l").alias("least"), F.col(f"{k}f").alias("fp"))
+    return found.select(node("u").alias("u"), node("v").alias("v"))
+
+
+def grouped(prints: DataFrame, key: str, radius: int = RADIUS) -> DataFrame:
+    """fp, least and root_fp of every class of ``prints`` (key, fp): the smallest key of its
+    group and the fingerprint that stands for the group.
+
+    Nodes are (least key, fingerprint), so the smallest node of a group names it, and no join
+    on groups is needed however large one is."""
     classes = cut(prints.groupBy("fp").agg(F.min(key).alias("least")), "classes")
-    edges = cut(links(classes), "links")
-    roots = components(edges)
+    edges = cut(links(classes, radius), "links")
+    roots = components(edges).select(F.col("node.fp").alias("fp"), F.col("root.least").alias("root_least"), F.col("root.fp").alias("root_fp"))
     drop(edges)
-    of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = cut(of.join(named, "root").select("fp", "component_id"), "of")
-    return prints.join(of, "fp").select(key, "fp", "component_id")
+    return classes.join(roots, "fp", "left").select("fp", F.coalesce("root_least", "least").alias("least"), F.coalesce("root_fp", "fp").alias("root_fp"))
 
 
-def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", grouping=group) -> DataFrame:
-    """The rows of ``df`` whose key is the smallest of its group; one row where a key repeats.
-
-    ``grouping`` makes the groups: by fingerprints, or shingles.group by exact similarity. The texts are shuffled once, by a sort-merge join at every size: the kept ids grow with
-    the input, so they are never broadcast. Rows with a null key stay."""
-    kept = grouping(df, text, key).where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
-    kept = cut(kept, "kept")
-    out = df.join(kept.select(key).hint("merge"), key, "left_semi").select(*df.columns)
-    out = out.dropDuplicates([key]) if kept.where("copies > 1").limit(1).count() else out
+def group(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """key, fp and component_id (the smallest key reachable by links) of every row."""
+    prints = cut(fingerprints(df, text, key, words), "prints")
+    named = grouped(prints, key, radius).select("fp", F.col("least").alias("component_id"))
+    return prints.join(named, "fp").select(key, "fp", "component_id")
+
+
+def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = shingles.WORDS, radius: int = RADIUS, similarity: float = shingles.THRESHOLD) -> DataFrame:
+    """One row of ``df`` for each group of near-duplicates: the one of smallest key.
+
+    Groups are formed twice: by fingerprints of ``words`` words at ``radius`` bits, and then,
+    among the rows that stand for those groups, by a Jaccard similarity of at least
+    ``similarity`` of their shingles (see shingles.py for why and how). Of different texts
+    of one key in a group the one of smaller fingerprint stays, and one of exactly equal
+    rows (by a hash where only other columns differ). Rows with a null key all stay. An
+    empty table gives an empty one.
+
+    The texts are read three times and shuffled once, by a sort-merge join at every size: the
+    rows that stay grow with the input, so they are never broadcast."""
+    whole = df.where(F.col(key).isNotNull())
+    own = cut(shingles.sketches(whole, text, key, words, majority), "sketches")
+    classes = grouped(own, key, radius).where(F.col("fp") == F.col("root_fp")).select(F.col("least").alias(key), "fp")
+    first = own.join(classes.hint("merge"), [key, "fp"], "left_semi")
+    first = cut(first.groupBy(key, "fp").agg(F.min(F.struct("h", "n", "bands", "bits")).alias("r"), F.count(F.lit(1)).alias("copies")).select(key, "r.*", "copies"), "first")
+    roots = shingles.similar(first, whole, text, key, words, similarity)
+    linked = roots.join(first.select("h", key).hint("merge"), roots["node"] == F.col("h")).select("root", "h", key)
+    best = linked.groupBy("root").agg(F.min(F.struct(key, "h")).alias("best")).select("best.h")
+    gone = linked.select("h").join(best.hint("merge"), "h", "left_anti")
+    kept = cut(first.join(gone.hint("merge"), "h", "left_anti").select(key, "h", "copies"), "kept")
+    drop(own), drop(first), drop(roots)
+    out = df.join(kept.select(key, "h").hint("merge"), (df[key] == kept[key]) & (F.xxhash64(df[key], df[text]) == kept["h"]), "left_semi").select(*df.columns)
+    if kept.where("copies > 1").limit(1).count():
+        plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        out = out.groupBy(key, F.xxhash64(key, text)).agg(F.min_by(F.struct(*df.columns), F.xxhash64(*plain)).alias("__row")).select("__row.*")
     return out.unionByName(df.where(F.col(key).isNull()))
 
 
