@@ -101,6 +101,43 @@ def test_embedding_groups(spark, tile):
     assert embed_dedup.group(frame(spark, x).limit(0)).count() == 0
 
 
+def test_embedding_ids_of_any_kind(spark):
+    """Null, int and string ids, and one id on different vectors."""
+    a, b, c, d = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0], [1.0, 0.0, 0.2], [0.0, 0.0, -1.0]
+    for kind, name in (("int", int), ("string", str), ("bigint", int)):
+        rows = [(name(1), a), (name(1), b), (name(2), c), (name(3), b), (None, d), (None, a), (None, None), (name(4), None)]
+        df = spark.createDataFrame([(*r, "x") for r in rows], f"vec_id {kind}, embedding array<double>, h1 string")
+        got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embed_dedup.group(df).collect())
+        want = [("1", 2, "1", True), ("1", 1, "1", True), ("2", 2, "1", False), ("3", 1, "1", False), ("None", 0, "None", True), ("None", 2, "1", False), ("None", 0, "None", True), ("4", 0, "4", True)]
+        assert got == sorted(want), kind
+
+
+def test_embeddings_of_very_many_lengths(spark):
+    """More lengths than any list of them should hold: links only within a length, none lost."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for width in range(1, 1101):
+        x = rng.normal(size=width)
+        rows += [(2 * width, x.tolist()), (2 * width + 1, (x * 3).tolist())]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.group(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (1, i - i % 2) for i, _ in rows}
+
+
+def test_tiles_far_apart_are_left_out():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(16, 24))
+    x = np.repeat(centres, 60, axis=0) + rng.normal(size=(960, 24)) * 0.05
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    t = embed_dedup.Tiles(x, 4)
+    at = t.tile(x @ t.basis)
+    own = [x[at == k] @ t.basis for k in range(16)]
+    t.low, t.high = (np.array([f(r) if len(r) else np.full(24, e) for r in own]) for f, e in ((lambda r: r.min(0), np.inf), (lambda r: r.max(0), -np.inf)))
+    pairs = {(k, o) for k in range(16) for o in t.partners(k, embed_dedup.reach_of(0.9)).tolist()}
+    assert len(pairs) < 80
+    for i, j in np.argwhere(x @ x.T >= 0.9):
+        assert (at[i], at[j]) in pairs
+
+
 @pytest.mark.parametrize("rows", [8192, 37])
 def test_top_k(spark, rows):
     x = vectors()

@@ -3,18 +3,27 @@
 Equal vectors are one class from the start. A rotation onto the principal directions of a
 bounded sample puts most of a vector's length into its first coordinates; the rotation
 keeps inner products, so only speed depends on the sample. A k-d tree over the sample's
-first coordinates parts the classes into tiles, and pairs of tiles whose boxes lie too far
-apart for the threshold are left out. Within a pair of tiles, blocks of rows accumulate the
-leading coordinates first; the product of what remains is at most the product of the
-remaining lengths, and a block or pair stops as soon as the cosine can't reach the
-threshold. Cosines that come within 1e-9 of it are computed anew from the given vectors.
+first coordinates parts the classes into tiles. Every tile has the box of its rotated
+vectors on all coordinates, and pairs of tiles whose boxes lie too far apart for the
+threshold are left out. Within a pair of tiles, blocks of rows accumulate the coordinates
+in steps of ``STEP``, leading ones first; the product of what remains is at most the product
+of the suffix norms, and a pair stops at the first step where the cosine can't reach the
+threshold any more. Cosines that come within 1e-9 of it are computed anew from the given vectors.
 
 A tile pair returns, for each class, how many vectors it links to and the root of its
 spanning forest, never the pairs; connected components over the forests give the groups.
 
+The most common vector length of the sample has the rotation and the tree; vectors of any
+other length, however many lengths there are, are dealt by hash within their length and
+compared unrotated in the same plan. There are at most 2**``DEPTH`` tiles, so the boxes
+(sent to all tasks) are of a fixed size, and tiles grow beyond that.
+
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing,
 and vectors of different length don't link with each other. Repeated rows are rows of
-one class, each another's link. Extra columns are not read.
+one class, each another's link. Ids may be of any type with an order; an id that stands for
+different vectors doesn't link them. A row without an id has links and a group like any
+other, but never names a group unless no row of it has an id; its component_id is then null,
+and it is kept. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,30 +33,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfold.llm.common import components, cut, drop
 from wayfold.llm.simhash import Forest
 
-#: Classes of a tile, rows of a block, leading coordinates, vectors of the sample.
-TILE, BLOCK, LEAD, SAMPLE = 4096, 512, 16, 8192
+#: Classes of a tile, rows of a block, coordinates of a step, vectors of the sample, levels of the tree.
+TILE, BLOCK, STEP, SAMPLE, DEPTH = 8192, 512, 16, 8192, 12
 #: Coordinates that the k-d tree looks at.
 SPLIT = 8
-_NEAR = 1e-9
+_NEAR, _ROUGH = 1e-9, 1e-5
 
 
 class Tiles:
-    """The rotation, and a k-d tree of 2**depth tiles over rotated unit vectors."""
+    """The rotation, a k-d tree of 2**depth tiles over rotated unit vectors, and their boxes."""
 
     def __init__(self, sample: np.ndarray, depth: int):
-        d = sample.shape[1]
-        moments = sample.T @ sample / max(1, len(sample)) if len(sample) else np.eye(d)
+        self.width = sample.shape[1]
+        moments = sample.T @ sample / max(1, len(sample)) if len(sample) else np.eye(self.width)
         values, vectors = np.linalg.eigh(moments)
         self.basis = vectors[:, np.argsort(-values)]
         self.depth = depth
         self.axis = np.zeros(max(1, 2**depth - 1), np.int64)
         self.bound = np.zeros(len(self.axis))
+        self.low = self.high = None
         self._grow(0, 0, (sample @ self.basis)[:, :SPLIT])
 
     def _grow(self, node: int, level: int, own: np.ndarray) -> None:
@@ -67,25 +78,10 @@ class Tiles:
             node = 2 * node + 1 + right
         return node - (2**self.depth - 1)
 
-    def partners(self, reach: float) -> dict[int, list[int]]:
-        """Tiles at most ``reach`` away from each, itself first, later ones only."""
-        axes = min(SPLIT, len(self.basis))
-        low, high = np.full((2**self.depth, axes), -1.0), np.full((2**self.depth, axes), 1.0)
-        for t in range(2**self.depth):
-            node = t + 2**self.depth - 1
-            while node:
-                up = (node - 1) // 2
-                a, b = self.axis[up], self.bound[up]
-                if node == 2 * up + 1:
-                    high[t, a] = min(high[t, a], b)
-                else:
-                    low[t, a] = max(low[t, a], b)
-                node = up
-        out = {}
-        for t in range(2**self.depth):
-            gap = np.maximum(0, np.maximum(low[t] - high[t:], low[t:] - high[t]))
-            out[t] = (t + np.flatnonzero((gap * gap).sum(1) <= reach * reach + 1e-9)).tolist()
-        return out
+    def partners(self, tile: int, reach: float) -> np.ndarray:
+        """Tiles whose boxes lie at most ``reach`` from that of ``tile``, itself included."""
+        gap = np.maximum(0, np.maximum(self.low[tile] - self.high, self.low - self.high[tile]))
+        return np.flatnonzero(np.einsum("ij,ij->i", gap, gap) <= reach * reach + 1e-6)
 
 
 def _unit(flat: np.ndarray, width: int) -> np.ndarray:
@@ -94,108 +90,173 @@ def _unit(flat: np.ndarray, width: int) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def match(a: np.ndarray, b: np.ndarray | None, basis: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _flat(column) -> np.ndarray:
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([c.flatten().to_numpy() for c in chunks])
+
+
+def reach_of(threshold: float) -> float:
+    """The distance of unit vectors of that cosine."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) + _NEAR
+
+
+def match(a: np.ndarray, b: np.ndarray | None, basis: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions (of a and b; b None: within a, each pair once) with cosine of at
     least ``threshold``, block by block. Rows are unit vectors before the rotation."""
     inner = b is None
     b = a if inner else b
-    lead = min(LEAD, a.shape[1])
-    ra, rb = a @ basis, b @ basis
+    ra, rb = (a, b) if basis is None else (a @ basis, b @ basis)
     # rows in the order of the first coordinate, so that far blocks fall out as a whole
     oa, ob = np.argsort(ra[:, 0], kind="stable"), np.argsort(rb[:, 0], kind="stable")
     ra, rb = ra[oa], rb[ob]
-    sa, sb = (np.sqrt(np.maximum(0, np.einsum("ij,ij->i", r[:, lead:], r[:, lead:]))) for r in (ra, rb))
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    steps = [*range(STEP, a.shape[1], STEP), a.shape[1]]
+    suffix = lambda r: [np.sqrt(np.maximum(0, np.einsum("ij,ij->i", r[:, s:], r[:, s:]))) for s in steps]
+    sa, sb = suffix(ra), suffix(rb)
+    # the first step of all pairs in single precision, with a margin for its rounding
+    la, lb, ta, tb = (x.astype(np.float32) for x in (ra[:, : steps[0]], rb[:, : steps[0]], sa[0], sb[0]))
+    least, reach = np.float32(threshold - _ROUGH), reach_of(threshold)
     for i in range(0, len(ra), BLOCK):
-        x, xs = ra[i : i + BLOCK], sa[i : i + BLOCK]
+        ends = slice(i, i + BLOCK)
         for j in range(i if inner else 0, len(rb), BLOCK):
-            y, ys = rb[j : j + BLOCK], sb[j : j + BLOCK]
-            if y[0, 0] - x[-1, 0] > reach or x[0, 0] - y[-1, 0] > reach:
+            others = slice(j, j + BLOCK)
+            if rb[j, 0] - ra[min(i + BLOCK, len(ra)) - 1, 0] > reach or ra[i, 0] - rb[min(j + BLOCK, len(rb)) - 1, 0] > reach:
                 continue
-            first = x[:, :lead] @ y[:, :lead].T
-            p, q = np.nonzero(first + xs[:, None] * ys[None, :] >= threshold - _NEAR)
+            bound = la[ends] @ lb[others].T
+            bound += np.multiply.outer(ta[ends], tb[others])
+            p, q = np.nonzero(bound >= least)
             if inner and i == j:
                 p, q = p[p < q], q[p < q]
             for k in range(0, len(p), 65536):
-                pp, qq = p[k : k + 65536], q[k : k + 65536]
-                cosine = first[pp, qq] + np.einsum("ij,ij->i", x[pp, lead:], y[qq, lead:])
+                pp, qq = p[k : k + 65536] + i, q[k : k + 65536] + j
+                cosine, done = np.zeros(len(pp)), 0
+                for s, (end, xs, ys) in enumerate(zip(steps, sa, sb)):
+                    cosine += np.einsum("ij,ij->i", ra[pp, done:end], rb[qq, done:end])
+                    done = end
+                    left = cosine + xs[pp] * ys[qq] >= threshold - _NEAR
+                    pp, qq, cosine = pp[left], qq[left], cosine[left]
+                    if not len(pp):
+                        break
                 close = np.flatnonzero(np.abs(cosine - threshold) <= _NEAR)
                 if len(close):
-                    cosine[close] = np.einsum("ij,ij->i", a[oa[i + pp[close]]], b[ob[j + qq[close]]])
+                    cosine[close] = np.einsum("ij,ij->i", a[oa[pp[close]]], b[ob[qq[close]]])
                 hit = cosine >= threshold
                 if hit.any():
-                    yield oa[i + pp[hit]], ob[j + qq[hit]]
+                    yield oa[pp[hit]], ob[qq[hit]]
+
+
+def _class_key(v: Column) -> list[Column]:
+    """128 bits that stand for a vector."""
+    return [F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2")]
+
+
+def _node(prefix: str) -> Column:
+    """A class as a node: ordered by its least id, null last, and told apart by its hashes."""
+    least = F.col(f"{prefix}least")
+    return F.struct(least.isNull().alias("none"), least.alias("least"), F.col(f"{prefix}h1").alias("h1"), F.col(f"{prefix}h2").alias("h2"))
 
 
 def group(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", tile: int = TILE) -> DataFrame:
     """key, n_links, component_id and kept of every row."""
-    usable = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0)
-    flagged = df.select(F.col(key), F.when(usable, F.transform(vector, lambda x: x.cast("double"))).alias("__v"))
-    classes = cut(flagged.where("__v is not null").groupBy("__v").agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("n")), "vectors")
-    widths = [r[0] for r in classes.select(F.size("__v")).distinct().limit(1000).collect()]
-    found = None
-    for width in widths:
-        some = _pairs(classes.where(F.size("__v") == width), width, threshold, tile)
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        return df.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.lit(True).alias("kept"))
-    found = cut(found, "vector-links")
-    roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = classes.join(links, "id", "left").join(roots, classes["id"] == roots["node"], "left")
-    named = cut(named.select("__v", (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")), "vector-groups")
-    drop(found)
-    out = flagged.join(named, "__v", "left").select(key, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", key).alias("component_id"))
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
-
-
-def _pairs(classes: DataFrame, width: int, threshold: float, tile: int) -> DataFrame:
-    """id, links, root: what each tile pair found for each class of this length."""
-    count = classes.count()
-    depth = max(0, math.ceil(math.log2(max(1, count) / tile)))
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("__v").toArrow()["__v"]
-    tiles = Tiles(_unit(np.concatenate([c.flatten().to_numpy() for c in sample.chunks]), width), depth)
-    partners = tiles.partners(math.sqrt(max(0.0, 2 - 2 * threshold)))
-    met = {t: [(t, o) for o in later] for t, later in partners.items()}
-    for t, later in partners.items():
-        for o in later:
-            if o != t:
-                met[o].append((t, o))
+    kind = df.schema[vector].dataType.elementType
+    v = F.col(vector) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col(vector).cast("array<double>")
+    usable = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+    flagged = df.select(F.col(key).alias("key"), F.when(usable, v).alias("v")).select("key", "v", *(F.when(F.col("v").isNotNull(), h).alias(n) for h, n in zip(_class_key(F.col("v")), ("h1", "h2"))))
+    classes = cut(flagged.where("v is not null").groupBy("h1", "h2").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")), "vectors")
+    found = cut(_links(classes, threshold, tile), "vector-links")
+    roots = components(found.select(_node("").alias("u"), _node("r_").alias("v")))
+    named = roots.select("node.h1", "node.h2", F.col("root.least").alias("component"))
+    links = found.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
+    own = classes.select("h1", "h2", "least", "n").join(links, ["h1", "h2"], "left").join(named, ["h1", "h2"], "left")
+    own = cut(own.select("h1", "h2", (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("n_links"), F.when(F.col("links").isNull(), F.col("least")).otherwise(F.col("component")).alias("component")), "vector-groups")
+    for done in (found, classes, roots):
+        drop(done)
+    out = flagged.select("key", "h1", "h2").join(own, ["h1", "h2"], "left")
+    component = F.when(F.col("n_links").isNull(), F.col("key")).otherwise(F.col("component"))
+    return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+
+
+def _links(classes: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """least, h1, h2, links, r_least, r_h1, r_h2: what each tile pair found for each class,
+    and the root of its forest."""
+    spark, reach = classes.sparkSession, reach_of(threshold)
+    sizes = classes.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.orderBy(F.desc("n"), "width").first()
+    width, count = (most["width"], most["n"]) if most else (1, 0)
+    depth = min(DEPTH, max(0, math.ceil(math.log2(max(1, count) / tile))))
+    main = F.size("v") == width
+    sample = classes.where(main).orderBy("h1", "h2").limit(SAMPLE).select("v").toArrow()["v"]
+    tiles = Tiles(_unit(_flat(sample), width) if len(sample) else np.zeros((0, width)), depth)
+    plan = spark.sparkContext.broadcast(tiles)
+
+    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, low, high = plan.value, np.full((2**depth, width), np.inf, np.float32), np.full((2**depth, width), -np.inf, np.float32)
+        for b in batches:
+            if b.num_rows:
+                rotated = _unit(_flat(b.column(0)), width) @ t.basis
+                at = t.tile(rotated)
+                np.minimum.at(low, at, rotated.astype(np.float32))
+                np.maximum.at(high, at, rotated.astype(np.float32))
+        some = np.flatnonzero(low[:, 0] <= high[:, 0])
+        rows = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * width, pa.int32()), pa.array(x[some].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(some), rows(low), rows(high)], names=["tile", "low", "high"])
+
+    def whole_box(group: pa.Table) -> pa.Table:
+        low, high = (_flat(group[c]).reshape(-1, width) for c in ("low", "high"))
+        return pa.table({"tile": group["tile"][:1], "low": pa.array([low.min(0)], pa.list_(pa.float32())), "high": pa.array([high.max(0)], pa.list_(pa.float32()))})
+
+    tiles.low, tiles.high = np.full((2**depth, width), np.inf), np.full((2**depth, width), -np.inf)
+    if depth:
+        box = "tile long, low array<float>, high array<float>"
+        for r in classes.where(main).select("v").mapInArrow(boxes, box).groupBy("tile").applyInArrow(whole_box, box).collect():
+            tiles.low[r["tile"]], tiles.high[r["tile"]] = r["low"], r["high"]
+    else:
+        tiles.low[:], tiles.high[:] = -1, 1
+    plan = spark.sparkContext.broadcast(tiles)
+
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
+    some = f"least {kinds['least']}, h1 long, h2 long, n long, v {kinds['v']}"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, known = plan.value, {}
         for b in batches:
-            if not b.num_rows:
-                continue
-            at = tiles.tile(_unit(b.column(0).flatten().to_numpy(), width) @ tiles.basis)
-            rows, pair = [], []
-            for r, t in enumerate(at.tolist()):
-                rows += [r] * len(met[t])
-                pair += [a << 32 | o for a, o in met[t]]
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(at[rows], pa.int64())], names=["pair", "v", "id", "n", "tile"])
+            if b.num_rows:
+                at = t.tile(_unit(_flat(b.column(4)), width) @ t.basis)
+                for x in np.unique(at).tolist():
+                    if x not in known:
+                        others = t.partners(x, reach)
+                        known[x] = np.minimum(x, others) << 32 | np.maximum(x, others)
+                met = [known[x] for x in at.tolist()]
+                pairs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, met)]), pa.int32()), pa.array(np.concatenate(met)))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pairs], names=[*b.schema.names, "tile", "pairs"])
+
+    cols = ["least", "h1", "h2", "n", "v"]
+    first = classes.where(main).select(*cols).mapInArrow(deal, f"{some}, tile long, pairs array<long>")
+    parts = F.ceil(F.col("count") / F.lit(tile)).cast("long")
+    others = classes.where(~main).withColumn("width", F.size("v")).join(sizes.select("width", F.col("n").alias("count")), "width")
+    others = others.withColumn("tile", F.pmod(F.col("h1"), parts))
+    pair = lambda o: F.call_function("shiftleft", F.least(F.col("tile"), o), F.lit(32)).bitwiseOR(F.greatest(F.col("tile"), o))
+    others = others.withColumn("pairs", F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), pair)).select(*cols, "tile", "pairs")
+    dealt = first.unionByName(others).select(*cols, "tile", F.size("v").alias("width"), F.explode("pairs").alias("pair"))
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, n, at = (group[c].to_numpy() for c in ("id", "n", "tile"))
-        order = np.argsort(ids, kind="stable")
-        column = group["v"]
-        x = _unit(np.concatenate([c.flatten().to_numpy() for c in column.chunks]), width)[order]
-        ids, n, at = ids[order], n[order], at[order]
-        pair = group["pair"][0].as_py()
-        first, second = np.flatnonzero(at == pair >> 32), np.flatnonzero(at == pair & 0xFFFFFFFF)
-        links, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
+        w, pair = group["width"][0].as_py(), group["pair"][0].as_py()
+        n, at, x = group["n"].to_numpy(), group["tile"].to_numpy(), _unit(_flat(group["v"]), group["width"][0].as_py())
+        one, two = np.flatnonzero(at == pair >> 32), np.flatnonzero(at == pair & 0xFFFFFFFF)
+        links, forest, basis = np.zeros(len(n), np.int64), Forest(len(n)), plan.value.basis if w == width else None
         if pair >> 32 == pair & 0xFFFFFFFF:
-            found = ((first[p], first[q]) for p, q in match(x[first], None, tiles.basis, threshold))
-        elif len(first) and len(second):
-            found = ((first[p], second[q]) for p, q in match(x[first], x[second], tiles.basis, threshold))
+            found = ((one[p], one[q]) for p, q in match(x[one], None, basis, threshold))
+        elif len(one) and len(two):
+            found = ((one[p], two[q]) for p, q in match(x[one], x[two], basis, threshold))
         else:
             found = ()
         for p, q in found:
             np.add.at(links, p, n[q])
             np.add.at(links, q, n[p])
             forest.join(p, q)
-        some = np.flatnonzero(links)
-        return pa.table({"id": ids[some], "links": links[some], "root": ids[forest.find(some)]})
+        mine = np.flatnonzero(links)
+        own, root = group.take(pa.array(mine)), group.take(pa.array(forest.find(mine)))
+        return pa.table({"least": own["least"], "h1": own["h1"], "h2": own["h2"], "links": links[mine], "r_least": root["least"], "r_h1": root["h1"], "r_h2": root["h2"]})
 
-    dealt = classes.select("__v", "id", "n").mapInArrow(deal, "pair long, v array<double>, id long, n long, tile long")
-    return dealt.groupBy("pair").applyInArrow(compare, "id long, links long, root long")
+    out = f"least {kinds['least']}, h1 long, h2 long, links long, r_least {kinds['least']}, r_h1 long, r_h2 long"
+    return dealt.groupBy("width", "pair").applyInArrow(compare, out)
