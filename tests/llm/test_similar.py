@@ -158,13 +158,28 @@ def test_top_k(spark, rows):
     assert topk.top_k(few, few.where("vec_id = 0")).count() == 2
 
 
+def test_top_k_without_ids_and_beyond_64_bits(spark):
+    rows = [(None, [9.0, 9.0]), (0, [1.0, 1.0]), (1, [1.0]), (2, [-1.0, 2.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df, k=2, scale=1)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == [(0, 1, 1, 1), (0, 2, 2, 1), (1, 1, 0, 1), (1, 2, 2, -1), (2, 1, 0, 1), (2, 2, 1, -1)]
+    assert got.schema["score"].dataType.simpleString() == "bigint"
+    large = spark.createDataFrame([(0, [3e38]), (1, [2.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(large, large).collect()
+    wide = spark.createDataFrame([(0, [2.0**29 + 1]), (1, [2.0**30 + 1])], "vec_id long, embedding array<double>")
+    assert {r.score for r in topk.top_k(wide, wide, scale=1).collect()} == {(2**29 + 1) * (2**30 + 1)}
+
+
 def test_lists_stop_early_and_stay_exact():
     rng = np.random.default_rng(1)
-    rows = rng.integers(-3, 4, (500, 6))
-    rows[:20] *= 50
-    lists = topk.Lists(np.arange(500), rows)
-    for q in range(0, 500, 25):
-        ids, scores = lists.top(q, rows[q], 10)
-        s = rows @ rows[q]
-        want = sorted((i for i in range(500) if i != q), key=lambda i: (-s[i], i))[:10]
-        assert ids.tolist() == want and scores.tolist() == s[want].tolist()
+    for spread in (1, np.array([500, 60, 1, 1, 1, 1])):  # even dimensions, and two that carry the scores
+        rows = (rng.integers(-9, 10, (2000, 6)) * spread).astype(float)
+        lists = topk.Lists(np.arange(2000), rows)
+        asked = np.arange(0, 2000, 25)
+        for q, (ids, scores) in zip(asked, lists.top(asked, rows[asked], 10)):
+            s = rows @ rows[q]
+            want = sorted((i for i in range(2000) if i != q), key=lambda i: (-s[i], i))[:10]
+            assert ids.tolist() == want and scores.tolist() == s[want].tolist()
+        assert lists.read[1] == len(asked) and lists.read[0] <= len(asked)
+    assert lists.read[0] < 0.6 * len(asked)  # reading stopped where the scores allow it

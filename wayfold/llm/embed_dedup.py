@@ -182,7 +182,9 @@ def _links(classes: DataFrame, threshold: float, tile: int) -> DataFrame:
     sizes = classes.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n"))
     most = sizes.orderBy(F.desc("n"), "width").first()
     width, count = (most["width"], most["n"]) if most else (1, 0)
-    depth = min(DEPTH, max(0, math.ceil(math.log2(max(1, count) / tile))))
+    # tiles of at most ``tile`` classes; smaller ones, but of 2048 at least, where cores would idle
+    busy = min(math.ceil(math.log2(math.sqrt(4 * spark.sparkContext.defaultParallelism))), math.floor(math.log2(max(1, count / 2048))))
+    depth = min(DEPTH, max(0, math.ceil(math.log2(max(1, count) / tile)), busy))
     main = F.size("v") == width
     sample = classes.where(main).orderBy("h1", "h2").limit(SAMPLE).select("v").toArrow()["v"]
     tiles = Tiles(_unit(_flat(sample), width) if len(sample) else np.zeros((0, width)), depth)

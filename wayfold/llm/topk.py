@@ -1,19 +1,26 @@
 """Exact top-k inner products by aggregation without random access.
 
-Vectors become integers, floor(scale * x). Rows and queries are dealt into a grid of
-blocks of about ``ROWS`` each; in a cell every dimension is one list of the block's rows,
-sorted by value. For a query the lists are read from their better ends in steps of equal
-depth. A row's score lies between what has been read of it plus the worst, and plus the
-best, that unread lists can still give; reading stops when at most ``FINAL`` times k rows
-can still reach the k-th best lower bound, and the scores of those are resolved. Each cell
-gives a query's k best; the best k of all cells are the answer, so no group holds more
-than k rows a block.
-
-Vectors that are null, or hold null or non-finite components, take no part. Vectors of
-different length are compared as if filled up with zeros. Scores are 64-bit integers.
-Queries are distinct ids (of rows that repeat an id, the one of least vector asks); rows that
-share a query's id are its own and left out; rows that repeat are candidates each. Fewer
-rows than k give all of them; an empty table gives none. Extra columns are not read.
+Vectors become integers, floor(scale * x). Rows and queries are dealt into a grid of cells;
+in a cell every dimension is one list of its rows, sorted by value. The lists are read from
+both ends in steps of equal depth (a query reads each from its better end). A row's score
+lies between two bounds: what has been read of it counts as it is, and each unread list
+gives at most its value at the depth reached and at least its last one. A query stops when
+at most ``FINAL`` times k rows can still reach its k-th best lower bound; the scores of
+those are resolved. Which rows a depth has read is the same for all queries of a cell but
+for the sign, so the bounds of many queries are four matrix products a depth, not a mask
+of rows x dimensions for each. Each cell gives a query's k best; the best k of all cells are
+the answer, so no group holds more than k rows a cell.
+
+How early reading stops depends on the data: where a few dimensions carry the scores it
+stops soon, and where all of them carry alike (as in the given tables) bounds of this kind
+close only near the end of the lists; the work is then that of a few plain products.
+
+Vectors that are null, or hold null or non-finite components, take no part; nor do rows
+whose id is null. Vectors of different length are compared as if filled up with zeros. Scores
+are 64-bit integers; inputs whose scores might not fit are an error. Queries are distinct ids
+(of rows that repeat an id, the one of least vector asks); rows that share a query's id are
+its own and left out; rows that repeat are candidates each. Fewer rows than k give all of
+them; an empty table gives none. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,92 +31,132 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-ROWS, FINAL = 8192, 32
-#: Share of the lists that is read at each step.
-DEPTHS = (1 / 8, 1 / 4, 1 / 2, 3 / 4, 1)
+#: Rows of a cell at most, queries of a cell, and how many times k rows are resolved.
+ROWS, QUERIES, FINAL = 8192, 8192, 32
+#: Queries whose bounds are held at once.
+AT_ONCE = 128
+#: Shares of the lists at which reading pauses to look at the bounds.
+DEPTHS = (1 / 4, 1 / 2, 3 / 4, 1)
+_NONE = -np.inf
 
 
 class Lists:
-    """The rows of one block, by dimension in ascending order of value."""
+    """The rows of one cell; ``sorted`` has each dimension's values in ascending order."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable").T.copy()
-        self.values = np.sort(rows, axis=0, kind="stable").T.copy()
-
-    def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, by score and then smaller id."""
-        n, used = len(self.ids), np.flatnonzero(q)
-        up = q[used] > 0
-        part, seen = np.zeros(n, np.int64), np.zeros((n, len(used)))
-        # the most and the least that each unread list can still give
-        rest = np.zeros((len(used), 2))
-        rest[:, 1] = np.where(up, q[used] * self.values[used, 0], q[used] * self.values[used, -1]) if n else 0
-        done, left = 0, np.flatnonzero(self.ids != query_id)
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.rows = ids[order], rows[order].astype(np.float64)
+        self.sorted = np.sort(self.rows, axis=0)
+        self.read = [0.0, 0]  # share of the lists read by all queries, and their number
+
+    def _bounds(self, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least and most scores, queries x rows, after ``depth`` entries of each list."""
+        x, n = self.rows, len(self.ids)
+        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+        high, low = self.sorted[n - depth], self.sorted[depth - 1]
+        most = plus @ np.maximum(x, high).T + minus @ np.minimum(x, low).T
+        least = plus @ np.where(x >= high, x, self.sorted[0]).T + minus @ np.where(x <= low, x, self.sorted[-1]).T
+        return least, most
+
+    def _hide_own(self, scores: np.ndarray, query_ids: np.ndarray) -> None:
+        for i, (a, b) in enumerate(zip(np.searchsorted(self.ids, query_ids), np.searchsorted(self.ids, query_ids, "right"))):
+            scores[i, a:b] = _NONE
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query ids and scores of the k best rows, by score and then smaller id.
+
+        Values are whole numbers in double precision; callers see to it that sums are exact."""
+        n = len(self.ids)
+        out: list = [None] * len(query_ids)
+        open_ = np.arange(len(query_ids))
         for share in DEPTHS:
-            depth = max(done, math.ceil(n * share))
-            for j, d in enumerate(used):
-                at = slice(n - depth, n - done) if up[j] else slice(done, depth)
-                rows = self.order[d, at]
-                part[rows] += q[d] * self.values[d, at]
-                seen[rows, j] = 1
-                rest[j, 0] = 0 if depth == n else q[d] * self.values[d, n - depth - 1 if up[j] else depth]
-            done = depth
-            if depth == n or len(left) <= k:
+            depth = min(n, math.ceil(n * share))
+            some, q = query_ids[open_], queries[open_].astype(np.float64)
+            if depth == n:
+                least = most = q @ self.rows.T
+                self._hide_own(most, some)
+            else:
+                least, most = self._bounds(q, depth)
+                self._hide_own(least, some), self._hide_own(most, some)
+            bar = np.partition(least, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), _NONE)
+            alive = (most >= bar[:, None]) & (most > _NONE)
+            done = (alive.sum(axis=1) <= FINAL * k) | (depth == n)
+            for i in np.flatnonzero(done):
+                at = np.flatnonzero(alive[i])
+                score = most[i, at] if depth == n else self.rows[at] @ q[i]
+                best = np.lexsort((self.ids[at], -score))[:k]
+                out[open_[i]] = self.ids[at][best], score[best].astype(np.int64)
+            self.read = [self.read[0] + share * np.count_nonzero(done), self.read[1] + np.count_nonzero(done)]
+            open_ = open_[~done]
+            if not len(open_):
                 break
-            known = seen @ rest if len(left) > 0.7 * n else seen[left] @ rest
-            known = known[left] if len(known) == n else known
-            high, low = (part[left] + (rest[:, c].sum() - known[:, c]) for c in (0, 1))
-            bar = np.partition(low, len(low) - k)[len(low) - k]
-            left = left[high >= bar]
-            if len(left) <= FINAL * k:
-                break
-        score = self.rows[left] @ q
-        order = np.lexsort((self.ids[left], -score))[:k]
-        return self.ids[left][order], score[order]
+        return out
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _whole(column: pa.ChunkedArray, scale: int, width: int) -> np.ndarray:
+    """floor(scale * x) as rows x width, short vectors filled up with zeros."""
     lists = column.combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.diff(lists.offsets.to_numpy())
-    flat, width = lists.flatten().to_numpy(zero_copy_only=False), int(sizes.max(initial=0))
-    if len(sizes) and (sizes == width).all():
-        return flat.reshape(len(sizes), width)
-    out = np.zeros((len(sizes), width), flat.dtype)
+    with np.errstate(over="ignore"):
+        flat = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    out = np.zeros((len(sizes), width))
     out[np.arange(width)[None, :] < sizes[:, None]] = flat
     return out
 
 
+def _check(rows: np.ndarray, queries: np.ndarray) -> bool:
+    """Whether double precision holds all scores; raises where 64 bits might not."""
+    most = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, rows.shape[1])
+    if not most < 2**63:
+        raise OverflowError("scores of these vectors may not fit 64 bits")
+    return most < 2**53
+
+
+def _plain(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same from whole products of 64-bit integers, for values beyond double precision."""
+    x, out = rows.astype(np.int64), []
+    for i, q in zip(query_ids, queries.astype(np.int64)):
+        at = np.flatnonzero(ids != i)
+        score = x[at] @ q
+        best = np.lexsort((ids[at], -score))[:k]
+        out.append((ids[at][best], score[best]))
+    return out
+
+
 def top_k(df: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding", rows: int = ROWS) -> DataFrame:
     """query_id, rank (from 1), key, score of the k best rows of ``df`` for each query."""
-    usable = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    whole = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    base = df.where(usable).select(F.col(key).alias("id"), whole.alias("v"))
-    asked = queries.where(usable & F.col(key).isNotNull()).select(F.col(key).alias("id"), whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
-    width = base.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    shards, blocks = (max(1, math.ceil(c / rows)) for c in (width[0], asked.count()))
-    size = F.greatest(F.lit(1), F.lit(width[1] or 1))
-    fill = F.when(F.size("v") < size, F.concat("v", F.array_repeat(F.lit(0).cast("long"), size - F.size("v")))).otherwise(F.slice("v", 1, size))
+    kind = df.schema[vector].dataType.elementType
+    v = F.col(vector) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col(vector).cast("array<double>")
+    usable = F.col(vector).isNotNull() & F.col(key).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    pick = lambda d: d.where(usable).select(F.col(key).cast("long").alias("id"), v.alias("v"))
+    base = pick(df)
+    asked = pick(queries).groupBy("id").agg(F.min("v").alias("v"))
+    counted = base.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    count, width = counted[0], counted[1] or 0
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, math.ceil(count / rows), min(2 * cores, math.ceil(count / 2048)))
+    blocks = max(1, math.ceil(asked.count() / QUERIES))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cells = base.select(deal(shards).alias("shard"), each(blocks).alias("block"), F.lit(False).alias("asks"), "id", fill.alias("v"))
-    cells = cells.unionByName(asked.select(each(shards).alias("shard"), deal(blocks).alias("block"), F.lit(True).alias("asks"), "id", fill.alias("v")))
+    cells = base.select(deal(shards).alias("shard"), each(blocks).alias("block"), F.lit(False).alias("asks"), "id", F.slice("v", 1, max(1, width)).alias("v"))
+    cells = cells.unionByName(asked.select(each(shards).alias("shard"), deal(blocks).alias("block"), F.lit(True).alias("asks"), "id", F.slice("v", 1, max(1, width)).alias("v")))
 
     def cell(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        asks, ids, m = group["asks"].to_numpy(), group["id"].to_numpy(), _matrix(group["v"])
-        q, i, s = [], [], []
+        asks, ids, m = group["asks"].to_numpy(), group["id"].to_numpy(), _whole(group["v"], scale, width)
+        found, mine = [], ids[asks]
         if (~asks).any() and asks.any():
-            lists = Lists(ids[~asks], m[~asks])
-            for x, v in zip(ids[asks], m[asks]):
-                a, b = lists.top(x, v, k)
-                q.append(np.full(len(a), x))
-                i.append(a)
-                s.append(b)
+            if _check(m[~asks], m[asks]):
+                lists = Lists(ids[~asks], m[~asks])
+                for i in range(0, len(mine), AT_ONCE):
+                    found += lists.top(mine[i : i + AT_ONCE], m[asks][i : i + AT_ONCE], k)
+            else:
+                found = _plain(ids[~asks], m[~asks], mine, m[asks], k)
         cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        return pa.table({"query_id": cat(q), key: cat(i), "score": cat(s)})
+        return pa.table({"query_id": np.repeat(mine[: len(found)], [len(a) for a, _ in found]), key: cat([a for a, _ in found]), "score": cat([b for _, b in found])})
 
     parts = cells.groupBy("shard", "block").applyInArrow(cell, f"query_id long, {key} long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
