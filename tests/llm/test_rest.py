@@ -87,27 +87,53 @@ def test_coordinate_descent_reaches_the_margin():
 
 
 def plain_chat(rows):
-    """The same in plain Python."""
-    out, first = [], {}
+    """The same in plain Python, a conversation at a time."""
+    parsed, first = [], {}
     for c, t, role, text in rows:
         try:
             body = json.loads(text) if (text or "").lstrip().startswith("{") else None
         except ValueError:
             body = None
-        calls = body.get("tool_calls") if isinstance(body, dict) and role == "assistant" and isinstance(body.get("tool_calls"), list) else None
-        ref = body.get("tool_call_id") if isinstance(body, dict) and role == "tool" else None
-        content = body.get("content") if calls is not None or ref is not None else text or ""
-        out.append((c, t, role or "unknown", content, ref, calls))
+        body = body if isinstance(body, dict) else {}
+        calls = body.get("tool_calls") if role == "assistant" and isinstance(body.get("tool_calls"), list) else None
+        ref = body.get("tool_call_id") if role == "tool" and isinstance(body.get("tool_call_id"), str) else None
+        for call in calls or []:
+            inner = call.get("function", call) if isinstance(call, dict) else {}
+            if isinstance(inner.get("arguments"), str):
+                try:
+                    inner["arguments"] = json.loads(inner["arguments"])
+                except ValueError:
+                    pass
+        message = body | {"role": role} if calls is not None or ref is not None else {"content": text or "", "role": role or "unknown"}
+        parsed.append((c, t, role or "unknown", ref, calls, json.dumps(message, sort_keys=True, separators=(",", ":"), ensure_ascii=False)))
         for k, call in enumerate(calls or []):
-            if call.get("id") is not None and (c, call["id"]) not in first:
-                first[c, call["id"]] = (t, k)
-    result = []
-    for c, t, role, content, ref, calls in out:
-        at = first.get((c, ref)) if ref is not None else None
-        m = {"content": content, "role": role, "tool_call_id": ref, "tool_calls": None if calls is None else [{k: x[k] for k in ("arguments", "id", "name") if k in x} for x in calls]}
-        message = json.dumps({k: v for k, v in m.items() if v is not None}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        result.append((c, t, at[0] if at else t, at[1] + 1 if at else 0, len(calls or []), at is not None, message))
-    return result
+            i = call.get("id") if isinstance(call, dict) else None
+            if isinstance(i, str) and c is not None and t is not None:
+                first[c, i] = min(first.get((c, i), (t, k)), (t, k))
+    waits = {}
+    for c, t, _, _, calls, _ in parsed:
+        for call in calls or []:
+            for i in call.get("depends_on", []) if isinstance(call, dict) else []:
+                if (c, i) in first and t is not None:
+                    waits.setdefault((c, t), set()).add((c, first[c, i][0]))
+    place, todo = {}, dict(waits)
+    while True:
+        ready = {m for m, on in todo.items() if all(x in place or x not in waits for x in on)}
+        if not ready:
+            break
+        for m in ready:
+            place[m] = max([(m[1], 0), *((a, d + 2) for a, d in (place.get(x, (x[1], 0)) for x in todo[m]))])
+        todo = {m: on for m, on in todo.items() if m not in ready}
+    out = []
+    for c, t, role, ref, calls, message in parsed:
+        at = first.get((c, ref)) if ref is not None and t is not None else None
+        m = (c, at[0]) if at else (c, t)
+        anchor, depth = place.get(m, (m[1], 0)) if at or calls is not None else (t, 0)
+        out.append([c, t, role, None, anchor, depth + bool(at), len(calls or []), at is not None, (c, t) in todo and calls is not None, message, (anchor, depth + bool(at), at[1] + 1 if at else 0, ref is not None, t)])
+    for c in {r[0] for r in out} - {None}:
+        for k, r in enumerate(sorted((r for r in out if r[0] == c and r[1] is not None), key=lambda r: r[-1]), 1):
+            r[3] = k
+    return [tuple(r[:-1]) for r in out]
 
 
 CHAT = [
@@ -115,9 +141,10 @@ CHAT = [
     (1, 1, "assistant", '{"content":"ok","tool_calls":[{"id":"a","name":"search","arguments":{"query":"z","limit":3}},{"id":"b","name":"lookup","arguments":{"id":"x"}},{"id":"c","name":"lookup","arguments":{"id":4}}]}'),
     (1, 2, "user", "wait"),
     (1, 3, "tool", '{"tool_call_id":"b","content":"r2"}'),
-    (1, 4, "tool", '{"tool_call_id":"a","content":"r1"}'),
+    (1, 4, "tool", '{"tool_call_id":"a","content":{"z":1.5,"a":[1,"2",null,true]},"name":"search","is_error":false}'),
     (1, 5, "tool", '{"tool_call_id":"zz","content":"none"}'),
     (1, 6, "assistant", '{"tool_calls":[{"id":"a","name":"search","arguments":{"query":"again"}}]}'),
+    (1, 9, "tool", '{"tool_call_id":"a","content":7}'),
     (2, 0, None, None),
     (2, 1, "assistant", "{bad json"),
     (2, 2, "assistant", "[1]"),
@@ -125,17 +152,39 @@ CHAT = [
     (2, 4, "assistant", '{"tool_calls":[{"id":"late","name":"calculate","arguments":{"expression":"1+1","digits":2.5}},{"id":"q","name":"nobody","arguments":{}}]}'),
     (2, 5, "user", "word " * 5000),
     (2, 5, "user", "word " * 5000),
+    # arguments as JSON text, below function, and text that is no JSON
+    (3, 0, "assistant", '{"content":null,"tool_calls":[{"type":"function","id":"f","function":{"name":"lookup","arguments":"{\\"id\\": 5}"}},{"id":"g","name":"search","arguments":"{not json"},{"id":"g","name":"search","arguments":{"query":"twice"}}],"extra":{"b":1,"a":2}}'),
+    (3, 1, "tool", '{"tool_call_id":"g","content":"first of two"}'),
+    (3, 2, "tool", '{"tool_call_id":"f","content":1}'),
+    # a chain of waiting, a circle, one behind it, and waiting for nobody
+    (4, 0, "assistant", '{"tool_calls":[{"id":"w0","name":"lookup","arguments":{"id":1},"depends_on":["w2"]}]}'),
+    (4, 1, "tool", '{"tool_call_id":"w0","content":"r0"}'),
+    (4, 2, "assistant", '{"tool_calls":[{"id":"w2","name":"lookup","arguments":{"id":1},"depends_on":["w5","w4"]}]}'),
+    (4, 3, "tool", '{"tool_call_id":"w2","content":"r2"}'),
+    (4, 4, "assistant", '{"tool_calls":[{"id":"w4","name":"lookup","arguments":{"id":1},"depends_on":["nobody"]}]}'),
+    (4, 5, "assistant", '{"tool_calls":[{"id":"w5","name":"lookup","arguments":{"id":1},"depends_on":["w4"]}]}'),
+    (4, 6, "user", "next"),
+    (4, 7, "tool", '{"tool_call_id":"w5","content":"r5"}'),
+    (5, 0, "assistant", '{"tool_calls":[{"id":"x","name":"lookup","arguments":{"id":1},"depends_on":["y"]}]}'),
+    (5, 1, "assistant", '{"tool_calls":[{"id":"y","name":"lookup","arguments":{"id":1},"depends_on":["x"]}]}'),
+    (5, 2, "assistant", '{"tool_calls":[{"id":"z","name":"lookup","arguments":{"id":1},"depends_on":["x"]}, 5]}'),
+    (5, 3, "tool", '{"tool_call_id":"y","content":"ry"}'),
+    (None, 1, "tool", '{"tool_call_id":"x","content":"no conversation"}'),
+    (5, None, "tool", '{"tool_call_id":"x","content":"no turn"}'),
 ]
 
 
-def test_chat(spark):
-    df = spark.createDataFrame([(*r, "x", 1) for r in CHAT], "conv_id long, turn long, role string, text string, message string, calls int")
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_chat(spark, partitions):
+    df = spark.createDataFrame([(*r, "x", 1) for r in CHAT], "conv_id long, turn long, role string, text string, message string, calls int").repartition(partitions)
     got = chat.format_chat(df).collect()
-    key = lambda r: (r[0], r[1], r[-1])
-    assert sorted([(r.conv_id, r.turn, r.anchor_turn, r.turn_rank, r.n_calls, r.linked, r.message) for r in got], key=key) == sorted(plain_chat(CHAT), key=key)
-    assert {(r.conv_id, r.turn): r.n_valid for r in got if r.n_calls} == {(1, 1): 2, (1, 6): 1, (2, 4): 1}
-    order = sorted(((r.anchor_turn, r.turn_rank, r.turn) for r in got if r.conv_id == 1))
-    assert [t for _, _, t in order] == [0, 1, 4, 3, 2, 5, 6]
+    names = ("conv_id", "turn", "role", "position", "anchor_turn", "depth", "n_calls", "linked", "cyclic", "message")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    for a, b in zip(sorted((tuple(r[n] for n in names) for r in got), key=key), sorted(plain_chat(CHAT), key=key), strict=True):
+        assert a == b
+    assert {(r.conv_id, r.turn): r.n_valid for r in got if r.n_calls} == {(1, 1): 2, (1, 6): 1, (2, 4): 1, (3, 0): 2, **{(4, t): 1 for t in (0, 2, 4, 5)}, (5, 0): 1, (5, 1): 1, (5, 2): 1}
+    turns = lambda c: [r.turn for r in sorted((r for r in got if r.conv_id == c and r.position), key=lambda r: r.position)]
+    assert turns(1) == [0, 1, 4, 9, 3, 2, 5, 6] and turns(4) == [4, 5, 7, 2, 3, 0, 1, 6]
     assert chat.format_chat(df.limit(0)).count() == 0
 
 

@@ -57,8 +57,34 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def with_tool_calls(rows: DataFrame) -> DataFrame:
+    """All conversations, with calls and results put in by arithmetic on conv_id and turn.
+
+    The given texts hold no JSON. Assistant messages of every third conversation carry two
+    calls (their text is the content): a valid one, with arguments as an object or as JSON
+    text, and one that fails its schema on every fifth turn. In every ninth conversation the
+    second call waits for results of later messages, in every ninth but three for its own.
+    Results are added before and after their messages, and some that no call has."""
+    calls = (F.col("role") == "assistant") & (F.col("conv_id") % 3 == 0)
+    c, t = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    number = (F.col("conv_id") * 100 + F.col("turn")).cast("string")
+    given = F.when(F.col("conv_id") % 2 == 0, F.format_string('{"id": %s}', number)).otherwise(F.format_string('"{\\"id\\": %s}"', number))
+    later = (F.col("turn") + 2).cast("string")
+    waits = F.when((F.col("conv_id") % 9 == 0) & (F.col("turn") % 6 < 4), F.format_string('"a%s"', later)).when(F.col("conv_id") % 9 == 3, F.format_string('"b%s"', t)).otherwise(F.lit(""))
+    limit = F.when(F.col("turn") % 5 == 0, F.lit('"5"')).otherwise(t)
+    content = F.expr("substr(to_json(array(coalesce(text, ''))), 2, length(to_json(array(coalesce(text, '')))) - 2)")
+    text = F.format_string('{"tool_calls": [ {"name": "lookup", "id": "a%s", "arguments": %s}, {"id": "b%s", "depends_on": [%s], "name": "search", "arguments": {"query": "q%s", "limit": %s}} ], "content": %s}', t, given, t, waits, c, limit, content)
+    own = rows.select("conv_id", "turn", "role", F.when(calls, text).otherwise(F.col("text")).alias("text"))
+    asked = rows.where(calls)
+    answer = lambda turn, text: asked.select("conv_id", turn.alias("turn"), F.lit("tool").alias("role"), text.alias("text"))
+    early = answer(F.col("turn") - 1, F.format_string('{"content": "r%s", "tool_call_id": "a%s"}', number, t))
+    late = answer(F.col("turn") + 1, F.format_string('{"tool_call_id": "b%s", "content": {"ok": true, "n": %s}}', t, number))
+    stray = asked.where("conv_id % 6 = 0").select("conv_id", "turn", F.lit("tool").alias("role"), F.lit('{"tool_call_id": "none", "content": null}').alias("text"))
+    return own.unionByName(early).unionByName(late).unionByName(stray)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chat(table(spark, sf_dir, "conversations"))
+    return chat.format_chat(with_tool_calls(table(spark, sf_dir, "conversations")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -121,12 +147,32 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, (SELECT min(reach) FROM r WHERE r.vec_id = e.vec_id) AS component_id,
        e.vec_id = (SELECT min(reach) FROM r WHERE r.vec_id = e.vec_id) AS kept
 FROM embeddings e""",
-    # The tables hold no tool calls; tests/llm compares those with a plain-Python version.
+    # The same calls and results as in with_tool_calls, with what the operator must say of them.
     "op10_chat": """
-SELECT conv_id, turn, coalesce(role, 'unknown') AS role, turn AS anchor_turn, 0 AS turn_rank, 0 AS n_calls, 0 AS n_valid,
-       false AS linked,
-       '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(coalesce(role, 'unknown')) AS VARCHAR) || '}' AS message
-FROM conversations""",
+WITH k AS (
+  SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'assistant' AND conv_id % 3 = 0
+), waiting AS (
+  SELECT k.conv_id, k.turn, k.conv_id % 9 = 0 AND k.turn % 6 < 4 AND a.turn IS NOT NULL AS one, (k.turn + 2) % 6 < 4 AND b.turn IS NOT NULL AS two
+  FROM k LEFT JOIN k a ON a.conv_id = k.conv_id AND a.turn = k.turn + 2 LEFT JOIN k b ON b.conv_id = k.conv_id AND b.turn = k.turn + 4
+), place AS (
+  SELECT conv_id, turn, turn + CASE WHEN one AND two THEN 4 WHEN one THEN 2 ELSE 0 END AS anchor, CASE WHEN one AND two THEN 4 WHEN one THEN 2 ELSE 0 END AS depth FROM waiting
+), calling AS (
+  SELECT c.*, p.anchor, p.depth, CAST(c.conv_id * 100 + c.turn AS VARCHAR) AS n, CAST(c.turn AS VARCHAR) AS t
+  FROM conversations c JOIN place p ON p.conv_id = c.conv_id AND p.turn = c.turn WHERE c.role = 'assistant'
+), every AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, turn AS anchor, 0 AS depth, 0 AS number, 0 AS answers, 0 AS n_calls, 0 AS n_valid, false AS linked, false AS cyclic,
+    '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(coalesce(role, 'unknown')) AS VARCHAR) || '}' AS message
+  FROM conversations WHERE NOT coalesce(role = 'assistant' AND conv_id % 3 = 0, false)
+  UNION ALL SELECT conv_id, turn, role, anchor, depth, 0, 0, 2, CASE WHEN turn % 5 = 0 THEN 1 ELSE 2 END, false, conv_id % 9 = 3,
+    '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":"assistant","tool_calls":[{"arguments":{"id":' || n || '},"id":"a' || t || '","name":"lookup"},{"arguments":{"limit":'
+    || CASE WHEN turn % 5 = 0 THEN '"5"' ELSE t END || ',"query":"q' || CAST(conv_id AS VARCHAR) || '"},"depends_on":['
+    || CASE WHEN conv_id % 9 = 0 AND turn % 6 < 4 THEN '"a' || CAST(turn + 2 AS VARCHAR) || '"' WHEN conv_id % 9 = 3 THEN '"b' || t || '"' ELSE '' END || '],"id":"b' || t || '","name":"search"}]}'
+  FROM calling
+  UNION ALL SELECT conv_id, turn - 1, 'tool', anchor, depth + 1, 1, 1, 0, 0, true, false, '{"content":"r' || n || '","role":"tool","tool_call_id":"a' || t || '"}' FROM calling
+  UNION ALL SELECT conv_id, turn + 1, 'tool', anchor, depth + 1, 2, 1, 0, 0, true, false, '{"content":{"n":' || n || ',"ok":true},"role":"tool","tool_call_id":"b' || t || '"}' FROM calling
+  UNION ALL SELECT conv_id, turn, 'tool', turn, 0, 0, 1, 0, 0, false, false, '{"content":null,"role":"tool","tool_call_id":"none"}' FROM calling WHERE conv_id % 6 = 0
+)
+SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY anchor, depth, number, answers, turn, message) AS position, anchor AS anchor_turn, depth, n_calls, n_valid, linked, cyclic, message FROM every""",
     "op4_topk": """
 WITH rows AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
