@@ -1,16 +1,21 @@
 """Packing of token sequences: order-preserving dynamic programming over cut points.
 
 Documents are tokenised, closed with one end id, and laid end to end in the order of
-their partition. Cut points are document ends (free), sentence ends (at a cost of
-``SENTENCE_CUT`` tokens), some word starts, at most one in ``STEP`` tokens (at ``WORD_CUT``)
-and, only inside stretches without any, every ``FREE_STEP`` tokens (at ``FREE_CUT``). Windows of at most ``length`` tokens are chosen so that padding plus
-these costs is least: f(j) = min over i within reach of f(i) + p(i), plus length - p(j)
-plus the cost of cutting at j; a monotone queue gives that sliding minimum in constant
-time per cut point. The stream is cut in blocks of bounded size; a block's best window
-end near its end is where the next one starts, so memory doesn't grow with a partition.
-
-The last tokens of a partition are split at powers of two, which need no padding. No
-shuffle: each input partition is packed by itself, and sequence ids carry its number.
+their partition. Windows are cut at document ends (free) and sentence ends (a truncation, at
+a cost of ``SENTENCE_CUT`` tokens). Only where a stretch between two of these is longer than a
+window, so that a window in it would hold none, there are cut points inside it: at word
+starts, one in ``STEP`` tokens (at ``WORD_CUT``), and every ``FREE_STEP`` tokens where words
+are wanting too (at ``FREE_CUT``). Windows of at most ``length`` tokens are chosen so that
+padding plus these costs is least: f(j) = min over i within reach of f(i) + p(i), plus
+length - p(j) plus the cost of cutting at j; a monotone queue gives that sliding minimum in
+constant time per cut point. The stream is cut in blocks of bounded size; a block's best
+window end near its end is where the next one starts, so memory doesn't grow with a
+partition. It does with the longest single text: some 4 bytes a token for its ids, and 150
+for each of its sentences while its windows are chosen.
+
+The last window of a partition is split at powers of two, which need no padding (at most
+eleven cuts, wherever they fall). No shuffle: each input partition is packed by itself, and
+sequence ids carry its number.
 
 Null text is an empty document: just its end id. Repeated rows are packed each; an empty
 table gives no pieces; extra columns are not read. A document longer than a sequence is
@@ -84,17 +89,19 @@ def cut_points(ends: np.ndarray, words: np.ndarray, documents: np.ndarray, lengt
 
     ``ends``: positions after sentence ends; ``words``: before words; ``documents``: after
     documents. All ascending and above 0; the last document's is the largest."""
-    words = words[np.diff(words // STEP, prepend=-1) > 0]
-    at = np.concatenate([documents, ends, words])
-    cost = np.repeat([0, SENTENCE_CUT, WORD_CUT], [len(documents), len(ends), len(words)])
-    at, first = np.unique(at, return_index=True)
-    cost = cost[first]
-    gaps = np.diff(at, prepend=0)
-    step = min(FREE_STEP, length)
-    wide = np.flatnonzero(gaps > min(2 * FREE_STEP, length))
-    if len(wide):
-        extra = np.concatenate([np.arange(at[w] - gaps[w] + step, at[w], step) for w in wide])
-        at, cost = np.concatenate([at, extra]), np.concatenate([cost, np.full(len(extra), FREE_CUT)])
+    at = np.union1d(documents, ends)
+    cost = np.where(np.isin(at, documents, assume_unique=True), 0, SENTENCE_CUT)
+    for spare, price, step in ((words, WORD_CUT, min(STEP, length)), (None, FREE_CUT, min(FREE_STEP, length))):
+        wide = np.flatnonzero(np.diff(at, prepend=0) > length)
+        if not len(wide):
+            break
+        inside = []
+        for w in wide.tolist():
+            start, end = int(at[w - 1]) if w else 0, int(at[w])
+            own = np.arange(start + step, end, step) if spare is None else spare[np.searchsorted(spare, start, "right") : np.searchsorted(spare, end)]
+            inside.append(own if spare is None else own[np.diff((own - start) // step, prepend=-1) > 0])
+        extra = np.concatenate(inside).astype(at.dtype)
+        at, cost = np.concatenate([at, extra]), np.concatenate([cost, np.full(len(extra), price)])
         order = np.argsort(at, kind="stable")
         at, cost = at[order], cost[order]
     return at, cost
