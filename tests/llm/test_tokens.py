@@ -70,10 +70,59 @@ def test_chunks_are_shared_wherever_a_passage_stands():
 
 def test_chunk_memory_turns_over(word):
     e = bpe.Encoder(WORD)
-    e.chunks.most = e.words.most = 3
+    e.most = 3
     for k in range(25):
         text = f"Chunk {k} of many. " * 40 + "é" * k + "tail" * 60
-        assert e.encode(text) == (np.array(ids(word, text), "<u4").tobytes(), word.decode(ids(word, text), skip_special_tokens=False))
+        assert e.encode(text) == expected(word, text)
+    assert len(e.young) < 20
+
+
+def expected(word, text):
+    want = ids(word, text)
+    return np.array(want, "<u4").tobytes(), word.decode(want, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("every", [1, 7, 40])
+def test_joins_anywhere_are_repaired(word, monkeypatch, every):
+    """Cuts every few characters: inside words, accents, specials, marks and runs of spaces."""
+
+    def cut(data):
+        ends = [e for e in range(every, len(data), every) if data[e] & 0xC0 != 0x80]
+        return [*ends, len(data)]
+
+    monkeypatch.setattr(bpe, "boundaries", cut)
+    texts = ["The stone's übermäßig e\u0301te\u0301 <|endoftext|>x <|ENDOFTEXT|> don't 3.14 a  b   c    d \n\n e " * 6, "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 4, "  " * 50 + "x" + "  " * 50, "日本 語 \U0001f600 \u0301a ne\u0308st ΣΑΣ İstanbul ſ " * 8, "nospace" * 50]
+    for text in texts:
+        e = bpe.Encoder(WORD)
+        assert e.encode(text) == expected(word, text)
+    e = bpe.Encoder(WORD)
+    assert e.encode(("ab " * 9 + " " * 30) * 12) == expected(word, ("ab " * 9 + " " * 30) * 12)
+
+
+def test_disagreement_widens_and_then_encodes_the_whole(word, monkeypatch):
+    monkeypatch.setattr(bpe, "boundaries", lambda data: [*range(60, len(data), 60), len(data)])
+    text = "one two three four five six seven eight nine ten eleven twelve " * 8
+    e = bpe.Encoder(WORD)
+    agrees = bpe.Encoder._agrees
+    for refused, widened in ((1, 1), (10**6, 1)):  # one window that doesn't agree; none ever does
+        left = [refused]
+
+        def fussy(*args):
+            left[0] -= 1
+            return left[0] < 0 and agrees(*args)
+
+        monkeypatch.setattr(bpe.Encoder, "_agrees", staticmethod(fussy))
+        e = bpe.Encoder(WORD)
+        assert e.encode(text) == expected(word, text) and e.widened == widened
+
+
+def test_a_passage_of_many_texts_is_encoded_once(word):
+    passage = " ".join(f"w{i * 7919 % 1000}" for i in range(6000))
+    e = bpe.Encoder(WORD)
+    for k in range(8):
+        text = f"text {k} " * (k + 3) + passage + f" end {k}"
+        assert e.encode(text) == expected(word, text)
+    assert e.reused > 0.7 * e.seen
 
 
 def test_packing(docs, texts, byte, no_docs):
@@ -101,6 +150,37 @@ def test_packing(docs, texts, byte, no_docs):
     assert packing.pack(no_docs, BYTE).count() == 0
 
 
+def test_cuts_are_at_documents_and_sentences(byte):
+    """Elsewhere only in stretches longer than a window, and in a partition's last window."""
+    rng = np.random.default_rng(4)
+    words = ["stone", " river", " cloud", " light", " moon"]
+    coder = packing.ids_of(BYTE)
+    ends = coder.ends.copy()
+    ends[packing.END_ID] = False
+    packer, out, docs = packing.Packer(256, ends, coder.starts, 0), [], []
+    for k in range(300):
+        text = "".join(str(rng.choice(words)) + ("." if k % 10 and rng.random() < 0.06 else "") for _ in range(int(rng.integers(1, 400))))
+        docs.append(np.frombuffer(coder.encode(text), np.uint32).tolist() + [packing.END_ID])
+        out += packer.add(k, np.array(docs[-1], np.uint32).tobytes())
+    out += packer.finish()
+    stream = np.array(sum(docs, []), np.uint32)
+    place = {d: int(s) for d, s in enumerate(np.cumsum([0, *map(len, docs)])[:-1])}
+    bounds = np.union1d(np.flatnonzero(ends[stream]) + 1, np.cumsum([*map(len, docs)]))
+    cuts, size = {}, {}
+    for doc, start, n, _, _, sequence, _ in out:
+        cuts[sequence] = max(cuts.get(sequence, 0), place[doc] + start + n)
+        size[sequence] = size.get(sequence, 0) + n
+    elsewhere = padding = 0
+    last = max(s for s, n in size.items() if n & (n - 1) or n == 256)
+    for s, cut in cuts.items():
+        padding += 0 if size[s] & (size[s] - 1) == 0 else 256 - size[s]
+        at = np.searchsorted(bounds, cut)
+        if s <= last and bounds[at] != cut:
+            elsewhere += 1
+            assert bounds[at] - (bounds[at - 1] if at else 0) > 256
+    assert 0 < elsewhere < 0.2 * len(cuts) and padding < 0.12 * len(stream)
+
+
 def test_windows_are_optimal():
     import random
 

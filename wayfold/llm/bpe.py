@@ -1,20 +1,32 @@
 """Word-piece BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over the last 16 bytes cuts a text where its low bits are zero, so equal
-passages give equal chunks wherever they stand. A chunk is encoded once per worker and
-then taken from a bounded memory. Chunks cut words apart: a join is repaired by encoding
-anew from the last space of the left chunk to the first space of the right one, and on
-over further chunks until both ends rest on a space. There the encodings agree exactly,
-since no step of this kind of vocabulary (white space is dropped, accents compose within
-a word, patterns never cross white space) looks across a space.
+passages give equal chunks wherever they stand, in whichever document. A chunk is encoded
+once per worker, as it stands, and then taken from a bounded memory. Its first and last words
+may be cut apart, so each join is repaired: the last ``WINDOW`` words of the left chunk and
+the first of the right one are encoded anew as one text, which replaces what the two chunks
+said there, provided that its first token agrees with the left chunk's and its last with the
+right chunk's at these places. Where they don't agree the window is doubled, up to
+``WIDEST`` words; then the text is encoded as a whole. Windows begin and end at a space, and no
+step of this kind of vocabulary (white space is dropped, accents compose within a word,
+patterns never cross white space) looks across one, so agreement there is exact.
+
+A chunk without enough words joins the next one before anything is encoded. The memory is
+of a worker, not of the cluster: sharing all distinct chunks would move every text
+through a shuffle. ``Encoder.seen`` and ``Encoder.reused`` count bytes of chunks and of those
+that came from memory; results don't depend on it.
 
 Null text counts as empty: no tokens, empty decoding. Special strings in a text are
-tokens, as the library has it by default. Repeated rows are encoded each; extra columns
-pass through ``encode`` only if named as keys.
+tokens, as the library has it by default. Repeated rows are encoded each; very long texts
+take memory of a few times their length; an empty table gives no rows; extra columns pass
+through ``encode`` only if named as keys.
 """
 
 from __future__ import annotations
 
+import json
+import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,22 +36,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.tokens import Generations
-
-#: Remembered chunks and words of one generation, per worker.
-CHUNKS, WORDS = 15_000, 250_000
+#: Remembered chunks of one generation, per worker; longer ones aren't remembered.
+CHUNKS, LONG = 40_000, 4096
 #: Mean bytes of a chunk (a power of two) and the least.
 MEAN, LEAST = 256, 32
+#: Words on each side of a join that are encoded anew, at first and at most.
+WINDOW, WIDEST = 2, 16
 #: Bytes of results in a batch sent back.
 BATCH = 8 << 20
-_LONG = 64
 
 #: One random-looking number per byte value for the rolling hash, from a fixed seed.
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 def boundaries(data: bytes) -> list[int]:
-    """Ends of the content-defined chunks of ``data``; the last is its length."""
+    """Ends of the content-defined chunks of ``data`` (UTF-8), never inside a character; the
+    last is its length."""
     n = len(data)
     if n <= MEAN:
         return [n]
@@ -50,6 +62,8 @@ def boundaries(data: bytes) -> list[int]:
         h = later
     ends, last = [], 0
     for e in (np.flatnonzero(h & np.uint32((MEAN - 1) << 8) == 0) + 1).tolist():
+        while e < n and data[e] & 0xC0 == 0x80:
+            e += 1
         if LEAST <= e - last and e < n:
             ends.append(e)
             last = e
@@ -57,106 +71,131 @@ def boundaries(data: bytes) -> list[int]:
     return ends
 
 
+def first_words(chunk: str, k: int) -> str | None:
+    """The first k words (parted by single spaces) of a chunk that holds more, else None."""
+    at = -1
+    for _ in range(k):
+        at = chunk.find(" ", at + 1)
+        if at < 0:
+            return None
+    return chunk[:at]
+
+
+def last_words(chunk: str, k: int) -> str | None:
+    at = len(chunk)
+    for _ in range(k):
+        at = chunk.rfind(" ", 0, at)
+        if at < 0:
+            return None
+    return chunk[at + 1 :]
+
+
 class Encoder:
     """Exact ids and decodings of one vocabulary file, with the reuse above."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
+        for t in (self.tokenizer, self.plain):
+            t.no_truncation()
+            t.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [" " + (self.tokenizer.id_to_token(i) or "") for i in range(size)]
-        self.words = Generations(None, WORDS)
-        self.chunks = Generations(None, CHUNKS)
-        self.mark = dict(zip((b".", b","), self._encode([b".", b","])))
-
-    def _encode(self, words: list[bytes]) -> list[tuple[bytes, str]]:
-        name = self.names.__getitem__
-        return [(np.array(e.ids, "<u4").tobytes(), "".join(map(name, e.ids))) for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-
-    def _remember_words(self, words: list[bytes]) -> None:
-        """Encode in one call what neither generation holds."""
-        m = self.words
-        if len(m.young) > m.most:
-            m.old, m.young = m.young, {}
-        young, old, missing, marked = m.young, m.old, {}, []
-        for w in dict.fromkeys(words):
-            if w in young:
-                continue
-            v = old.get(w)
-            if v is not None:
-                young[w] = v
-            elif w[-1:] in (b".", b",") and w[:-1].isalpha():  # letters and a mark never join
-                marked.append(w)
-                if w[:-1] not in young:
-                    missing[w[:-1]] = None
+        self.young: dict[str, tuple[array, int, int]] = {}
+        self.old: dict[str, tuple[array, int, int]] = {}
+        self.most, self.seen, self.reused, self.widened = CHUNKS, 0, 0, 0
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """The library's ids. Lower-case ASCII is what its normaliser makes of ASCII, so such
+        texts spare it; special strings, which must keep their case, don't."""
+        simple = [x.isascii() and "<|" not in x for x in texts]
+        some = iter(self.plain.encode_batch_fast([x.lower() for x, s in zip(texts, simple) if s], add_special_tokens=False))
+        rest = iter(self.tokenizer.encode_batch_fast([x for x, s in zip(texts, simple) if not s], add_special_tokens=False))
+        return [next(some if s else rest).ids for s in simple]
+
+    def chunks(self, text: str) -> list[str]:
+        """The chunks of a text; each but a single one has words to spare at both ends."""
+        data, out, start, before = text.encode(), [], 0, 0
+        ends = boundaries(data)
+        spaces = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 32), ends)
+        for end, n in zip(ends, spaces.tolist()):
+            if n - before >= 2 * WINDOW:
+                out.append(data[start:end].decode())
+                start, before = end, n
+        if start < len(data):
+            rest = data[start:].decode()
+            out = [*out[:-1], out[-1] + rest] if out else [rest]
+        return out
+
+    def _learn(self, chunks: list[str]) -> list[tuple[array, int, int]]:
+        """For each chunk its ids, and how many of them its first and last words are."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        found, missing = {}, []
+        for c in dict.fromkeys(chunks):
+            known = self.young.get(c) or self.old.get(c)
+            if known is None:
+                missing.append(c)
             else:
-                missing[w] = None
+                found[c] = self.young[c] = known
+        self.seen += sum(map(len, chunks))
+        self.reused += sum(map(len, chunks)) - sum(map(len, missing))
         if missing:
-            young.update(zip(missing, self._encode([*missing])))
-        for w in marked:
-            a, b = young[w[:-1]], self.mark[w[-1:]]
-            young[w] = a[0] + b[0], a[1] + b[1]
-
-    def _words(self, words: list[bytes]) -> tuple[bytes, str]:
-        found = [*map(self.words.young.__getitem__, words)]
-        return b"".join([x[0] for x in found]), "".join([x[1] for x in found])
+            got = self.ids([*missing, *(first_words(c, WINDOW) or "" for c in missing), *(last_words(c, WINDOW) or "" for c in missing)])
+            n = len(missing)
+            for i, c in enumerate(missing):
+                found[c] = array("I", got[i]), len(got[n + i]), len(got[2 * n + i])
+                if len(c) <= LONG:
+                    self.young[c] = found[c]
+        return [found[c] for c in chunks]
+
+    @staticmethod
+    def _agrees(left: array, tail: int, window: list[int], right: array, head: int) -> bool:
+        """Whether the window's outer tokens are those of the chunks it overlaps."""
+        return 0 < tail <= len(left) and 0 < head <= len(right) and len(window) > 1 and window[0] == left[-tail] and window[-1] == right[head - 1]
+
+    def _widen(self, a: str, b: str, left: array, right: array) -> tuple[int, list[int], int] | None:
+        k = 2 * WINDOW
+        while k <= WIDEST:
+            tail, head = last_words(a, k), first_words(b, k)
+            if tail is None or head is None:
+                return None
+            t, w, h = self.ids([tail, tail + head, head])
+            if self._agrees(left, len(t), w, right, len(h)):
+                return len(t), w, len(h)
+            k *= 2
+        return None
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and their decoding."""
-        data = text.encode().replace(b"\n", b" ")  # white space only parts words here
-        if data.isascii() and b"<|" not in data:
-            data = data.lower()  # the vocabulary's own normaliser does the same
-        chunks, at = [], 0
-        for end in boundaries(data):
-            chunks.append(data[at:end])
-            at = end
-        m = self.chunks
-        if len(m.young) > m.most:
-            m.old, m.young = m.young, {}
-        # 1. Words to encode: those inside new chunks, and those that joins have cut.
-        new, joins, open_ = {}, [], []
-        for c in chunks:
-            head, space, rest = c.partition(b" ")
-            open_.append(head)
-            if space:
-                joins.append(b"".join(open_))
-                body, space, tail = rest.rpartition(b" ")
-                open_ = [tail]
-                if c not in m.young:
-                    v = m.old.get(c)
-                    if v is None:
-                        new[c] = body.split(b" ") if space else []
-                    else:
-                        m.young[c] = v
-        joins.append(b"".join(open_))
-        short = [w for w in joins if len(w) <= _LONG]
-        for words in new.values():
-            short += words
-        # 2. Encode each once; very long words are not remembered.
-        self._remember_words(short)
-        young = self.words.young
-        for c, words in new.items():
-            m.young[c] = self._words(words)
-        # 3. Bodies of chunks with the repaired joins between them.
-        ids, names, k = [], [], 0
-        for c in chunks:
-            if b" " in c:
-                w = joins[k]
-                for x in (young[w] if len(w) <= _LONG else self._encode([w])[0], m.young[c]):
-                    ids.append(x[0])
-                    names.append(x[1])
-                k += 1
-        w = joins[k]
-        x = young[w] if len(w) <= _LONG else self._encode([w])[0]
-        ids.append(x[0])
-        names.append(x[1])
-        return b"".join(ids), "".join(names)[1:]
+        text = text.replace("\n", " ").replace("\t", " ")  # white space only parts words here
+        chunks = self.chunks(text)
+        known = self._learn(chunks)
+        pairs = [*zip(chunks, chunks[1:])]
+        windows = self.ids([last_words(a, WINDOW) + first_words(b, WINDOW) for a, b in pairs]) if pairs else []
+        out, start = array("I"), 0  # start: tokens of the chunk that a join before has replaced
+        for i, (a, b) in enumerate(pairs):
+            (left, _, tail), (right, head, _) = known[i], known[i + 1]
+            window = windows[i]
+            if not self._agrees(left, tail, window, right, head):
+                self.widened += 1
+                wider = self._widen(a, b, left, right)
+                if wider is None or start + wider[0] > len(left):
+                    out, start, known = array("I"), 0, [(array("I", self.ids([text])[0]), 0, 0)]
+                    break
+                tail, window, head = wider
+            if start + tail > len(left):
+                out, start, known = array("I"), 0, [(array("I", self.ids([text])[0]), 0, 0)]
+                break
+            out += left[start : len(left) - tail]
+            out.extend(window)
+            start = head
+        out += known[-1][0][start:] if known else array("I")
+        return out.tobytes(), "".join(map(self.names.__getitem__, out))[1:]
 
 
 @lru_cache(maxsize=2)
