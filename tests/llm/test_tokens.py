@@ -70,11 +70,11 @@ def test_chunks_are_shared_wherever_a_passage_stands():
 
 def test_chunk_memory_turns_over(word):
     e = bpe.Encoder(WORD)
-    e.most = 3
+    e.most = e.most_words = 3
     for k in range(25):
         text = f"Chunk {k} of many. " * 40 + "é" * k + "tail" * 60
         assert e.encode(text) == expected(word, text)
-    assert len(e.young) < 20
+    assert len(e.young) < 20 and len(e.words) < 200
 
 
 def expected(word, text):

@@ -11,6 +11,10 @@ right chunk's at these places. Where they don't agree the window is doubled, up
 step of this kind of vocabulary (white space is dropped, accents compose within a word,
 patterns never cross white space) looks across one, so agreement there is exact.
 
+Within a chunk or a window, words between spaces are encoded one by one, each once per worker
+as far as a second bounded memory holds it, which is the same as the whole for this kind of
+vocabulary and spares the library most calls.
+
 A chunk without enough words joins the next one before anything is encoded. The memory is
 of a worker, not of the cluster: sharing all distinct chunks would move every text
 through a shuffle. ``Encoder.seen`` and ``Encoder.reused`` count bytes of chunks and of those
@@ -36,8 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Remembered chunks of one generation, per worker; longer ones aren't remembered.
-CHUNKS, LONG = 40_000, 4096
+#: Remembered chunks and words of one generation, per worker; longer ones aren't remembered.
+CHUNKS, LONG, WORDS, LONG_WORD = 25_000, 4096, 250_000, 64
 #: Mean bytes of a chunk (a power of two) and the least.
 MEAN, LEAST = 256, 32
 #: Words on each side of a join that are encoded anew, at first and at most.
@@ -105,17 +109,56 @@ class Encoder:
             t.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [" " + (self.tokenizer.id_to_token(i) or "") for i in range(size)]
-        self.young: dict[str, tuple[array, int, int]] = {}
-        self.old: dict[str, tuple[array, int, int]] = {}
-        self.most, self.seen, self.reused, self.widened = CHUNKS, 0, 0, 0
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
+        self.young: dict[str, tuple[bytes, int, int]] = {}
+        self.old: dict[str, tuple[bytes, int, int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.most, self.most_words, self.seen, self.reused, self.widened = CHUNKS, WORDS, 0, 0, 0
+        self.mark = dict(zip(".,", self._library([".", ","])))
+
+    def _library(self, words: list[str]) -> list[bytes]:
         """The library's ids. Lower-case ASCII is what its normaliser makes of ASCII, so such
-        texts spare it; special strings, which must keep their case, don't."""
-        simple = [x.isascii() and "<|" not in x for x in texts]
-        some = iter(self.plain.encode_batch_fast([x.lower() for x, s in zip(texts, simple) if s], add_special_tokens=False))
-        rest = iter(self.tokenizer.encode_batch_fast([x for x, s in zip(texts, simple) if not s], add_special_tokens=False))
-        return [next(some if s else rest).ids for s in simple]
+        words spare it."""
+        simple = [x.isascii() and x.islower() and "<" not in x for x in words]
+        some = iter(self.plain.encode_batch_fast([x for x, s in zip(words, simple) if s], add_special_tokens=False))
+        rest = iter(self.tokenizer.encode_batch_fast([x for x, s in zip(words, simple) if not s], add_special_tokens=False))
+        return [array("I", next(some if s else rest).ids).tobytes() for s in simple]
+
+    def _remember(self, words) -> None:
+        """Encode in one call what neither generation of words holds. Letters never join a
+        mark that follows, so a word before one is remembered without it."""
+        young, old, missing, marked = self.words, self.old_words, {}, []
+        for w in words:
+            v = old.get(w)
+            if v is not None:
+                young[w] = v
+            elif w[-1:] in self.mark and w[:-1].isalpha():
+                marked.append(w)
+                if w[:-1] not in young:
+                    missing[w[:-1]] = None
+            else:
+                missing[w] = None
+        if missing:
+            young.update(zip(missing, self._library([*missing])))
+        for w in marked:
+            young[w] = young[w[:-1]] + self.mark[w[-1]]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. ASCII is lower-cased first, as the vocabulary does, but for
+        special strings, which must keep their case."""
+        if len(self.words) > self.most_words:
+            self.old_words, self.words = self.words, {}
+        listed = [(x.lower() if x.isascii() and "<|" not in x else x).split(" ") for x in texts]
+        every = set().union(*listed)
+        if len(max(every, key=len, default="")) > LONG_WORD:  # not remembered
+            long = [w for w in every if len(w) > LONG_WORD]
+            self._remember(every.difference(self.words, long))
+            known = dict(zip(long, self._library(long)))
+            get = lambda w: known.get(w) or self.words[w]
+        else:
+            self._remember(every.difference(self.words))
+            get = self.words.__getitem__
+        return [b"".join(map(get, words)) for words in listed]
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of a text; each but a single one has words to spare at both ends."""
@@ -131,8 +174,8 @@ class Encoder:
             out = [*out[:-1], out[-1] + rest] if out else [rest]
         return out
 
-    def _learn(self, chunks: list[str]) -> list[tuple[array, int, int]]:
-        """For each chunk its ids, and how many of them its first and last words are."""
+    def _learn(self, chunks: list[str]) -> list[tuple[bytes, int, int]]:
+        """For each chunk its ids, and how many bytes of them its first and last words are."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         found, missing = {}, []
@@ -148,17 +191,17 @@ class Encoder:
             got = self.ids([*missing, *(first_words(c, WINDOW) or "" for c in missing), *(last_words(c, WINDOW) or "" for c in missing)])
             n = len(missing)
             for i, c in enumerate(missing):
-                found[c] = array("I", got[i]), len(got[n + i]), len(got[2 * n + i])
+                found[c] = got[i], len(got[n + i]), len(got[2 * n + i])
                 if len(c) <= LONG:
                     self.young[c] = found[c]
         return [found[c] for c in chunks]
 
     @staticmethod
-    def _agrees(left: array, tail: int, window: list[int], right: array, head: int) -> bool:
+    def _agrees(left: bytes, tail: int, window: bytes, right: bytes, head: int) -> bool:
         """Whether the window's outer tokens are those of the chunks it overlaps."""
-        return 0 < tail <= len(left) and 0 < head <= len(right) and len(window) > 1 and window[0] == left[-tail] and window[-1] == right[head - 1]
+        return 0 < tail <= len(left) and 0 < head <= len(right) and len(window) > 4 and window[:4] == left[len(left) - tail : len(left) - tail + 4] and window[-4:] == right[head - 4 : head]
 
-    def _widen(self, a: str, b: str, left: array, right: array) -> tuple[int, list[int], int] | None:
+    def _widen(self, a: str, b: str, left: bytes, right: bytes) -> tuple[int, bytes, int] | None:
         k = 2 * WINDOW
         while k <= WIDEST:
             tail, head = last_words(a, k), first_words(b, k)
@@ -170,32 +213,31 @@ class Encoder:
             k *= 2
         return None
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and their decoding."""
-        text = text.replace("\n", " ").replace("\t", " ")  # white space only parts words here
+    def _joined(self, text: str) -> bytes:
         chunks = self.chunks(text)
         known = self._learn(chunks)
         pairs = [*zip(chunks, chunks[1:])]
         windows = self.ids([last_words(a, WINDOW) + first_words(b, WINDOW) for a, b in pairs]) if pairs else []
-        out, start = array("I"), 0  # start: tokens of the chunk that a join before has replaced
+        out, start = [], 0  # start: bytes of the chunk's ids that a join before has replaced
         for i, (a, b) in enumerate(pairs):
             (left, _, tail), (right, head, _) = known[i], known[i + 1]
             window = windows[i]
             if not self._agrees(left, tail, window, right, head):
                 self.widened += 1
                 wider = self._widen(a, b, left, right)
-                if wider is None or start + wider[0] > len(left):
-                    out, start, known = array("I"), 0, [(array("I", self.ids([text])[0]), 0, 0)]
-                    break
+                if wider is None:
+                    return self._library([text])[0]
                 tail, window, head = wider
             if start + tail > len(left):
-                out, start, known = array("I"), 0, [(array("I", self.ids([text])[0]), 0, 0)]
-                break
-            out += left[start : len(left) - tail]
-            out.extend(window)
+                return self._library([text])[0]
+            out += (left[start : len(left) - tail], window)
             start = head
-        out += known[-1][0][start:] if known else array("I")
-        return out.tobytes(), "".join(map(self.names.__getitem__, out))[1:]
+        return b"".join([*out, known[-1][0][start:]]) if known else b""
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """Ids as little-endian unsigned 32-bit integers, and their decoding."""
+        out = self._joined(text.replace("\n", " ").replace("\t", " "))  # white space only parts words here
+        return out, "".join(map(self.names.__getitem__, np.frombuffer(out, "<u4").tolist()))[1:]
 
 
 @lru_cache(maxsize=2)
