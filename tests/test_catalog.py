@@ -41,5 +41,7 @@ def test_without_twin(spark, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["id", "label", "meters", "distance"]
+    rows = entry.entry(spark).collect()
+    assert rows and list(rows[0].asDict()) == ["id", "label", "meters", "distance"]
+    assert [r.meters for r in rows] == sorted(r.meters for r in rows)
     assert set(entry.oracle_sql()) <= set(entry.queries())

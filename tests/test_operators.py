@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import tags
 from wayfold.operators import objects, places, sequences
-from wayfold.sources import boundary, dataset, features, live, osm_xml, state
+from wayfold.sources import boundary, dataset, features, live, osm_xml, state, store
 
 NO_TAGS = (None, None, None, None)
 
@@ -146,6 +146,27 @@ def test_references_closure_and_assembly(spark):
     assert got == {("way", 10): (59.015, 18.015), ("relation", 20): (59.03, 18.03)}
 
 
+def test_closure_of_relations_in_relations(spark):
+    """Six levels, a circle, and a relation that isn't there."""
+    rel = lambda i, kind, ref, tags=None: ("relation", i, 1, None, None, None, None, [(kind, ref, "")], tags)
+    rows = [rel(1, "relation", 2, {"leisure": "dog_park"}), *(rel(i, "relation", i + 1) for i in range(2, 6)), rel(6, "way", 10), rel(7, "relation", 1), rel(8, "relation", 9, {"leisure": "dog_park"}), rel(9, "relation", 8), rel(20, "relation", 404, {"leisure": "dog_park"}), ("way", 10, 1, None, None, None, [1], None, None), ("way", 11, 1, None, None, None, [2], None, None), ("node", 1, 1, None, 1.0, 1.0, None, None, None), ("node", 2, 1, None, 1.0, 1.0, None, None, None)]
+    got = {(r.type, r.id) for r in objects.closure(spark.createDataFrame(rows, objects.SCHEMA), park()).collect()}
+    assert got == {*(("relation", i) for i in (1, 2, 3, 4, 5, 6, 8, 9, 20)), ("way", 10), ("node", 1)}
+
+
+def test_second_pass_doesnt_ask_twice(spark):
+    """What the source brings may itself be incomplete; what was asked for isn't asked again."""
+    rel = ("relation", 30, 1, None, None, None, None, [("way", 31, "")], {"leisure": "dog_park"})
+    state_ = spark.createDataFrame([rel], objects.SCHEMA)
+    source = spark.createDataFrame([rel, obj("way", 31, refs=[311, 312], tags={"leisure": "dog_park"}), obj("node", 311, lat=59.0, lon=18.0)], objects.SCHEMA)
+    fixed, report = objects.repair(state_, source, park())
+    # pass 1 asks for the relation; pass 2 for its way, which lacks a node; the budget counts both
+    assert report == {"passes": 2, "fetched": 2, "gone": 0}
+    assert {(r.type, r.id) for r in fixed.collect()} == {("relation", 30), ("way", 31), ("node", 311)}
+    with pytest.raises(ValueError, match="more than 0"):
+        objects.repair(state_, source, park(), budget=0)
+
+
 def test_repair(spark):
     w = world(spark)
     source = frame(spark, [obj("way", 11, 2, refs=[3, 98], tags={"leisure": "dog_park"}), obj("node", 98, lat=59.1, lon=18.1), obj("node", 3, 2, lat=59.2, lon=18.2)])
@@ -187,6 +208,62 @@ def test_cache(spark):
     assert {r.key for r in sequences.stale_keys(e, ("k", "e")).collect()} == {"old", "future"}
 
 
+def test_cache_entries_with_bad_seasons(spark):
+    day = lambda m, d: (m, d)
+    spot = lambda season, tags=NO_TAGS: ("node/1", "dog_park", None, 1.0, 2.0, tags, "designated", season)
+    cases = {"none": spot(None), "unparsed": spot(("unparsed", None, None)), "ban": spot(("ban", day(6, 1), day(8, 31))), "month": spot(("ban", day(13, 1), day(8, 31))), "day": spot(("ban", day(6, 0), day(8, 31))), "half": spot(("ban", day(6, 1), None)), "kind": spot(("other", None, None)), "tags": spot(None, None)}
+    schema = f"key string, at string, spots array<struct<{places.SCHEMA.replace(' struct', ':struct').replace(' string', ':string').replace(' double', ':double').replace(' seasonal ', ' seasonal:')}>>"
+    e = spark.createDataFrame([(k, "2026-07-20 00:00:00", [s]) for k, s in cases.items()], schema).withColumn("stored_at", F.col("at").cast("timestamp"))
+    assert {r.key for r in sequences.whole_entries(e).collect()} == {"none", "unparsed", "ban"}
+
+
+def test_store(spark, tmp_path):
+    kv = store.Store(spark, str(tmp_path / "kv"), "value string")
+    rows = lambda *r: spark.createDataFrame(list(r), "key string, value string")
+    assert kv.rows().count() == 0
+    kv.put(rows(("a-1", "x"), ("b-1", "y")))
+    kv.put(rows(("a-1", "z"), ("c-1", None)))
+    assert {(r.key, r.value) for r in kv.rows().collect()} == {("a-1", "z"), ("b-1", "y"), ("c-1", None)}
+    kv.delete(rows(("b-1", None), ("none", None)))
+    assert [r.value for r in kv.get(rows(("a-1", None), ("b-1", None))).collect()] == ["z"]
+    assert kv.sweep(("a-",)) == 1 and [r.key for r in kv.rows().collect()] == ["a-1"] and kv.sweep(("a-",)) == 0
+    assert len([p for p in (tmp_path / "kv").iterdir() if p.is_dir()]) == 1  # old versions go
+
+
+def test_answers_are_remembered(spark, tmp_path):
+    kv = store.Store(spark, str(tmp_path / "answers"), store.ANSWERS)
+    spot = ("node/1", "dog_park", None, 1.0, 2.0, NO_TAGS, "designated", None)
+    answers = spark.createDataFrame([("k", [spot]), ("empty", []), ("failed", None)], f"key string, {store.ANSWERS.split(', ', 1)[1]}")
+    now = F.lit("2026-07-20 00:00:00").cast("timestamp")
+    assert store.remember(kv, answers, now)
+    q = spark.createDataFrame([("k",), ("empty",), ("failed",)], "key string")
+    got = {r.key: (r.hit, len(r.spots or [])) for r in sequences.answer_through_cache(q, kv.rows(), now).collect()}
+    assert got == {"k": (True, 1), "empty": (True, 0), "failed": (False, 0)}
+    (tmp_path / "file").write_text("in the way")
+    assert store.remember(store.Store(spark, str(tmp_path / "file"), store.ANSWERS), answers, now) is False
+
+
+def test_collapse_pairs_equal_brute_force_anywhere(spark):
+    import math
+    import random
+
+    r, rows = random.Random(3), []
+    for k in range(400):
+        lat, lon = r.choice([(59.3, 18.0), (89.9995, 10.0), (-89.99995, 0.0), (0.0, 180.0), (78.2, -180.0), (-33.0, 151.2)])
+        step = 40 / 111_000
+        lat, lon = max(-90.0, min(90.0, lat + r.uniform(-2, 2) * step)), lon + r.uniform(-2, 2) * step / max(math.cos(math.radians(lat)), 1e-4)
+        rows.append((f"{r.choice(['node', 'way'])}/{k}", "dog_park", None, lat, (lon + 180) % 360 - 180))
+    got = {(x.node_id, x.area_id) for x in places._close_pairs(spots(spark, rows)).collect()}
+
+    def metres(a, b):
+        la, lo = math.radians(b[3] - a[3]), math.radians(b[4] - a[4])
+        h = math.sin(la / 2) ** 2 + math.cos(math.radians(a[3])) * math.cos(math.radians(b[3])) * math.sin(lo / 2) ** 2
+        return 2 * 6_371_000 * math.asin(min(1, math.sqrt(h)))
+
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0].startswith("node") and b[0].startswith("way") and metres(a, b) <= 50}
+    assert got == want and len(want) > 100
+
+
 def test_gates(spark):
     with pytest.raises(ValueError, match="no places"):
         sequences.assert_sane(spots(spark, []), "elsewhere", 1)
@@ -213,6 +290,13 @@ GEOMETRIES = [
     ('{"type":"MultiPolygon","coordinates":[[[[18,59.3],[18,59.31]]],[[[18,59.34],[18,59.35]]]]}', (59.325, 18.0)),
     ('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[18,59.3]},{"type":"LineString","coordinates":[[18.1,59.3],[18.1,59.35]]}]}', (59.325, 18.05)),
     ('{"type":"GeometryCollection","geometries":[{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]}]}]}', (2.0, 1.0)),
+    ('{"type":"Deep","coordinates":[[[[[[18,59.3],[18.02,59.31,5]]]]]]}', (59.305, 18.01)),
+    ('{"type":"Point","coordinates":[-1.5e1,2e0]}', (2.0, -15.0)),
+    ('{"type":"GeometryCollection","geometries":[' * 6 + '{"type":"Deep","coordinates":[[[[[1,2]]]]]},{"type":"Point","coordinates":[3,4],"bbox":[0,0,9,9]}' + "]}" * 6, (3.0, 2.0)),
+    ('{"type":"GeometryCollection","geometries":[{"type":"GeometryCollection","geometries":[]},{"type":"Point","coordinates":[1,2]}]}', (2.0, 1.0)),
+    ('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]},{"type":"GeometryCollection","geometries":[{"type":"Point"}]}]}', None),
+    ('{"type":"LineString","coordinates":[[1,2],3]}', None),
+    ('{"type":"Point","coordinates":5}', None),
     ('{"type":"Point","coordinates":["18",59]}', None),
     ('{"type":"Point","coordinates":[18]}', None),
     ('{"type":"LineString","coordinates":[[1,2],[]]}', None),

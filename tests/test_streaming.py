@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from wayfold.functions.errors import ServiceError
 from wayfold.operators import objects
 from wayfold.plans import refresh
-from wayfold.sources import state
+from wayfold.sources import fixes, state
 from wayfold.streaming import policy, session
 
 HERE, NEAR, FAR = {"lat": 59.33, "lon": 18.06}, {"lat": 59.331, "lon": 18.06}, {"lat": 59.335, "lon": 18.06}
@@ -118,14 +118,107 @@ def test_seed(spark):
 
 
 def test_stream_refresh(spark, tmp_path):
-    refresh.empty_state(spark, str(tmp_path / "states"))
-    rows = [(*obj("node", 1, 1, 1.0, 1.0), "create", 1), (*obj("node", 1, 2, 2.0, 2.0), "modify", 2), (*obj("node", 2, 1, 2.0, 2.0), "create", 2), (*obj("node", 2, 2), "delete", 3)]
-    for r in rows:
-        changes(spark, [r]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(changes(spark, rows).schema).parquet(str(tmp_path / "in"))
-    refresh.stream_refresh(stream, str(tmp_path / "states"), str(tmp_path / "cp")).awaitTermination()
-    last = sorted(p.name for p in (tmp_path / "states").iterdir())[-1]
-    assert [(r.id, r.version) for r in spark.read.parquet(str(tmp_path / "states" / last)).collect()] == [(1, 2)]
+    """Each batch is replayed, preselected, repaired and published; late changes don't win."""
+    at = lambda n: str(tmp_path / n)
+    refresh.empty_state(spark, at("states"))
+    rows = [
+        (*obj("node", 1, 2, 2.0, 2.0, tags=PARK), "create", 5),
+        (*obj("node", 2, 1, 3.0, 3.0, tags=PARK), "create", 6),
+        (*obj("way", 7, 1, refs=[71, 72], tags=PARK), "create", 6),
+        (*obj("node", 2, 2), "delete", 8),
+        (*obj("node", 1, 1, 1.0, 1.0, tags=PARK), "modify", 4),  # late
+        (*obj("node", 2, 1, 9.0, 9.0, tags=PARK), "modify", 7),  # late, after the deletion
+        (*obj("node", 3, 1, 4.0, 4.0, tags={"a": "b"}), "create", 8),  # never preselected
+    ]
+    for k, r in enumerate(rows):
+        changes(spark, [r]).coalesce(1).write.mode("append").parquet(at("in"))
+    source = spark.createDataFrame([obj("way", 7, 1, refs=[71, 72], tags=PARK), obj("node", 71, 1, 5.0, 5.0), obj("node", 72, 1, 5.2, 5.2)], objects.SCHEMA)
+    stream = spark.readStream.schema(changes(spark, rows).schema).option("maxFilesPerTrigger", 2).parquet(at("in"))
+    refresh.stream_refresh(stream, source, at("states"), at("cp"), at("out.json"), gate=False).awaitTermination()
+    assert {(r.type, r.id, r.version) for r in refresh.streamed_state(spark, at("states")).collect()} == {("node", 1, 2), ("way", 7, 1), ("node", 71, 1), ("node", 72, 1)}
+    spots = json.loads((tmp_path / "out.json").read_text())["spots"]
+    assert [(s["id"], s["lat"]) for s in spots] == [("node/1", 2.0), ("way/7", 5.1)]
+    assert json.loads((tmp_path / "states" / "cursor").read_text())["sequenceNumber"] == 8
+
+
+def test_a_run_in_place_survives_its_own_failure(spark, tmp_path, monkeypatch):
+    """Old and new state share their paths; a crash before the commit leaves the old pair."""
+    at = lambda n: str(tmp_path / n)
+    spark.createDataFrame([obj("node", 1, 1, 59.0, 18.0, tags=PARK)], objects.SCHEMA).write.parquet(at("state"))
+    meta = {"schema": 1, "filterVersion": 2, "sequenceNumber": 10, "timestamp": "2026-07-22T00:00:00Z", "seededFrom": []}
+    state.write_text(spark, at("meta"), json.dumps(meta))
+    new = changes(spark, [(*obj("node", 2, 1, 60.0, 18.0, tags=PARK), "create", 11), (*obj("node", 1, 2), "delete", 12)])
+    none = spark.createDataFrame([], objects.SCHEMA)
+
+    def run(head):
+        return refresh.refresh(spark, at("meta"), at("state"), new, none, (head, "2026-07-24T00:00:00Z"), at("state"), at("meta"), at("out"), gate=False)
+
+    with monkeypatch.context() as m:
+        m.setattr(state, "advanced", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run(11)
+    assert state.read_meta(spark, at("meta")) == meta
+    assert run(11)["kinds"] == {"dog_park": 2} and run(12)["kinds"] == {"dog_park": 1}
+    now = state.read_meta(spark, at("meta"))
+    assert now["sequenceNumber"] == 12 and [r.id for r in spark.read.parquet(f"{at('state')}/{now['state']}").collect()] == [2]
+    assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("0000000")]) == 2  # the failed run's and the present one
+
+
+def test_text_files_are_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "f")
+    state.write_text(spark, path, "old")
+    with pytest.raises(ZeroDivisionError):
+        with state.TextFile(spark, path) as f:
+            f.write("half")
+            1 / 0
+    assert state.read_text(spark, path) == "old"
+    state.write_text(spark, path, "new")
+    assert state.read_text(spark, path) == "new" and state.read_text(spark, str(tmp_path / "none")) is None
+    assert not [p for p in tmp_path.iterdir() if p.name.endswith(".part")]
+
+
+def test_extracts_are_filtered_with_their_time(spark, tmp_path):
+    head = '<osm version="0.6" osmosis_replication_timestamp="{}">'
+    node = '<node id="{0}" version="{1}" timestamp="2026-01-01T00:00:00Z" lat="59" lon="18"><tag k="leisure" v="{2}"/></node>'
+    files = {"b.osm": ("2026-07-21T12:00:00Z", node.format(1, 2, "dog_park")), "a.osm": ("2026-07-23T00:00:00Z", node.format(1, 1, "dog_park") + node.format(2, 1, "pitch"))}
+    for name, (stamp, body) in files.items():
+        (tmp_path / name).write_text(head.format(stamp) + "\n" + body + "\n</osm>")
+    (tmp_path / "none.osm").write_text("<osm>" + node.format(1, 1, "dog_park") + "</osm>")
+    days = spark.createDataFrame([(5, "2026-07-20"), (6, "2026-07-21"), (7, "2026-07-22")], "seq long, d string").select("seq", F.col("d").cast("timestamp").alias("ts"))
+    merged, start = refresh.seed_from(spark, [str(tmp_path / n) for n in files], str(tmp_path / "work"), days)
+    assert [(r.id, r.version) for r in merged.collect()] == [(1, 2)] and start.first()[0] == 5
+    assert state.read_text(spark, str(tmp_path / "work" / "00001.timestamp")) == "2026-07-21T12:00:00Z"
+    for bad in ("none.osm",):
+        with pytest.raises(ValueError, match="no timestamp"):
+            refresh.filter_extract(spark, str(tmp_path / bad), str(tmp_path / "x"))
+        assert not (tmp_path / "x").exists()
+
+
+def test_fixes_become_events(spark, tmp_path):
+    rows = [{"session": "s", "seq": 1, "lat": 59.0, "lon": 18.0, "accuracy": 12.5}, {"session": "s", "seq": 2, "lat": 59.1, "lon": 18.0, "accuracy": "NaN"}, {"session": "s", "seq": 3, "error_code": 1}, {"session": "s", "seq": 4, "error_code": 9}, {"session": "s", "seq": 5}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    at_rest = sorted(map(tuple, fixes.events(fixes.read_fixes(spark, str(tmp_path / "in"))).collect()), key=lambda r: r[1])
+    assert [(r[1], r[2], json.loads(r[3])) for r in at_rest] == [(1, "position-fixed", {"lat": 59.0, "lon": 18.0, "accuracy": 12.5}), (2, "position-fixed", {"lat": 59.1, "lon": 18.0}), (3, "location-failed", {"reason": "PERMISSION_DENIED"}), (4, "location-failed", {"reason": "POSITION_UNAVAILABLE"})]
+    q = fixes.events(fixes.stream_fixes(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("fixes").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.table("fixes").collect()), key=lambda r: r[1]) == at_rest
+
+
+def test_a_batch_equals_a_plain_replay(spark):
+    """Every row of the batch form against the machine stepped by hand, a session at a time."""
+    df = events(spark)
+    got = {(r.session, r.seq): r for r in session.run_batch(df).collect()}
+    for name in {r.session for r in got.values()}:
+        now = dict(session.START)
+        for e in df.where(F.col("session") == name).orderBy("seq").collect():
+            try:
+                now, effects = session.step(now, e.kind, json.loads(e.payload))
+            except ValueError:
+                effects = []
+            r = got[name, e.seq]
+            assert (r.phase, r.source, r.picker, r.bathing, r.selected, r.n_spots, r.n_bathing) == (now["phase"], now["source"], now["picker"], now["bathing"], now["selected"], len(now["spots"]), len(now["bathing_spots"]))
+            assert (r.lat, r.lon) == (now["at"] or (None, None)) and json.loads(r.effects) == json.loads(json.dumps(effects))
 
 
 def failing(errors, answer="ok"):

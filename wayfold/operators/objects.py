@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
+from wayfold.operators.durable import durable
 
 TYPES = ["node", "way", "relation"]
 SCHEMA = "type string, id long, version int, ts timestamp, lat double, lon double, refs array<long>, members array<struct<type:string,ref:long,role:string>>, tags map<string,string>"
@@ -40,13 +41,17 @@ def newest(*snapshots: DataFrame) -> DataFrame:
     return _pick(every, ["type", "id"], ["version", "ts"])
 
 
+def latest(changes: DataFrame) -> DataFrame:
+    """The last change of each (type, id): the greatest (seq, version)."""
+    return _pick(changes, ["type", "id"], ["seq", "version"])
+
+
 def replay(state: DataFrame, changes: DataFrame, after: int = 0) -> DataFrame:
     """State with all changes of files later than ``after``: the latest (seq, version) wins,
     and objects whose latest change deletes them go."""
     base = state.withColumns({"op": F.lit("keep"), "seq": F.lit(after).cast("long")})
     later = changes.where(F.col("seq") > after).select(*base.columns)
-    last = _pick(base.unionByName(later), ["type", "id"], ["seq", "version"])
-    return last.where("op <> 'delete'").select(*state.columns)
+    return latest(base.unionByName(later)).where("op <> 'delete'").select(*state.columns)
 
 
 def references(objects: DataFrame) -> DataFrame:
@@ -68,19 +73,39 @@ def incomplete_parents(missing: DataFrame) -> DataFrame:
     return missing.select(F.col("parent_type").alias("type"), F.col("parent_id").alias("id")).distinct()
 
 
-def reach(objects: DataFrame, start: DataFrame, levels: int = 3) -> DataFrame:
-    """Objects of ``start`` (type, id) and all that they refer to, ``levels`` steps deep."""
-    wanted, edge = start, references(objects)
-    for _ in range(levels):
-        step = edge.join(wanted.select(F.col("type").alias("parent_type"), F.col("id").alias("parent_id")), ["parent_type", "parent_id"], "left_semi")
-        wanted = wanted.unionByName(step.select(F.col("child_type").alias("type"), F.col("child_id").alias("id"))).distinct()
+def reach(objects: DataFrame, start: DataFrame) -> DataFrame:
+    """Objects of ``start`` (type, id) and all that they refer to, however deep.
+
+    Only relations nest, so relations in relations are followed until none is new (a round
+    for each level, the edges written once); their ways, and then the ways' nodes, follow."""
+    edge = references(objects)
+    inner = edge.where("child_type = 'relation'").select("parent_id", "child_id")
+    relations = start.where("type = 'relation'").select("id").distinct()
+    if inner.limit(1).count():
+        inner = durable(inner, "nested")
+        found = new = durable(relations, "reached")
+        while True:
+            new = durable(inner.join(new.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select(F.col("child_id").alias("id")).distinct().join(found, "id", "left_anti"), "reached")
+            if not new.limit(1).count():
+                break
+            found = found.unionByName(new)
+        relations = found
+    wanted = start.select("type", "id").unionByName(relations.select(F.lit("relation").alias("type"), "id")).distinct()
+
+    def below(kind: str, of: DataFrame) -> DataFrame:
+        step = edge.where((F.col("parent_type") == kind) & (F.col("child_type") != "relation"))
+        parents = of.where(F.col("type") == kind).select(F.col("id").alias("parent_id"))
+        return step.join(parents, "parent_id", "left_semi").select(F.col("child_type").alias("type"), F.col("child_id").alias("id"))
+
+    wanted = wanted.unionByName(below("relation", wanted)).distinct()
+    wanted = wanted.unionByName(below("way", wanted)).distinct()
     return objects.join(wanted, ["type", "id"], "left_semi").select(*objects.columns)
 
 
-def closure(objects: DataFrame, kept: Column, levels: int = 3) -> DataFrame:
-    """Objects that meet ``kept`` and all that they refer to: relations to ways to nodes, and
-    relations in relations up to ``levels`` deep in all."""
-    return reach(objects, objects.where(kept).select("type", "id"), levels)
+def closure(objects: DataFrame, kept: Column) -> DataFrame:
+    """Objects that meet ``kept`` and all that they refer to: relations in relations to any
+    depth, their ways, and the ways' nodes."""
+    return reach(objects, objects.where(kept).select("type", "id"))
 
 
 def repair(state: DataFrame, source: DataFrame, kept: Column, passes: int = MAX_REPAIR_PASSES, budget: int = MAX_REPAIRS, cut: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, dict]:
@@ -102,7 +127,7 @@ def repair(state: DataFrame, source: DataFrame, kept: Column, passes: int = MAX_
         if not asked:
             break
         have = source.join(todo, ["type", "id"], "left_semi").count()
-        whole = reach(source, todo, 2)
+        whole = reach(source, todo)
         report = {"passes": report["passes"] + 1, "fetched": report["fetched"] + have, "gone": report["gone"] + asked - have}
         tried = todo if tried is None else tried.unionByName(todo)
         state = cut(newest(state, whole.select(*state.columns)))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, ids, seasonal, tags
+from wayfold.operators.durable import durable
 
 SCHEMA = f"id string, kind string, name string, lat double, lon double, tags struct<leash_required:boolean,fenced:boolean,lit:boolean,surface:string>, provenance string, seasonal {seasonal.RULE_TYPE}"
 
@@ -36,11 +37,6 @@ def within(places: DataFrame, lat: float, lon: float, radius_m: float, kind: str
     return some.withColumn("meters", geo.haversine_m(at_lat, at_lon, F.col("lat"), F.col("lon"))).where(F.col("meters") <= r)
 
 
-def cells(lat, lon, size: float):
-    """Grid cell of a position as (row, column)."""
-    return F.floor(lat / size).cast("long"), F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / size).cast("long")
-
-
 def near_points(places: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
     """Every (point, place) at most ``radius_m`` apart, with ``meters``.
 
@@ -80,12 +76,28 @@ def agree(a, b):
 def _close_pairs(rows: DataFrame, by: Sequence[str] = (), limit_m: float = COLLAPSE_M) -> DataFrame:
     """by, kind, node_id, area_id, meters of every node and area that one could collapse into.
 
-    Joined on kind and latitude band, nodes standing in three bands; never all with all."""
+    Joined on kind and grid cell: bands of latitude, each parted into as many equal cells of
+    longitude as keep a cell wider than the limit anywhere in the band and its neighbours
+    (one cell at the poles). Nodes stand in their own cell and those around it, so the work
+    grows with the places near each other, never with all of a latitude."""
     size = max(_BAND, limit_m / 111_000.0 * 1.1)
     band = F.floor(F.col("lat") / size)
-    keys = [*by, "kind", "__band"]
-    nodes = rows.where(ids.is_node(F.col("id"))).select(*by, "kind", F.explode(F.array(band - 1, band, band + 1)).alias("__band"), F.col("id").alias("node_id"), F.col("name").alias("__name"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
-    areas = rows.where(ids.is_area(F.col("id"))).select(*by, "kind", band.alias("__band"), F.col("id").alias("area_id"), "name", "lat", "lon")
+
+    def columns(b):
+        """How many cells the band has."""
+        far = F.least(F.greatest(F.abs(b), F.abs(b + 1)) * size + size, F.lit(90.0))
+        return F.greatest(F.lit(1), F.floor(F.cos(F.radians(far)) * (360.0 / size)).cast("int"))
+
+    def cell(b):
+        return F.least(F.floor(F.pmod(F.col("lon") + 180.0, F.lit(360.0)) / 360.0 * columns(b)).cast("int"), columns(b) - 1)
+
+    def around(b):
+        return F.transform(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(cell(b) + d, columns(b)))), lambda c: F.struct(b.alias("band"), c.alias("cell")))
+
+    keys = [*by, "kind", "__band", "__cell"]
+    nodes = rows.where(ids.is_node(F.col("id"))).select(*by, "kind", F.explode(F.flatten(F.array(around(band - 1), around(band), around(band + 1)))).alias("__at"), F.col("id").alias("node_id"), F.col("name").alias("__name"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    nodes = nodes.withColumns({"__band": F.col("__at.band"), "__cell": F.col("__at.cell")}).drop("__at")
+    areas = rows.where(ids.is_area(F.col("id"))).select(*by, "kind", band.alias("__band"), cell(band).alias("__cell"), F.col("id").alias("area_id"), "name", "lat", "lon")
     both = nodes.join(areas, keys).withColumn("meters", geo.haversine_m(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon")))
     return both.where((F.col("meters") <= limit_m) & agree(F.col("__name"), F.col("name"))).select(*by, "kind", "node_id", "area_id", "meters")
 
@@ -115,15 +127,10 @@ def collapse(rows: DataFrame, by: Sequence[str] = (), limit_m: float = COLLAPSE_
     return left.select(*rows.columns)
 
 
-def expanding_counts(places: DataFrame, points: DataFrame, kind: str, radii: Sequence[float] = RADII_M, enough: int | None = None) -> DataFrame:
-    """query_id, searched_radius_m, n for every point: the first radius that holds ``enough``
-    places after collapse, else the widest; none within the widest is an answer too.
-
-    A node is collapsed at a radius that covers both it and an area to collapse into. Such
-    pairs don't depend on the point, so they are found once among the places, and a point
-    only needs the least radius at which each node is gone; one aggregate counts all radii."""
-    some = places.where(F.col("kind") == kind)
-    near = near_points(some.select("id", "lat", "lon"), points.select("query_id", "at_lat", "at_lon"), float(max(radii))).select("query_id", "id", "meters")
+def _counts(near: DataFrame, points: DataFrame, some: DataFrame, kind: str, radii: Sequence[float], enough: int | None) -> DataFrame:
+    """query_id, searched_radius_m, n from ``near``: query_id, id, meters to the widest radius."""
+    # one row a node of each point: the least radius that covers it and an area to collapse into
+    near = near.select("query_id", "id", "meters")
     pairs = _close_pairs(some).select("node_id", "area_id")
     area = near.select("query_id", F.col("id").alias("area_id"), F.col("meters").alias("area_m"))
     gone = near.join(pairs, F.col("id") == F.col("node_id")).join(area, ["query_id", "area_id"])
@@ -138,14 +145,39 @@ def expanding_counts(places: DataFrame, points: DataFrame, kind: str, radii: Seq
     return got.select("query_id", F.col("__pick.r").alias("searched_radius_m"), F.col("__pick.n").alias("n"))
 
 
+def expanding_counts(places: DataFrame, points: DataFrame, kind: str, radii: Sequence[float] = RADII_M, enough: int | None = None) -> DataFrame:
+    """query_id, searched_radius_m, n for every point: the first radius that holds ``enough``
+    places after collapse, else the widest; none within the widest is an answer too.
+
+    A node is collapsed at a radius that covers both it and an area to collapse into. Such
+    pairs don't depend on the point, so they are found once among the places, and a point
+    only needs the least radius at which each node is gone; one aggregate counts all radii.
+    What lies near the points is joined once and written, since three joins read it."""
+    some = places.where(F.col("kind") == kind)
+    near = durable(near_points(some.select("id", "lat", "lon"), points.select("query_id", "at_lat", "at_lon"), float(max(radii))).select("query_id", "id", "meters"), "near")
+    return _counts(near, points, some, kind, radii, enough)
+
+
 def expanding(places: DataFrame, points: DataFrame, kind: str, radii: Sequence[float] = RADII_M, enough: int | None = None) -> DataFrame:
     """For each point the collapsed places of its searched radius (expanding_counts), with
     ``meters`` and ``searched_radius_m``."""
-    asked = points.select("query_id", "at_lat", "at_lon")
-    reached = expanding_counts(places, asked, kind, radii, enough).select("query_id", "searched_radius_m")
-    near = near_points(places.where(F.col("kind") == kind), asked, float(max(radii)))
+    some, asked = places.where(F.col("kind") == kind), points.select("query_id", "at_lat", "at_lon")
+    near = durable(near_points(some, asked, float(max(radii))), "near")
+    reached = _counts(near, asked, some, kind, radii, enough).select("query_id", "searched_radius_m")
     inside = near.join(reached, "query_id").where(F.col("meters") <= F.col("searched_radius_m"))
-    return collapse(inside, ["query_id"])
+    return collapse(durable(inside, "inside"), ["query_id"])
+
+
+def extent(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """south, north, west, east: the box that holds all positions, for each ``by``."""
+    return rows.groupBy(*by).agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
+
+
+def union_layers(parks: DataFrame, bathing: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Both layers, an id once; the park wins. Partly aggregated, so no id is sorted."""
+    both = parks.withColumn("layer", F.lit(0)).unionByName(bathing.withColumn("layer", F.lit(1)))
+    one = both.groupBy(*by, "id").agg(F.min_by(F.struct(*both.columns), F.struct("layer", "kind", "lat", "lon")).alias("__row"))
+    return one.select("__row.*")
 
 
 def union_layers(parks: DataFrame, bathing: DataFrame, by: Sequence[str] = ()) -> DataFrame:

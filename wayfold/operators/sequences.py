@@ -67,9 +67,19 @@ def fresh(entries: DataFrame, now: Column, ttl_ms: int = TTL_MS) -> DataFrame:
 
 
 def whole_entries(entries: DataFrame) -> DataFrame:
-    """Entries all of whose spots hold what a spot must; one bad spot refuses the entry."""
-    good = F.forall("spots", lambda s: s["id"].isNotNull() & s["kind"].isin("dog_park", "bathing_spot") & s["lat"].isNotNull() & s["lon"].isNotNull() & s["provenance"].isin("designated", "permitted", "name-match"))
-    return entries.where(F.coalesce(good, F.lit(False)))
+    """Entries all of whose spots hold what a spot must; one bad spot refuses the entry. A
+    season is nothing, unparsed, or a ban between two days of a calendar."""
+
+    def day(d: Column) -> Column:
+        return F.coalesce(d["month"].between(1, 12) & d["day"].between(1, 31), F.lit(False))
+
+    def good(s: Column) -> Column:
+        season = s["seasonal"].isNull() | F.coalesce(s["seasonal"]["kind"] == "unparsed", F.lit(False)) | (F.coalesce(s["seasonal"]["kind"] == "ban", F.lit(False)) & day(s["seasonal"]["from"]) & day(s["seasonal"]["to"]))
+        number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+        named = F.coalesce((s["id"] != "") & s["kind"].isin("dog_park", "bathing_spot") & s["provenance"].isin("designated", "permitted", "name-match"), F.lit(False))
+        return named & number(s["lat"]) & number(s["lon"]) & s["tags"].isNotNull() & season
+
+    return entries.where(F.coalesce(F.forall("spots", good), F.lit(False)) & F.col("stored_at").isNotNull())
 
 
 def answer_through_cache(questions: DataFrame, entries: DataFrame, now: Column, ttl_ms: int = TTL_MS) -> DataFrame:
@@ -79,12 +89,17 @@ def answer_through_cache(questions: DataFrame, entries: DataFrame, now: Column,
     return questions.join(newest, "key", "left").withColumn("hit", F.col("spots").isNotNull())
 
 
+def current_prefix(key: Column, prefixes: tuple[str, ...]) -> Column:
+    """Whether a key starts with one of the prefixes in use."""
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | key.startswith(p)
+    return out
+
+
 def stale_keys(entries: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
     """Keys that start with no current prefix."""
-    current = F.lit(False)
-    for p in prefixes:
-        current = current | F.col("key").startswith(p)
-    return entries.where(~current).select("key")
+    return entries.where(~current_prefix(F.col("key"), prefixes)).select("key")
 
 
 def gate_counts(places: DataFrame, region: str) -> DataFrame:

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import density, errors, geo, ids, present, seasonal, tags
 from wayfold.operators import objects, places
 from wayfold.operators import sequences as seqs
+from wayfold.operators.durable import durable
 from wayfold.plans import refresh
 from wayfold.plans.derive import oracle, relation
 from wayfold.streaming import session
@@ -79,8 +80,8 @@ def twins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dog parks within 25 km of central Stockholm, nearest first."""
-    near = places.within(at(spark, sf_dir, "spots"), *STOCKHOLM, 25_000, "dog_park")
+    """Dog parks within 50 km of central Stockholm, nearest first."""
+    near = places.within(at(spark, sf_dir, "spots"), *STOCKHOLM, 50_000, "dog_park")
     return near.orderBy("meters", "id").select("id", present.spot_label(F.col("name"), F.col("kind")).alias("label"), F.round("meters", 3).alias("meters"), present.format_distance(F.col("meters")).alias("distance"))
 
 
@@ -195,7 +196,7 @@ def marker_diff(spark, d):
 
 @query("viewport_extent", "SELECT kind, min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east FROM {spots} GROUP BY kind")
 def viewport_extent(spark, d):
-    return at(spark, d, "spots").groupBy("kind").agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
+    return places.extent(at(spark, d, "spots"), ["kind"])
 
 
 # --- coverage and density ----------------------------------------------------------------
@@ -391,7 +392,9 @@ def layer_note(spark, d):
 
 @query("newest_version_wins", "SELECT type, id, version, payload FROM (SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY version DESC, seq DESC, payload DESC) AS n FROM {objects}) WHERE n = 1")
 def newest_version_wins(spark, d):
-    return objects._pick(at(spark, d, "objects").drop("op"), ["type", "id"], ["version", "seq", "payload"]).select("type", "id", "version", "payload")
+    rows = at(spark, d, "objects").withColumn("ts", F.timestamp_seconds("seq"))
+    # any number of snapshots: three, by the change number
+    return objects.newest(*(rows.where(F.col("seq") % 3 == k) for k in range(3))).select("type", "id", "version", "payload")
 
 
 @query("diff_replay", """WITH state AS (SELECT type, id, version, payload, CAST(0 AS BIGINT) AS seq, 'keep' AS op FROM {objects} WHERE seq % 3 = 0),
@@ -435,11 +438,52 @@ def geometry_assembly(spark, d):
     return objects.assemble(way_objects(spark, d), tags.is_dog_park(tags.of_map("tags"))).select("type", "id", "lat", "lon")
 
 
-@query("bbox_center", "SELECT way, round((min(lat) + max(lat)) / 2, 7) AS lat, round((min(lon) + max(lon)) / 2, 7) AS lon FROM {way_nodes} w JOIN {nodes} p ON p.node = w.node GROUP BY way")
+@query("bbox_center", "SELECT way, round((min(lat) + max(lat)) / 2, 7) AS lat, round((min(lon) + max(lon)) / 2, 7) AS lon FROM {way_nodes} w LEFT JOIN {nodes} p ON p.node = w.node GROUP BY way HAVING count(*) = count(lat)")
 def bbox_center(spark, d):
-    both = at(spark, d, "way_nodes").join(at(spark, d, "nodes"), "node")
-    mid = lambda c: geo.round_coord((F.min(c) + F.max(c)) / 2).alias(c)
-    return both.groupBy("way").agg(mid("lat"), mid("lon"))
+    """The middle of every way whose nodes are all there."""
+    out = objects.assemble(way_objects(spark, d), F.col("type") == "way")
+    return out.select(F.col("id").alias("way"), "lat", "lon")
+
+
+def nested_objects(spark: SparkSession, d: str) -> DataFrame:
+    """The ways and nodes, with relations of three levels above them: customers hold their
+    orders' ways, nations their customers, regions their nations; every ninth nation holds
+    its region too, so relations refer to each other in circles."""
+    none = lambda t: F.lit(None).cast(t)
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    member = lambda kind, ref: F.struct(F.lit(kind).alias("type"), ref.cast("long").alias("ref"), F.lit("").alias("role")).alias("m")
+    nation, region = F.col("n_nationkey") + 1_000_000_000, F.col("n_regionkey") + 2_000_000_000
+    ways = spark.sql("SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS o_orderkey FROM {lineitem}", lineitem=read("lineitem"))
+    held = read("orders").join(ways, "o_orderkey").select(F.col("o_custkey").cast("long").alias("id"), member("way", F.col("o_orderkey")))
+    held = held.unionByName(read("customer").select((F.col("c_nationkey") + 1_000_000_000).cast("long").alias("id"), member("relation", F.col("c_custkey"))))
+    held = held.unionByName(read("nation").select(region.cast("long").alias("id"), member("relation", nation)))
+    held = held.unionByName(read("nation").where("n_nationkey % 9 = 0").select(nation.cast("long").alias("id"), member("relation", region)))
+    relations = held.groupBy("id").agg(F.array_sort(F.collect_list("m")).alias("members"))
+    park = F.when((F.col("id") >= 2_000_000_000) & (F.col("id") % 2 == 0), "dog_park").otherwise("garden")
+    relations = relations.select(F.lit("relation").alias("type"), "id", none("double").alias("lat"), none("double").alias("lon"), none("array<bigint>").alias("refs"), "members", F.map_from_arrays(F.array(F.lit("leisure")), F.array(park)).alias("tags"))
+    plain = way_objects(spark, d).withColumn("tags", none("map<string,string>"))
+    return plain.unionByName(relations.select(*plain.columns))
+
+
+@query("closure_nested", """WITH w AS (SELECT DISTINCT way FROM {way_nodes}), r AS (SELECT n_regionkey AS k FROM {nation} WHERE n_regionkey % 2 = 0 GROUP BY 1),
+back AS (SELECT DISTINCT n_nationkey, n_regionkey FROM {nation} WHERE n_regionkey IN (SELECT k FROM r)),
+c AS (SELECT DISTINCT CAST(c_custkey AS BIGINT) AS id FROM {customer} WHERE c_nationkey IN (SELECT n_nationkey FROM back)),
+held AS (SELECT DISTINCT CAST(o_orderkey AS BIGINT) AS way, CAST(o_custkey AS BIGINT) AS id FROM {orders} WHERE o_orderkey IN (SELECT way FROM w)),
+taken AS (SELECT DISTINCT way FROM held WHERE id IN (SELECT id FROM c))
+SELECT 'relation' AS type, CAST(k + 2000000000 AS BIGINT) AS id FROM r UNION ALL SELECT 'relation', CAST(n_nationkey + 1000000000 AS BIGINT) FROM back WHERE n_nationkey IN (SELECT c_nationkey FROM {customer}) OR n_nationkey % 9 = 0
+UNION ALL SELECT 'relation', id FROM c WHERE id IN (SELECT id FROM held) UNION ALL SELECT 'way', way FROM taken
+UNION ALL SELECT 'node', node FROM {nodes} WHERE node IN (SELECT node FROM {way_nodes} WHERE way IN (SELECT way FROM taken))""")
+def closure_nested(spark, d):
+    return objects.closure(nested_objects(spark, d), tags.is_dog_park(tags.of_map("tags"))).select("type", "id")
+
+
+@query("relation_assembly", """WITH ways AS (SELECT way, min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM {way_nodes} w LEFT JOIN {nodes} p ON p.node = w.node GROUP BY way HAVING count(*) = count(lat)),
+held AS (SELECT CAST(o_orderkey AS BIGINT) AS way, CAST(o_custkey AS BIGINT) AS id FROM {orders} WHERE o_orderkey IN (SELECT way FROM {way_nodes}))
+SELECT id, round((min(a) + max(b)) / 2, 7) AS lat, round((min(c) + max(d)) / 2, 7) AS lon FROM held h LEFT JOIN ways w ON w.way = h.way GROUP BY id HAVING count(*) = count(a)""")
+def relation_assembly(spark, d):
+    """The middle of every customer's ways, where all of them are whole."""
+    rows = nested_objects(spark, d)
+    return objects.assemble(rows, (F.col("type") == "relation") & (F.col("id") < 1_000_000_000)).select("id", "lat", "lon")
 
 
 _NEAR_STHLM = hav("59.3293", "18.0686", "lat", "lon")
@@ -543,17 +587,24 @@ def geocode_limit(spark, d):
     return seqs.geocode(rows, "a")
 
 
-# --- beyond SQL --------------------------------------------------------------------------
+# --- repair, sessions, whole conversion ---------------------------------------------------
 
 
-@query("repair_loop", None)
+@query("repair_loop", """WITH w AS (SELECT DISTINCT way FROM {way_nodes}), broken AS (SELECT DISTINCT way FROM {way_nodes} WHERE node NOT IN (SELECT node FROM {nodes})),
+fetched AS (SELECT way FROM broken WHERE way % 5 <> 0), brought AS (SELECT DISTINCT node FROM {way_nodes} WHERE way IN (SELECT way FROM fetched) AND node % 34 <> 0),
+report AS (SELECT 1 AS passes, (SELECT count(*) FROM fetched) AS fetched, (SELECT count(*) FROM broken) - (SELECT count(*) FROM fetched) AS gone)
+SELECT 'way' AS type, way AS id, CASE WHEN way IN (SELECT way FROM fetched) THEN 2 ELSE 1 END AS version, passes, fetched, gone FROM w, report
+UNION ALL SELECT 'node', node, CASE WHEN node IN (SELECT node FROM brought) THEN 2 ELSE 1 END, passes, fetched, gone FROM (SELECT node FROM {nodes} UNION SELECT node FROM brought) n, report""")
 def repair_loop(spark, d):
-    """Ways with missing nodes, repaired from a source that has every node; the state after."""
-    state = way_objects(spark, d).withColumns({"version": F.lit(1), "ts": F.lit(None).cast("timestamp")}).select("type", "id", "version", "ts", "lat", "lon", "refs", "members", "tags")
+    """Ways with missing nodes, repaired in up to two passes. The source lacks every fifth way
+    (gone) and some nodes, whose ways stay incomplete but aren't asked for again."""
     none = lambda t: F.lit(None).cast(t)
-    part = spark.read.parquet(f"{d}/part.parquet").select(F.lit("node").alias("type"), F.col("p_partkey").cast("long").alias("id"), F.lit(2).alias("version"), none("timestamp").alias("ts"), F.lit(59.0).alias("lat"), F.lit(18.0).alias("lon"), none("array<bigint>").alias("refs"), none("array<struct<type:string,ref:bigint,role:string>>").alias("members"), none("map<string,string>").alias("tags"))
-    fixed, _ = objects.repair(state, state.where("type = 'way'").unionByName(part), F.lit(True), passes=1, budget=1_000_000_000)
-    return fixed.groupBy("type", "version").agg(F.count(F.lit(1)).alias("n"))
+    state = way_objects(spark, d).withColumns({"version": F.lit(1), "ts": none("timestamp")}).select("type", "id", "version", "ts", "lat", "lon", "refs", "members", "tags")
+    part = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 34 <> 0").select(F.lit("node").alias("type"), F.col("p_partkey").cast("long").alias("id"), F.lit(2).alias("version"), none("timestamp").alias("ts"), F.lit(59.0).alias("lat"), F.lit(18.0).alias("lon"), none("array<bigint>").alias("refs"), none("array<struct<type:string,ref:bigint,role:string>>").alias("members"), none("map<string,string>").alias("tags"))
+    source = state.where("type = 'way' AND id % 5 <> 0").withColumn("version", F.lit(2)).unionByName(part)
+    # the budget of a daily run is far below what line items leave to repair
+    fixed, report = objects.repair(durable(state, "state"), durable(source, "source"), F.lit(True), budget=1_000_000_000, cut=durable)
+    return fixed.select("type", "id", "version", *(F.lit(report[k]).cast("int" if k == "passes" else "long").alias(k) for k in ("passes", "fetched", "gone")))
 
 
 def session_events(spark: SparkSession, d: str) -> DataFrame:
@@ -571,25 +622,43 @@ def session_machine(spark, d):
     return session.run_batch(session_events(spark, d))
 
 
-@query("geojson_depth", None)
+_SHAPE = "n % 9"  # which of the nine forms below
+
+
+@query("geojson_depth", f"""WITH made AS (
+  SELECT {_ID} AS id, 'dog_park' AS kind, lat, lon, 'designated' AS provenance FROM {{tagged}} WHERE {_PARK} AND {_SHAPE} <> 8
+  UNION ALL SELECT {_ID}, 'bathing_spot', lat, lon, {_GRADE} FROM {{tagged}} WHERE coalesce(leisure IN ('bathing_place', 'swimming_area') AND dog IN ('yes', 'designated'), false) AND {_SHAPE} <> 8
+) SELECT id, kind, round(lat, 7) AS lat, round(lon, 7) AS lon, provenance FROM (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY lat, lon, provenance) AS one FROM made) WHERE one = 1""")
 def geojson_depth(spark, d):
-    """Features of every nesting built from parts, read as GeoJSON and converted."""
+    """Features of every nesting built from parts, read as GeoJSON and converted: positions
+    up to six lists deep, collections up to five deep, and some with an unreadable member."""
     from wayfold.sources.features import to_rows
 
     t = at(spark, d, "tagged")
     p = F.concat(F.lit("["), F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit("]"))
     line = F.concat(F.lit("["), p, F.lit(","), p, F.lit("]"))
     shape = lambda kind, c: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), c, F.lit("}"))
-    polygon, multi = F.concat(F.lit("["), line, F.lit("]")), F.concat(F.lit("[["), line, F.lit("]]"))
-    geometry = F.when(F.col("n") % 5 == 0, shape("Point", p)).when(F.col("n") % 5 == 1, shape("LineString", line)).when(F.col("n") % 5 == 2, shape("Polygon", polygon)).when(F.col("n") % 5 == 3, shape("MultiPolygon", multi)).otherwise(F.concat(F.lit('{"type":"GeometryCollection","geometries":['), shape("Point", p), F.lit(","), shape("LineString", line), F.lit("]}")))
+    deep = lambda c, k: F.concat(F.lit("[" * k), c, F.lit("]" * k))
+
+    def collection(k: int, *members) -> Column:
+        inside = F.concat_ws(",", *members)
+        for _ in range(k):
+            inside = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), inside, F.lit("]}"))
+        return inside
+
+    point = shape("Point", p)
+    forms = [point, shape("LineString", line), shape("Polygon", deep(line, 1)), shape("MultiPolygon", deep(line, 2)), shape("Deep", deep(line, 5)), collection(1, point, shape("LineString", line)), collection(3, point, point), collection(5, shape("Deep", deep(line, 4))), collection(2, point, shape("Point", F.lit('["x",1]')))]
+    geometry = forms[-1]
+    for k, form in enumerate(forms[:-1]):
+        geometry = F.when(F.col("n") % len(forms) == k, form).otherwise(geometry)
     properties = F.to_json(F.create_map(F.lit("leisure"), F.coalesce("leisure", F.lit("none")), F.lit("dog"), F.coalesce("dog", F.lit("none"))))
     text = F.concat(F.lit('{"type":"Feature","id":"'), F.col("feature"), F.lit('","properties":'), properties, F.lit(',"geometry":'), geometry, F.lit("}"))
     rows = to_rows(t.select(F.parse_json(text).alias("f")))
     return places.once(places.from_features(rows, tags.of_map("tags"))).select("id", "kind", "lat", "lon", "provenance")
 
 
-@query("planet_places", None)
+@query("planet_places", "SELECT 'way/' || CAST(way AS VARCHAR) AS id, 'dog_park' AS kind, round((min(lat) + max(lat)) / 2, 7) AS lat, round((min(lon) + max(lon)) / 2, 7) AS lon FROM {way_nodes} w LEFT JOIN {nodes} p ON p.node = w.node WHERE way % 4 = 0 GROUP BY way HAVING count(*) = count(lat)")
 def planet_places(spark, d):
     """The whole conversion: preselect with references, assemble, convert, one of each."""
-    kept = refresh.durable(refresh.preselect(way_objects(spark, d)))
+    kept = durable(refresh.preselect(durable(way_objects(spark, d), "objects")), "kept")
     return refresh.to_places(kept).select("id", "kind", "lat", "lon")

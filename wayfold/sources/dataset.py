@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayfold.functions.seasonal import RULE_TYPE
 from wayfold.operators import places
 from wayfold.operators.sequences import assert_sane
-from wayfold.sources.state import write_text
+from wayfold.sources.state import TextFile, write_text
 
 # Fixed values of the envelope.
 DATASET_SCHEMA = 1
@@ -133,13 +133,20 @@ def as_json(rows: DataFrame) -> DataFrame:
 def publish(rows: DataFrame, coverage: dict, region: str, generated_at: str, path: str, table: str | None = None, gate: bool = True) -> None:
     """Write the single JSON file (and a Parquet table) once the gates have passed.
 
-    The file is for small clients and is one by contract, so its rows come to the driver in
-    order, a partition at a time; the table is the main store."""
+    The file is for small clients and is one by contract, so its rows pass through the driver
+    in order, a partition at a time, straight into the file; the table is the main store."""
     if gate:
         assert_sane(rows, region, len(coverage["include"]))
     if table:
         rows.repartitionByRange("lat").sortWithinPartitions("lat", "lon").write.mode("overwrite").parquet(table)
     head = {"schema": DATASET_SCHEMA, "generatedAt": generated_at, "region": region, "attribution": ATTRIBUTION, "license": LICENSE, "coverage": {k: [[list(p) for p in r] for r in v] for k, v in coverage.items()}}
     start = json.dumps(head, ensure_ascii=False, separators=(",", ":"))[:-1]
-    body = ",".join(r["value"] for r in as_json(rows.select(*places.COLUMNS)).toLocalIterator())
-    write_text(rows.sparkSession, path, f'{start},"spots":[{body}]}}')
+    with TextFile(rows.sparkSession, path) as f:
+        f.write(f'{start},"spots":[')
+        held, first = [], True
+        for r in as_json(rows.select(*places.COLUMNS)).toLocalIterator():
+            held.append(r["value"])
+            if len(held) == 1000:
+                f.write(("" if first else ",") + ",".join(held))
+                held, first = [], False
+        f.write(("," if held and not first else "") + ",".join(held) + "]}")

@@ -7,51 +7,41 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo, ids
 
+#: A JSON number, and a position as it begins: longitude and latitude, whatever follows.
+_NUMBER = r"-?[0-9][0-9.]*(?:[eE][+-]?[0-9]+)?"
+_POSITION = rf"\[({_NUMBER}),({_NUMBER})(?:,[^\[\]]*+)?\]"
 
 
 def _is(v: Column, kind: str) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
 
 
-def _list(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
-
-
-#: How deep positions may be nested in coordinates (a MultiPolygon's are three deep), and
-#: collections in collections.
-DEPTH, COLLECTIONS = 4, 2
-
-
-def _number(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.lit(False))
-
-
-def _opened(items: Column, closed, entries) -> Column:
-    """Items that aren't ``closed`` replaced by their entries, or by null where they have none."""
+def _members(geometry: Column) -> Column:
+    """The geometries that aren't collections, from collections of any depth; a null among
+    them stands for one that can't be read. Opens a level at a time, as many times as the
+    geometry names collections."""
     none = F.array(F.lit(None).cast("variant"))
+    named = F.coalesce(F.to_json(geometry), F.lit(""))
+    levels = F.floor((F.length(named) - F.length(F.replace(named, F.lit("GeometryCollection"), F.lit("")))) / len("GeometryCollection")).cast("int")
+    rounds = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
 
-    def one(v: Column) -> Column:
-        below = entries(v)
-        return F.when(closed(v), F.array(v)).when(F.size(below) > 0, below).otherwise(none)
-
-    return F.flatten(F.transform(items, one))
-
+    def opened(g: Column) -> Column:
+        within = F.try_variant_get(g, "$.geometries", "array<variant>")
+        closed = F.coalesce(F.try_variant_get(g, "$.type", "string") != "GeometryCollection", F.lit(True))
+        return F.when(closed, F.array(g)).otherwise(F.coalesce(within, none))
 
-def _positions(geometry: Column) -> Column:
-    """All positions as variants; a null among them poisons the geometry."""
-    kind = lambda g: F.coalesce(F.try_variant_get(g, "$.type", "string") != "GeometryCollection", F.lit(True))
-    parts = F.array(geometry)
-    for _ in range(COLLECTIONS):
-        parts = _opened(parts, kind, lambda g: F.try_variant_get(g, "$.geometries", "array<variant>"))
-    points = F.transform(parts, lambda g: F.try_variant_get(g, "$.coordinates", "variant"))
-    for _ in range(DEPTH):
-        points = _opened(points, lambda v: _number(F.try_variant_get(v, "$[0]", "variant")), _list)
-    return points
+    return F.aggregate(rounds, F.array(geometry), lambda all_, _: F.flatten(F.transform(all_, opened)))
 
 
-def _point(v: Column) -> Column:
-    both = _number(F.try_variant_get(v, "$[0]", "variant")) & _number(F.try_variant_get(v, "$[1]", "variant"))
-    return F.when(both, F.struct(F.try_variant_get(v, "$[1]", "double").alias("lat"), F.try_variant_get(v, "$[0]", "double").alias("lon")))
+def _positions(coordinates: Column) -> Column:
+    """array<struct<lat, lon>> of a ``coordinates`` value nested to any depth; null where any
+    entry is no position (or holds lists behind its two numbers), or a list is empty."""
+    text = F.to_json(coordinates)
+    rest = F.regexp_replace(text, _POSITION, "p")
+    whole = rest.rlike(r"^[\[\],p]*p[\[\],p]*$") & ~rest.contains("[]")
+    numbers = lambda k: F.transform(F.regexp_extract_all(text, F.lit(_POSITION), F.lit(k)), lambda x: x.cast("double"))
+    pairs = F.arrays_zip(numbers(2).alias("lat"), numbers(1).alias("lon"))
+    return F.when(F.coalesce(whole, F.lit(False)), pairs)
 
 
 def centre(geometry: Column) -> Column:
@@ -60,11 +50,12 @@ def centre(geometry: Column) -> Column:
 
     def middle(points: Column) -> Column:
         lat, lon = F.transform(points, lambda p: p["lat"]), F.transform(points, lambda p: p["lon"])
-        whole = F.forall(points, lambda p: p.isNotNull() & (F.abs(p["lat"]) < float("inf")) & (F.abs(p["lon"]) < float("inf")))
+        whole = F.forall(points, lambda p: (F.abs(p["lat"]) < float("inf")) & (F.abs(p["lon"]) < float("inf")))
         at = F.struct(geo.round_coord((F.array_min(lat) + F.array_max(lat)) / 2).alias("lat"), geo.round_coord((F.array_min(lon) + F.array_max(lon)) / 2).alias("lon"))
         return F.when((F.size(points) > 0) & F.coalesce(whole, F.lit(False)), at)
 
-    return geo.let(F.transform(_positions(geometry), _point), middle)
+    parts = F.transform(_members(geometry), lambda g: _positions(F.try_variant_get(g, "$.coordinates", "variant")))
+    return geo.let(F.when(F.forall(parts, lambda p: p.isNotNull()), F.flatten(parts)), middle)
 
 
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,5 +68,17 @@ def _struct(schema: str) -> str:
     return re.sub(r"(^|, )(\w+) ", r"\1\2:", schema)
 
 
+def header_timestamp(spark: SparkSession, path: str) -> str:
+    """When an extract was cut from the database, from the attributes of its first element;
+    an error where it doesn't say, or not as a time."""
+    lines = spark.read.text(path).limit(20).collect()
+    head = re.search(r"<osm\b[^>]*>", " ".join(r[0] for r in lines))
+    found = re.search(r'\b(?:osmosis_replication_)?timestamp="([^"]*)"', head[0]) if head else None
+    if not found:
+        raise ValueError(f"{path}: no timestamp in its header")
+    dt.datetime.fromisoformat(found[1].replace("Z", "+00:00"))
+    return found[1]
+
+
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)

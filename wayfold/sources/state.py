@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,8 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
 
 
 def validate_meta(meta: object) -> dict:
-    """The metadata, or an error that says what is wrong with it."""
+    """The metadata, or an error that says what is wrong with it. ``state``, if it is there,
+    names the folder of the state that they belong to."""
     if not isinstance(meta, dict):
         raise ValueError("state metadata is not an object")
     if meta.get("schema") != META_SCHEMA or isinstance(meta.get("schema"), bool):
@@ -62,7 +64,8 @@ def validate_meta(meta: object) -> dict:
     seeded = meta.get("seededFrom")
     if not isinstance(seeded, list) or not all(isinstance(x, dict) and isinstance(x.get("file"), str) and isinstance(x.get("timestamp"), str) for x in seeded):
         raise ValueError("seededFrom is not a list of {file, timestamp}")
-    return {"schema": META_SCHEMA, "filterVersion": FILTER_VERSION, "sequenceNumber": int(n), "timestamp": meta["timestamp"], "seededFrom": [{"file": x["file"], "timestamp": x["timestamp"]} for x in seeded]}
+    where = {"state": meta["state"]} if isinstance(meta.get("state"), str) else {}
+    return {"schema": META_SCHEMA, "filterVersion": FILTER_VERSION, "sequenceNumber": int(n), "timestamp": meta["timestamp"], "seededFrom": [{"file": x["file"], "timestamp": x["timestamp"]} for x in seeded]} | where
 
 
 def advanced(meta: dict, sequence: int, timestamp: str) -> dict:
@@ -70,17 +73,46 @@ def advanced(meta: dict, sequence: int, timestamp: str) -> dict:
     return meta | {"sequenceNumber": sequence, "timestamp": timestamp}
 
 
+class TextFile:
+    """One file written piece by piece, by Hadoop's file system; it takes the place of an
+    earlier one in a single rename when it is closed, and not at all if writing fails."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        self.jvm, self.gateway, self.conf = jvm, spark.sparkContext._gateway, spark._jsparkSession.sessionState().newHadoopConf()
+        self.target, self.part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+        self.fs = self.target.getFileSystem(self.conf)
+        self.out = self.fs.create(self.part, True)
+
+    def write(self, text: str) -> None:
+        self.out.write(bytearray(text.encode()))
+
+    def __enter__(self) -> TextFile:
+        return self
+
+    def __exit__(self, failed, *_) -> None:
+        self.out.close()
+        if failed:
+            self.fs.delete(self.part, False)
+            return
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        context.rename(self.fs.makeQualified(self.part), self.fs.makeQualified(self.target), how)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, by Hadoop's file system, replaced by a rename."""
-    jvm = spark._jvm
-    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
+    """One small file, replaced by one overwriting rename: readers see the old or the new."""
+    with TextFile(spark, path) as f:
+        f.write(text)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of one small file, or None where there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    out = fs.create(part, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"could not write {path}")
+    return spark.read.text(path, wholetext=True).first()[0] if fs.exists(target) else None
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
