@@ -2,13 +2,15 @@
 
 Regular expressions propose spans; the Luhn sum and the mod-97 remainder confirm cards
 and bank accounts; words near a span raise or lower its score. A span counts when its
-score reaches ``THRESHOLD``. Addresses that meet the base rules (below) start at or above
-it and carry no negative context, so context can only add to what they find.
+score reaches ``THRESHOLD``. What meets the base rules (below) always counts: its score may
+be lowered, but not below the threshold.
 
 Base kinds, each leftmost and non-overlapping within its kind: email, ip (parts at most
 255), card (14 to 19 digits that pass Luhn), phone (plus sign, 10 to 15 digits). Added
-kinds: iban (mod-97), phone_local (ten grouped digits, only beside a telephone word),
-and national_id (3-2-4 digits, only beside an identity word).
+kinds: iban (mod-97), phone_local (ten grouped digits, or 8 to 12 from a zero on, only beside
+a telephone word), and national_id (3-2-4 digits, only beside an identity word). A word for
+numbered things (order, invoice, serial and so on) lowers a score, so such a number with
+both kinds of words near it is left alone.
 
 Null text is empty; an empty text or table gives no spans; repeated rows each get their
 own result; extra columns are not read unless asked for. Offsets are code points with an
@@ -37,15 +39,18 @@ IBAN_LENGTHS = {c: n for n, codes in {
 }.items() for c in codes.split()}
 _BY_LENGTH = "|".join(rf"(?:{'|'.join(c for c in IBAN_LENGTHS if IBAN_LENGTHS[c] == n)})[0-9]{{2}}(?:[\x20]?[A-Z0-9]){{{n - 4}}}" for n in sorted(set(IBAN_LENGTHS.values())))
 
-#: kind, order among equal starts, pattern, cheap test of the text, base score, context words
+#: Words that speak against a number being personal: it numbers a thing.
+_THINGS = "order|invoice|ticket|serial|isbn|version|model|item|batch|page"
+#: kind, in order among equal starts: pattern, cheap test of the text, base score, words that
+#: raise it and words that lower it
 KINDS = [
-    ("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", "@", 0.9, "mail|contact|write"),
-    ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, "ip|host|server|address|login"),
-    ("card", r"[0-9](?:[\x20-]?[0-9])++", None, 0.8, "card|visa|credit|amex|pay"),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, "phone|tel|call|fax|mobile"),
-    ("iban", rf"(?<![A-Za-z0-9])(?:{_BY_LENGTH}|[A-Z]{{2}}[0-9]{{2}}(?:[\x20]?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])", None, 0.7, "iban|account|bank|bic"),
-    ("phone_local", r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", None, 0.3, "phone|tel|call|fax|mobile"),
-    ("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social security|identity|passport"),
+    ("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", "@", 0.9, "mail|contact|write", "example|sample"),
+    ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, "ip|host|server|address|login", "version|release|section"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])++", None, 0.8, "card|visa|credit|amex|pay", _THINGS),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, "phone|tel|call|fax|mobile", _THINGS),
+    ("iban", rf"(?<![A-Za-z0-9])(?:{_BY_LENGTH}|[A-Z]{{2}}[0-9]{{2}}(?:[\x20]?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])", None, 0.75, "iban|account|bank|bic", _THINGS),
+    ("phone_local", r"(?<![0-9+(])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|0[0-9]{1,4}[\x20/-][0-9]{2,4}(?:[\x20-]?[0-9]{2,4}){1,3})(?![0-9])", None, 0.3, "phone|tel|call|fax|mobile", _THINGS),
+    ("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social security|identity|passport", _THINGS),
 ]
 BASE = ("email", "ip", "card", "phone")
 ORDER = {kind: i for i, (kind, *_) in enumerate(KINDS)}
@@ -72,6 +77,8 @@ def _valid(kind: str, hit: Column) -> Column:
         return F.length(digits).between(14, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(10, 15)
+    if kind == "phone_local":
+        return F.length(digits).between(8, 12)
     if kind == "iban":
         length = F.length(F.replace(hit, F.lit(" "), F.lit("")))
         own = F.element_at(F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair)), F.left(hit, F.lit(2)))
@@ -90,7 +97,7 @@ def _may_have(kind: str, text: Column, sign: str | None) -> Column:
     if kind == "iban":
         return text.rlike("[A-Z]{2}[0-9]{2}")
     if kind in ("card", "phone_local", "national_id"):
-        return text.rlike("[0-9]{2}|[0-9][ -][0-9]") if kind == "card" else text.rlike("[0-9]{3}[) .-]")
+        return text.rlike("[0-9]{2}|[0-9][ -][0-9]") if kind == "card" else text.rlike("[0-9]{2}[) ./-]")
     return text.contains(sign)
 
 
@@ -111,9 +118,10 @@ def _starts(parts: Column, hits: Column) -> Column:
     return F.flatten(whole["out"])
 
 
-def _score(kind: str, words: str, start: float, text: Column, at: Column, end: Column) -> Column:
+def _score(kind: str, words: str, against: str, start: float, text: Column, at: Column, end: Column) -> Column:
     near = F.lower(F.concat(F.substr(text, F.greatest(F.lit(1), at + 1 - WINDOW), F.least(at, F.lit(WINDOW))), F.lit(" "), F.substr(text, end + 1, F.lit(WINDOW))))
-    return F.lit(start) + F.when(near.rlike(rf"\b(?:{words})"), 0.25).otherwise(0.0)
+    score = F.lit(start) + F.when(near.rlike(rf"\b(?:{words})"), 0.25).otherwise(0.0) - F.when(near.rlike(rf"\b(?:{against})"), 0.25).otherwise(0.0)
+    return F.greatest(score, F.lit(THRESHOLD)) if kind in BASE else score
 
 
 def _unused(df: DataFrame) -> str:
@@ -138,7 +146,7 @@ def with_spans(df: DataFrame, text: str = "text", to: str = "pii_spans") -> Data
     found = found.withColumns(parts)
     empty = F.array().cast("array<struct<start:int,end:int,kind:string,kind_no:int,score:double>>")
 
-    def spans(kind: str, start: float, words: str) -> Column:
+    def spans(kind: str, start: float, words: str, against: str) -> Column:
         h = F.col(f"{mine}hits_{kind}")
         both = F.arrays_zip(h.alias("hit"), _starts(F.col(f"{mine}parts_{kind}"), h).alias("at"))
         if kind == "iban":
@@ -146,10 +154,10 @@ def with_spans(df: DataFrame, text: str = "text", to: str = "pii_spans") -> Data
             both = F.filter(both, lambda x: x["hit"].isNotNull())
         else:
             both = F.filter(both, lambda x: _valid(kind, x["hit"]))
-        made = F.transform(both, lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["hit"])).alias("end"), F.lit(kind).alias("kind"), F.lit(ORDER[kind]).alias("kind_no"), _score(kind, words, start, body, x["at"], x["at"] + F.length(x["hit"])).alias("score")))
+        made = F.transform(both, lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["hit"])).alias("end"), F.lit(kind).alias("kind"), F.lit(ORDER[kind]).alias("kind_no"), _score(kind, words, against, start, body, x["at"], x["at"] + F.length(x["hit"])).alias("score")))
         return F.when(F.size(h) > 0, F.filter(made, lambda s: s["score"] >= THRESHOLD)).otherwise(empty)
 
-    whole = F.concat(*(spans(kind, start, words) for kind, _, _, start, words in KINDS))
+    whole = F.concat(*(spans(kind, start, words, against) for kind, _, _, start, words, against in KINDS))
     by_start = F.array_sort(F.transform(whole, lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score"))))
     out = found.withColumn(to, F.transform(by_start, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["kind_no"].alias("kind_no"), s["score"].alias("score"))))
     return out.drop(*hits, *parts)
