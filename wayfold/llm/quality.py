@@ -9,7 +9,7 @@ coordinate descent, and its margins are turned into probabilities by a logistic
 fitted on labelled rows that the first fit has not seen.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled rows, the ones of smallest hash of
-the id, which is the only bound; every text is scored whole. Ids, languages and sources
+the id, with at most ``TRAIN_BYTES`` of slots, which are the only bounds; every text is scored whole. Ids, languages and sources
 are never read as features. Null text is empty; empty texts get the score of the
 intercept; labels other than 0 and 1 and null labels are not learnt from; the least
 label of an id counts; without two classes every score is the share of label 1 (1.0
@@ -24,11 +24,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRAIN_ROWS = 4_000
+from wayfold.llm.common import cut, drop
+
+TRAIN_ROWS, TRAIN_BYTES = 4_000, 64 << 20
 BITS = 18
 SLOTS = 3 << BITS
 _SHAPES = {"lower": 1, "Title": 2, "UPPER": 3, "digit": 4, "marks": 5, "mixed": 6}
@@ -180,14 +182,21 @@ def _with_slots(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, T.StructType([T.StructField("key", df.schema.fields[0].dataType), T.StructField("label", T.IntegerType()), T.StructField("slots", T.BinaryType())]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "label", key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on the ``rows`` labels of smallest id hash and their texts.
+def train(docs: DataFrame, labels: DataFrame, label: str = "label", key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Model:
+    """Fit on the ``rows`` labels of smallest id hash and their texts, as many of them in that
+    order as have slots of ``most`` bytes together.
 
-    The bounded sample of labels is broadcast to the texts; only slots reach the driver."""
+    The bounded sample of labels is broadcast to the texts; only slots reach the driver. Of
+    several texts of one id the one of smallest hash is learnt from, so fits don't vary."""
     some = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(F.col(label).cast("int")).alias("label"))
     some = some.orderBy(F.xxhash64(key), key).limit(rows)
     texts = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(some), key).select(key, "label", "__text")
-    got = sorted(_with_slots(texts).limit(rows).collect(), key=lambda r: (r["key"], r["label"]))
+    one = _with_slots(texts).groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("slots").alias("h"), "slots")).alias("s"))
+    one = cut(one.select("key", "label", "s.slots"), "sample")
+    before = F.sum(F.length("slots")).over(Window.orderBy(F.xxhash64("key"), "key"))
+    fits = one.select("key", F.length("slots").alias("__n"), before.alias("__upto")).where(F.col("__upto") <= most).select("key")
+    got = sorted(one.join(F.broadcast(fits), "key", "left_semi").collect(), key=lambda r: r["key"])
+    drop(one)
     return fit([np.frombuffer(r["slots"], np.int32) for r in got], np.array([r["label"] for r in got]))
 
 
