@@ -8,8 +8,10 @@ removes false positives. The longest rule wins (then the longer host); a url tha
 fits is allowed.
 
 The filter has 64-bit blocks, 12 bits a rule; a key sets five bits of one block. Up to
-``ARRAY_BLOCKS`` blocks it travels inside the plan as one array; a larger one is joined by
-block number. The rules are broadcast only up to ``BROADCAST_RULES`` of them.
+``ARRAY_BLOCKS`` blocks (256 KB, some 170,000 rules) it travels inside the plan as one array,
+and pages that it rules out are judged on the spot; a larger one is joined by block number,
+and all pages are grouped. The rules are broadcast only up to ``BROADCAST_RULES`` of them.
+Both ways give the same rows.
 
 A null url, or one without ``://``, has an empty host and path. Rules with a null host or
 path are dropped, and of rules with the same key, block wins. Without rules every page is
@@ -76,14 +78,18 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page
         every = spark.range(blocks).select(F.col("id").cast("int").alias("block")).join(words, "block", "left")
         bloom = every.agg(F.array_sort(F.collect_list(F.struct("block", F.coalesce("word", F.lit(0).cast("long")).alias("word"))))["word"]).scalar()
         passed = F.filter(F.col("tries"), lambda t: F.get(F.col("bloom"), _block(t["h"], blocks)).bitwiseAND(_mask(t["h"])) == _mask(t["h"]))
-        hits = tried.withColumn("bloom", bloom).withColumn("hits", F.transform(passed, lambda t: t["key"]))
-        hits = hits.select(key, "host", "path", F.size("hits").alias("n"), F.explode_outer("hits").alias("key"))
+        hits = tried.withColumn("bloom", bloom).withColumn("hits", F.transform(passed, lambda t: t["key"])).select(key, "host", "path", "hits")
+        # what the filter rules out is judged where it stands; only possible hits are shuffled
+        ruled_out = hits.where(F.size("hits") == 0).select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+        hits = hits.where(F.size("hits") > 0).select(key, "host", "path", F.size("hits").alias("n"), F.explode("hits").alias("key"))
     else:
         each = tried.select(key, "host", "path", F.size("tries").alias("n"), F.explode_outer("tries").alias("t")).withColumn("block", _block(F.col("t.h"), blocks))
+        ruled_out = None
         hits = each.join(words, "block", "left").select(key, "host", "path", "n", F.when(F.col("word").bitwiseAND(_mask(F.col("t.h"))) == _mask(F.col("t.h")), F.col("t.key")).alias("key"))
     side = listed.select("key", "action", "host_len")
     found = hits.join(F.broadcast(side) if n <= BROADCAST_RULES else side, "key", "left")
     order = F.struct(F.length("key").alias("size"), "host_len", F.col("key").alias("rule"), "action")
     best = found.groupBy(F.col(key), "host", "path").agg(F.max(F.when(F.col("action").isNotNull(), order)).alias("best"), (F.count(F.lit(1)) / F.greatest(F.lit(1), F.max("n"))).cast("int").alias("copies"))
     out = best.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return out.select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit("allow")).alias("verdict"))
+    out = out.select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit("allow")).alias("verdict"))
+    return out if ruled_out is None else out.unionByName(ruled_out)
