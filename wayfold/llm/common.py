@@ -74,3 +74,16 @@ def components(edges: DataFrame) -> DataFrame:
         then = cut(_small_star(_large_star(now)), "edges")
         drop(now)
         now = then
+
+
+def with_class(rows: DataFrame, classes: DataFrame, on: list[str], size: str) -> DataFrame:
+    """Join rows to their classes, which are unique on ``on`` and have ``size`` rows each.
+
+    Classes that hold a thousandth of the rows or more are a thousand at most, so they are
+    broadcast, whatever the size of the tables, and none of them gathers in one task; the
+    others are joined by their keys."""
+    every = classes.agg(F.sum(size)).first()[0] or 0
+    least = max(64, -(-every // 1000))
+    large = F.broadcast(classes.where(F.col(size) >= least))
+    rest = rows.join(large.select(*on), on, "left_anti").join(classes.where(F.col(size) < least).hint("merge"), on)
+    return rows.join(large, on).unionByName(rest)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import components, cut, drop
+from wayfold.llm.common import components, cut, drop, with_class
 from wayfold.llm.simhash import Forest
 
 #: Classes of a tile, rows of a block, coordinates of a step, vectors of the sample, levels of the tree.
@@ -167,12 +167,13 @@ def group(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: st
     named = roots.select("node.h1", "node.h2", F.col("root.least").alias("component"))
     links = found.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     own = classes.select("h1", "h2", "least", "n").join(links, ["h1", "h2"], "left").join(named, ["h1", "h2"], "left")
-    own = cut(own.select("h1", "h2", (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("n_links"), F.when(F.col("links").isNull(), F.col("least")).otherwise(F.col("component")).alias("component")), "vector-groups")
+    own = cut(own.select("h1", "h2", "n", (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("n_links"), F.when(F.col("links").isNull(), F.col("least")).otherwise(F.col("component")).alias("component")), "vector-groups")
     for done in (found, classes, roots):
         drop(done)
-    out = flagged.select("key", "h1", "h2").join(own, ["h1", "h2"], "left")
-    component = F.when(F.col("n_links").isNull(), F.col("key")).otherwise(F.col("component"))
-    return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    found = with_class(flagged.where("v is not null").select("key", "h1", "h2"), own, ["h1", "h2"], "n").select("key", "n_links", "component")
+    alone = flagged.where("v is null").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))
+    out = found.unionByName(alone)
+    return out.select(F.col("key").alias(key), "n_links", F.col("component").alias("component_id"), F.col("key").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def _links(classes: DataFrame, threshold: float, tile: int) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfold.llm import shingles
-from wayfold.llm.common import components, cut, drop
+from wayfold.llm.common import components, cut, drop, with_class
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Classes of a shard, and classes that the tree is fitted on at most (only the shape of
@@ -221,23 +221,23 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def grouped(prints: DataFrame, key: str, radius: int = RADIUS) -> DataFrame:
-    """fp, least and root_fp of every class of ``prints`` (key, fp): the smallest key of its
-    group and the fingerprint that stands for the group.
+    """fp, n (its rows), least and root_fp of every class of ``prints`` (key, fp): the smallest
+    key of its group and the fingerprint that stands for the group.
 
     Nodes are (least key, fingerprint), so the smallest node of a group names it, and no join
     on groups is needed however large one is."""
-    classes = cut(prints.groupBy("fp").agg(F.min(key).alias("least")), "classes")
+    classes = cut(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     edges = cut(links(classes, radius), "links")
     roots = components(edges).select(F.col("node.fp").alias("fp"), F.col("root.least").alias("root_least"), F.col("root.fp").alias("root_fp"))
     drop(edges)
-    return classes.join(roots, "fp", "left").select("fp", F.coalesce("root_least", "least").alias("least"), F.coalesce("root_fp", "fp").alias("root_fp"))
+    return classes.join(roots, "fp", "left").select("fp", "n", F.coalesce("root_least", "least").alias("least"), F.coalesce("root_fp", "fp").alias("root_fp"))
 
 
 def group(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """key, fp and component_id (the smallest key reachable by links) of every row."""
     prints = cut(fingerprints(df, text, key, words), "prints")
-    named = grouped(prints, key, radius).select("fp", F.col("least").alias("component_id"))
-    return prints.join(named, "fp").select(key, "fp", "component_id")
+    named = cut(grouped(prints, key, radius).select("fp", "n", F.col("least").alias("component_id")), "named")
+    return with_class(prints, named, ["fp"], "n").select(key, "fp", "component_id")
 
 
 def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = shingles.WORDS, radius: int = RADIUS, similarity: float = shingles.THRESHOLD) -> DataFrame:
