@@ -246,3 +246,50 @@ def test_policies():
         assert e.value.kind == kind
     route = policy.offline_first(lambda *a: "local", lambda *a: "live", lambda lat, lon, r: r < 10)
     assert (route("k", 0, 0, 5), route("k", 0, 0, 15)) == ("local", "live")
+
+
+def test_answers_through_a_cache():
+    kept, clock, asked = {}, [0.0], []
+
+    def ask(*args):
+        asked.append(args)
+        if args[0] == "fails":
+            raise ServiceError("busy")
+        return [] if args[0] == "empty" else [args]
+
+    cached = policy.with_cache(ask, kept.get, kept.__setitem__, lambda *a: "/".join(map(str, a)), lambda: clock[0], ttl_ms=100)
+    assert cached("k", 1) == cached("k", 1) == [("k", 1)] and len(asked) == 1
+    assert cached("empty", 1) == cached("empty", 1) == [] and len(asked) == 2
+    for _ in range(2):
+        with pytest.raises(ServiceError):
+            cached("fails", 1)
+    assert len(asked) == 4
+    clock[0] = 100.0  # too old
+    assert cached("k", 1) and len(asked) == 5
+    clock[0] = 50.0  # from the future
+    assert cached("k", 1) and len(asked) == 6
+    broken = policy.with_cache(ask, lambda k: 1 / 0, lambda k, v: 1 / 0, str, lambda: 0.0)
+    assert broken("k") == [("k",)]
+
+
+def test_a_load_has_a_deadline_and_is_shared(spark, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+    from time import sleep
+
+    from wayfold.sources import dataset
+
+    asked = []
+
+    def slow(spark, path):
+        asked.append(path)
+        sleep(0.3)
+        return {"path": path}, None
+
+    monkeypatch.setattr(dataset, "read_dataset", slow)
+    assert dataset.Loader(spark, "p", deadline_s=0.05).load() is None
+    sleep(0.4)
+    asked.clear()
+    loader = dataset.Loader(spark, "p")
+    with ThreadPoolExecutor(4) as pool:
+        assert len({str(x) for x in pool.map(lambda _: loader.load(), range(4))}) == 1
+    assert asked == ["p"]

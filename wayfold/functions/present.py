@@ -80,7 +80,7 @@ def empty_message(radius_m: Column, lat: str, lon: str) -> Column:
     density at the columns lat and lon."""
     sparse = mapping_density(lat, lon) == "sparse"
     title = F.concat(F.when(sparse, "No dog parks mapped within ").otherwise("No dog parks within "), format_distance(radius_m))
-    detail = F.when(sparse, "Few dog parks are mapped in this part of the world. There may well be one nearby that nobody has added to OpenStreetMap yet.").otherwise("OpenStreetMap has none mapped around here. Its coverage is uneven, so there may be a park that nobody has added yet.")
+    detail = F.when(sparse, "The map holds little about this region, so a park may be near without being on it.").otherwise("The map covers this region well, though a park may still be missing from it.")
     return F.struct(title.alias("title"), detail.alias("detail"))
 
 

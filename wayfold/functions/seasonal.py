@@ -16,6 +16,7 @@ MONTH_SHORT = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "O
 MONTH_LENGTHS = [31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 
 RULE_TYPE = "struct<kind:string,from:struct<month:int,day:int>,to:struct<month:int,day:int>>"
+# Fixed grammar: a span of days in a conditional value.
 _RANGE = rf"^([A-Za-z]+){SPACE}*([0-9]{{1,2}})?{SPACE}*-{SPACE}*([A-Za-z]+){SPACE}*([0-9]{{1,2}})?\z"
 
 

@@ -122,7 +122,7 @@ def collapse(rows: DataFrame, by: Sequence[str] = (), limit_m: float = COLLAPSE_
     said = said.withColumns({f"__{f}": F.col(f"tags.{f}") for f in fields})
     adopted = said.groupBy(*by, "kind", F.col("area_id").alias("id")).agg(first("name").alias("__name"), first("seasonal").alias("__seasonal"), *(first(f"__{f}").alias(f"__{f}") for f in fields))
     left = rows.join(gone.select(*node_keys), node_keys, "left_anti").join(adopted, node_keys, "left")
-    merged = F.struct(*(F.coalesce(F.col(f"tags.{f}"), F.col(f"__{f}")).alias(f) for f in fields))
+    merged = tags.adopt_silent(F.col("tags"), F.struct(*(F.col(f"__{f}").alias(f) for f in fields)))
     left = left.withColumns({"name": F.coalesce("name", "__name"), "seasonal": F.coalesce("seasonal", "__seasonal"), "tags": F.when(F.col("tags").isNull() & F.coalesce(*(F.col(f"__{f}").cast("string") for f in fields)).isNull(), F.col("tags")).otherwise(merged)})
     return left.select(*rows.columns)
 

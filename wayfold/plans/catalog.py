@@ -617,7 +617,30 @@ def session_events(spark: SparkSession, d: str) -> DataFrame:
     return f.select(F.col("session").cast("string").alias("session"), "seq", kind.alias("kind"), payload.alias("payload"))
 
 
-@query("session_machine", None)
+_SAID = "'node/1'"
+
+
+@query("session_machine", f"""WITH RECURSIVE e AS (
+  SELECT CAST(session AS VARCHAR) AS session, seq, lat, lon, n, (n - 1) % 10 AS k, 'node/' || CAST(seq % 3 AS VARCHAR) AS id FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS n FROM {{fixes}})
+), m AS (
+  SELECT session, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, 'welcome' AS phase, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lon, CAST(NULL AS VARCHAR) AS source, 'off' AS bathing, CAST(NULL AS VARCHAR) AS selected, 0 AS n_spots, 0 AS n_bathing, '' AS effects
+  FROM (SELECT DISTINCT session FROM e)
+  UNION ALL SELECT session, n, seq, phase, lat, lon, source, bathing, CASE WHEN n_spots + n_bathing > 0 THEN chosen END, n_spots, n_bathing, '[' || effects || ']' FROM (
+    SELECT session, n, seq, lat, lon, CASE WHEN fix THEN 'gps' ELSE source END AS source,
+      CASE WHEN k = 0 AND phase = 'welcome' THEN 'locating' WHEN first OR ask THEN 'searching' WHEN k = 2 AND phase = 'searching' THEN 'ready' WHEN k = 7 AND phase = 'searching' THEN 'failed' ELSE phase END AS phase,
+      CASE WHEN ask AND bathing <> 'off' THEN 'loading' WHEN k = 3 AND bathing <> 'off' THEN 'off' WHEN k = 3 AND placed THEN 'loading' WHEN k = 4 AND bathing = 'loading' THEN 'ready' ELSE bathing END AS bathing,
+      CASE WHEN k <> 5 THEN selected WHEN id = {_SAID} THEN id END AS chosen,
+      CASE WHEN first THEN 0 WHEN k = 2 AND phase = 'searching' THEN 1 ELSE n_spots END AS n_spots,
+      CASE WHEN k = 3 AND (bathing <> 'off' OR placed) THEN 0 WHEN k = 4 AND bathing = 'loading' THEN 1 ELSE n_bathing END AS n_bathing,
+      CASE WHEN k = 0 AND phase = 'welcome' THEN '{{{{"kind":"watch-location"}}}}'
+        WHEN first OR ask AND bathing = 'off' THEN '{{{{"kind":"search","at":' || p || '}}}}' WHEN ask THEN '{{{{"kind":"search","at":' || p || '}}}},{{{{"kind":"search-bathing","at":' || p || '}}}}'
+        WHEN k = 2 AND phase = 'searching' THEN '{{{{"kind":"frame-results","ids":["node/1"],"at":' || p || '}}}}' WHEN k = 3 AND bathing = 'off' AND placed THEN '{{{{"kind":"search-bathing","at":' || p || '}}}}'
+        WHEN k = 5 AND id = {_SAID} AND n_spots + n_bathing > 0 THEN '{{{{"kind":"frame-spot","id":"node/1","at":' || p || '}}}}' WHEN k = 9 AND id = {_SAID} AND n_spots + n_bathing > 0 THEN '{{{{"kind":"open-directions","id":"node/1","origin":null}}}}' ELSE '' END AS effects
+    FROM (SELECT *, '[' || CAST(lat AS VARCHAR) || ',' || CAST(lon AS VARCHAR) || ']' AS p, fix AND NOT placed AS first, placed AND (k = 8 OR fix AND gap >= 250) AS ask FROM (
+      SELECT e.session, e.n, e.seq, e.k, e.id, e.k IN (1, 6) AS fix, m.lat IS NOT NULL AS placed, {hav('m.lat', 'm.lon', 'e.lat', 'e.lon')} AS gap,
+        CASE WHEN e.k IN (1, 6) THEN e.lat ELSE m.lat END AS lat, CASE WHEN e.k IN (1, 6) THEN e.lon ELSE m.lon END AS lon, m.phase, m.source, m.bathing, m.selected, m.n_spots, m.n_bathing
+      FROM m JOIN e ON e.session = m.session AND e.n = m.n + 1))))
+SELECT session, seq, phase, lat, lon, source, false AS picker, bathing, selected, n_spots, n_bathing, effects FROM m WHERE n > 0""".replace("{{", "{").replace("}}", "}"))
 def session_machine(spark, d):
     return session.run_batch(session_events(spark, d))
 

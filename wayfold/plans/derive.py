@@ -114,6 +114,7 @@ def oracle(text: str) -> str:
     for t in TABLES:
         text = text.replace("{" + t + "}", t)
     text = text.strip()
-    if head and text.upper().startswith("WITH "):
-        return f"WITH {head}, {text[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if head and text.upper().startswith(start):
+            return f"{start}{head}, {text[len(start):]}"
     return f"WITH {head} {text}" if head else text

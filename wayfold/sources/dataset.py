@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from wayfold.sources.state import TextFile, write_text
 
 # Fixed values of the envelope.
 DATASET_SCHEMA = 1
+# and seconds that fetching it may take.
+DEADLINE_S = 10.0
 ATTRIBUTION, LICENSE = "© OpenStreetMap contributors", "ODbL-1.0"
 
 
@@ -88,32 +92,41 @@ def read_dataset(spark: SparkSession, path: str) -> tuple[dict, DataFrame] | Non
 class Loader:
     """Memory, then the stored copy, then the published path. A stored copy answers at once
     and is refreshed once a session; a bad refresh keeps the good copy; failures aren't
-    remembered. Nothing raises."""
+    remembered. Callers of one moment share a single load. Nothing raises, and a published
+    copy that takes longer than the deadline counts as none."""
 
-    def __init__(self, spark: SparkSession, path: str, stored: str | None = None):
-        self.spark, self.path, self.stored = spark, path, stored
+    def __init__(self, spark: SparkSession, path: str, stored: str | None = None, deadline_s: float = DEADLINE_S):
+        self.spark, self.path, self.stored, self.deadline_s = spark, path, stored, deadline_s
+        self.one = threading.RLock()
         self.now: tuple[dict, DataFrame] | None = None
         self.refreshed = False
 
     def load(self) -> tuple[dict, DataFrame] | None:
-        if self.now is None and self.stored:
-            self.now = read_dataset(self.spark, self.stored)
-        if self.now is None:
-            self.now = self._fetch()
-            self.refreshed = self.now is not None
-        return self.now
+        with self.one:
+            if self.now is None and self.stored:
+                self.now = read_dataset(self.spark, self.stored)
+            if self.now is None:
+                self.now = self._fetch()
+                self.refreshed = self.now is not None
+            return self.now
 
     def refresh(self) -> bool:
         """Once a session: take the published copy if it is good."""
-        if self.refreshed:
-            return False
-        self.refreshed = True
-        new = self._fetch()
-        self.now = new or self.now
-        return new is not None
+        with self.one:
+            if self.refreshed:
+                return False
+            self.refreshed = True
+            new = self._fetch()
+            self.now = new or self.now
+            return new is not None
 
     def _fetch(self) -> tuple[dict, DataFrame] | None:
-        got = read_dataset(self.spark, self.path)
+        pool = ThreadPoolExecutor(1)
+        try:
+            got = pool.submit(read_dataset, self.spark, self.path).result(self.deadline_s)
+        except TimeoutError:
+            got = None
+        pool.shutdown(wait=False)
         if got and self.stored:
             try:
                 write_text(self.spark, self.stored, self.spark.read.text(self.path, wholetext=True).first()[0])

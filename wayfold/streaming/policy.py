@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable
 
 from wayfold.functions.errors import FIRST_WAIT_MS, MAX_RETRIES, MAX_WAIT_MS, WAIT_FACTOR, ServiceError
+from wayfold.operators.sequences import TTL_MS
 
 Ask = Callable[..., object]
 
@@ -66,3 +67,27 @@ def with_mirror(first: Ask, second: Ask) -> Ask:
 def offline_first(local: Ask, live: Ask, covers: Callable[..., bool]) -> Ask:
     """The local answer where coverage admits the whole circle, else the live one."""
     return lambda kind, lat, lon, radius_m: (local if covers(lat, lon, radius_m) else live)(kind, lat, lon, radius_m)
+
+
+def with_cache(ask: Ask, read: Callable[[str], tuple[float, object] | None], write: Callable[[str, tuple[float, object]], None], key: Callable[..., str], now_ms: Callable[[], float], ttl_ms: float = TTL_MS) -> Ask:
+    """Answers kept by key (``read`` and ``write`` of time and rows) while they are young.
+
+    Only successes are kept, empty ones too. A cache that can't be read or written to is as
+    good as none: it never makes a question fail."""
+
+    def cached(*args):
+        k = key(*args)
+        try:
+            hit = read(k)
+        except Exception:
+            hit = None
+        if hit is not None and 0 <= now_ms() - hit[0] < ttl_ms:
+            return hit[1]
+        rows = ask(*args)
+        try:
+            write(k, (now_ms(), rows))
+        except Exception:
+            pass
+        return rows
+
+    return cached
