@@ -183,3 +183,12 @@ def test_lists_stop_early_and_stay_exact():
             assert ids.tolist() == want and scores.tolist() == s[want].tolist()
         assert lists.read[1] == len(asked) and lists.read[0] <= len(asked)
     assert lists.read[0] < 0.6 * len(asked)  # reading stopped where the scores allow it
+
+
+def test_cuts_can_be_cleared(spark, docs):
+    import os
+
+    frame_ = common.cut(docs.select("doc_id"), "probe")
+    path = frame_._wayfold_path
+    assert frame_.count() == docs.count() and os.path.isdir(path)
+    assert common.clear(spark) > 0 and not os.path.exists(path) and common.clear(spark) == 0

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders that cut() has written and nobody has deleted.
+_WRITTEN: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors must share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,6 +30,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wayfold-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._wayfold_path = path  # for drop()
     return out
@@ -35,9 +40,24 @@ def drop(df: DataFrame | None) -> None:
     """Delete the folder behind a frame that cut() returned."""
     path = getattr(df, "_wayfold_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    _WRITTEN.discard(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all folders that cut() has written in this process and that are still there.
+
+    Results that operators return read some of them, so a job calls this when it has
+    written its results; how many folders there were."""
+    paths = sorted(_WRITTEN)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
