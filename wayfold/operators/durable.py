@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+#: Folders that durable() has written and nobody has deleted.
+_WRITTEN: set[str] = set()
+
+
 def durable(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write a frame that is used more than once below ``spark.checkpoint.dir`` and read it back.
 
@@ -19,6 +23,7 @@ def durable(df: DataFrame, name: str = "cut") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._wayfold_path = path  # for release()
+    _WRITTEN.add(path)
     return out
 
 
@@ -33,3 +38,13 @@ def release(*frames: DataFrame | None) -> None:
 def delete(spark, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    _WRITTEN.discard(path)
+
+
+def clear(spark) -> int:
+    """Delete what durable() has written in this process and nobody has released. A job calls
+    it once its results are written, for they may read some of it."""
+    paths = sorted(_WRITTEN)
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
