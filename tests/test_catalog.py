@@ -35,9 +35,8 @@ def test_twin(spark, duck, name):
     assert plain(df.select(*columns).collect()) == plain(duck.sql(f"SELECT {pick} FROM ({catalog.ORACLE_SQL[name]})").fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_without_twin(spark, name):
-    assert catalog.QUERIES[name](spark, FOLDER).count() > 0
+def test_every_query_has_a_twin():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
 
 
 def test_entry(spark):
