@@ -15,16 +15,21 @@ def durable(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write a frame that is used more than once below ``spark.checkpoint.dir`` and read it back.
 
     Later reads depend neither on an executor's disk nor on what came before."""
-    spark = df.sparkSession
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._wayfold_path = path  # for release()
+    return out
+
+
+def shared_path(spark, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; clear() deletes what is written there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{base.rstrip('/')}/wayfold-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._wayfold_path = path  # for release()
     _WRITTEN.add(path)
-    return out
+    return path
 
 
 def release(*frames: DataFrame | None) -> None:

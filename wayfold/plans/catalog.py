@@ -7,6 +7,7 @@ Each query runs an operator of the library over a relation derived from the whol
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from wayfold.functions import density, errors, geo, ids, present, seasonal, tags
 from wayfold.operators import objects, places
 from wayfold.operators import sequences as seqs
-from wayfold.operators.durable import durable
+from wayfold.operators.durable import durable, shared_path
 from wayfold.plans import refresh
 from wayfold.plans.derive import oracle, relation
+from wayfold.sources import dataset, features, fixes, live, state, store
 from wayfold.streaming import session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -655,8 +657,6 @@ _SHAPE = "n % 9"  # which of the nine forms below
 def geojson_depth(spark, d):
     """Features of every nesting built from parts, read as GeoJSON and converted: positions
     up to six lists deep, collections up to five deep, and some with an unreadable member."""
-    from wayfold.sources.features import to_rows
-
     t = at(spark, d, "tagged")
     p = F.concat(F.lit("["), F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit("]"))
     line = F.concat(F.lit("["), p, F.lit(","), p, F.lit("]"))
@@ -676,7 +676,9 @@ def geojson_depth(spark, d):
         geometry = F.when(F.col("n") % len(forms) == k, form).otherwise(geometry)
     properties = F.to_json(F.create_map(F.lit("leisure"), F.coalesce("leisure", F.lit("none")), F.lit("dog"), F.coalesce("dog", F.lit("none"))))
     text = F.concat(F.lit('{"type":"Feature","id":"'), F.col("feature"), F.lit('","properties":'), properties, F.lit(',"geometry":'), geometry, F.lit("}"))
-    rows = to_rows(t.select(F.parse_json(text).alias("f")))
+    path = shared_path(spark, "features")
+    t.select(text.alias("value")).write.text(path)
+    rows = features.read_features(spark, path, lines=True)
     return places.once(places.from_features(rows, tags.of_map("tags"))).select("id", "kind", "lat", "lon", "provenance")
 
 
@@ -685,3 +687,121 @@ def planet_places(spark, d):
     """The whole conversion: preselect with references, assemble, convert, one of each."""
     kept = durable(refresh.preselect(durable(way_objects(spark, d), "objects")), "kept")
     return refresh.to_places(kept).select("id", "kind", "lat", "lon")
+
+
+# --- published files, stores, answers, runs -----------------------------------------------
+
+
+@query("published_round_trip", "SELECT id, kind, name, lat, lon, leash_required, fenced, lit, surface, season FROM {twins}")
+def published_round_trip(spark, d):
+    """Places published as one JSON file, fetched, stored and read back from the stored copy."""
+    path = shared_path(spark, "published")
+    dataset.publish(twins(spark, d), {"include": [SQUARE], "exclude": [HOLE]}, "test", "2026-07-22T00:00:00Z", f"{path}/out.json", gate=False)
+    dataset.Loader(spark, f"{path}/out.json", f"{path}/stored.json", deadline_s=600).load()
+    envelope, rows = dataset.Loader(spark, f"{path}/none", f"{path}/stored.json", deadline_s=600).load()
+    assert len(envelope["coverage"]["include"]) == len(envelope["coverage"]["exclude"]) == 1
+    return rows.select("id", "kind", "name", "lat", "lon", "tags.leash_required", "tags.fenced", "tags.lit", "tags.surface", F.col("seasonal.kind").alias("season"))
+
+
+@query("refresh_run", "SELECT 'way/' || CAST(way AS VARCHAR) AS id, 'dog_park' AS kind, round((min(lat) + max(lat)) / 2, 7) AS lat, round((min(lon) + max(lon)) / 2, 7) AS lon, CAST(5 AS BIGINT) AS cursor FROM {way_nodes} w LEFT JOIN {nodes} p ON p.node = w.node WHERE way % 12 = 8 GROUP BY way HAVING count(*) = count(lat)")
+def refresh_run(spark, d):
+    """A whole refresh from files: of the parks (every fourth way) one in three is deleted by a
+    change, one in three stops being a park; what is published, and the new cursor."""
+    path = shared_path(spark, "run")
+    none = lambda t: F.lit(None).cast(t)
+    rows = way_objects(spark, d).withColumns({"version": F.lit(1), "ts": none("timestamp")}).select("type", "id", "version", "ts", "lat", "lon", "refs", "members", "tags")
+    rows.write.parquet(f"{path}/state")
+    changed = durable(rows.where("type = 'way' AND id % 12 IN (0, 4)").withColumns({"version": F.lit(2), "seq": F.when(F.col("id") % 12 == 0, 4).otherwise(5).cast("long"), "op": F.when(F.col("id") % 12 == 0, "delete").otherwise("modify"), "tags": F.map_from_arrays(F.array(F.lit("leisure")), F.array(F.lit("garden")))}), "changes")
+    meta = {"schema": state.META_SCHEMA, "filterVersion": state.FILTER_VERSION, "sequenceNumber": 3, "timestamp": "2026-07-20T00:00:00Z", "seededFrom": []}
+    state.write_text(spark, f"{path}/meta.json", json.dumps(meta))
+    refresh.refresh(spark, f"{path}/meta.json", f"{path}/state", changed, rows.limit(0), (5, "2026-07-22T00:00:00Z"), f"{path}/next", f"{path}/meta.json", f"{path}/out.json", max_repairs=1_000_000_000, gate=False)
+    _, out = dataset.read_dataset(spark, f"{path}/out.json")
+    cursor = state.read_meta(spark, f"{path}/meta.json")["sequenceNumber"]
+    return out.select("id", "kind", "lat", "lon", F.lit(cursor).cast("long").alias("cursor"))
+
+
+@query("live_answers", f"""SELECT type || '/' || CAST(n AS VARCHAR) AS id, 'bathing_spot' AS kind, nullif(name, '') AS name, round(lat, 7) AS lat, round(lon, 7) AS lon, {_GRADE} AS provenance
+FROM {{tagged}}, (VALUES ('node'), ('way')) AS t(type) WHERE ({_GRADE}) IS NOT NULL""")
+def live_answers(spark, d):
+    """Answers of a live service: positions, centres, an element that repeats, one without a point."""
+    t = at(spark, d, "tagged")
+    said = F.to_json(F.map_filter(F.create_map(F.lit("name"), F.col("name"), F.lit("dog"), F.col("dog")), lambda k, v: v.isNotNull()))
+    n, lat, lon = (F.col(c).cast("string") for c in ("n", "lat", "lon"))
+    body = F.format_string('{"elements":[{"type":"node","id":%s,"lat":%s,"lon":%s,"tags":%s},{"type":"node","id":%s,"lat":0,"lon":0,"tags":%s},{"type":"way","id":%s,"lat":1,"center":{"lat":%s,"lon":%s},"tags":%s},{"type":"relation","id":%s,"tags":%s},5]}', n, lat, lon, said, n, said, n, lat, lon, said, n, said)
+    got = live.to_places(live.elements(t.select(body.alias("body"))), tags.BATHING)
+    return got.select("id", "kind", "name", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), "provenance")
+
+
+@query("spot_validation", """SELECT n, kind, name, lat, lon, leash, fenced, provenance, season, month FROM (
+  SELECT n, CASE n % 4 WHEN 0 THEN 'dog_park' WHEN 1 THEN 'bathing_spot' END AS kind, CASE n % 3 WHEN 0 THEN 'A' END AS name, CASE WHEN n % 5 <> 0 THEN lat END AS lat, lon, CASE WHEN n % 2 = 0 THEN true END AS leash, n % 6 = 1 AS fenced,
+    CASE WHEN n % 7 <> 0 THEN 'permitted' END AS provenance, CASE n % 6 WHEN 0 THEN 'ban' WHEN 1 THEN 'unparsed' END AS season, CASE n % 6 WHEN 0 THEN 6 END AS month FROM {tagged}
+) WHERE kind IS NOT NULL AND lat IS NOT NULL AND provenance IS NOT NULL""")
+def spot_validation(spark, d):
+    """Published places, some without what a place must have, some with a bad field."""
+    n = F.col("n")
+    pick = lambda m, *texts: F.get(F.array(*map(F.lit, texts)), (n % m).cast("int"))
+    lat, lon = F.col("lat").cast("string"), F.col("lon").cast("string")
+    text = F.format_string('{"id":"node/%s","kind":%s,"name":%s,"lat":%s,"lon":%s,"tags":{"leashRequired":%s,"fenced":%s},"provenance":%s,"seasonal":%s}', n.cast("string"), pick(4, '"dog_park"', '"bathing_spot"', '"other"', "5"), pick(3, '"A"', '""', "7"), F.when(n % 5 == 0, F.concat(F.lit('"'), lat, F.lit('"'))).otherwise(lat), lon, pick(2, "true", '"true"'), F.when(n % 6 == 1, "true").otherwise("false"), F.when(n % 7 == 0, '"unknown"').otherwise('"permitted"'),
+                           pick(6, '{"kind":"ban","from":{"month":6,"day":1},"to":{"month":8,"day":31}}', '{"kind":"unparsed"}', '{"kind":"ban","from":{"month":13,"day":1},"to":{"month":8,"day":31}}', '{"kind":"ban","from":{"month":1,"day":1}}', '"ban"', "null"))
+    rows = dataset.valid_spots(at(spark, d, "tagged").select(F.parse_json(text).alias("s")))
+    return rows.select(F.split_part(F.col("id"), F.lit("/"), F.lit(2)).cast("long").alias("n"), "kind", "name", "lat", "lon", F.col("tags.leash_required").alias("leash"), F.col("tags.fenced").alias("fenced"), "provenance", F.col("seasonal.kind").alias("season"), F.col("seasonal.from.month").alias("month"))
+
+
+@query("cache_answers", """WITH good AS (SELECT 'k' || CAST(n % 50 AS VARCHAR) AS key, max(n) AS n FROM {tagged} WHERE n % 9 <> 0 AND n % 11 <> 0 AND n > 288 AND n <= 456 GROUP BY 1),
+asked AS (SELECT DISTINCT 'k' || CAST(n % 60 AS VARCHAR) AS key FROM {tagged})
+SELECT a.key, g.n IS NOT NULL AS hit, CAST(1 + g.n % 3 AS INTEGER) AS spots, 'node/' || CAST(g.n AS VARCHAR) AS first FROM asked a LEFT JOIN good g ON g.key = a.key""")
+def cache_answers(spark, d):
+    """Remembered answers, one a key and hour, some with a spot or a season that refuses them."""
+    n = F.col("n")
+    day = lambda m: F.struct(m.cast("int").alias("month"), F.lit(1).alias("day"))
+    season = F.struct(F.lit("ban").alias("kind"), day(F.when(n % 11 == 0, 13).otherwise(6)).alias("from"), day(F.lit(8)).alias("to"))
+    flags = F.struct(*(F.lit(None).cast("boolean").alias(f) for f in ("leash_required", "fenced", "lit")), F.lit(None).cast("string").alias("surface"))
+    spot = F.struct(F.concat(F.lit("node/"), n.cast("string")).alias("id"), F.when(n % 9 == 0, "other").otherwise("dog_park").alias("kind"), F.lit(None).cast("string").alias("name"), "lat", "lon", flags.alias("tags"), F.lit("designated").alias("provenance"), season.alias("seasonal"))
+    entries = at(spark, d, "tagged").select(F.concat(F.lit("k"), (n % 50).cast("string")).alias("key"), F.timestamp_seconds(F.unix_timestamp(F.lit("2026-07-01 00:00:00").cast("timestamp")) + n * 3600).alias("stored_at"), F.array_repeat(spot, (n % 3 + 1).cast("int")).alias("spots"))
+    asked = at(spark, d, "tagged").select(F.concat(F.lit("k"), (n % 60).cast("string")).alias("key")).distinct()
+    got = seqs.answer_through_cache(asked, entries, F.lit("2026-07-20 00:00:00").cast("timestamp"))
+    return got.select("key", "hit", F.when(F.col("hit"), F.size("spots")).alias("spots"), F.get("spots", F.lit(0))["id"].alias("first"))
+
+
+@query("key_value", "SELECT id AS key, CASE WHEN id LIKE 'node/%' THEN 'new' ELSE kind END AS value FROM {spots} WHERE id NOT LIKE 'relation/%' AND CAST(split_part(id, '/', 2) AS BIGINT) % 5 <> 0")
+def key_value(spark, d):
+    """A store after two puts, a deletion and a sweep of old prefixes."""
+    kv = store.Store(spark, shared_path(spark, "store"), "value string")
+    rows = at(spark, d, "spots").select(F.col("id").alias("key"), F.col("kind").alias("value"))
+    kv.put(rows)
+    kv.put(rows.where("key LIKE 'node/%'").withColumn("value", F.lit("new")))
+    kv.delete(rows.where("CAST(split_part(key, '/', 2) AS BIGINT) % 5 = 0"))
+    kv.sweep(("node/", "way/"))
+    return kv.rows()
+
+
+@query("fix_events", """SELECT CAST(session AS VARCHAR) AS session, seq, CASE WHEN seq % 5 = 0 THEN 'location-failed' ELSE 'position-fixed' END AS kind,
+  CASE WHEN seq % 5 = 0 THEN '{"reason":"' || CASE (seq // 5) % 5 WHEN 1 THEN 'PERMISSION_DENIED' WHEN 3 THEN 'TIMEOUT' ELSE 'POSITION_UNAVAILABLE' END || '"}'
+  ELSE '{"lat":' || CAST(lat AS VARCHAR) || ',"lon":' || CAST(lon AS VARCHAR) || CASE WHEN seq % 4 < 2 THEN '' ELSE ',"accuracy":' || CAST(CAST(seq AS DOUBLE) / 8 AS VARCHAR) END || '}' END AS payload FROM {fixes}""")
+def fix_events(spark, d):
+    """Fixes and failures as events; an accuracy that is no number isn't told."""
+    seq = F.col("seq")
+    code = F.when(seq % 5 == 0, ((seq / 5).cast("long") % 5).cast("int"))
+    rows = at(spark, d, "fixes").select(F.col("session").cast("string").alias("session"), "seq", "lat", "lon", F.when(seq % 4 == 0, float("nan")).when(seq % 4 > 1, seq / 8).alias("accuracy"), code.alias("error_code"))
+    return fixes.events(fixes.clean(rows))
+
+
+@query("accuracy_text", "SELECT session, seq, CASE WHEN seq % 3 <> 0 THEN '±' || CAST(CAST(floor(at_ms + 0.5) AS BIGINT) AS VARCHAR) || ' m' END AS text FROM {marks}")
+def accuracy_text(spark, d):
+    m = F.when(F.col("seq") % 3 == 0, F.lit(float("inf"))).otherwise(F.col("at_ms"))
+    return at(spark, d, "marks").select("session", "seq", present.accuracy_text(m).alias("text"))
+
+
+@query("change_urls", """WITH p AS (SELECT n, lpad(CAST(n * 977 AS VARCHAR), 9, '0') AS nine, CASE n % 2 WHEN 0 THEN 'way' ELSE 'relation' END AS kind FROM {tagged})
+SELECT n, 'https://planet.osm.org/replication/day/' || substr(nine, 1, 3) || '/' || substr(nine, 4, 3) || '/' || substr(nine, 7, 3) || '.osc.gz' AS diff, 'https://api.openstreetmap.org/api/0.6/' || kind || '/' || CAST(n AS VARCHAR) || '/full' AS repair FROM p""")
+def change_urls(spark, d):
+    kind = F.when(F.col("n") % 2 == 0, "way").otherwise("relation")
+    return at(spark, d, "tagged").select("n", ids.diff_url(F.col("n") * 977).alias("diff"), ids.repair_url(kind, F.col("n")).alias("repair"))
+
+
+@query("first_guess", "SELECT CAST(o_orderkey AS BIGINT) AS seq, least(CAST(o_orderkey AS BIGINT), greatest(1, CAST(o_orderkey AS BIGINT) - CAST(ceil((o_custkey % 400) / 24.0) AS BIGINT) - 1)) AS guess FROM {orders}")
+def first_guess(spark, d):
+    """Where the walk back from a change number starts, for a safe time so many hours before."""
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("seq"), F.col("o_orderdate").cast("timestamp").alias("ts"), (F.col("o_custkey") % 400).alias("hours"))
+    safe = F.timestamp_seconds(F.unix_timestamp("ts") - F.col("hours") * 3600)
+    return rows.select("seq", objects.first_guess(F.col("seq"), F.col("ts"), safe).alias("guess"))
