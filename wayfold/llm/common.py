@@ -60,17 +60,17 @@ def clear(spark: SparkSession) -> int:
     return len(paths)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    out = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    out = with_class(both.where("v > u"), low, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    out = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    out = with_class(down, low, ["u"], "n", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -91,18 +91,21 @@ def components(edges: DataFrame) -> DataFrame:
             out._wayfold_path = now._wayfold_path
             return out
         seen = mark
-        then = cut(_small_star(_large_star(now)), "edges")
+        large = cut(_large_star(now, mark[0]), "edges")
+        then = cut(_small_star(large, mark[0]), "edges")
+        drop(large)
         drop(now)
         now = then
 
 
-def with_class(rows: DataFrame, classes: DataFrame, on: list[str], size: str) -> DataFrame:
-    """Join rows to their classes, which are unique on ``on`` and have ``size`` rows each.
+def with_class(rows: DataFrame, classes: DataFrame, on: list[str], size: str, every: int | None = None) -> DataFrame:
+    """Join rows to their classes, which are unique on ``on`` and have ``size`` rows each
+    (``every`` in all, counted where it isn't given).
 
     Classes that hold a thousandth of the rows or more are a thousand at most, so they are
     broadcast, whatever the size of the tables, and none of them gathers in one task; the
     others are joined by their keys."""
-    every = classes.agg(F.sum(size)).first()[0] or 0
+    every = (classes.agg(F.sum(size)).first()[0] or 0) if every is None else every
     least = max(64, -(-every // 1000))
     large = F.broadcast(classes.where(F.col(size) >= least))
     rest = rows.join(large.select(*on), on, "left_anti").join(classes.where(F.col(size) < least).hint("merge"), on)
