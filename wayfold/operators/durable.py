@@ -12,7 +12,7 @@ _WRITTEN: set[str] = set()
 
 
 def durable(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write a frame that is used more than once below ``spark.checkpoint.dir`` and read it back.
+    """Write a frame that is used more than once to the shared folder and read it back.
 
     Later reads depend neither on an executor's disk nor on what came before."""
     path = shared_path(df.sparkSession, name)
@@ -22,12 +22,16 @@ def durable(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+def shared_dir(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which
+    all executors share too."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    return path.rstrip("/")
+
+
 def shared_path(spark, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; clear() deletes what is written there."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{base.rstrip('/')}/wayfold-{name}-{uuid.uuid4().hex}"
+    """A new path below shared_dir(); clear() deletes what is written there."""
+    path = f"{shared_dir(spark)}/wayfold-{name}-{uuid.uuid4().hex}"
     _WRITTEN.add(path)
     return path
 
