@@ -8,19 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.operators.durable import shared_dir
 
 #: Folders that cut() has written and nobody has deleted.
 _WRITTEN: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors must share."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return path.rstrip("/")
-
-
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
