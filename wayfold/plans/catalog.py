@@ -19,7 +19,7 @@ from wayfold.operators import sequences as seqs
 from wayfold.operators.durable import durable, shared_path
 from wayfold.plans import refresh
 from wayfold.plans.derive import oracle, relation
-from wayfold.sources import dataset, features, fixes, live, state, store
+from wayfold.sources import dataset, features, fixes, live, osm_pbf, state, store
 from wayfold.streaming import session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -488,6 +488,24 @@ def relation_assembly(spark, d):
     return objects.assemble(rows, (F.col("type") == "relation") & (F.col("id") < 1_000_000_000)).select("id", "lat", "lon")
 
 
+@query("binary_extract", """WITH held AS (SELECT CAST(o_custkey AS BIGINT) AS id, 'way' AS kind, CAST(o_orderkey AS BIGINT) AS ref FROM {orders} WHERE o_orderkey IN (SELECT way FROM {way_nodes})
+  UNION ALL SELECT CAST(c_nationkey + 1000000000 AS BIGINT), 'relation', CAST(c_custkey AS BIGINT) FROM {customer}
+  UNION ALL SELECT CAST(n_regionkey + 2000000000 AS BIGINT), 'relation', CAST(n_nationkey + 1000000000 AS BIGINT) FROM {nation}
+  UNION ALL SELECT CAST(n_nationkey + 1000000000 AS BIGINT), 'relation', CAST(n_regionkey + 2000000000 AS BIGINT) FROM {nation} WHERE n_nationkey % 9 = 0),
+every AS (SELECT 'node' AS type, node AS id, lat, lon, NULL AS refs, NULL AS members, NULL AS leisure FROM {nodes}
+  UNION ALL SELECT 'way', way, NULL, NULL, string_agg(CAST(node AS VARCHAR), ',' ORDER BY w.at, node), NULL, NULL FROM {way_nodes} w GROUP BY way
+  UNION ALL SELECT 'relation', id, NULL, NULL, NULL, string_agg(kind || '/' || CAST(ref AS VARCHAR), ',' ORDER BY kind, ref), CASE WHEN id >= 2000000000 AND id % 2 = 0 THEN 'dog_park' ELSE 'garden' END FROM held GROUP BY id)
+SELECT type, id, CASE WHEN id % 5 <> 0 THEN CAST(id % 7 + 1 AS INTEGER) END AS version, CASE WHEN id % 3 <> 0 THEN 1700000000 + id % 1000000 END AS stamp, lat, lon, refs, members, leisure FROM every""")
+def binary_extract(spark, d):
+    """Objects written as a binary extract and read again."""
+    path, i = shared_path(spark, "extract"), F.col("id")
+    rows = nested_objects(spark, d).withColumns({"version": F.when(i % 5 != 0, i % 7 + 1).cast("int"), "ts": F.when(i % 3 != 0, F.timestamp_seconds(i % 1_000_000 + 1_700_000_000))})
+    osm_pbf.write_objects(rows, path)
+    named = F.transform("members", lambda m: F.concat_ws("/", m["type"], m["ref"].cast("string")))
+    listed = lambda c: F.when(c.isNotNull(), F.array_join(c, ","))
+    return osm_pbf.read_objects(spark, path).select("type", "id", "version", F.unix_seconds("ts").alias("stamp"), "lat", "lon", listed(F.col("refs").cast("array<string>")).alias("refs"), listed(named).alias("members"), F.try_element_at("tags", F.lit("leisure")).alias("leisure"))
+
+
 _NEAR_STHLM = hav("59.3293", "18.0686", "lat", "lon")
 
 

@@ -16,7 +16,7 @@ from wayfold.functions import tags
 from wayfold.operators import objects, places
 from wayfold.operators.durable import delete, durable, release
 from wayfold.operators.sequences import assert_sane, kind_counts
-from wayfold.sources import boundary, dataset, osm_xml, state
+from wayfold.sources import boundary, dataset, osm_pbf, osm_xml, state
 
 # Fixed value: the boundary of a whole-planet build.
 PLANET = "planet\n1\n   -180 -90\n    180 -90\n    180  90\n   -180  90\nEND\nEND\n"
@@ -46,10 +46,12 @@ def seed(snapshots: list[DataFrame], stamps: DataFrame, history: DataFrame) -> t
 
 
 def filter_extract(spark: SparkSession, path: str, out: str) -> str:
-    """Write the preselected objects of one XML extract, and beside them the time of its
-    header, which is read first: a file without one is refused before the costly part."""
-    stamp = osm_xml.header_timestamp(spark, path)
-    preselect(osm_xml.read_objects(spark, path)).write.mode("overwrite").parquet(out)
+    """Write the preselected objects of one extract (binary or XML, by its name), and beside
+    them the time of its header, which is read first: a file without one is refused before the
+    costly part."""
+    source = osm_pbf if path.endswith(".pbf") else osm_xml
+    stamp = source.header_timestamp(spark, path)
+    preselect(source.read_objects(spark, path)).write.mode("overwrite").parquet(out)
     state.write_text(spark, f"{out}.timestamp", stamp)
     return stamp
 

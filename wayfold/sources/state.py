@@ -84,8 +84,8 @@ class TextFile:
         self.fs = self.target.getFileSystem(self.conf)
         self.out = self.fs.create(self.part, True)
 
-    def write(self, text: str) -> None:
-        self.out.write(bytearray(text.encode()))
+    def write(self, text: str | bytes) -> None:
+        self.out.write(bytearray(text.encode() if isinstance(text, str) else text))
 
     def __enter__(self) -> TextFile:
         return self
