@@ -11,6 +11,7 @@ wrong row.
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import lzma
 import struct
 import zlib
@@ -28,6 +29,8 @@ from wayfold.sources.state import TextFile
 DATA, HEAD = b"\n\x07OSMData", b"\n\x09OSMHeader"
 KNOWN = {"OsmSchema-V0.6", "DenseNodes"}
 
+_BYTES = [bytes([n]) for n in range(128)]
+
 #: Objects and bytes of a written block at most (one object may be larger).
 BLOCK_ROWS, BLOCK_BYTES = 8_000, 16 << 20
 
@@ -105,8 +108,23 @@ def _steps(data: memoryview | bytes) -> np.ndarray:
     return np.cumsum(_signed(_integers(data)))
 
 
+def _few(data: memoryview | bytes) -> list[int]:
+    """A packed list of integers, by plain steps while it is short."""
+    if len(data) > 200:
+        return _integers(data).tolist()
+    out, at = [], 0
+    while at < len(data):
+        value, at = _varint(data, at)
+        out.append(_one_long(value))
+    return out
+
+
+def _few_steps(data: memoryview | bytes) -> list[int]:
+    return list(itertools.accumulate(map(_one_signed, _few(data)))) if len(data) <= 200 else _steps(data).tolist()
+
+
 def _one_signed(x: int) -> int:
-    return (x >> 1) ^ -(x & 1)
+    return ((x & (1 << 64) - 1) >> 1) ^ -(x & 1)
 
 
 def _one_long(x: int) -> int:
@@ -153,7 +171,7 @@ class _Block:
         return list({self.words[k]: self.words[v] for k, v in zip(keys, values, strict=True)}.items())
 
     def own_tags(self, m: dict) -> list[tuple[str, str]]:
-        return self.tags(_integers(m.get(2, b"")), _integers(m.get(3, b"")))
+        return self.tags(_few(m.get(2, b"")), _few(m.get(3, b"")))
 
     def info(self, m: dict) -> tuple[int | None, int | None]:
         """Version and time in microseconds; null where the file doesn't say (a time of zero is none)."""
@@ -202,11 +220,11 @@ class _Block:
         return "node", _one_signed(m[1]), *self.info(m), lat, lon, None, None, self.own_tags(m)
 
     def way(self, m: dict) -> tuple:
-        return "way", _one_long(m[1]), *self.info(m), None, None, _steps(m.get(8, b"")).tolist() or None, None, self.own_tags(m)
+        return "way", _one_long(m[1]), *self.info(m), None, None, _few_steps(m.get(8, b"")) or None, None, self.own_tags(m)
 
     def relation(self, m: dict) -> tuple:
-        columns = _integers(m.get(10, b"")), _steps(m.get(9, b"")), _integers(m.get(8, b""))
-        members = [{"type": TYPES[t], "ref": int(ref), "role": self.words[role]} for t, ref, role in zip(*columns, strict=True)]
+        columns = _few(m.get(10, b"")), _few_steps(m.get(9, b"")), _few(m.get(8, b""))
+        members = [{"type": TYPES[t], "ref": ref, "role": self.words[role]} for t, ref, role in zip(*columns, strict=True)]
         return "relation", _one_long(m[1]), *self.info(m), None, None, None, members or None, self.own_tags(m)
 
 
@@ -288,10 +306,31 @@ def _packed_steps(x) -> bytes:
     return _packed(d << 1 ^ d >> 63)
 
 
+def _coded(n: int) -> bytes:
+    if 0 <= n < 128:
+        return _BYTES[n]
+    n, out = n & ((1 << 64) - 1), bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def _few_packed(x: list[int]) -> bytes:
+    return b"".join(map(_coded, x)) if len(x) <= 100 else _packed(x)
+
+
+def _few_packed_steps(x: list[int]) -> bytes:
+    if len(x) > 100:
+        return _packed_steps(x)
+    return b"".join(_coded(d << 1 if d >= 0 else ~(d << 1)) for d in map(int.__sub__, x, [0, *x]))
+
+
 def _field(number: int, value: int | bytes) -> bytes:
     if isinstance(value, bytes):
-        return _packed([number << 3 | 2, len(value)]) + value
-    return _packed([number << 3, value])
+        return _coded(number << 3 | 2) + _coded(len(value)) + value
+    return _coded(number << 3) + _coded(value)
 
 
 def _stored(kind: str, message: bytes) -> bytes:
@@ -315,13 +354,13 @@ def _group(kind: str, rows: pa.Table, words: dict[str, int]) -> bytes:
         body = _field(1, _packed_steps(ids)) + _field(5, info) + b"".join(_field(n, _packed_steps(x)) for n, x in zip((8, 9), at))
         return _field(2, body + _field(10, _packed(flat if any(tags) else [])))
     out = []
-    for k, (refs, members) in enumerate(zip(rows["refs"].to_pylist(), rows["members"].to_pylist())):
-        body = _field(1, int(ids[k])) + b"".join(_field(2 + j, _packed([pair[j] for pair in tags[k]])) for j in (0, 1))
-        body += _field(4, _field(1, int(version[k])) + _field(2, int(when[k])))
+    for own, number, v, t, refs, members in zip(tags, ids.tolist(), version.tolist(), when.tolist(), rows["refs"].to_pylist(), rows["members"].to_pylist()):
+        body = _field(1, number) + _field(2, _few_packed([k for k, _ in own])) + _field(3, _few_packed([w for _, w in own])) + _field(4, _field(1, v) + _field(2, t))
         if kind == "way":
-            body += _field(8, _packed_steps(refs or []))
+            body += _field(8, _few_packed_steps(refs or []))
         else:
-            body += _field(8, _packed([word(m["role"] or "") for m in members or ()])) + _field(9, _packed_steps([m["ref"] for m in members or ()])) + _field(10, _packed([TYPES.index(m["type"]) for m in members or ()]))
+            held = members or []
+            body += _field(8, _few_packed([word(m["role"] or "") for m in held])) + _field(9, _few_packed_steps([m["ref"] for m in held])) + _field(10, _few_packed([TYPES.index(m["type"]) for m in held]))
         out.append(_field(3 if kind == "way" else 4, body))
     return b"".join(out)
 
