@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, chat, embed_dedup, packing, pii, quality, simhash, tokens, topk, urls
+from wayfold.llm import bpe, centroids, chat, embed_dedup, packing, pii, quality, schema_rewrite, simhash, tokens, topk, urls, warc
+from wayfold.llm.stored import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +88,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chat(with_tool_calls(table(spark, sf_dir, "conversations")))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"), new_folder(spark, "warc"), least=0)
+
+
+def op12_schema_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_rewrite.rewrite_clients(table(spark, sf_dir, "clients"), new_folder(spark, "clients"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, salt="2:")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
@@ -98,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
+    "op11_warc": op11_warc,
+    "op12_schema_rewrite": op12_schema_rewrite,
+    "op13_centroids": op13_centroids,
 }
 
 _FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
@@ -111,7 +127,29 @@ _BASE = [
 ]
 _HITS = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS h, regexp_split_to_array(t, '{p}') AS p FROM d WHERE regexp_matches(t, '{p}')" for k, (kind, p) in enumerate(_BASE))
 
+
+def _clustering_sql(k: int, rounds: int) -> str:
+    """The rounds unrolled, all vectors against all centroids."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT vec_id, v, min(struct_pack(d := d, c := c)) AS b FROM (SELECT vec_id, v.v, c.c, CAST(list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{r} c) GROUP BY vec_id, v)")
+        if r < rounds:
+            means = f"SELECT b.c AS c, i, CAST(floor(sum(v[i])::DOUBLE / count(*)) AS BIGINT) AS m FROM a{r}, range(1, 65) t(i) GROUP BY b.c, i"
+            steps.append(f"c{r + 1} AS (SELECT c.c, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT c, list(m ORDER BY i) AS v FROM ({means}) GROUP BY c) n ON n.c = c.c)")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS c, v FROM v QUALIFY c < {k}
+), {", ".join(steps).replace(" AS (", " AS MATERIALIZED (")}
+SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.c = b.c"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_centroids": _clustering_sql(40, 5),
     # The base spans. The tables hold nothing that only the method's added kinds would find;
     # tests/llm has cases of those.
     "op1_pii": f"""
