@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the retry policy, and message titles by key.
+# Fixed values of the retry policy, and the words of messages by key.
 MAX_RETRIES, FIRST_WAIT_MS, WAIT_FACTOR, MAX_WAIT_MS = 2, 2_000, 2, 30_000
 RETRYABLE = ["timeout", "rate-limited", "busy", "network-unavailable"]
 FAILURE_TITLES = {
@@ -18,6 +18,16 @@ FAILURE_TITLES = {
     "malformed-response": "That answer made no sense",
 }
 
+FAILURE_DETAILS = {
+    "timeout": "The map data service did not answer in time. It is free and shared, so it is sometimes busy.",
+    "rate-limited": "The map data service has asked us to slow down. Give it a moment before asking again.",
+    "busy": "It is free for everyone to use, and right now it has no capacity to spare. Trying again in a moment usually works.",
+    "network-unavailable": "Nothing reached the map data service. Check your signal or your Wi-Fi.",
+    "server-error": "It answered with an error instead of results, which is usually temporary.",
+    "request-error": "The map data service turned the request down, and asking again the same way would not change its mind.",
+    "malformed-response": "The map data service replied with something we could not read.",
+}
+
 
 class ServiceError(Exception):
     """A typed failure: kind, and status and Retry-After in milliseconds where known."""
@@ -49,13 +59,22 @@ def failure_key(kind: Column, status: Column) -> Column:
     return F.when(kind != "http-error", kind).when(F.coalesce(status, F.lit(0)) >= 500, "server-error").otherwise("request-error")
 
 
-def failure_title(key: Column) -> Column:
+def _said(key: Column, texts: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
-    for k, title in FAILURE_TITLES.items():
-        out = F.when(key == k, title).otherwise(out)
+    for k, text in texts.items():
+        out = F.when(key == k, text).otherwise(out)
     return out
 
 
+def failure_title(key: Column) -> Column:
+    return _said(key, FAILURE_TITLES)
+
+
+def failure_detail(key: Column) -> Column:
+    """What stands below the title."""
+    return _said(key, FAILURE_DETAILS)
+
+
 def retry_after_ms(header: Column, now: Column) -> Column:
     """Whole seconds, or the time until an HTTP date (never negative); null if neither."""
     text = F.trim(header)

@@ -38,8 +38,31 @@ def near_box(lat: Column, lon: Column, at_lat: Column, at_lon: Column, radius_m:
 
 
 def round_coord(x: Column) -> Column:
-    """Seven decimals."""
-    return F.round(x, 7)
+    """Seven decimals, decided on the exact value of the double; ties away from zero."""
+    return F.signum(x) * scaled_digits(x, 7) / 10.0**7
+
+
+def _halves(x: Column) -> tuple[Column, Column]:
+    """The upper and lower half of a double's digits, whose sum it is."""
+    wide = x * 134217729.0
+    upper = wide - (wide - x)
+    return upper, x - upper
+
+
+def scaled_digits(x: Column, decimals: int) -> Column:
+    """|x| * 10^decimals as a whole number (a double), nearest to the exact value of the
+    binary fraction, the greater of two equally near: 9.95 is just below its decimal, so it
+    has 99 tenths. The product's rounding error is found exactly from half-length factors."""
+    scale = 10.0**decimals
+    a = F.abs(x)
+    product = a * scale
+    high, low = _halves(a)
+    wide = scale * 134217729.0
+    up = wide - (wide - scale)
+    down = scale - up
+    error = ((high * up - product) + high * down + low * up) + low * down
+    whole = F.floor(product).cast("double")
+    return F.when(product >= 2.0**52, product).when((product - whole) - 0.5 >= -error, whole + 1).otherwise(whole)
 
 
 def let(value: Column, then) -> Column:

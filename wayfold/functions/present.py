@@ -6,24 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wayfold.functions.density import mapping_density
+from wayfold.functions.geo import let, scaled_digits
 from wayfold.functions.seasonal import trim
 
 # Labels that readers see.
 UNNAMED = {"dog_park": "Unnamed dog park", "bathing_spot": "Unnamed bathing spot"}
 PROVENANCE_LABELS = {"designated": "Dog bathing area", "permitted": "Dogs allowed", "name-match": "Unverified — matched by name"}
+EMPTY_DETAILS = {
+    "sparse": "Few dog parks are mapped in this part of the world. There may well be one nearby that nobody has added to OpenStreetMap yet.",
+    "dense": "OpenStreetMap has none mapped around here. Its coverage is uneven, so there may be a park that nobody has added yet.",
+}
 CACHE_PREFIXES = {"dog_park": "dog-parks-v1-", "bathing_spot": "bathing-v1-"}
 
 
 def half_up(x: Column) -> Column:
     """Nearest whole number, halves towards plus infinity."""
-    return F.floor(x + 0.5)
+    return F.floor(x) + F.when(x - F.floor(x) >= 0.5, 1).otherwise(0)
+
+
+def fixed(x: Column, decimals: int) -> Column:
+    """Text with so many decimals, decided on the exact value of the double."""
+    n, scale = scaled_digits(x, decimals).cast("long"), 10**decimals
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), decimals, "0"))
 
 
 def format_distance(m: Column) -> Column:
     """Metres under 1 km, tenths of a km under 10 km, whole km from there."""
-    tenths = half_up(m / 100)
-    km = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" km"))
-    return F.when(m < 1000, F.concat(half_up(m).cast("string"), F.lit(" m"))).when(m >= 10_000, F.concat(half_up(m / 1000).cast("string"), F.lit(" km"))).otherwise(km)
+    km = m / 1000
+    return F.when(m < 1000, F.concat(half_up(m).cast("string"), F.lit(" m"))).when(km >= 10, F.concat(half_up(km).cast("string"), F.lit(" km"))).otherwise(F.concat(fixed(km, 1), F.lit(" km")))
 
 
 def spot_label(name: Column, kind: Column) -> Column:
@@ -78,10 +88,9 @@ def cache_key(kind: Column, lat: Column, lon: Column, radius_m: Column) -> Colum
 def empty_message(radius_m: Column, lat: str, lon: str) -> Column:
     """struct<title, detail> of an answer without places; wording depends on the mapping
     density at the columns lat and lon."""
-    sparse = mapping_density(lat, lon) == "sparse"
-    title = F.concat(F.when(sparse, "No dog parks mapped within ").otherwise("No dog parks within "), format_distance(radius_m))
-    detail = F.when(sparse, "The map holds little about this region, so a park may be near without being on it.").otherwise("The map covers this region well, though a park may still be missing from it.")
-    return F.struct(title.alias("title"), detail.alias("detail"))
+    within = F.concat(F.lit(" within "), format_distance(radius_m))
+    said = lambda sparse: F.struct(F.concat(F.when(sparse, "No dog parks mapped").otherwise("No dog parks"), within).alias("title"), F.when(sparse, EMPTY_DETAILS["sparse"]).otherwise(EMPTY_DETAILS["dense"]).alias("detail"))
+    return let(mapping_density(lat, lon) == "sparse", said)
 
 
 def format_delta(ms: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -23,9 +24,13 @@ def durable(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def shared_dir(spark) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which
-    all executors share too."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a folder in the warehouse serves
+    a session on one machine, and is an error on a cluster, whose executors might not share it."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return path.rstrip("/")
 
 

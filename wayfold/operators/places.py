@@ -9,11 +9,13 @@ question is one plan for any number of points.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, ids, seasonal, tags
+from wayfold.operators import grid
 from wayfold.operators.durable import durable
 
 SCHEMA = f"id string, kind string, name string, lat double, lon double, tags struct<leash_required:boolean,fenced:boolean,lit:boolean,surface:string>, provenance string, seasonal {seasonal.RULE_TYPE}"
@@ -25,9 +27,6 @@ RADII_M = [3_000, 10_000, 25_000]
 ENOUGH = {"dog_park": 5, "bathing_spot": 3}
 COLLAPSE_M = 50.0
 
-#: Degrees of latitude of a band; a pair within COLLAPSE_M lies in the same or the next one.
-_BAND = 0.0005
-
 
 def within(places: DataFrame, lat: float, lon: float, radius_m: float, kind: str | None = None) -> DataFrame:
     """Places at most ``radius_m`` away (inclusive) with ``meters``. The box goes to the scan."""
@@ -37,28 +36,17 @@ def within(places: DataFrame, lat: float, lon: float, radius_m: float, kind: str
     return some.withColumn("meters", geo.haversine_m(at_lat, at_lon, F.col("lat"), F.col("lon"))).where(F.col("meters") <= r)
 
 
-def near_points(places: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
-    """Every (point, place) at most ``radius_m`` apart, with ``meters``.
-
-    Points are spread over the latitude rows that their circle touches, and places join on
-    their own row and on the longitude cells within reach, so the join is on equal keys:
-    no product of the two sides, whatever their sizes. Hot cells are left to AQE's
-    splitting of skewed joins."""
-    size = 0.25
-    reach = F.degrees(F.lit(float(radius_m)) / geo.EARTH_RADIUS_M) * 1.000001
-    row = F.floor(F.col("lat") / size).cast("long")
-    col = F.floor(F.pmod(F.col("lon") + 180.0, F.lit(360.0)) / size).cast("long")
-    n = int(360 / size)
-    widest = F.least(F.greatest(F.abs(F.col("at_lat") - reach), F.abs(F.col("at_lat") + reach)), F.lit(90.0))
-    spread = F.sin(F.radians(reach)) / F.cos(F.radians("at_lat"))
-    dlon = F.when((widest < 89.9) & (spread < 1), F.degrees(F.asin(spread)) * 1.000001).otherwise(180.0)
-    turned = F.pmod(F.col("at_lon") + 180.0, F.lit(360.0))
-    rows = F.sequence(F.floor((F.col("at_lat") - reach) / size).cast("long"), F.floor((F.col("at_lat") + reach) / size).cast("long"))
-    cols = F.when(dlon >= 179.0, F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).otherwise(F.transform(F.sequence(F.floor((turned - dlon) / size).cast("long"), F.floor((turned + dlon) / size).cast("long")), lambda c: F.pmod(c, F.lit(n).cast("long"))))
-    asked = points.withColumn("__row", F.explode(rows)).withColumn("__col", F.explode(F.array_distinct(cols)))
-    both = places.withColumn("__row", row).withColumn("__col", col).join(asked, ["__row", "__col"])
+def near_points(places: DataFrame, points: DataFrame, radius_m: float, on: Sequence[str] = (), full: int = grid.FULL, sample: int = grid.SAMPLE) -> DataFrame:
+    """Every (point, place) at most ``radius_m`` apart, with ``meters``, and equal in the
+    columns ``on``.
+
+    Both sides are dealt to cells of an adaptive grid (``grid``), points to all cells that their circle
+    touches, so the join is on equal keys: no product of the two sides, and no key with much
+    more than ``full`` places however dense they lie."""
+    cells = grid.Grid(places, radius_m, full, sample)
+    both = cells.of_places(places).join(cells.of_points(points), [*grid.KEY, *on])
     both = both.withColumn("meters", geo.haversine_m(F.col("at_lat"), F.col("at_lon"), F.col("lat"), F.col("lon")))
-    return both.where(F.col("meters") <= float(radius_m)).drop("__row", "__col")
+    return both.where(F.col("meters") <= float(radius_m)).drop(*grid.KEY)
 
 
 def ranked(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -73,33 +61,13 @@ def agree(a, b):
     return a.isNull() | b.isNull() | (clean(a) == clean(b))
 
 
-def _close_pairs(rows: DataFrame, by: Sequence[str] = (), limit_m: float = COLLAPSE_M) -> DataFrame:
-    """by, kind, node_id, area_id, meters of every node and area that one could collapse into.
-
-    Joined on kind and grid cell: bands of latitude, each parted into as many equal cells of
-    longitude as keep a cell wider than the limit anywhere in the band and its neighbours
-    (one cell at the poles). Nodes stand in their own cell and those around it, so the work
-    grows with the places near each other, never with all of a latitude."""
-    size = max(_BAND, limit_m / 111_000.0 * 1.1)
-    band = F.floor(F.col("lat") / size)
-
-    def columns(b):
-        """How many cells the band has."""
-        far = F.least(F.greatest(F.abs(b), F.abs(b + 1)) * size + size, F.lit(90.0))
-        return F.greatest(F.lit(1), F.floor(F.cos(F.radians(far)) * (360.0 / size)).cast("int"))
-
-    def cell(b):
-        return F.least(F.floor(F.pmod(F.col("lon") + 180.0, F.lit(360.0)) / 360.0 * columns(b)).cast("int"), columns(b) - 1)
-
-    def around(b):
-        return F.transform(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(cell(b) + d, columns(b)))), lambda c: F.struct(b.alias("band"), c.alias("cell")))
-
-    keys = [*by, "kind", "__band", "__cell"]
-    nodes = rows.where(ids.is_node(F.col("id"))).select(*by, "kind", F.explode(F.flatten(F.array(around(band - 1), around(band), around(band + 1)))).alias("__at"), F.col("id").alias("node_id"), F.col("name").alias("__name"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
-    nodes = nodes.withColumns({"__band": F.col("__at.band"), "__cell": F.col("__at.cell")}).drop("__at")
-    areas = rows.where(ids.is_area(F.col("id"))).select(*by, "kind", band.alias("__band"), cell(band).alias("__cell"), F.col("id").alias("area_id"), "name", "lat", "lon")
-    both = nodes.join(areas, keys).withColumn("meters", geo.haversine_m(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon")))
-    return both.where((F.col("meters") <= limit_m) & agree(F.col("__name"), F.col("name"))).select(*by, "kind", "node_id", "area_id", "meters")
+def _close_pairs(rows: DataFrame, by: Sequence[str] = (), limit_m: float = COLLAPSE_M, *more: str) -> DataFrame:
+    """by, kind, node_id, area_id, meters of every node and area that one could collapse
+    into, and ``more`` columns of the area: nodes are the points of a join by distance with the areas."""
+    nodes = rows.where(ids.is_node(F.col("id"))).select(*by, "kind", F.col("id").alias("node_id"), F.col("name").alias("__name"), F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon"))
+    areas = rows.where(ids.is_area(F.col("id"))).select(*by, "kind", "id", "name", "lat", "lon")
+    both = near_points(areas, nodes, limit_m, [*by, "kind"]).where(agree(F.col("__name"), F.col("name")))
+    return both.select(*by, "kind", "node_id", F.col("id").alias("area_id"), "meters", *more)
 
 
 def collapse_pairs(rows: DataFrame, by: Sequence[str] = (), limit_m: float = COLLAPSE_M) -> DataFrame:
@@ -127,44 +95,54 @@ def collapse(rows: DataFrame, by: Sequence[str] = (), limit_m: float = COLLAPSE_
     return left.select(*rows.columns)
 
 
-def _counts(near: DataFrame, points: DataFrame, some: DataFrame, kind: str, radii: Sequence[float], enough: int | None) -> DataFrame:
-    """query_id, searched_radius_m, n from ``near``: query_id, id, meters to the widest radius."""
-    # one row a node of each point: the least radius that covers it and an area to collapse into
-    near = near.select("query_id", "id", "meters")
-    pairs = _close_pairs(some).select("node_id", "area_id")
-    area = near.select("query_id", F.col("id").alias("area_id"), F.col("meters").alias("area_m"))
-    gone = near.join(pairs, F.col("id") == F.col("node_id")).join(area, ["query_id", "area_id"])
-    gone = gone.groupBy("query_id", "id").agg(F.min(F.greatest("meters", "area_m")).alias("gone_m"))
-    stays = lambda r: (F.col("meters") <= float(r)) & (F.col("gone_m").isNull() | (F.col("gone_m") > float(r)))
-    counts = near.join(gone, ["query_id", "id"], "left").groupBy("query_id").agg(*(F.count_if(stays(r)).alias(f"n{k}") for k, r in enumerate(radii)))
-    order = sorted(range(len(radii)), key=lambda k: radii[k])
-    pick = F.struct(F.lit(int(radii[order[-1]])).alias("r"), F.coalesce(f"n{order[-1]}", F.lit(0)).cast("long").alias("n"))
-    for k in reversed(order):
-        pick = F.when(F.col(f"n{k}") >= (enough or ENOUGH[kind]), F.struct(F.lit(int(radii[k])).alias("r"), F.col(f"n{k}").alias("n"))).otherwise(pick)
-    got = points.select("query_id").join(counts, "query_id", "left").withColumn("__pick", pick)
-    return got.select("query_id", F.col("__pick.r").alias("searched_radius_m"), F.col("__pick.n").alias("n"))
+def _counts(near: DataFrame, pairs: DataFrame, radius_m: float) -> DataFrame:
+    """query_id, n: how many places of ``near`` (query_id, id, at_lat, at_lon, all within the
+    radius) stay after collapse. A node goes if an area that it doubles is within the radius too."""
+    area_m = geo.haversine_m(F.col("at_lat"), F.col("at_lon"), F.col("area_lat"), F.col("area_lon"))
+    gone = F.max(F.coalesce(area_m <= radius_m, F.lit(False))).alias("gone")
+    each = near.join(pairs, near["id"] == pairs["node_id"], "left").groupBy("query_id", "id").agg(gone)
+    return each.groupBy("query_id").agg(F.count_if(~F.col("gone")).alias("n"))
+
+
+def _frontier(some: DataFrame, asked: DataFrame, radii: Sequence[float], enough: int, rows: bool):
+    """For each radius in turn: how many collapsed places the points still asking have
+    (query_id, searched_radius_m, n), and, if ``rows``, what lies near them (query_id, id).
+
+    Points that have enough are answered and go no further, so the wide radii, which join
+    most, are asked by points in sparse places only. Pairs of doubles don't depend on the
+    point and are found once."""
+    pairs = durable(_close_pairs(some, (), COLLAPSE_M, "lat", "lon").select("node_id", F.col("lat").alias("area_lat"), F.col("lon").alias("area_lon")), "pairs")
+    left, answers, kept = asked, [], []
+    for k, radius in enumerate(sorted(radii)):
+        near = near_points(some.select("id", "lat", "lon"), left, float(radius)).select("query_id", "id", "at_lat", "at_lon", "meters")
+        near = durable(near, "near") if rows else near
+        found = left.join(_counts(near, pairs, float(radius)), "query_id", "left")
+        found = durable(found.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))), "found")
+        last = k + 1 == len(radii)
+        done = found if last else found.where(F.col("n") >= enough)
+        answers.append(done.select("query_id", F.lit(int(radius)).alias("searched_radius_m"), "n"))
+        if rows:
+            kept.append(near.join(answers[-1].select("query_id", "searched_radius_m"), "query_id").select("query_id", "id", "meters", "searched_radius_m"))
+        left = found.where(F.col("n") < enough).select("query_id", "at_lat", "at_lon")
+        if not last and not left.limit(1).count():
+            break
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    return union(answers), union(kept) if rows else None
 
 
 def expanding_counts(places: DataFrame, points: DataFrame, kind: str, radii: Sequence[float] = RADII_M, enough: int | None = None) -> DataFrame:
     """query_id, searched_radius_m, n for every point: the first radius that holds ``enough``
-    places after collapse, else the widest; none within the widest is an answer too.
-
-    A node is collapsed at a radius that covers both it and an area to collapse into. Such
-    pairs don't depend on the point, so they are found once among the places, and a point
-    only needs the least radius at which each node is gone; one aggregate counts all radii.
-    What lies near the points is joined once and written, since three joins read it."""
+    places after collapse, else the widest; none within the widest is an answer too. Query ids are distinct."""
     some = places.where(F.col("kind") == kind)
-    near = durable(near_points(some.select("id", "lat", "lon"), points.select("query_id", "at_lat", "at_lon"), float(max(radii))).select("query_id", "id", "meters"), "near")
-    return _counts(near, points, some, kind, radii, enough)
+    return _frontier(some, points.select("query_id", "at_lat", "at_lon"), radii, enough or ENOUGH[kind], rows=False)[0]
 
 
 def expanding(places: DataFrame, points: DataFrame, kind: str, radii: Sequence[float] = RADII_M, enough: int | None = None) -> DataFrame:
     """For each point the collapsed places of its searched radius (expanding_counts), with
     ``meters`` and ``searched_radius_m``."""
-    some, asked = places.where(F.col("kind") == kind), points.select("query_id", "at_lat", "at_lon")
-    near = durable(near_points(some, asked, float(max(radii))), "near")
-    reached = _counts(near, asked, some, kind, radii, enough).select("query_id", "searched_radius_m")
-    inside = near.join(reached, "query_id").where(F.col("meters") <= F.col("searched_radius_m"))
+    some = places.where(F.col("kind") == kind)
+    _, near = _frontier(some, points.select("query_id", "at_lat", "at_lon"), radii, enough or ENOUGH[kind], rows=True)
+    inside = near.join(some, "id")
     return collapse(durable(inside, "inside"), ["query_id"])
 
 
@@ -174,27 +152,21 @@ def extent(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def union_layers(parks: DataFrame, bathing: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Both layers, an id once; the park wins. Partly aggregated, so no id is sorted."""
+    """Both layers, an id once; the park wins, and of equal layers the least (kind, lat, lon).
+    Partly aggregated, so no id is sorted."""
     both = parks.withColumn("layer", F.lit(0)).unionByName(bathing.withColumn("layer", F.lit(1)))
     one = both.groupBy(*by, "id").agg(F.min_by(F.struct(*both.columns), F.struct("layer", "kind", "lat", "lon")).alias("__row"))
     return one.select("__row.*")
 
 
-def union_layers(parks: DataFrame, bathing: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Both layers, an id once; the park wins."""
-    both = parks.withColumn("layer", F.lit(0)).unionByName(bathing.withColumn("layer", F.lit(1)))
-    first = F.row_number().over(Window.partitionBy(*by, "id").orderBy("layer", "kind"))
-    return both.withColumn("__first", first).where("__first = 1").drop("__first")
-
-
 def admit(points: DataFrame, coverage: DataFrame, radius_m: float) -> DataFrame:
     """``covered`` and ``answer_source`` (local or live) of every point.
 
     ``coverage``: role (include or exclude), ring_no, points. A coverage file is a few
-    rings; their number is checked, and they go into the plan as literals."""
-    rings = coverage.limit(1001).collect()
-    if len(rings) > 1000:
-        raise ValueError("coverage has more than 1000 rings")
+    rings; the number of their points is checked, and they go into the plan as literals."""
+    if (coverage.agg(F.sum(F.size("points") + 1)).first()[0] or 0) > 20_000:
+        raise ValueError("coverage has more than 20000 points")
+    rings = coverage.collect()
     of = lambda role: F.array(*(geo.ring([(p["lat"], p["lon"]) for p in r["points"]]) for r in rings if r["role"] == role)).cast(f"array<{geo.RING_TYPE}>")
     inside = geo.circle_within(F.col("at_lat"), F.col("at_lon"), F.lit(float(radius_m)), of("include"), of("exclude"))
     return points.withColumn("covered", inside).withColumn("answer_source", F.when(F.col("covered"), "local").otherwise("live"))

@@ -3,11 +3,12 @@ publish gates, gazetteer look-ups, rate gates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.functions.present import half_up, format_delta
+from wayfold.operators import scans
 
 # Metres between fixes that ask anew, and how long answers are remembered.
 REQUERY_M = 250.0
@@ -37,19 +38,19 @@ def first_marks(marks: DataFrame, by: str = "session") -> DataFrame:
     return one.select(by, "milestone", F.col("m.at_ms").alias("at_ms"), F.col("m.detail").alias("detail"))
 
 
-def step_deltas(marks: DataFrame, by: str = "session") -> DataFrame:
+def step_deltas(marks: DataFrame, by: str = "session", ranges: int | None = None) -> DataFrame:
     """``delta_ms`` to the mark before, the first to zero, and the report's line."""
-    w = Window.partitionBy(by).orderBy("at_ms", "milestone")
-    out = marks.withColumn("delta_ms", F.col("at_ms") - F.coalesce(F.lag("at_ms").over(w), F.lit(0.0)))
+    out = scans.with_previous(marks, [by], ["at_ms", "milestone"], ["at_ms"], ranges)
+    out = out.withColumn("delta_ms", F.col("at_ms") - F.coalesce("__previous.at_ms", F.lit(0.0))).drop("__previous")
     line = F.concat_ws("\t", "milestone", F.concat(half_up(F.col("at_ms")).cast("string"), F.lit("ms")), F.concat(F.lit("("), format_delta(F.col("delta_ms")), F.lit("ms)")), F.nullif(F.col("detail"), F.lit("")))
     return out.withColumn("line", line)
 
 
-def moves(fixes: DataFrame, by: str = "session", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+def moves(fixes: DataFrame, by: str = "session", order: tuple[str, ...] = ("ts", "seq"), ranges: int | None = None) -> DataFrame:
     """``moved_m`` since the fix before and ``asks``: at least 250 m, or the first fix."""
-    w = Window.partitionBy(by).orderBy(*order)
-    moved = geo.haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    return fixes.withColumn("moved_m", moved).withColumn("asks", F.coalesce(F.col("moved_m") >= REQUERY_M, F.lit(True)))
+    out = scans.with_previous(fixes, [by], order, ["lat", "lon"], ranges)
+    moved = geo.haversine_m(F.col("__previous.lat"), F.col("__previous.lon"), F.col("lat"), F.col("lon"))
+    return out.withColumn("moved_m", moved).drop("__previous").withColumn("asks", F.coalesce(F.col("moved_m") >= REQUERY_M, F.lit(True)))
 
 
 def latest_answers(answers: DataFrame, by: tuple[str, ...] = ("session", "layer")) -> DataFrame:
@@ -142,10 +143,7 @@ def geocode(gazetteer: DataFrame, text: str, limit: int = 5) -> DataFrame:
     return read.where(good & F.lower("label").contains(text.lower())).orderBy(F.desc("importance"), "label", "lat", "lon").limit(limit).select("label", "lat", "lon")
 
 
-def rate_gate(requests: DataFrame, by: str = "client", gap_ms: int = 1000) -> DataFrame:
+def rate_gate(requests: DataFrame, by: str = "client", gap_ms: int = 1000, ranges: int | None = None) -> DataFrame:
     """``go_at_ms``: each request at its time or ``gap_ms`` after the one before, whichever is
-    later. As a running maximum: go(i) = max over j <= i of t(j) + (i - j) * gap."""
-    w = Window.partitionBy(by).orderBy("at_ms", "seq")
-    n = F.row_number().over(w)
-    out = requests.withColumn("__n", n).withColumn("__base", F.col("at_ms") - F.col("__n") * gap_ms)
-    return out.withColumn("go_at_ms", F.max("__base").over(w) + F.col("__n") * gap_ms).drop("__n", "__base")
+    later; a client's requests may lie in any number of tasks."""
+    return scans.queued(requests, [by], ["at_ms", "seq"], "at_ms", gap_ms, "go_at_ms", ranges)

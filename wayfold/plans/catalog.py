@@ -52,9 +52,11 @@ def hav(a: str, b: str, c: str, d: str) -> str:
 
 
 def dist(m: str) -> str:
-    """A formatted distance in SQL."""
-    t = f"CAST(floor({m} / 100 + 0.5) AS BIGINT)"
-    return f"CASE WHEN {m} < 1000 THEN CAST(CAST(floor({m} + 0.5) AS BIGINT) AS VARCHAR) || ' m' WHEN {m} >= 10000 THEN CAST(CAST(floor({m} / 1000 + 0.5) AS BIGINT) AS VARCHAR) || ' km' ELSE CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || ' km' END"
+    """A formatted distance in SQL. Tenths are those of the exact binary value, which printing
+    has, but for exact ties: they go up."""
+    km, up = f"({m} / 1000)", lambda x: f"CAST(CAST(floor({x} + 0.5) AS BIGINT) AS VARCHAR)"
+    tie = f"({km} * 4 = floor({km} * 4) AND CAST(floor({km} * 4) AS BIGINT) % 2 = 1)"
+    return f"CASE WHEN {m} < 1000 THEN {up(m)} || ' m' WHEN {km} >= 10 THEN {up(km)} || ' km' ELSE printf('%.1f', CASE WHEN {tie} THEN {km} + 0.01 ELSE {km} END) || ' km' END"
 
 
 def _rings(rings: list[list[tuple[float, float]]]) -> str:
@@ -178,11 +180,11 @@ def collapse_result(spark, d):
   SELECT 'node/' || CAST(CAST(split_part(id, '/', 2) AS BIGINT) % 700 AS VARCHAR) AS id, kind, lat, lon FROM {spots}
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE kind WHEN 'dog_park' THEN 0 ELSE 1 END, lat, lon) AS n FROM shifted
-) SELECT id, kind FROM ranked WHERE n = 1""")
+) SELECT id, kind, lat, lon FROM ranked WHERE n = 1""")
 def layer_union_dedup(spark, d):
     n = F.split_part(F.col("id"), F.lit("/"), F.lit(2)).cast("long") % 700
     rows = at(spark, d, "spots").withColumn("id", F.concat(F.lit("node/"), n.cast("string")))
-    return places.union_layers(rows.where("kind = 'dog_park'"), rows.where("kind = 'bathing_spot'")).select("id", "kind")
+    return places.union_layers(rows.where("kind = 'dog_park'"), rows.where("kind = 'bathing_spot'")).select("id", "kind", "lat", "lon")
 
 
 @query("marker_diff", """WITH a AS (SELECT id, lat, lon FROM {spots} WHERE CAST(split_part(id, '/', 2) AS BIGINT) % 3 <> 0),
@@ -238,10 +240,11 @@ def mapping_density(spark, d):
     return at(spark, d, "globe").select("query_id", density.mapping_density("at_lat", "at_lon").alias("density"))
 
 
-@query("empty_message", f"""SELECT p.query_id, CASE WHEN i.query_id IS NULL THEN 'No dog parks mapped within 25 km' ELSE 'No dog parks within 25 km' END AS title
+@query("empty_message", f"""SELECT p.query_id, CASE WHEN i.query_id IS NULL THEN 'No dog parks mapped within 25 km' ELSE 'No dog parks within 25 km' END AS title,
+  CASE WHEN i.query_id IS NULL THEN '{present.EMPTY_DETAILS["sparse"]}' ELSE '{present.EMPTY_DETAILS["dense"]}' END AS detail
 FROM {{globe}} p LEFT JOIN (SELECT DISTINCT query_id FROM ({_inside('{globe}', list(density.DENSE_REGIONS.values()))})) i ON i.query_id = p.query_id""")
 def empty_message(spark, d):
-    return at(spark, d, "globe").select("query_id", present.empty_message(F.lit(25_000.0), "at_lat", "at_lon")["title"].alias("title"))
+    return at(spark, d, "globe").select("query_id", F.explode(F.array(present.empty_message(F.lit(25_000.0), "at_lat", "at_lon"))).alias("m")).select("query_id", "m.*")
 
 
 # --- tags --------------------------------------------------------------------------------
