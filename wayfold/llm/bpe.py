@@ -125,14 +125,16 @@ class Encoder:
         return [array("I", next(some if s else rest).ids).tobytes() for s in simple]
 
     def _remember(self, words) -> None:
-        """Encode in one call what neither generation of words holds. Letters never join a
-        mark that follows, so a word before one is remembered without it."""
+        """Encode in one call what neither generation of words holds. ASCII letters stay
+        letters under the normaliser and never join a mark that follows, so a word of them
+        before one is remembered without it; other letters may turn into a letter and a
+        combining mark, which does join it."""
         young, old, missing, marked = self.words, self.old_words, {}, []
         for w in words:
             v = old.get(w)
             if v is not None:
                 young[w] = v
-            elif w[-1:] in self.mark and w[:-1].isalpha():
+            elif w[-1:] in self.mark and w.isascii() and w[:-1].isalpha():
                 marked.append(w)
                 if w[:-1] not in young:
                     missing[w[:-1]] = None

@@ -17,7 +17,7 @@ the same rows. Nothing that grows with rows passes through the driver: a row a f
 file by one task that streams it, in a schema that may depend on the file's number.
 
 Nulls stay nulls (a column that a file hasn't got gets its default in every row). Null keys
-sort first; ties of the keys are ordered by all the other columns, rows equal in all of them
+sort first; ties of the keys are ordered by a hash of the columns, rows equal in all of them
 are interchangeable. An empty table gives no files, an empty folder no rows; a file without
 rows is rewritten like others. Values that a cast can't hold are an error, not a wrong value. Texts of
 any length are whole. Extra columns are not written.
@@ -104,7 +104,7 @@ def write_sorted(df: DataFrame, keys: list[str], per_file: int, files: int, fold
 
     ``drifted``: the fields, with ids, that the file of a number has."""
     names = [c.name for c in columns]
-    ranked = ranks(df.select(*keys, *names).withColumn("__rest", F.struct(*names)), [*keys, "__rest"], files)
+    ranked = ranks(df.select(*keys, *names).withColumn("__rest", F.xxhash64(*names)), [*keys, "__rest"], files)
     dealt = ranked.withColumn("__file", F.floor(F.col("rank") / per_file).cast("int")).select("__file", "rank", *names)
     dealt = dealt.repartitionById(files, F.col("__file")).sortWithinPartitions("__file", "rank")
     plain = schema_of(columns)
