@@ -1,4 +1,5 @@
 import hashlib
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -198,3 +199,15 @@ def test_windows_are_optimal():
             spent += length - (e - start) + cost[at.index(e)]
             start = e
         assert start == at[-1] and spent == f[len(at)]
+
+
+def test_bpe_of_every_letter_before_a_stop_and_a_comma(word):
+    """All letters and marks, and all code points below U+3000, against the library."""
+    own = bpe.Encoder(WORD)
+    points = [c for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)]) if ord(c) < 0x3000 or unicodedata.category(c)[0] in "LM" and not 0x3400 <= ord(c) < 0xA000]
+    for i in range(0, len(points), 50_000):
+        texts = [f"a{c}. {c}," for c in points[i : i + 50_000]]
+        want = [np.array(e.ids, np.uint32).tobytes() for e in word.encode_batch_fast(texts, add_special_tokens=False)]
+        got = own.ids([x.replace("\n", " ").replace("\t", " ") for x in texts])
+        assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+    assert len(points) > 50_000
