@@ -270,3 +270,54 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == set(kept)
     assert p.run(spark, folder).count() == docs.count()
     assert packing.LENGTH >= docs.agg({"length": "max"}).first()[0]
+
+
+def _waiting(spark, waits, conv=7):
+    """Messages by turn, each with one call, waiting for the calls of other turns."""
+    import json
+
+    rows = [(conv, t, "assistant", json.dumps({"tool_calls": [{"id": f"c{t}", "name": "lookup", "arguments": {"id": t}, "depends_on": [f"c{f}" for f in fs]}]})) for t, fs in waits.items()]
+    return spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+
+
+def _plain_places(waits):
+    """(anchor, depth, cyclic) of each turn, one after the other."""
+    def circle(t, path):
+        return t in path or any(circle(f, path | {t}) for f in waits.get(t, ()) if f in waits)
+
+    held = {}
+
+    def place(t):
+        if t not in held:
+            held[t] = max([(t, 0), *((a, d + 2) for a, d in (place(f) for f in waits[t] if f in waits))])
+        return held[t]
+
+    cyclic = {t: circle(t, frozenset()) for t in waits} if len(waits) < 100 else dict.fromkeys(waits, False)
+    return {t: (t, 0, True) if cyclic[t] else (*place(t), False) for t in sorted(waits)}
+
+
+def test_chat_places_of_any_graph(spark):
+    import random
+
+    r = random.Random(3)
+    for _ in range(3):
+        waits = {t: sorted({r.randrange(24) for _ in range(r.choice([0, 1, 1, 1, 2]))}) for t in range(24)}
+        got = {x.turn: (x.anchor_turn, x.depth, x.cyclic) for x in chat.format_chat(_waiting(spark, waits)).collect()}
+        assert got == _plain_places(waits)
+    circle = {0: [2], 1: [0], 2: [1], 3: [2], 4: [3], 5: [], 6: [5]}
+    got = {x.turn: (x.anchor_turn, x.depth, x.cyclic) for x in chat.format_chat(_waiting(spark, circle)).collect()}
+    assert got == _plain_places(circle)
+
+
+def test_chat_chain_of_a_thousand(spark):
+    import time
+
+    from wayfold.llm import common
+
+    waits = {t: [t + 1] if t < 999 else [] for t in range(1000)}
+    common.clear(spark)
+    start = time.time()
+    got = {x.turn: (x.anchor_turn, x.depth) for x in chat.format_chat(_waiting(spark, waits)).collect()}
+    assert time.time() - start < 60
+    assert got == {t: (999, 2 * (999 - t)) for t in waits}
+    assert common.clear(spark) <= 5

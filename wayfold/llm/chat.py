@@ -10,9 +10,11 @@ The order is topological. A message stands at (anchor_turn, depth): its own turn
 links move it. A result stands right after its call's message, at depth + 1, wherever it
 stood before; results of one message in the order of its calls, several of one call by turn.
 A message whose calls wait for others stands after the results of those, at their anchor and
-depth + 1, if that is later than its own turn. Places are found in rounds, each settling the
-messages that wait for settled ones only, so rounds are as many as the longest chain of
-waiting. Messages that wait in a circle, or for one that does, keep their own turns and are
+depth + 1, if that is later than its own turn. Places are found in rounds. Each settles the
+messages that wait for settled ones only, and lets a message that waits for one which itself
+waits for a single other wait for that other instead, at the sum of both distances: a chain of
+n takes some log2(n) rounds, and where messages wait for several the rounds are as many as
+such levels at most. Messages that wait in a circle, or for one that does, keep their own turns and are
 marked ``cyclic``. ``position`` counts a conversation's messages from 1 in that order; it comes
 from a sort in ranges and offsets, never from one task a conversation.
 
@@ -125,26 +127,41 @@ def _places(calls: DataFrame, first: DataFrame) -> DataFrame:
 
     ``calls``: conv_id, turn, waits; ``first``: conv_id, id, at (turn and number of its call)."""
     waits = calls.select("conv_id", "turn", F.explode("waits").alias("id")).join(first, ["conv_id", "id"])
-    pending = cut(waits.select("conv_id", "turn", F.col("at.turn").alias("for")).distinct(), "waits")
-    own = pending.select("conv_id", "turn").distinct()
-    # those waited for that wait for none stand at their own turn
-    settled = pending.select("conv_id", F.col("for").alias("turn")).distinct().join(own, ["conv_id", "turn"], "left_anti")
-    places = cut(settled.withColumns({"anchor": F.col("turn"), "depth": F.lit(0)}), "places")
-    found, count = None, pending.count()
-    while count:
-        at = places.select("conv_id", F.col("turn").alias("for"), F.struct("anchor", (F.col("depth") + 2).alias("depth")).alias("p"))
-        tried = pending.join(at, ["conv_id", "for"], "left").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.count("p").alias("m"), F.max("p").alias("p"))
-        place = F.greatest(F.struct(F.col("turn").alias("anchor"), F.lit(0).alias("depth")), F.col("p"))
-        ready = cut(tried.where("n = m").select("conv_id", "turn", place.alias("p")).select("conv_id", "turn", "p.anchor", "p.depth"), "places")
-        left = cut(pending.join(ready, ["conv_id", "turn"], "left_anti"), "waits")
-        places = places.unionByName(ready)
-        found = ready if found is None else found.unionByName(ready)
-        drop(pending)
-        pending, before, count = left, count, left.count()
-        if count == before:
+    waits = waits.select("conv_id", "turn", F.col("at.turn").alias("for")).distinct()
+    place = lambda anchor, depth: F.struct(anchor.alias("anchor"), depth.cast("long").alias("depth"))
+    none = F.lit(0).cast("long")
+    edges = F.collect_list(F.struct("for", F.lit(1).cast("long").alias("far")))  # of one message's calls
+    # best: the latest place found so far; waits: whom a message still waits for, and how far off
+    now = cut(waits.groupBy("conv_id", "turn").agg(edges.alias("waits")).withColumns({"best": place(F.col("turn"), none), "done": F.lit(False), "cyclic": F.lit(False)}), "waits")
+    seen = most = None
+    while True:
+        open_ = now.where("not done")
+        each = F.transform("waits", lambda e: F.xxhash64("conv_id", "turn", e["for"], e["far"]).cast("decimal(38,0)"))
+        mark = open_.agg(F.count(F.lit(1)), F.sum(F.aggregate(each, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)")))).first()
+        most = mark[0] if most is None else most
+        if not mark[0] or mark == seen:
             break
-    stuck = pending.select("conv_id", "turn").distinct().select("conv_id", "turn", F.col("turn").alias("anchor"), F.lit(0).alias("depth"), F.lit(True).alias("cyclic"))
-    return stuck if found is None else found.withColumn("cyclic", F.lit(False)).unionByName(stuck)
+        seen = mark
+        other = now.select("conv_id", F.col("turn").alias("for"), F.col("best").alias("their"), F.col("done").alias("settled"), F.col("cyclic").alias("circle"), F.when(F.size("waits") == 1, F.col("waits")[0]).alias("next"))
+        asked = open_.select("conv_id", "turn", F.explode("waits").alias("e")).select("conv_id", "turn", "e.for", "e.far").join(other, ["conv_id", "for"], "left")
+        gone = F.coalesce("settled", F.lit(True))
+        later = place(F.coalesce("their.anchor", F.col("for")), F.coalesce("their.depth", none) + 2 * F.col("far"))
+        step = F.when(gone, F.lit(None)).when(F.col("next").isNotNull(), F.struct(F.col("next.for").alias("for"), (F.col("far") + F.col("next.far")).alias("far"))).otherwise(F.struct("for", "far"))
+        asked = asked.select("conv_id", "turn", step.alias("e"), F.when(gone | F.col("next").isNotNull(), later).alias("p"), F.coalesce("circle", F.lit(False)).alias("circle"))
+        asked = asked.groupBy("conv_id", "turn", F.col("e.for").alias("for")).agg(F.max("e.far").alias("far"), F.max("p").alias("p"), F.max("circle").alias("circle"))
+        left = F.collect_list(F.when(F.col("for").isNotNull(), F.struct("for", "far")))
+        found = asked.groupBy("conv_id", "turn").agg(left.alias("waits"), F.max("p").alias("p"), F.max("circle").alias("cyclic"), F.max("far").alias("far"))
+        after = open_.select("conv_id", "turn", "best").join(found, ["conv_id", "turn"])
+        stuck = F.col("cyclic") | F.coalesce(F.col("far") > most, F.lit(False))  # farther than there are messages: a circle
+        after = after.select("conv_id", "turn", "waits", F.greatest("best", F.coalesce("p", "best")).alias("best"), (stuck | (F.size("waits") == 0)).alias("done"), stuck.alias("cyclic"))
+        then = cut(now.where("done").unionByName(after), "waits")  # of settled ones too: a wait may be handed on to them
+        drop(now)
+        now = then
+    every = now.withColumn("cyclic", F.col("cyclic") | ~F.col("done"))
+    anchor, depth = (F.when(F.col("cyclic"), own).otherwise(F.col(f"best.{c}")) for c, own in (("anchor", F.col("turn")), ("depth", F.lit(0))))
+    out = cut(every.select("conv_id", "turn", anchor.cast("long").alias("anchor"), depth.cast("int").alias("depth"), "cyclic"), "moved")
+    drop(now)
+    return out
 
 
 def _with_position(df: DataFrame, order: list[str]) -> DataFrame:
@@ -166,7 +183,7 @@ def format_chat(df: DataFrame, schemas: dict[str, list[tuple[str, str, bool]]] |
     of = read.where("calls is not null and conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode("calls").alias("number", "call"))
     first = of.where("call.id is not null").groupBy("conv_id", F.col("call.id").alias("id")).agg(F.min(F.struct("turn", "number")).alias("at"))
     first = cut(first, "calls")
-    moved = cut(_places(of.select("conv_id", "turn", F.col("call.waits").alias("waits")), first), "moved")
+    moved = _places(of.select("conv_id", "turn", F.col("call.waits").alias("waits")), first)
     # where the call of each result, or the message itself, stands
     results = read.where("tool_call_id is not null and turn is not null").join(first.withColumnRenamed("id", "tool_call_id"), ["conv_id", "tool_call_id"], "left")
     others = read.where("tool_call_id is null or turn is null").withColumn("at", F.lit(None).cast(first.schema["at"].dataType))
