@@ -42,14 +42,14 @@ _BY_LENGTH = "|".join(rf"(?:{'|'.join(c for c in IBAN_LENGTHS if IBAN_LENGTHS[c]
 #: Words that speak against a number being personal: it numbers a thing.
 _THINGS = "order|invoice|ticket|serial|isbn|version|model|item|batch|page"
 #: kind, in order among equal starts: pattern, cheap test of the text, base score, words that
-#: raise it and words that lower it
+#: raise it and words that lower it (whole words, also with an s)
 KINDS = [
-    ("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", "@", 0.9, "mail|contact|write", "example|sample"),
+    ("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", "@", 0.9, "e-?mail|mail|contact|write", "example|sample"),
     ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, "ip|host|server|address|login", "version|release|section"),
-    ("card", r"[0-9](?:[\x20-]?[0-9])++", None, 0.8, "card|visa|credit|amex|pay", _THINGS),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, "phone|tel|call|fax|mobile", _THINGS),
+    ("card", r"[0-9](?:[\x20-]?[0-9])++", None, 0.8, "card|visa|credit|amex|pay|payment", _THINGS),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, "(?:tele)?phone|tel|call|fax|mobile", _THINGS),
     ("iban", rf"(?<![A-Za-z0-9])(?:{_BY_LENGTH}|[A-Z]{{2}}[0-9]{{2}}(?:[\x20]?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])", None, 0.75, "iban|account|bank|bic", _THINGS),
-    ("phone_local", r"(?<![0-9+(])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|0[0-9]{1,4}[\x20/-][0-9]{2,4}(?:[\x20-]?[0-9]{2,4}){1,3})(?![0-9])", None, 0.3, "phone|tel|call|fax|mobile", _THINGS),
+    ("phone_local", r"(?<![0-9+(])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|0[0-9]{1,4}[\x20/-][0-9]{2,4}(?:[\x20-]?[0-9]{2,4}){1,3})(?![0-9])", None, 0.3, "(?:tele)?phone|tel|call|fax|mobile", _THINGS),
     ("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social security|identity|passport", _THINGS),
 ]
 BASE = ("email", "ip", "card", "phone")
@@ -120,7 +120,7 @@ def _starts(parts: Column, hits: Column) -> Column:
 
 def _score(kind: str, words: str, against: str, start: float, text: Column, at: Column, end: Column) -> Column:
     near = F.lower(F.concat(F.substr(text, F.greatest(F.lit(1), at + 1 - WINDOW), F.least(at, F.lit(WINDOW))), F.lit(" "), F.substr(text, end + 1, F.lit(WINDOW))))
-    score = F.lit(start) + F.when(near.rlike(rf"\b(?:{words})"), 0.25).otherwise(0.0) - F.when(near.rlike(rf"\b(?:{against})"), 0.25).otherwise(0.0)
+    score = F.lit(start) + F.when(near.rlike(rf"\b(?:{words})s?\b"), 0.25).otherwise(0.0) - F.when(near.rlike(rf"\b(?:{against})s?\b"), 0.25).otherwise(0.0)
     return F.greatest(score, F.lit(THRESHOLD)) if kind in BASE else score
 
 
