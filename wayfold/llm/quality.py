@@ -12,8 +12,8 @@ The model is fitted on at most ``TRAIN_ROWS`` labelled rows, the ones of smalles
 the id, with at most ``TRAIN_BYTES`` of slots, which are the only bounds; every text is scored whole. Ids, languages and sources
 are never read as features. Null text is empty; empty texts get the score of the
 intercept; labels other than 0 and 1 and null labels are not learnt from; the least
-label of an id counts; without two classes every score is the share of label 1 (1.0
-without any label). Extra columns are not read.
+label of an id counts; without two classes every score is the share of label 1 (at
+most 0.999, which it is without any label). Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ARRAY_BLOCKS, BROADCAST_RULES = 1 << 15, 100_000
+ARRAY_BLOCKS, BROADCAST_RULES, BROADCAST_BYTES = 1 << 15, 100_000, 16 << 20
 BITS_A_RULE, BITS_SET = 12, 5
 
 
@@ -62,7 +62,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page
     """key, host, path, rule, verdict for every page. ``rules``: action (allow or block), host, path."""
     spark = pages.sparkSession
     listed = rule_table(rules)
-    n = listed.count()
+    n, size = listed.agg(F.count(F.lit(1)), F.sum(F.octet_length("key") + 32)).first()
     read = pages.select(key, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     if not n:
         return read.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
@@ -87,7 +87,10 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page
         ruled_out = None
         hits = each.join(words, "block", "left").select(key, "host", "path", "n", F.when(F.col("word").bitwiseAND(_mask(F.col("t.h"))) == _mask(F.col("t.h")), F.col("t.key")).alias("key"))
     side = listed.select("key", "action", "host_len")
-    found = hits.join(F.broadcast(side) if n <= BROADCAST_RULES else side, "key", "left")
+    side = F.broadcast(side) if n <= BROADCAST_RULES and size <= BROADCAST_BYTES else side
+    # tries that the filter rules out have no key and would meet in one task of the join
+    misses = hits.where("key is null").withColumns({"action": F.lit(None).cast("string"), "host_len": F.lit(None).cast("int")})
+    found = hits.where("key is not null").join(side, "key", "left").unionByName(misses)
     order = F.struct(F.length("key").alias("size"), "host_len", F.col("key").alias("rule"), "action")
     best = found.groupBy(F.col(key), "host", "path").agg(F.max(F.when(F.col("action").isNotNull(), order)).alias("best"), (F.count(F.lit(1)) / F.greatest(F.lit(1), F.max("n"))).cast("int").alias("copies"))
     out = best.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
