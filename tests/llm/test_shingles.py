@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from wayfold.llm import shingles, simhash
+from wayfold.llm import common, shingles, simhash
 
 
 def word_sets(texts):
@@ -108,3 +108,25 @@ def test_runs_stay_whole_across_batches():
         runs = [t["at"].to_pylist() for t in shingles._whole_runs(iter(batches))]
         assert sum(runs, []) == at.tolist()
         assert all(not set(a) & set(b) for a, b in zip(runs, runs[1:]))
+
+
+def test_a_band_of_all_texts_is_split_and_loses_no_pair(spark):
+    """Every text in one band, most in groups of their own: the same pairs with and without
+    blocks, and no part of a band with more rows than two blocks."""
+    r = np.random.default_rng(2)
+    rows = []
+    for i in range(300):
+        own = r.integers(0, 1 << 62, 40).astype(np.uint64)
+        if i % 10 == 1:
+            own = np.concatenate([last[:-1], own[:1]])
+        last = own
+        rows.append((i + 1, len(own), shingles.bands_and_sketch(own)[1], [7, int(own[0] >> np.uint64(2))]))
+    own = spark.createDataFrame(rows, "h long, n int, bits binary, bands array<long>")
+    met = common.cut(shingles.meetings(own), "met")
+    assert met.where("at = 7").count() == 300 and {x.head for x in met.where("at = 7").collect()} == {1}
+    roots = spark.createDataFrame([(2, 1)], "node long, root long")
+    every = {(x.a, x.b) for x in shingles.across(met, own, roots, 0.8).collect()}
+    assert {(x.a, x.b) for x in shingles.across(met, own, roots, 0.8, crowd=40).collect()} == every
+    assert {(i, i + 1) for i in range(11, 300, 10)} <= every and (1, 2) not in every
+    heads = {x.b: x.a for x in shingles.to_heads(met, own, 0.8).collect()}
+    assert heads.get(2) == 1

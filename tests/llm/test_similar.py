@@ -199,3 +199,30 @@ def test_cuts_can_be_cleared(spark, docs):
     path = frame_._wayfold_path
     assert frame_.count() == docs.count() and os.path.isdir(path)
     assert common.clear(spark) > 0 and not os.path.exists(path) and common.clear(spark) == 0
+
+
+def test_large_shards_are_compared_in_blocks(spark, monkeypatch):
+    """Tiny shards, a shallow tree and few samples: bounded groups and every link."""
+    r = np.random.default_rng(8)
+    fps = np.unique(r.integers(0, 1 << 63, 900, dtype=np.uint64))
+    near = fps[:300] ^ (np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64))
+    fps = np.unique(np.concatenate([fps, near, near ^ np.uint64(7)]))
+    classes = spark.createDataFrame([(int(i), int(f)) for i, f in enumerate(fps.view(np.int64))], "least long, fp long").repartition(3)
+    want = {frozenset((int(i), int(j))) for i, j in zip(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)) if i < j}
+    monkeypatch.setattr(simhash, "SHARD", 50), monkeypatch.setattr(simhash, "DEPTH", 2), monkeypatch.setattr(simhash, "SAMPLE", 40)
+    found = simhash.links(classes).collect()
+    forest = simhash.Forest(len(fps))
+    forest.join(np.array([x.u.least for x in found]), np.array([x.v.least for x in found]))
+    whole = simhash.Forest(len(fps))
+    whole.join(np.array([min(p) for p in want]), np.array([max(p) for p in want]))
+    every = np.arange(len(fps))
+    assert (forest.find(every) == whole.find(every)).all()
+
+
+def test_large_tiles_are_compared_in_blocks(spark, monkeypatch):
+    x = vectors()
+    df = frame(spark, x)
+    want = sorted(map(tuple, embed_dedup.group(df).collect()), key=repr)
+    monkeypatch.setattr(embed_dedup, "DEPTH", 1)
+    for tile in (20, 64):
+        assert sorted(map(tuple, embed_dedup.group(df, tile=tile).collect()), key=repr) == want

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from wayfold.llm.common import components, cut, drop, with_class
 from wayfold.llm.simhash import Forest
 
-#: Classes of a tile, rows of a block, coordinates of a step, vectors of the sample, levels of the tree.
+#: Classes of a tile (a tile of more than twice as many is dealt in blocks), rows of a block, coordinates of a step, vectors of the sample, levels of the tree.
 TILE, BLOCK, STEP, SAMPLE, DEPTH = 8192, 512, 16, 8192, 12
 #: Coordinates that the k-d tree looks at.
 SPLIT = 8
@@ -193,41 +193,48 @@ def _links(classes: DataFrame, threshold: float, tile: int) -> DataFrame:
 
     def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, low, high = plan.value, np.full((2**depth, width), np.inf, np.float32), np.full((2**depth, width), -np.inf, np.float32)
+        held = np.zeros(2**depth, np.int64)
         for b in batches:
             if b.num_rows:
                 rotated = _unit(_flat(b.column(0)), width) @ t.basis
                 at = t.tile(rotated)
                 np.minimum.at(low, at, rotated.astype(np.float32))
                 np.maximum.at(high, at, rotated.astype(np.float32))
+                held += np.bincount(at, minlength=len(held))
         some = np.flatnonzero(low[:, 0] <= high[:, 0])
         rows = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * width, pa.int32()), pa.array(x[some].ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(some), rows(low), rows(high)], names=["tile", "low", "high"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), rows(low), rows(high), pa.array(held[some])], names=["tile", "low", "high", "n"])
 
     def whole_box(group: pa.Table) -> pa.Table:
         low, high = (_flat(group[c]).reshape(-1, width) for c in ("low", "high"))
-        return pa.table({"tile": group["tile"][:1], "low": pa.array([low.min(0)], pa.list_(pa.float32())), "high": pa.array([high.max(0)], pa.list_(pa.float32()))})
+        return pa.table({"tile": group["tile"][:1], "low": pa.array([low.min(0)], pa.list_(pa.float32())), "high": pa.array([high.max(0)], pa.list_(pa.float32())), "n": [sum(group["n"].to_pylist())]})
 
     tiles.low, tiles.high = np.full((2**depth, width), np.inf), np.full((2**depth, width), -np.inf)
+    blocks = np.ones(2**depth, np.int64)
     if depth:
-        box = "tile long, low array<float>, high array<float>"
+        box = "tile long, low array<float>, high array<float>, n long"
         for r in classes.where(main).select("v").mapInArrow(boxes, box).groupBy("tile").applyInArrow(whole_box, box).collect():
             tiles.low[r["tile"]], tiles.high[r["tile"]] = r["low"], r["high"]
+            blocks[r["tile"]] = -(-r["n"] // tile) if r["n"] > 2 * tile else 1
     else:
         tiles.low[:], tiles.high[:] = -1, 1
+        blocks[:] = -(-count // tile) if count > 2 * tile else 1
+    tiles.blocks, tiles.first = blocks, np.cumsum(blocks) - blocks  # a tile that the tree leaves too large is dealt in blocks, cells of their own
     plan = spark.sparkContext.broadcast(tiles)
 
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
     some = f"least {kinds['least']}, h1 long, h2 long, n long, v {kinds['v']}"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, known = plan.value, {}
+        t = plan.value
         for b in batches:
             if b.num_rows:
-                at = t.tile(_unit(_flat(b.column(4)), width) @ t.basis)
-                for x in np.unique(at).tolist():
-                    if x not in known:
-                        others = t.partners(x, reach)
-                        known[x] = np.minimum(x, others) << 32 | np.maximum(x, others)
+                own = t.tile(_unit(_flat(b.column(4)), width) @ t.basis)
+                at = t.first[own] + b.column(1).to_numpy() % t.blocks[own]
+                known = {}
+                for x, o in {*zip(at.tolist(), own.tolist())}:
+                    others = np.concatenate([np.arange(t.first[p], t.first[p] + t.blocks[p]) for p in t.partners(o, reach)])
+                    known[x] = np.minimum(x, others) << 32 | np.maximum(x, others)
                 met = [known[x] for x in at.tolist()]
                 pairs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, met)]), pa.int32()), pa.array(np.concatenate(met)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pairs], names=[*b.schema.names, "tile", "pairs"])

@@ -9,7 +9,7 @@ each minimum (a sketch of 256) then holds back what is clearly less similar: 25.
 differ on average at 0.8, and ``SKETCH_BITS`` may. What is left is checked exactly on the
 whole sets, so nothing below the threshold links.
 
-A band's meeting never makes all its pairs. First every text is checked with one head, the
+A band's meeting never makes all its pairs at once, nor in one task. First every text is checked with one head, the
 closest by sketch among the heads of its bands; then only pairs that this left in different
 groups are. Each text is in ``BANDS`` small rows, whatever its length, and only texts that
 met any other have their sets made again.
@@ -127,31 +127,28 @@ def _ends(new: np.ndarray) -> np.ndarray:
 
 
 def meetings(own: DataFrame) -> DataFrame:
-    """at, h: the rows of bands at which two or more texts meet."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_runs(batches):
-            at = t["at"].to_numpy()
-            new = _changes(at)
-            many = _ends(new) - np.flatnonzero(new)[np.cumsum(new) - 1] > 1
-            yield from t.filter(pa.array(many)).combine_chunks().to_batches()
+    """at, h, head: the rows of bands at which two or more texts meet, with the least h of each.
 
+    Bands are counted with partial aggregation and joined back as rows, so one that very many
+    texts share is no group anywhere; Spark splits it like any skewed join."""
     rows = own.select(F.explode("bands").alias("at"), "h")
-    return rows.repartition("at").sortWithinPartitions("at", "h").mapInArrow(run, "at long, h long")
+    bands = rows.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("head")).where("n > 1")
+    return rows.join(bands.select("at", "head").hint("merge"), "at").select("at", "h", "head")
 
 
 class _Run:
-    """Columns of some whole bands, and which pairs of rows may be similar."""
+    """Columns of some rows, and which pairs of them may be similar."""
 
-    def __init__(self, t: pa.Table, threshold: float):
-        self.h, self.at, self.n = (t[c].to_numpy() for c in ("h", "at", "n"))
-        self.bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(self.h), -1)
+    def __init__(self, t: pa.Table | pa.RecordBatch, threshold: float, n: str = "n", bits: str = "bits"):
+        self.n = t[n].to_numpy()
+        self.bits = np.frombuffer(b"".join(t[bits].to_pylist()), np.uint64).reshape(len(self.n), -1)
         self.threshold = threshold
 
-    def gap(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def gap(self, i: np.ndarray, j: np.ndarray, other: _Run | None = None) -> np.ndarray:
         """Sketch bits that differ; -1 where the pair can't be similar."""
-        a, b = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
-        differ = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=1).astype(np.int64)
+        other = other or self
+        a, b = np.minimum(self.n[i], other.n[j]), np.maximum(self.n[i], other.n[j])
+        differ = np.bitwise_count(self.bits[i] ^ other.bits[j]).sum(axis=1).astype(np.int64)
         return np.where((a >= self.threshold * b - 1e-9) & (differ <= SKETCH_BITS), differ, -1)
 
 
@@ -160,40 +157,63 @@ def _pairs(a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (a, b, gap)], names=["a", "b", "gap"])
 
 
-def to_heads(met: DataFrame, threshold: float) -> DataFrame:
-    """a, b: each text b with the closest of its bands' heads (their first texts), a."""
+def to_heads(met: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """a, b: each text b with the closest of its bands' heads, a. ``met``: h, head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_runs(batches):
-            r = _Run(t, threshold)
-            new = _changes(r.at)
-            i, head = np.arange(len(r.h)), np.flatnonzero(new)[np.cumsum(new) - 1]
-            yield _pairs(r.h[head], r.h[i], r.gap(head, i))
-
-    found = met.repartition("at").sortWithinPartitions("at", "h").mapInArrow(run, "a long, b long, gap long")
+        for t in batches:
+            if t.num_rows:
+                one, two, i = _Run(t, threshold), _Run(t, threshold, "head_n", "head_bits"), np.arange(t.num_rows)
+                yield _pairs(t["head"].to_numpy(), t["h"].to_numpy(), one.gap(i, i, two))
+
+    heads = own.select(F.col("h").alias("head"), F.col("n").alias("head_n"), F.col("bits").alias("head_bits"))
+    asked = met.where("h <> head").select("h", "head").distinct().join(own.select("h", "n", "bits").hint("merge"), "h").join(heads.hint("merge"), "head")
+    found = asked.select("h", "n", "bits", "head", "head_n", "head_bits").mapInArrow(run, "a long, b long, gap long")
     return found.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("best")).select("best.a", "b")
 
 
-def across(met: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of different groups that meet and may be similar."""
+#: Rows of a band that are compared in one task; a larger band is compared in blocks of as many.
+CROWD = 4096
+
+
+def across(met: DataFrame, own: DataFrame, roots: DataFrame, threshold: float, crowd: int = CROWD) -> DataFrame:
+    """a, b: pairs of different groups that meet and may be similar.
+
+    Bands all of whose texts are in one group are left out. A band of more than ``crowd`` rows is
+    dealt in blocks by h, and each two of its blocks meet in a part of its own, so that no
+    task holds more than two blocks of a band; every pair is compared in one part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_runs(batches):
-            r, root = _Run(t, threshold), t["root"].to_numpy()
-            end, other = _ends(_changes(r.at)), _ends(_changes(r.at, root))
+            r, root, h, side = _Run(t, threshold), t["root"].to_numpy(), t["h"].to_numpy(), t["side"].to_numpy()
+            at = t["at"].to_numpy()
+            end, other = _ends(_changes(at)), _ends(_changes(at, root))
             i = np.flatnonzero(other < end)
             j = other[i]
             while len(i):
                 for k in range(0, len(i), 65536):
                     p, q = i[k : k + 65536], j[k : k + 65536]
-                    yield _pairs(np.minimum(r.h[p], r.h[q]), np.maximum(r.h[p], r.h[q]), r.gap(p, q))
+                    fair = (side[p] != side[q]) | (side[p] == 2)
+                    p, q = p[fair], q[fair]
+                    yield _pairs(np.minimum(h[p], h[q]), np.maximum(h[p], h[q]), r.gap(p, q))
                 j = j + 1
                 more = j < end[i]
                 i, j = i[more], j[more]
 
-    of = met.join(roots.hint("merge"), met["h"] == roots["node"], "left").select("at", "h", "n", "bits", F.coalesce("root", "h").alias("root"))
-    found = of.repartition("at").sortWithinPartitions("at", "root", "h").mapInArrow(run, "a long, b long, gap long")
-    return found.select("a", "b").distinct()
+    of = met.select("at", "h").join(roots.hint("merge"), F.col("h") == F.col("node"), "left").select("at", "h", F.coalesce("root", "h").alias("root"))
+    of = cut(of, "bands")
+    mixed = of.groupBy("at").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    blocks = mixed.select("at", F.ceil(F.col("rows") / crowd).cast("int").alias("blocks"))
+    some = of.join(blocks.hint("merge"), "at").join(own.select("h", "n", "bits").hint("merge"), "h")
+    mine = F.pmod("h", "blocks").cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(mine, x).alias("one"), F.greatest(mine, x).alias("two")))
+    each = some.select("at", "h", "n", "bits", "root", mine.alias("mine"), F.explode(parts).alias("p"))
+    side = F.when(F.col("p.one") == F.col("p.two"), 2).when(F.col("mine") == F.col("p.one"), 0).otherwise(1)
+    each = each.select(F.when(F.col("p.two") == 0, F.col("at")).otherwise(F.xxhash64("at", "p.one", "p.two")).alias("at"), "root", "h", "n", "bits", side.alias("side"))
+    found = each.repartition("at").sortWithinPartitions("at", "root", "h").mapInArrow(run, "a long, b long, gap long")
+    out = found.select("a", "b").distinct()
+    out._wayfold_path = of._wayfold_path  # for drop()
+    return out
 
 
 def sets_of(df: DataFrame, asked: DataFrame, text: str, key: str, words: int) -> DataFrame:
@@ -238,14 +258,14 @@ def similar(own: DataFrame, df: DataFrame, text: str, key: str, words: int = WOR
     """node, root (both h): the groups of the rows of ``own`` (sketches, h unique) that
     similar pairs connect. ``df`` has their texts. Rows similar to none aren't listed."""
     met = cut(meetings(own), "meetings")
-    met_sketches = cut(met.join(own.select("h", "n", "bits").hint("merge"), "h").select("at", "h", "n", "bits"), "met")
     sets = cut(sets_of(df, met.select("h").distinct(), text, key, words), "sets")
-    near = cut(verified(to_heads(met_sketches, threshold), sets, threshold), "links")
-    drop(met)
+    near = cut(verified(to_heads(met, own, threshold), sets, threshold), "links")
     first = components(near)
-    rest = cut(across(met_sketches, first, threshold), "others")
+    wanted = across(met, own, first, threshold)
+    rest = cut(wanted, "others")
+    drop(wanted)
     far = cut(verified(rest, sets, threshold), "links")
     roots = components(near.unionByName(far))
-    for done in (met_sketches, sets, rest, near, far, first):
+    for done in (met, sets, rest, near, far, first):
         drop(done)
     return roots

@@ -35,6 +35,8 @@ WORDS, RADIUS, SEED = 4, 4, 42
 #: Classes of a shard, and classes that the tree is fitted on at most (only the shape of
 #: the tree depends on them).
 SHARD, SAMPLE = 32_768, 8_192
+#: Levels of the tree at most; shards that are still too large are compared in blocks.
+DEPTH = 11
 _LEAF = 512
 
 
@@ -131,8 +133,8 @@ class Forest:
             self.parent[np.maximum(a, b)] = np.minimum(a, b)
 
 
-def join_shard(home: np.ndarray, visitors: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, root) of the forest of links among home, and of visitors to home."""
+def join_shard(home: np.ndarray, visitors: np.ndarray, radius: int = RADIUS, inside: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, root) of the forest of links among home (if ``inside``), and of visitors to home."""
     all_ = np.concatenate([home, visitors])
     forest = Forest(len(all_))
     rng = np.random.default_rng(7)
@@ -183,7 +185,8 @@ def join_shard(home: np.ndarray, visitors: np.ndarray, radius: int = RADIUS) ->
             todo += [(a[d <= mu], b[e <= mu + radius]), (a[d > mu], b[e > mu - radius])]
 
     n = len(home)
-    within(np.arange(n))
+    if inside:
+        within(np.arange(n))
     if len(visitors):
         across(np.arange(n, len(all_)), np.arange(n))
     root = forest.find(np.arange(len(all_)))
@@ -192,9 +195,13 @@ def join_shard(home: np.ndarray, visitors: np.ndarray, radius: int = RADIUS) ->
 
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Forest edges u, v between classes (least, fp; fp distinct) that link, in shards."""
-    n = classes.count()
-    depth = max(0, math.ceil(math.log2(max(1, n) / SHARD)))
+    """Forest edges u, v between classes (least, fp; fp distinct) that link, in shards.
+
+    A shard of more than twice SHARD classes (deeper trees would need a larger sample) is
+    compared in blocks of SHARD: home blocks within and with each other, and with blocks of visitors,
+    so that no task holds more than two blocks, however many classes there are."""
+    spark, n = classes.sparkSession, classes.count()
+    depth = min(DEPTH, max(0, math.ceil(math.log2(max(1, n) / SHARD))))
     sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE) if depth else classes.limit(0)
     tree = Tree(np.array([r[0] for r in sample.select("fp").collect()], np.int64).view(np.uint64), depth, radius)
     kind = classes.schema["least"].dataType.simpleString()
@@ -209,13 +216,27 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
         group = group.sort_by("fp")
         fps, visits = group["fp"].to_numpy().view(np.uint64), group["visits"].to_numpy()
         order = np.argsort(fps, kind="stable")
-        u, v = join_shard(fps[order][~visits[order]], fps[order][visits[order]], radius)
+        inside = group["one"][0].as_py() == group["two"][0].as_py()
+        guest = visits if inside else group["block"].to_numpy() == group["two"][0].as_py()
+        u, v = join_shard(fps[order][~guest[order]], fps[order][guest[order]], radius, inside)
         place = lambda x: pa.array(order[np.searchsorted(fps[order], x)])
         u, v = (group.take(place(x)) for x in (u, v))
         return pa.table({"ul": u["least"], "uf": u["fp"], "vl": v["least"], "vf": v["fp"]})
 
     routed = classes.select("least", "fp").mapInArrow(route, f"shard long, least {kind}, fp long, visits boolean")
-    found = routed.groupBy("shard").applyInArrow(match, f"ul {kind}, uf long, vl {kind}, vf long")
+    size = routed.groupBy("shard").agg(F.count_if(~F.col("visits")).alias("h"), F.count_if("visits").alias("g"))
+    large = size.where(F.col("h") + F.col("g") > 2 * SHARD).collect() if depth else []  # of 2 ** DEPTH shards at most
+    if large:
+        parts = spark.createDataFrame([(r["shard"], max(1, -(-r["h"] // SHARD)), -(-r["g"] // SHARD)) for r in large], "shard long, hb long, gb long")
+        routed = routed.join(F.broadcast(parts), "shard", "left").withColumn("block", F.when(F.col("visits"), F.col("hb") + F.pmod(F.xxhash64("fp"), "gb")).otherwise(F.pmod(F.xxhash64("fp"), "hb")))
+        span = lambda a, b: F.filter(F.sequence(F.lit(0).cast("long"), b - 1), lambda x: x >= a)
+        pair = lambda a, b: F.struct(F.least(a, b).alias("one"), F.greatest(a, b).alias("two"))
+        home = F.transform(span(F.lit(0), F.col("hb") + F.col("gb")), lambda x: pair(F.col("block"), x))
+        tasks = F.when(F.col("hb").isNull(), F.array(pair(F.lit(0).cast("long"), F.lit(0).cast("long")))).when(F.col("visits"), F.transform(span(F.lit(0), F.col("hb")), lambda x: pair(F.col("block"), x))).otherwise(home)
+        routed = routed.select("shard", "least", "fp", F.col("visits") & F.col("hb").isNull(), F.coalesce("block", F.lit(0)), F.explode(tasks).alias("t")).toDF("shard", "least", "fp", "visits", "block", "t").select("shard", "least", "fp", "visits", "block", "t.one", "t.two")
+    else:
+        routed = routed.withColumns({c: F.lit(0).cast("long") for c in ("block", "one", "two")})
+    found = routed.groupBy("shard", "one", "two").applyInArrow(match, f"ul {kind}, uf long, vl {kind}, vf long")
     node = lambda k: F.struct(F.col(f"{k}l").isNull().alias("none"), F.col(f"{k}l").alias("least"), F.col(f"{k}f").alias("fp"))
     return found.select(node("u").alias("u"), node("v").alias("v"))
 
