@@ -6,14 +6,18 @@ import json
 import math
 import threading
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.functions import curve
 from wayfold.functions.seasonal import RULE_TYPE
 from wayfold.operators import places
+from wayfold.operators.durable import delete, shared_path
 from wayfold.operators.sequences import assert_sane
-from wayfold.sources.state import TextFile, write_text
+from wayfold.sources.files import copy_file, join_parts
 
 # Fixed values of the envelope.
 DATASET_SCHEMA = 1
@@ -129,7 +133,7 @@ class Loader:
         pool.shutdown(wait=False)
         if got and self.stored:
             try:
-                write_text(self.spark, self.stored, self.spark.read.text(self.path, wholetext=True).first()[0])
+                copy_file(self.spark, self.path, self.stored)
                 return read_dataset(self.spark, self.stored) or got  # later reads don't depend on the published path
             except Exception:  # a copy that can't be stored is no failure
                 pass
@@ -146,20 +150,39 @@ def as_json(rows: DataFrame) -> DataFrame:
 def publish(rows: DataFrame, coverage: dict, region: str, generated_at: str, path: str, table: str | None = None, gate: bool = True) -> None:
     """Write the single JSON file (and a Parquet table) once the gates have passed.
 
-    The file is for small clients and is one by contract, so its rows pass through the driver
-    in order, a partition at a time, straight into the file; the table is the main store."""
+    The file is for small clients and is one by contract: tasks write its parts in order, and
+    one task joins them, byte by byte, into the file; no row passes through the driver. The table
+    (``write_table``) is the main store."""
+    spark = rows.sparkSession
     if gate:
         assert_sane(rows, region, len(coverage["include"]))
     if table:
-        rows.repartitionByRange("lat").sortWithinPartitions("lat", "lon").write.mode("overwrite").parquet(table)
+        write_table(rows, table)
     head = {"schema": DATASET_SCHEMA, "generatedAt": generated_at, "region": region, "attribution": ATTRIBUTION, "license": LICENSE, "coverage": {k: [[list(p) for p in r] for r in v] for k, v in coverage.items()}}
     start = json.dumps(head, ensure_ascii=False, separators=(",", ":"))[:-1]
-    with TextFile(rows.sparkSession, path) as f:
-        f.write(f'{start},"spots":[')
-        held, first = [], True
-        for r in as_json(rows.select(*places.COLUMNS)).toLocalIterator():
-            held.append(r["value"])
-            if len(held) == 1000:
-                f.write(("" if first else ",") + ",".join(held))
-                held, first = [], False
-        f.write(("," if held and not first else "") + ",".join(held) + "]}")
+    parts, between = shared_path(spark, "published"), ",\n"
+    as_json(rows.select(*places.COLUMNS)).write.option("lineSep", between).text(parts)
+    join_parts(spark, parts, path, f'{start},"spots":['.encode(), b"]}", len(between))
+    delete(spark, parts)
+
+
+def write_table(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """Places in files (``files``, or as many as there are shuffle partitions) along a Hilbert
+    curve, each with its range of keys in a table beside them (``path``/_ranges, which Spark's
+    readers skip): a row a file."""
+    keyed = rows.withColumn("hilbert", curve.hilbert(F.col("lat"), F.col("lon")))
+    dealt = keyed.repartitionByRange(files, "hilbert", "id") if files else keyed.repartitionByRange("hilbert", "id")
+    dealt.withColumn("file", F.spark_partition_id()).sortWithinPartitions("file", "hilbert").write.mode("overwrite").partitionBy("file").parquet(path)
+    ranges = rows.sparkSession.read.schema("hilbert long, file int").parquet(path).groupBy("file").agg(F.min("hilbert").alias("low"), F.max("hilbert").alias("high"))
+    ranges.coalesce(1).write.mode("overwrite").parquet(f"{path}/_ranges")
+
+
+def stored_within(spark: SparkSession, path: str, lat: float, lon: float, radius_m: float, kind: str | None = None) -> DataFrame:
+    """``places.within`` of a table of write_table(), from those files only whose keys meet the
+    circle's; within a file its statistics leave out more."""
+    spans = curve.circle_ranges(lat, lon, radius_m)
+    meets = reduce(or_, ((F.col("low") <= b) & (F.col("high") >= a) for a, b in spans))
+    files = [r["file"] for r in spark.read.schema("file int, low long, high long").parquet(f"{path}/_ranges").where(meets).select("file").collect()]
+    table = spark.read.schema(f"{places.SCHEMA}, hilbert long, file int").parquet(path)
+    inside = reduce(or_, (F.col("hilbert").between(a, b) for a, b in spans))
+    return places.within(table.where(F.col("file").isin(files) & inside).drop("hilbert", "file"), lat, lon, radius_m, kind)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.operators.objects import SCHEMA, TYPES
+from wayfold.sources import change_files
 
 _TAGS = "tag array<struct<_k:string,_v:string>>"
 _BASE = f"_id long, _version int, _timestamp timestamp, {_TAGS}"
@@ -47,25 +48,10 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def read_changes(spark: SparkSession, path: str, pattern: str = r"(\d+)\.osc") -> DataFrame:
+def read_changes(spark: SparkSession, path: str) -> DataFrame:
     """Objects of change files with op and seq, the number in each file's name (its path's
-    nine digits in threes count too)."""
-    where = F.replace(F.col("_metadata.file_path"), F.lit("/"), F.lit(""))
-    seq = F.regexp_extract(where, pattern, 1)
-    number = F.right(seq, F.lit(9)).try_cast("long")
-    out = None
-    for op in ("create", "modify", "delete"):
-        schema = ", ".join(f"{k} array<struct<{_struct(v)}>>" for k, v in _OBJECT.items())
-        groups = spark.read.format("xml").option("rowTag", op).schema(schema).load(path)
-        for kind in TYPES:
-            rows = groups.select(F.explode(kind).alias("o"), number.alias("seq")).select("o.*", F.lit(op).alias("op"), "seq")
-            rows = _shape(rows, kind)
-            out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def _struct(schema: str) -> str:
-    return re.sub(r"(^|, )(\w+) ", r"\1\2:", schema)
+    nine digits in threes count too); one scan a file (``change_files``)."""
+    return change_files.read(spark, path)
 
 
 def header_timestamp(spark: SparkSession, path: str) -> str:
