@@ -37,7 +37,7 @@ from wayfold.sources.files import listed, locate
 SCHEMA = f"{OBJECTS}, op string, seq long"
 OPS, KINDS = ("create", "modify", "delete"), ("node", "way", "relation")
 #: A file's number: the digits before the ending, with those of folders in threes (000/004/711.osc.gz).
-NAME = re.compile(r"^(?:\d{3}/)*(\d+)\.osc(\.gz)?$")
+NAME = re.compile(r"(?:^|/)((?:\d{3}/)*\d{3}|\d+)\.osc(\.gz)?$")
 #: Rows of a batch.
 ROWS = 4096
 
@@ -45,9 +45,10 @@ ROWS = 4096
 def numbered(path: str) -> dict[int, str]:
     """The change files of a folder by number."""
     out: dict[int, str] = {}
-    for name, file in listed(path, below=True):
-        if NAME.match(name):
-            number = int(name.split(".")[0].replace("/", "")[-9:])
+    for _, file in listed(path, below=True):
+        found = NAME.search(file)
+        if found:
+            number = int(found[1].replace("/", "")[-9:])
             if number in out:
                 raise ValueError(f"two change files have the number {number}")
             out[number] = file
