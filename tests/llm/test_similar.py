@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from wayfold.llm.common import components
 from wayfold.llm import common, embed_dedup, simhash, topk
 
 
@@ -226,3 +227,18 @@ def test_large_tiles_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "DEPTH", 1)
     for tile in (20, 64):
         assert sorted(map(tuple, embed_dedup.group(df, tile=tile).collect()), key=repr) == want
+
+
+def test_components_end_when_all_are_stars(spark):
+    """Paths, circles, stars, loops, repeats and no edges, against a plain union of sets."""
+    rng = np.random.default_rng(7)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(200, k) for k in range(201, 230)] + [(300, 301), (301, 302), (302, 300), (5, 5), (300, 301)]
+    edges += [tuple(x) for x in rng.integers(1000, 1200, (120, 2)).tolist()]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    want = {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+    got = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0

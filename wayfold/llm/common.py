@@ -76,14 +76,14 @@ def components(edges: DataFrame) -> DataFrame:
     kept in the shared folder; nothing but two counts reaches the driver.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
     while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        mark = ends.agg(F.sum("up"), F.count_if(F.expr("up > 1 or up > 0 and down > 0"))).first()
+        if not mark[1]:  # every node is a root or hangs from one root: all are stars
             out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
             out._wayfold_path = now._wayfold_path
             return out
-        seen = mark
         large = cut(_large_star(now, mark[0]), "edges")
         then = cut(_small_star(large, mark[0]), "edges")
         drop(large)
