@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wayfold.operators.sequences import REQUERY_M
 
@@ -191,9 +192,18 @@ def run_batch(events: DataFrame) -> DataFrame:
     return rows.mapInPandas(whole, OUT)
 
 
-def run_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream, with a session's state kept between batches. Within a batch
-    events are ordered by seq; sources must deliver a session's batches in order."""
+def run_stream(events: DataFrame, late: str | None = None) -> DataFrame:
+    """The same over a stream, with a session's state kept between batches.
+
+    Without ``late``, events are ordered by seq within a batch, and the source must deliver a
+    session's batches in order. With it ("10 minutes"), events may come in any order: they have
+    a column ``at`` (a timestamp), and an event waits in its session until the watermark, the
+    newest time seen less ``late``, has passed it and every waiting event of smaller seq. So
+    rows equal those of ``run_batch`` as long as an event comes at most ``late`` after any of
+    greater seq. A later one that the watermark has passed is dropped by Spark, which counts it
+    in ``numRowsDroppedByWatermark``; as a watermark starts at 1970, so is one of before that. An event without a time waits only for those before
+    it; what is newer than the watermark waits for more events. A session's waiting events
+    are part of its state, so a restart from the checkpoint loses none."""
 
     def some(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         s = json.loads(state.get[0]) if state.exists else dict(START)
@@ -203,4 +213,24 @@ def run_stream(events: DataFrame) -> DataFrame:
         state.update((json.dumps(s),))
         yield out
 
-    return events.select("session", "seq", "kind", "payload").groupBy("session").applyInPandasWithState(some, OUT, "state string", "append", "NoTimeout")
+    def in_order(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, waiting = state.get if state.exists else (None, "[]")
+        s, waiting, passed = json.loads(held) if held else dict(START), json.loads(waiting), state.getCurrentWatermarkMs()
+        s["at"] = tuple(s["at"]) if s["at"] else None
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                times = pdf["at_ms"].astype("Int64").fillna(passed)
+                waiting += [[int(q), int(t), k if isinstance(k, str) else None, p if isinstance(p, str) else None] for q, t, k, p in zip(pdf["seq"], times, pdf["kind"], pdf["payload"])]
+        waiting.sort(key=lambda e: e[0])
+        ready = next((k for k, e in enumerate(waiting) if e[1] > passed), len(waiting))
+        s, out = _run(key[0], s, pd.DataFrame(waiting[:ready], columns=["seq", "at_ms", "kind", "payload"]))
+        state.update((json.dumps(s), json.dumps(waiting[ready:])))
+        if waiting[ready:]:
+            state.setTimeoutTimestamp(waiting[ready][1])
+        if ready:
+            yield out
+
+    if late is None:
+        return events.select("session", "seq", "kind", "payload").groupBy("session").applyInPandasWithState(some, OUT, "state string", "append", "NoTimeout")
+    timed = events.withWatermark("at", late).select("session", "seq", "kind", "payload", "at", F.unix_millis("at").alias("at_ms"))
+    return timed.groupBy("session").applyInPandasWithState(in_order, OUT, "state string, waiting string", "append", "EventTimeTimeout")
