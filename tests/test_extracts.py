@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.plans import refresh
-from wayfold.sources import osm_pbf, osm_xml, state
+from wayfold.sources import extracts, osm_pbf, osm_xml, state
 
 WHEN = 1_767_225_600  # 2026-01-01
 
@@ -194,3 +194,68 @@ def test_what_cannot_be_read_is_an_error(spark, tmp_path):
         with pytest.raises(ValueError, match="no timestamp"):
             osm_pbf.header_timestamp(spark, str(tmp_path / name))
     assert osm_pbf.read_objects(spark, str(tmp_path / "empty")).count() == 0
+
+
+@pytest.mark.parametrize("pieces", [1, 60])
+def test_ranges_of_a_file(spark, tmp_path, pieces):
+    data, want = extract()
+    path = str(tmp_path / "a.osm.pbf")
+    (tmp_path / "a.osm.pbf").write_bytes(data)
+    df = extracts.read(spark, path, span=len(data) // pieces + 1)
+    rows = df.collect()
+    assert len(rows) == len(want) and plain(rows) == want
+    assert sorted(map(repr, rows)) == sorted(map(repr, osm_pbf.read_objects(spark, path).collect()))
+    by_type = extracts.read_by_type(spark, path, span=len(data) // 3)
+    for where in ("type = 'way'", "type IN ('relation', 'way')", "type <> 'node' AND id > 10"):
+        assert plain(by_type.where(where).collect()) == plain(r for r in rows if {"type = 'way'": r.type == "way", "type IN ('relation', 'way')": r.type != "node"}.get(where, r.type != "node" and r.id > 10))
+    few = extracts.read(spark, path, "id long, refs array<bigint>", span=len(data) // 5)
+    assert few.columns == ["id", "refs"] and sorted(r.id for r in few.collect()) == sorted(r.id for r in rows)
+    assert extracts.read(spark, path, types=()).count() == by_type.where("type = 'way' AND type = 'node'").count() == 0
+    pair = by_type.where("type = 'way'").select("id").alias("a").join(by_type.where("type = 'relation'").select("id").alias("b"), F.expr("a.id < b.id"))
+    assert sorted(map(tuple, pair.collect())) == [(10, 20), (11, 20)]
+    assert extracts.header_timestamp(path) == "2026-01-01T00:00:00Z"
+
+
+def test_other_types_and_columns_are_not_decoded(spark, tmp_path):
+    """Nodes whose tags and ids can't be read do no harm where ways alone are asked for, and only
+    the scan of ways stays in the plan."""
+    words = Words([""])
+    broken = field(2, field(1, b"\xff"))  # an integer that doesn't end
+    way = field(3, field(1, 10) + tagged([("a", "b")], words) + field(8, steps([1, 2])))
+    (tmp_path / "a").write_bytes(header() + stored("OSMData", block([broken, way], words)))
+    ways = extracts.read_by_type(spark, str(tmp_path / "a")).where("type = 'way'")
+    assert [(r.id, r.refs) for r in ways.collect()] == [(10, [1, 2])]
+    assert ways._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 1
+    with pytest.raises(Exception):
+        extracts.read(spark, str(tmp_path / "a")).collect()
+    untold = field(3, field(1, 11) + field(2, b"\x63") + field(3, b"\x63"))  # texts that the block lacks
+    (tmp_path / "b").write_bytes(header() + stored("OSMData", block([untold], [""])))
+    assert [r.id for r in extracts.read(spark, str(tmp_path / "b"), "type string, id long").collect()] == [11]
+    with pytest.raises(Exception):
+        extracts.read(spark, str(tmp_path / "b")).collect()
+
+
+def test_what_ranges_refuse(spark, tmp_path):
+    words = Words([""])
+    good = stored("OSMData", block([dense([(k, 1, 1, 1, []) for k in range(50)], words)], words), "raw")
+    # a block that holds a whole file in its texts: marks with lengths that agree
+    within = good + good + good
+    nested = header() + stored("OSMData", block([b""], ["", "x" * 40]) + field(99, within), "raw") + good
+    cases = {"cut": (header() + good + good[:-3], 10_000), "cut in ranges": (header() + good + good[:-3], 64), "other": (b"<osm>" * 50, 64), "needs": (header(needs=["HistoricalInformation"]) + good, 64)}
+    for name, (data, span) in cases.items():
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(Exception, match="no block|asks for|cut off"):
+            extracts.read(spark, str(tmp_path / name), span=span).collect()
+    (tmp_path / "nested").write_bytes(nested)
+    assert extracts.read(spark, str(tmp_path / "nested"), span=len(nested)).count() == 50
+    with pytest.raises(Exception, match="inside a block"):
+        extracts.read(spark, str(tmp_path / "nested"), span=len(header()) + 60).collect()
+    (tmp_path / "empty").write_bytes(b"")
+    assert extracts.read(spark, str(tmp_path / "empty")).count() == 0
+    foreign = header() + stored("Other", b"?") + good + stored("Other", b"?" * 500) + good
+    (tmp_path / "foreign").write_bytes(foreign)
+    for span in (100, 10_000):
+        assert extracts.read(spark, str(tmp_path / "foreign"), span=span).count() == 100
+    for name in ("other", "empty"):
+        with pytest.raises(ValueError, match="no timestamp"):
+            extracts.header_timestamp(str(tmp_path / name))

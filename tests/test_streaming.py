@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wayfold.functions.errors import ServiceError
 from wayfold.operators import objects
 from wayfold.plans import refresh
-from wayfold.sources import fixes, state
+from wayfold.sources import buckets, fixes, state
 from wayfold.streaming import policy, session
 
 HERE, NEAR, FAR = {"lat": 59.33, "lon": 18.06}, {"lat": 59.331, "lon": 18.06}, {"lat": 59.335, "lon": 18.06}
@@ -189,6 +189,49 @@ def test_a_run_in_place_survives_its_own_failure(spark, tmp_path, monkeypatch):
     assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("0000000")]) == 2  # the failed run's and the present one
 
 
+def test_a_state_in_buckets_writes_what_changed(spark, tmp_path, monkeypatch):
+    at = lambda n: str(tmp_path / n)
+    parks = [obj("node", k, 1, 59.0 + k / 1000, 18.0, tags=PARK) for k in range(300)]
+    spark.createDataFrame(parks, objects.SCHEMA).write.parquet(at("state"))
+    meta = {"schema": 1, "filterVersion": 2, "sequenceNumber": 10, "timestamp": "2026-07-22T00:00:00Z", "seededFrom": []}
+    state.write_text(spark, at("meta"), json.dumps(meta))
+    new = changes(spark, [(*obj("node", 7, 2, 60.0, 18.0, tags=PARK), "modify", 12), (*obj("node", 8, 2), "delete", 13)])
+    none = spark.createDataFrame([], objects.SCHEMA)
+
+    def run(head):
+        return refresh.refresh(spark, at("meta"), at("state"), new, none, (head, "2026-07-24T00:00:00Z"), at("state"), at("meta"), at("out"), gate=False, bucketed=20)["written"]
+
+    def now():
+        return {r.id: (r.version, r.lat) for r in buckets.read(spark, at("state"), state.read_meta(spark, at("meta"))["state"], objects.SCHEMA).collect()}
+
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "state").glob("*/bucket=*/*.parquet"))
+    with monkeypatch.context() as m:
+        m.setattr(state, "advanced", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run(11)
+    assert run(11) == list(range(20)) and now() == {p[1]: (1, p[4]) for p in parks}
+    whole = size()  # twice the state, for the failed run left its own
+    assert run(11) == [] and size() == whole and len(now()) == 300
+    with monkeypatch.context() as m:
+        m.setattr(state, "advanced", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run(12)
+    assert state.read_meta(spark, at("meta"))["sequenceNumber"] == 11 and now()[7] == (1, 59.007)
+    one = run(12)
+    assert len(one) == 1 and now() == {p[1]: (1, p[4]) for p in parks} | {7: (2, 60.0)}
+    assert size() < whole * 1.1  # with the one bucket of the second failed run
+    gone = run(13)
+    assert len(gone) == 1 and gone != one and set(now()) == set(range(300)) - {8}
+
+
+def test_digests_tell_rows_apart(spark):
+    rows = [obj("node", 1, 1, 59.0, None, tags={"a": "b", "c": "d"}), obj("node", 1, 1, None, 59.0, tags={"a": "b", "c": "d"}), obj("node", 1, 1, 59.0, None, tags={"a": "b"}), obj("node", 1, 1, 59.0, None, refs=[1, None]), obj("node", 1, 1, 59.0, None, refs=[None, 1])]
+    of = lambda *r: buckets.digests(spark.createDataFrame(list(r), objects.SCHEMA), 4)
+    assert len({json.dumps(of(r)) for r in rows} | {json.dumps(of(rows[0], rows[0]))}) == 6
+    assert of(*rows) == of(*rows[::-1]) and of(rows[0]) == of(obj("node", 1, 1, 59.0, None, tags={"c": "d", "a": "b"}))
+    assert of() == {}
+
+
 def test_text_files_are_replaced_as_a_whole(spark, tmp_path):
     path = str(tmp_path / "f")
     state.write_text(spark, path, "old")

@@ -159,6 +159,16 @@ def plan_diffs(stored: int, current: int, most: int = MAX_DIFFS) -> list[int]:
     return list(range(stored + 1, current + 1))
 
 
+def diff_plans(states: DataFrame, most: int = MAX_DIFFS) -> DataFrame:
+    """``plan_diffs`` for many states (columns stored and current): a row for each change file
+    that one needs, with its number as ``seq``; a state that may not go on has one row with
+    what is wrong as ``refused``, and one that is at the head has none."""
+    span = F.col("current") - F.col("stored")
+    why = F.when(span < 0, "behind").when(span > most, "seed anew")
+    wanted = F.when(why.isNotNull(), F.array(F.lit(None).cast("long"))).when(span > 0, F.sequence(F.col("stored") + 1, F.col("current"))).otherwise(F.array().cast("array<long>"))
+    return states.withColumn("refused", why).withColumn("seq", F.explode(wanted))
+
+
 def first_guess(head_seq: Column, head_ts: Column, safe: Column) -> Column:
     """Where a walk back to ``safe`` may start: whole days behind the head and one more, from
     1 to the head."""

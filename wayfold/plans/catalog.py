@@ -19,7 +19,7 @@ from wayfold.operators import sequences as seqs
 from wayfold.operators.durable import durable, shared_path
 from wayfold.plans import refresh
 from wayfold.plans.derive import oracle, relation
-from wayfold.sources import dataset, features, fixes, live, osm_pbf, state, store
+from wayfold.sources import dataset, extracts, features, fixes, live, osm_pbf, state, store
 from wayfold.streaming import session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -506,7 +506,7 @@ def binary_extract(spark, d):
     osm_pbf.write_objects(rows, path)
     named = F.transform("members", lambda m: F.concat_ws("/", m["type"], m["ref"].cast("string")))
     listed = lambda c: F.when(c.isNotNull(), F.array_join(c, ","))
-    return osm_pbf.read_objects(spark, path).select("type", "id", "version", F.unix_seconds("ts").alias("stamp"), "lat", "lon", listed(F.col("refs").cast("array<string>")).alias("refs"), listed(named).alias("members"), F.try_element_at("tags", F.lit("leisure")).alias("leisure"))
+    return extracts.read(spark, path).select("type", "id", "version", F.unix_seconds("ts").alias("stamp"), "lat", "lon", listed(F.col("refs").cast("array<string>")).alias("refs"), listed(named).alias("members"), F.try_element_at("tags", F.lit("leisure")).alias("leisure"))
 
 
 _NEAR_STHLM = hav("59.3293", "18.0686", "lat", "lon")
@@ -535,9 +535,14 @@ def asof_sequence(spark, d):
     return objects.sequence_as_of(history, F.lit("1996-03-01 12:00:00").cast(history.schema["ts"].dataType))
 
 
-@query("diff_plan", "SELECT CAST(unnest(range(5062, 5101)) AS BIGINT) AS seq")
+@query("diff_plan", """WITH s AS (SELECT CAST(c_custkey AS BIGINT) AS region, CAST(c_custkey * 3 AS BIGINT) AS stored, CAST(c_custkey * 3 + c_nationkey * 2 - 3 AS BIGINT) AS current FROM {customer})
+SELECT region, CAST(unnest(range(stored + 1, current + 1)) AS BIGINT) AS seq, NULL AS refused FROM s WHERE current - stored BETWEEN 1 AND 40
+UNION ALL SELECT region, NULL, CASE WHEN current < stored THEN 'behind' ELSE 'seed anew' END FROM s WHERE current < stored OR current - stored > 40""")
 def diff_plan(spark, d):
-    return spark.createDataFrame([(n,) for n in objects.plan_diffs(5061, 5100)], "seq long")
+    """The change files that the state of each customer (as a region) needs."""
+    key = F.col("c_custkey").cast("long")
+    states = spark.read.parquet(f"{d}/customer.parquet").select(key.alias("region"), (key * 3).alias("stored"), (key * 3 + F.col("c_nationkey") * 2 - 3).alias("current"))
+    return objects.diff_plans(states).select("region", "seq", "refused")
 
 
 @query("sequence_path", "SELECT n, CASE n % 2 WHEN 0 THEN '' ELSE '' END || substr(lpad(CAST(n * 977 AS VARCHAR), 9, '0'), 1, 3) || '/' || substr(lpad(CAST(n * 977 AS VARCHAR), 9, '0'), 4, 3) || '/' || substr(lpad(CAST(n * 977 AS VARCHAR), 9, '0'), 7, 3) AS path FROM {tagged}")
@@ -630,6 +635,24 @@ def repair_loop(spark, d):
     return fixed.select("type", "id", "version", *(F.lit(report[k]).cast("int" if k == "passes" else "long").alias(k) for k in ("passes", "fetched", "gone")))
 
 
+@query("repair_budget", """WITH broken AS (SELECT count(DISTINCT way) AS n FROM {way_nodes} WHERE node NOT IN (SELECT node FROM {nodes}))
+SELECT CAST(b AS BIGINT) AS budget, n > b AS stopped, CASE WHEN n <= b THEN n END AS gone FROM broken, (SELECT unnest([0, 300]) AS b UNION ALL SELECT n - 1 FROM broken UNION ALL SELECT n FROM broken)""")
+def repair_budget(spark, d):
+    """A run stops before it asks for anything where more objects than its budget are
+    incomplete: budgets of none, of a daily run, of one too few, and of just enough."""
+    none = lambda t: F.lit(None).cast(t)
+    state = durable(way_objects(spark, d).withColumns({"version": F.lit(1), "ts": none("timestamp")}).select("type", "id", "version", "ts", "lat", "lon", "refs", "members", "tags"), "state")
+    n = objects.incomplete_parents(objects.missing_references(state)).count()
+    rows = []
+    for budget in (0, objects.MAX_REPAIRS, n - 1, n):
+        try:
+            _, report = objects.repair(state, state.limit(0), F.lit(True), budget=budget, cut=durable)
+            rows.append((budget, False, report["gone"]))
+        except ValueError:
+            rows.append((budget, True, None))
+    return spark.createDataFrame(rows, "budget long, stopped boolean, gone long")
+
+
 def session_events(spark: SparkSession, d: str) -> DataFrame:
     """Events of users as events of sessions: fixes, answers, toggles and choices."""
     f = at(spark, d, "fixes")

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import tags
 from wayfold.operators import objects, places
-from wayfold.operators.durable import delete, durable, release
+from wayfold.operators.durable import durable, release
 from wayfold.operators.sequences import assert_sane, kind_counts
-from wayfold.sources import boundary, dataset, osm_pbf, osm_xml, state
+from wayfold.sources import boundary, buckets, dataset, extracts, osm_xml, state
 
 # Fixed value: the boundary of a whole-planet build.
 PLANET = "planet\n1\n   -180 -90\n    180 -90\n    180  90\n   -180  90\nEND\nEND\n"
@@ -49,9 +49,9 @@ def filter_extract(spark: SparkSession, path: str, out: str) -> str:
     """Write the preselected objects of one extract (binary or XML, by its name), and beside
     them the time of its header, which is read first: a file without one is refused before the
     costly part."""
-    source = osm_pbf if path.endswith(".pbf") else osm_xml
-    stamp = source.header_timestamp(spark, path)
-    preselect(source.read_objects(spark, path)).write.mode("overwrite").parquet(out)
+    binary = path.endswith(".pbf")
+    stamp = extracts.header_timestamp(path) if binary else osm_xml.header_timestamp(spark, path)
+    preselect((extracts.read_by_type if binary else osm_xml.read_objects)(spark, path)).write.mode("overwrite").parquet(out)
     state.write_text(spark, f"{out}.timestamp", stamp)
     return stamp
 
@@ -83,26 +83,32 @@ def _publish(spark: SparkSession, new: DataFrame, region: str, stamp: str, out_d
     return counts
 
 
-def refresh(spark: SparkSession, meta_path: str, state_path: str, changes: DataFrame, source: DataFrame, head: tuple[int, str], out_state: str, out_meta: str, out_dataset: str, region: str = "planet", max_diffs: int = objects.MAX_DIFFS, max_repairs: int = objects.MAX_REPAIRS, gate: bool = True) -> dict:
+def refresh(spark: SparkSession, meta_path: str, state_path: str, changes: DataFrame, source: DataFrame, head: tuple[int, str], out_state: str, out_meta: str, out_dataset: str, region: str = "planet", max_diffs: int = objects.MAX_DIFFS, max_repairs: int = objects.MAX_REPAIRS, gate: bool = True, bucketed: int | None = None) -> dict:
     """One run from files; returns its summary. ``head``: newest change number and its time.
 
     The new state goes to a new folder below ``out_state``, and the metadata, written last,
     name it. So a run that dies leaves the old metadata with the old state, also where old
-    and new share their paths; the old folder goes once the new metadata stand."""
+    and new share their paths; the old folder goes once the new metadata stand. With
+    ``bucketed`` the state is kept in so many buckets, and where old and new share
+    their paths only those that changed are written (``sources.buckets``)."""
     meta = state.read_meta(spark, meta_path)
     plan = objects.plan_diffs(meta["sequenceNumber"], head[0], max_diffs)
-    old_path = f"{state_path}/{meta['state']}" if "state" in meta else state_path
-    old = spark.read.schema(objects.SCHEMA).parquet(old_path)
+    old_name = meta.get("state")
+    old = buckets.read(spark, state_path, old_name, objects.SCHEMA)
     wanted = changes.where(F.col("seq").between(meta["sequenceNumber"] + 1, head[0]))
     new, report = advance(old, wanted, source, meta["sequenceNumber"], max_repairs)
     kinds = _publish(spark, new, region, head[1], out_dataset, gate)
-    name = f"{head[0]:09d}-{uuid.uuid4().hex}"
-    new.repartitionByRange("type", "id").write.parquet(f"{out_state}/{name}")
+    name = f"{'_' if bucketed else ''}{head[0]:09d}-{uuid.uuid4().hex}"
+    in_place, written = (meta_path, state_path) == (out_meta, out_state), {}
+    if bucketed:
+        written = {"written": buckets.write(new, out_state, name, old_name if in_place else None, bucketed)}
+    else:
+        new.repartitionByRange("type", "id").write.parquet(f"{out_state}/{name}")
     state.write_text(spark, out_meta, json.dumps(state.advanced(meta, *head) | {"state": name}))
     release(new)
-    if "state" in meta and (meta_path, state_path) == (out_meta, out_state):
-        delete(spark, old_path)
-    return report | {"diffs": len(plan), "kinds": kinds}
+    if old_name and in_place:
+        buckets.drop_unnamed(spark, state_path, old_name, name)
+    return report | {"diffs": len(plan), "kinds": kinds} | written
 
 
 #: Objects of a streamed state: op and seq are those of the change that made them.

@@ -115,7 +115,9 @@ class _Reading:
     def __init__(self, schema: StructType, options: dict):
         self.path, self.schema = options["path"], schema
 
-    def read(self, partition: ChangeFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ChangeFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark asks so where there is no file at all
+            return
         schema = to_arrow_schema(self.schema)
         store = locate(self.path)[0]
         with store.open_input_stream(partition.path, compression=None) as raw:

@@ -14,16 +14,21 @@ import datetime as dt
 import itertools
 import lzma
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.operators.durable import delete, shared_path
 from wayfold.operators.objects import SCHEMA, TYPES
-from wayfold.sources.state import TextFile
+from wayfold.sources.files import join_parts, locate
 
 # Fixed values of the format: starts of block headers, features that a reader must know.
 DATA, HEAD = b"\n\x07OSMData", b"\n\x09OSMHeader"
@@ -147,14 +152,16 @@ def unpacked(blob: bytes | memoryview) -> bytes | memoryview:
 
 
 class _Block:
-    """Objects of one block of data."""
+    """Objects of one block of data; of the ``types`` and with the ``columns`` that are asked
+    for, where they are given: what isn't asked for is not taken apart."""
 
-    def __init__(self, data: bytes | memoryview):
-        self.words, self.groups = [], []
+    def __init__(self, data: bytes | memoryview, types: Collection[str] | None = None, columns: Sequence[str] | None = None):
+        self.types, self.columns, self.texts = set(TYPES if types is None else types), list(_ARROW.names if columns is None else columns), []
+        self.schema, self.groups = pa.schema([_ARROW.field(c) for c in self.columns]), []
         self.grain, self.date_grain, self.lat, self.lon = 100, 1000, 0, 0
         for number, value in fields(data):
             if number == 1:
-                self.words = [bytes(s).decode("utf-8", "replace") for n, s in fields(value) if n == 1]
+                self.texts.append(value)
             elif number == 2:
                 self.groups.append(value)
             elif number == 17:
@@ -166,11 +173,17 @@ class _Block:
             elif number == 20:
                 self.lon = _one_long(value)
 
+    @cached_property
+    def words(self) -> list[str]:
+        return [bytes(s).decode("utf-8", "replace") for n, s in fields(self.texts[-1]) if n == 1] if self.texts else []
+
     def tags(self, keys, values) -> list[tuple[str, str]]:
         """The last of repeated keys wins."""
         return list({self.words[k]: self.words[v] for k, v in zip(keys, values, strict=True)}.items())
 
-    def own_tags(self, m: dict) -> list[tuple[str, str]]:
+    def own_tags(self, m: dict) -> list[tuple[str, str]] | None:
+        if "tags" not in self.columns:
+            return None
         return self.tags(_few(m.get(2, b"")), _few(m.get(3, b"")))
 
     def info(self, m: dict) -> tuple[int | None, int | None]:
@@ -188,14 +201,16 @@ class _Block:
                 if number in found:
                     found[number].append(value)
             for dense in found.pop(2):
-                yield self.dense(_message(dense))
-            for number, made in ((1, self.node), (3, self.way), (4, self.relation)):
-                if found[number]:
-                    columns = zip(*(made(_message(m)) for m in found[number]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types)], schema=_ARROW)
+                if "node" in self.types:
+                    yield self.dense(_message(dense))
+            for number, kind, made in ((1, "node", self.node), (3, "way", self.way), (4, "relation", self.relation)):
+                if found[number] and kind in self.types:
+                    columns = dict(zip(_ARROW.names, zip(*(made(_message(m)) for m in found[number]))))
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in self.schema], schema=self.schema)
 
     def dense(self, m: dict) -> pa.RecordBatch:
-        ids, info, words = _steps(m.get(1, b"")), _message(m.get(5, b"")), _integers(m.get(10, b""))
+        ids, info = _steps(m.get(1, b"")), _message(m.get(5, b""))
+        words = _integers(m.get(10, b"")) if "tags" in self.columns else ()
         n = len(ids)
         if 6 in info and not _integers(info[6]).all():
             raise ValueError("deleted objects: this is a history, not an extract")
@@ -213,17 +228,19 @@ class _Block:
                 tags[k] = self.tags(own[::2], own[1::2])
         at = [(base + self.grain * _steps(m.get(number, b""))) / 1e9 for number, base in ((8, self.lat), (9, self.lon))]
         fixed = [pa.array(["node"] * n, pa.string()), pa.array(ids), pa.array(version, pa.int32(), mask=version < 0), ts, *map(pa.array, at)]
-        return pa.RecordBatch.from_arrays([*fixed, pa.nulls(n, _ARROW.types[6]), pa.nulls(n, _ARROW.types[7]), pa.array(tags, _ARROW.types[8])], schema=_ARROW)
+        made = dict(zip(_ARROW.names, [*fixed, pa.nulls(n, _ARROW.types[6]), pa.nulls(n, _ARROW.types[7]), pa.array(tags, _ARROW.types[8])]))
+        return pa.RecordBatch.from_arrays([made[c] for c in self.columns], schema=self.schema)
 
     def node(self, m: dict) -> tuple:
         lat, lon = ((base + self.grain * _one_signed(m[number])) / 1e9 for number, base in ((8, self.lat), (9, self.lon)))
         return "node", _one_signed(m[1]), *self.info(m), lat, lon, None, None, self.own_tags(m)
 
     def way(self, m: dict) -> tuple:
-        return "way", _one_long(m[1]), *self.info(m), None, None, _few_steps(m.get(8, b"")) or None, None, self.own_tags(m)
+        refs = _few_steps(m.get(8, b"")) or None if "refs" in self.columns else None
+        return "way", _one_long(m[1]), *self.info(m), None, None, refs, None, self.own_tags(m)
 
     def relation(self, m: dict) -> tuple:
-        columns = _few(m.get(10, b"")), _few_steps(m.get(9, b"")), _few(m.get(8, b""))
+        columns = (_few(m.get(10, b"")), _few_steps(m.get(9, b"")), _few(m.get(8, b""))) if "members" in self.columns else ((), (), ())
         members = [{"type": TYPES[t], "ref": ref, "role": self.words[role]} for t, ref, role in zip(*columns, strict=True)]
         return "relation", _one_long(m[1]), *self.info(m), None, None, None, members or None, self.own_tags(m)
 
@@ -245,23 +262,37 @@ def _body(rest: memoryview) -> memoryview:
     return rest[at : at + size]
 
 
-def _head(record: bytes) -> dict[int, list]:
+def listed_fields(message: bytes | memoryview) -> dict[int, list]:
     out: dict[int, list] = {}
-    for number, value in fields(unpacked(_body(memoryview(record)[4 + len(HEAD) :]))):
+    for number, value in fields(message):
         out.setdefault(number, []).append(value)
     return out
 
 
+def _head(record: bytes) -> dict[int, list]:
+    return listed_fields(unpacked(_body(memoryview(record)[4 + len(HEAD) :])))
+
+
+def known_only(head: dict[int, list]) -> None:
+    """An error where a file's header asks for features that this reader lacks."""
+    unknown = {bytes(v).decode() for v in head.get(4, [])} - KNOWN
+    if unknown:
+        raise ValueError(f"the file asks for {', '.join(sorted(unknown))}")
+
+
 def decode(record: bytes) -> Iterator[pa.RecordBatch]:
     """The objects of one record; none of a file's first, which says what a reader must know."""
     if record[4 : 4 + len(HEAD)] == HEAD:
-        unknown = {bytes(v).decode() for v in _head(record).get(4, [])} - KNOWN
-        if unknown:
-            raise ValueError(f"the file asks for {', '.join(sorted(unknown))}")
+        known_only(_head(record))
     else:
         yield from _Block(unpacked(_body(memoryview(record)))).rows()
 
 
+def objects_in(blob: bytes, types: Collection[str] | None = None, columns: Sequence[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """The objects of one stored block, of those types and with those columns."""
+    yield from _Block(unpacked(blob), types, columns).rows()
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """value: the records of the files, as bytes."""
     return spark.read.option("lineSep", DATA.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
@@ -386,22 +417,33 @@ def encode(rows: pa.Table) -> Iterator[bytes]:
 def write_objects(df: DataFrame, path: str, stamp: str | None = None) -> None:
     """One binary extract, nodes first, each type by id, with the time of its header.
 
-    Blocks are made by tasks; as the format is one file, they pass through the driver in
-    order, a partition at a time. Times are kept in whole seconds, positions in seven decimals;
-    a node without a position is an error. An existing file is replaced in one rename."""
+    Each task writes the blocks of its rows as a part, and as the format is one file, one task
+    joins the parts byte by byte; no block passes through the driver. Times are kept in whole
+    seconds, positions in seven decimals; a node without a position is an error. An existing
+    file is replaced in one rename."""
+    spark = df.sparkSession
+    parts = shared_path(spark, "extract-parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in encode(pa.Table.from_batches([batch])):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["block"])
+        store, folder = locate(parts)
+        store.create_dir(folder, recursive=True)
+        place, n = f"{folder}/part-{TaskContext.get().partitionId():06d}", 0
+        own = f"{folder}/attempt-{uuid.uuid4().hex}"
+        with store.open_output_stream(own) as out:
+            for batch in batches:
+                for block in encode(pa.Table.from_batches([batch])):
+                    out.write(block)
+                    n += 1
+        if store.get_file_info(place).type == fs.FileType.NotFound:  # else an earlier attempt was whole
+            store.move(own, place)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["blocks"])
 
     plain = df.select(*_ARROW.names[:-1], F.map_entries("tags").alias("tags"))
     rank = F.array_position(F.array(*map(F.lit, TYPES)), F.col("type"))
-    blocks = plain.orderBy(rank, "id").select(*plain.columns[:-1], F.transform("tags", lambda t: F.array(t["key"], t["value"])).alias("tags")).mapInArrow(run, "block binary")
+    blocks = plain.orderBy(rank, "id").select(*plain.columns[:-1], F.transform("tags", lambda t: F.array(t["key"], t["value"])).alias("tags")).mapInArrow(run, "blocks long")
     head = b"".join(_field(4, name.encode()) for name in sorted(KNOWN))
     if stamp:
         head += _field(32, int(dt.datetime.fromisoformat(stamp.replace("Z", "+00:00")).timestamp()))
-    with TextFile(df.sparkSession, path) as f:
-        f.write(_stored("OSMHeader", head))
-        for row in blocks.toLocalIterator():
-            f.write(bytes(row[0]))
+    blocks.agg(F.sum("blocks")).collect()
+    join_parts(spark, parts, path, _stored("OSMHeader", head), b"", 0)
+    delete(spark, parts)
