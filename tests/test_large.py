@@ -21,7 +21,7 @@ def many_parts(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["change_urls"])
+@pytest.mark.parametrize("name", ["change_urls", "sequence_path"])
 def test_numbers_of_ten_digits_are_as_in_the_twin(spark, many_parts, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{many_parts}/part.parquet/*.parquet'")
