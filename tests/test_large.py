@@ -5,7 +5,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.functions import ids
+from wayfold.functions import ids, seasonal
+from wayfold.operators import objects, places
 from wayfold.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,3 +35,47 @@ def test_numbers_of_ten_digits_are_as_in_the_twin(spark, many_parts, name):
 def test_the_operator_still_refuses_such_numbers(spark):
     with pytest.raises(Exception, match="not a replication sequence number"):
         spark.range(1).select(ids.sequence_path(F.col("id") + 1_000_000_000)).collect()
+
+
+def test_joins_by_distance_are_dealt_by_their_pairs(spark):
+    """27 million pairs from few bytes: Spark would gather them in one task."""
+    some = spark.range(3000).select(F.concat(F.lit("node/"), "id").alias("id"), (59.3 + F.col("id") / 1e6).alias("lat"), F.lit(18.0).alias("lon"))
+    points = spark.range(2000).select(F.col("id").alias("query_id"), F.lit(59.3).alias("at_lat"), (18.0 + F.col("id") / 1e7).alias("at_lon"))
+    assert 10 <= places.near_points(some, points, 5_000).rdd.getNumPartitions() <= 20
+
+
+def clusters(spark, n):
+    """Places in clusters of four, some silent, with names that agree or not."""
+    k = F.col("id")
+    flag = lambda m: F.when(k % m == 1, True).when(k % m == 2, False)
+    tags = F.struct(flag(4).alias("leash_required"), flag(6).alias("fenced"), flag(7).alias("lit"), F.when(k % 3 == 0, "gravel").alias("surface"))
+    name = F.when(k % 5 == 1, "Park A").when(k % 5 == 2, " park a ").when(k % 5 == 3, "Beach")
+    season = F.when(k % 11 < 3, F.struct(F.lit("unparsed").alias("kind"), F.lit(None).alias("from"), F.lit(None).alias("to")).cast(seasonal.RULE_TYPE))
+    rows = spark.range(n).select(
+        F.concat(F.element_at(F.array(F.lit("node/"), F.lit("way/"), F.lit("relation/")), (k % 3 + 1).cast("int")), k).alias("id"), F.lit("dog_park").alias("kind"), name.alias("name"),
+        (59 + (F.floor(k / 4) * 7919 % 1000) / 2e5 + (k % 4) * 0.00015).alias("lat"), (18 + (F.floor(k / 4) * 104729 % 1000) / 1e5).alias("lon"),
+        tags.alias("tags"), F.lit("designated").alias("provenance"), season.alias("seasonal"))
+    return rows.select(*places.COLUMNS)
+
+
+def test_expanding_is_collapse_of_each_result_set(spark):
+    """Areas just outside a circle, beside nodes just inside, decide who stays and who adopts."""
+    some = clusters(spark, 400)
+    points = spark.range(60).select(F.col("id").alias("query_id"), (59 + (F.col("id") * 613 % 1000) / 2e5).alias("at_lat"), (18 + (F.col("id") * 331 % 1000) / 1e5).alias("at_lon"))
+    got = places.expanding(some, points, "dog_park", [60, 150], 3)
+    found = {(r.query_id, r.searched_radius_m): r.n for r in places.expanding_counts(some, points, "dog_park", [60, 150], 3).collect()}
+    want = []
+    for radius in (60, 150):
+        asked = points.where(F.col("query_id").isin([q for q, r in found if r == radius]))
+        near = places.near_points(some, asked, float(radius)).withColumn("searched_radius_m", F.lit(radius))
+        want += places.collapse(near.select(*got.columns), ["query_id"]).collect()
+    rows = got.collect()
+    assert sorted(rows, key=repr) == sorted(want, key=repr) and len(rows) > 60
+    assert sum(found.values()) == len(rows) and {r for _, r in found} == {60, 150}
+
+
+def test_rows_of_expanding_are_not_moved(spark):
+    points = spark.createDataFrame([(1, 59.0, 18.0)], "query_id long, at_lat double, at_lon double")
+    rows = places.expanding(clusters(spark, 400), points, "dog_park", [60, 150], 3).select("query_id", "searched_radius_m", "id")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join Inner") <= 2
