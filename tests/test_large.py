@@ -79,3 +79,19 @@ def test_rows_of_expanding_are_not_moved(spark):
     rows = places.expanding(clusters(spark, 400), points, "dog_park", [60, 150], 3).select("query_id", "searched_radius_m", "id")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Join Inner") <= 2
+
+
+def broken_state(spark):
+    """Ways over nodes of which every fifth is missing."""
+    none = lambda t: F.lit(None).cast(t).alias
+    rest = [F.lit(1).alias("version"), none("timestamp")("ts"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon")]
+    tail = [none("array<struct<type:string,ref:bigint,role:string>>")("members"), none("map<string,string>")("tags")]
+    ways = spark.range(40).select(F.lit("way").alias("type"), "id", *rest, F.array(F.col("id"), F.col("id"), F.col("id") + 1).alias("refs"), *tail)
+    return ways.unionByName(spark.range(41).where("id % 5 <> 0").select(F.lit("node").alias("type"), "id", *rest, none("array<bigint>")("refs"), *tail))
+
+
+def test_only_missing_references_are_made_distinct(spark):
+    gone = objects.missing_references(broken_state(spark))
+    plan = gone._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.index("Aggregate") < plan.index("Join LeftAnti")
+    assert sorted((r.child_id, r.parent_id) for r in gone.collect()) == sorted({(c, w) for w in range(40) for c in (w, w + 1) if c % 5 == 0})

@@ -63,10 +63,12 @@ def references(objects: DataFrame) -> DataFrame:
 
 
 def missing_references(objects: DataFrame) -> DataFrame:
-    """Distinct references to objects that aren't there; nested relations aren't followed."""
-    wanted = references(objects).where("child_type <> 'relation'").distinct()
+    """Distinct references to objects that aren't there; nested relations aren't followed.
+
+    References are moved once, by child; only the missing ones, which are few, are made distinct."""
+    wanted = references(objects).where("child_type <> 'relation'")
     there = objects.select(F.col("type").alias("child_type"), F.col("id").alias("child_id"))
-    return wanted.join(there, ["child_type", "child_id"], "left_anti").select("child_type", "child_id", "parent_type", "parent_id")
+    return wanted.join(there, ["child_type", "child_id"], "left_anti").select("child_type", "child_id", "parent_type", "parent_id").distinct()
 
 
 def incomplete_parents(missing: DataFrame) -> DataFrame:
