@@ -95,3 +95,19 @@ def test_only_missing_references_are_made_distinct(spark):
     plan = gone._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and plan.index("Aggregate") < plan.index("Join LeftAnti")
     assert sorted((r.child_id, r.parent_id) for r in gone.collect()) == sorted({(c, w) for w in range(40) for c in (w, w + 1) if c % 5 == 0})
+
+
+def test_a_repair_looks_for_broken_parents_once_a_pass(spark):
+    """A source without any of them leaves the state unwritten; known parents aren't looked for again."""
+    state, cuts = broken_state(spark), []
+    cut = lambda df: cuts.append(df.columns) or df
+    same, report = objects.repair(state, state.limit(0), F.lit(True), budget=16, cut=cut)
+    assert report == {"passes": 1, "fetched": 0, "gone": 16} and cuts == [["type", "id"]] and same is state
+    broken = objects.incomplete_parents(objects.missing_references(state))
+    cuts.clear()
+    assert objects.repair(state, state.limit(0), F.lit(True), budget=16, cut=cut, broken=broken)[1] == report and not cuts
+    with pytest.raises(ValueError, match="more than 15"):
+        objects.repair(state, state.limit(0), F.lit(True), budget=15, broken=broken)
+    whole = spark.range(41).select(F.lit("node").alias("type"), "id").join(state.where("type = 'node'").limit(1).drop("type", "id"))
+    fixed, report = objects.repair(state, state.where("type = 'way'").unionByName(whole), F.lit(True), budget=16)
+    assert report == {"passes": 1, "fetched": 16, "gone": 0} and objects.missing_references(fixed).count() == 0

@@ -110,27 +110,30 @@ def closure(objects: DataFrame, kept: Column) -> DataFrame:
     return reach(objects, objects.where(kept).select("type", "id"))
 
 
-def repair(state: DataFrame, source: DataFrame, kept: Column, passes: int = MAX_REPAIR_PASSES, budget: int = MAX_REPAIRS, cut: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, dict]:
+def repair(state: DataFrame, source: DataFrame, kept: Column, passes: int = MAX_REPAIR_PASSES, budget: int = MAX_REPAIRS, cut: Callable[[DataFrame], DataFrame] | None = None, broken: DataFrame | None = None) -> tuple[DataFrame, dict]:
     """Fetch incomplete objects whole from ``source`` and merge them, at most ``passes`` times.
 
     The budget counts all incomplete parents, though only untried ones are fetched; going
     over it raises. Parents that the source doesn't have are gone: skipped and counted.
-    ``cut`` may write a frame and read it back between passes."""
+    ``cut`` may write a frame and read it back between passes. ``broken``: the incomplete
+    parents of ``state``, where the caller has them. Objects of a state are one a key, so a pass that
+    the source has nothing for leaves the state as it is, with no parent untried."""
     cut = cut or (lambda df: df)
     tried, report = None, {"passes": 0, "fetched": 0, "gone": 0}
     for _ in range(passes):
-        parents = incomplete_parents(missing_references(state))
-        n = parents.limit(budget + 1).count()
+        parents = broken if broken is not None else cut(incomplete_parents(missing_references(state)))
+        n, broken = parents.limit(budget + 1).count(), None
         if n > budget:
             raise ValueError(f"more than {budget} parents need repair")
-        todo = parents.join(tried, ["type", "id"], "left_anti") if tried is not None else parents
-        todo = cut(todo)
+        todo = cut(parents.join(tried, ["type", "id"], "left_anti")) if tried is not None else parents
         asked = todo.count()
         if not asked:
             break
         have = source.join(todo, ["type", "id"], "left_semi").count()
-        whole = reach(source, todo)
         report = {"passes": report["passes"] + 1, "fetched": report["fetched"] + have, "gone": report["gone"] + asked - have}
+        if not have:
+            break
+        whole = reach(source, todo)
         tried = todo if tried is None else tried.unionByName(todo)
         state = cut(newest(state, whole.select(*state.columns)))
     return state, report
