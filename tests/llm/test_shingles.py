@@ -130,3 +130,54 @@ def test_a_band_of_all_texts_is_split_and_loses_no_pair(spark):
     assert {(i, i + 1) for i in range(11, 300, 10)} <= every and (1, 2) not in every
     heads = {x.b: x.a for x in shingles.to_heads(met, own, 0.8).collect()}
     assert heads.get(2) == 1
+
+
+def test_pairs_of_a_large_group_are_never_rows(spark, monkeypatch):
+    """Copies of one text with differing words changed, each two just below the threshold: nearly all pairs
+    are proposed, and no frame has more rows than the texts have bands."""
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(3000)])
+    base, texts = rng.choice(words, 200), []
+    for _ in range(120):
+        new = base.copy()
+        new[rng.choice(200, 3, replace=False)] = rng.choice(words, 3)
+        texts.append(" ".join(new))
+    counts = {}
+
+    def cut(df, name):
+        out = common.cut(df, name)
+        counts[name, len(counts)] = out.count()
+        return out
+
+    for module in (shingles, simhash):
+        monkeypatch.setattr(module, "cut", cut)
+    kept = {r.doc_id for r in simhash.one_of_each(frame(spark, texts)).collect()}
+    assert kept == brute_kept(texts)[0]
+    assert max(counts.values()) <= 32 * len(texts), counts
+
+
+@pytest.mark.parametrize("crowd", [4096, 40])
+def test_linking_inside_tasks_connects_what_all_pairs_connect(spark, monkeypatch, crowd):
+    rng = np.random.default_rng(9)
+    rows, sets = [], []
+    for family in range(6):
+        base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+        for k in range(40):
+            own = np.sort(np.concatenate([base[int(rng.integers(0, 6)) :], rng.integers(0, 1 << 62, int(rng.integers(1, 8))).astype(np.uint64)]))
+            bands, bits = shingles.bands_and_sketch(own)
+            h = 100 * family + k + 1
+            rows.append((h, len(own), bits, [7, *bands.tolist()]))
+            sets.append((h, bytearray(own.tobytes())))
+    own = spark.createDataFrame(rows, "h long, n int, bits binary, bands array<long>")
+    sets = spark.createDataFrame(sets, "h long, shingles binary")
+    monkeypatch.setattr(shingles, "ROOM", 2000)
+    met = common.cut(shingles.meetings(own), "met")
+    roots = spark.createDataFrame([(2, 1), (1, 1), (204, 203), (203, 203)], "node long, root long")
+    known = [(r.node, r.root) for r in roots.collect()]
+    every = [tuple(r) for r in shingles.verified(shingles.across(met, own, roots, 0.8), sets, 0.8).collect()]
+    some = [tuple(r) for r in shingles.linked_across(met, own, sets, roots, 0.8, crowd).collect()]
+    assert {tuple(sorted(x)) for x in some} <= set(every) and len(some) < len(every)
+    whole = [simhash.Forest(700) for _ in range(2)]
+    for forest, links in zip(whole, (every, some)):
+        forest.join(*np.array([*links, *known]).T)
+    assert (whole[0].find(np.arange(700)) == whole[1].find(np.arange(700))).all()

@@ -9,9 +9,9 @@ each minimum (a sketch of 256) then holds back what is clearly less similar: 25.
 differ on average at 0.8, and ``SKETCH_BITS`` may. What is left is checked exactly on the
 whole sets, so nothing below the threshold links.
 
-A band's meeting never makes all its pairs at once, nor in one task. First every text is checked with one head, the
-closest by sketch among the heads of its bands; then only pairs that this left in different
-groups are. Each text is in ``BANDS`` small rows, whatever its length, and only texts that
+A band's meeting never makes its pairs as rows, nor in one task. First every text is checked with one head, the
+closest by sketch among the heads of its bands; then pairs that this left in different
+groups are, inside the tasks that their band is dealt to. Each text is in ``BANDS`` small rows, whatever its length, and only texts that
 met any other have their sets made again.
 
 Words are lower-cased (A-Z) and parted by white space; a text of fewer words than a shingle
@@ -172,50 +172,119 @@ def to_heads(met: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
     return found.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("best")).select("best.a", "b")
 
 
-#: Rows of a band that are compared in one task; a larger band is compared in blocks of as many.
-CROWD = 4096
+#: Rows of a band, and shingles of their sets, that are compared in one task, about; a larger
+#: band is compared in blocks of as many.
+CROWD, ROOM = 4096, 4 << 20
 
 
-def across(met: DataFrame, own: DataFrame, roots: DataFrame, threshold: float, crowd: int = CROWD) -> DataFrame:
-    """a, b: pairs of different groups that meet and may be similar.
-
-    Bands all of whose texts are in one group are left out. A band of more than ``crowd`` rows is
-    dealt in blocks by h, and each two of its blocks meet in a part of its own, so that no
-    task holds more than two blocks of a band; every pair is compared in one part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_runs(batches):
-            r, root, h, side = _Run(t, threshold), t["root"].to_numpy(), t["h"].to_numpy(), t["side"].to_numpy()
-            at = t["at"].to_numpy()
-            end, other = _ends(_changes(at)), _ends(_changes(at, root))
-            i = np.flatnonzero(other < end)
-            j = other[i]
-            while len(i):
-                for k in range(0, len(i), 65536):
-                    p, q = i[k : k + 65536], j[k : k + 65536]
-                    fair = (side[p] != side[q]) | (side[p] == 2)
-                    p, q = p[fair], q[fair]
-                    yield _pairs(np.minimum(h[p], h[q]), np.maximum(h[p], h[q]), r.gap(p, q))
-                j = j + 1
-                more = j < end[i]
-                i, j = i[more], j[more]
+def _parts(met: DataFrame, own: DataFrame, roots: DataFrame, crowd: int) -> DataFrame:
+    """at, band, root, h, n, bits, bands, side: the rows of the parts in which bands are compared.
 
+    Bands all of whose texts are in one group are left out. A band of more than ``crowd`` rows, or more
+    than ``ROOM`` shingles, is dealt in blocks by h, and each two of its blocks meet in a part of
+    its own, so that no task holds more than two blocks of a band; every pair meets in one part."""
     of = met.select("at", "h").join(roots.hint("merge"), F.col("h") == F.col("node"), "left").select("at", "h", F.coalesce("root", "h").alias("root"))
-    of = cut(of, "bands")
-    mixed = of.groupBy("at").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    blocks = mixed.select("at", F.ceil(F.col("rows") / crowd).cast("int").alias("blocks"))
-    some = of.join(blocks.hint("merge"), "at").join(own.select("h", "n", "bits").hint("merge"), "h")
+    of = cut(of.join(own.select("h", "n").hint("merge"), "h").select("at", "h", "root", "n"), "bands")
+    mixed = of.groupBy("at").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    blocks = mixed.select("at", F.greatest(F.ceil(F.col("rows") / crowd), F.least("rows", F.ceil(F.col("size") / ROOM))).cast("int").alias("blocks"))
+    some = of.drop("n").join(blocks.hint("merge"), "at").join(own.select("h", "n", "bits", "bands").hint("merge"), "h")
     mine = F.pmod("h", "blocks").cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(mine, x).alias("one"), F.greatest(mine, x).alias("two")))
-    each = some.select("at", "h", "n", "bits", "root", mine.alias("mine"), F.explode(parts).alias("p"))
+    each = some.select("at", "h", "n", "bits", "bands", "root", mine.alias("mine"), F.explode(parts).alias("p"))
     side = F.when(F.col("p.one") == F.col("p.two"), 2).when(F.col("mine") == F.col("p.one"), 0).otherwise(1)
-    each = each.select(F.when(F.col("p.two") == 0, F.col("at")).otherwise(F.xxhash64("at", "p.one", "p.two")).alias("at"), "root", "h", "n", "bits", side.alias("side"))
-    found = each.repartition("at").sortWithinPartitions("at", "root", "h").mapInArrow(run, "a long, b long, gap long")
-    out = found.select("a", "b").distinct()
+    out = each.select(F.when(F.col("p.two") == 0, F.col("at")).otherwise(F.xxhash64("at", "p.one", "p.two")).alias("at"), F.col("at").alias("band"), "root", "h", "n", "bits", "bands", side.alias("side"))
     out._wayfold_path = of._wayfold_path  # for drop()
     return out
 
 
+def _unlike(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of one part that are of different groups, up to 65,536 at a time."""
+    root, side, at = t["root"].to_numpy(), t["side"].to_numpy(), t["at"].to_numpy()
+    end, other = _ends(_changes(at)), _ends(_changes(at, root))
+    i = np.flatnonzero(other < end)
+    j = other[i]
+    while len(i):
+        for k in range(0, len(i), 65536):
+            p, q = i[k : k + 65536], j[k : k + 65536]
+            fair = (side[p] != side[q]) | (side[p] == 2)
+            yield p[fair], q[fair]
+        j = j + 1
+        more = j < end[i]
+        i, j = i[more], j[more]
+
+
+def _proposed(t: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those of _unlike() that may be similar, each in the first only of the bands that both are in."""
+    r, band = _Run(t, threshold), t["band"].to_numpy()
+    bands = np.array(t["bands"].to_pylist(), np.int64)
+    for p, q in _unlike(t):
+        good = r.gap(p, q) >= 0
+        p, q = p[good], q[good]
+        first = np.argmax(bands[p] == bands[q], axis=1)
+        good = bands[p, first] == band[p]
+        yield p[good], q[good]
+
+
+def across(met: DataFrame, own: DataFrame, roots: DataFrame, threshold: float, crowd: int = CROWD) -> DataFrame:
+    """a, b: all pairs of different groups that meet and may be similar, as many as there are: for
+    small tables, to compare ``linked_across`` with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_runs(batches):
+            r, h = _Run(t, threshold), t["h"].to_numpy()
+            for p, q in _unlike(t):
+                yield _pairs(np.minimum(h[p], h[q]), np.maximum(h[p], h[q]), r.gap(p, q))
+
+    each = _parts(met, own, roots, crowd)
+    found = each.select("at", "root", "h", "n", "bits", "side").repartition("at").sortWithinPartitions("at", "root", "h").mapInArrow(run, "a long, b long, gap long")
+    out = found.select("a", "b").distinct()
+    out._wayfold_path = each._wayfold_path
+    return out
+
+
+def linked_across(met: DataFrame, own: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float, crowd: int = CROWD) -> DataFrame:
+    """u, v: edges that connect the groups of ``roots`` which similar pairs connect. ``sets``: h, shingles.
+
+    Every pair that across() lists is looked at, but none is ever a row: first the rows of a part stay
+    that any such pair is of; then their sets are brought to the part, its pairs are checked
+    there, and only those that connect two groups for the first time come out. So no step makes more
+    rows than it gets, however many pairs a group has; a pair that is connected already isn't checked."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_runs(batches):
+            some = np.zeros(t.num_rows, bool)
+            for p, q in _proposed(t, threshold):
+                some[p] = some[q] = True
+            yield from t.filter(pa.array(some)).to_batches()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_runs(batches):
+            held = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]]
+            h, root, up = t["h"].to_numpy(), t["root"].to_numpy().tolist(), {}
+
+            def find(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    up[x] = x = up.get(y, y)
+                return x
+
+            found = []
+            for p, q in _proposed(t, threshold):
+                for i, j in zip(p.tolist(), q.tolist()):
+                    x, y = find(root[i]), find(root[j])
+                    if x != y and _alike(held[i], held[j], threshold):
+                        up[max(x, y)] = min(x, y)
+                        found.append((i, j))
+            i, j = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(h[j])], names=["u", "v"])
+
+    each = _parts(met, own, roots, crowd)
+    some = each.repartition("at").sortWithinPartitions("at", "root", "h").mapInArrow(asked, each.schema)
+    whole = some.join(sets.select("h", "shingles").hint("merge"), "h").select(*each.columns, "shingles")
+    out = whole.repartition("at").sortWithinPartitions("at", "root", "h").mapInArrow(link, "u long, v long")
+    out._wayfold_path = each._wayfold_path  # for drop()
+    return out
+
+
 def sets_of(df: DataFrame, asked: DataFrame, text: str, key: str, words: int) -> DataFrame:
     """h and shingles (sorted hashes) of the asked texts. A bitmap of fixed size, gathered by
     an aggregate, holds most other texts back before their shingles are made."""
@@ -236,6 +305,14 @@ def sets_of(df: DataFrame, asked: DataFrame, text: str, key: str, words: int) ->
     return made.join(asked.hint("merge"), "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles"))
 
 
+def _alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets are similar enough."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = np.count_nonzero(both[1:] == both[:-1])
+    return shared >= threshold * (len(both) - shared) - 1e-9
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets are similar enough, as edges u, v."""
 
@@ -243,10 +320,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                both = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)])
-                both.sort(kind="stable")
-                shared = np.count_nonzero(both[1:] == both[:-1])
-                good.append(shared >= threshold * (len(both) - shared) - 1e-9)
+                good.append(_alike(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
@@ -261,11 +335,10 @@ def similar(own: DataFrame, df: DataFrame, text: str, key: str, words: int = WOR
     sets = cut(sets_of(df, met.select("h").distinct(), text, key, words), "sets")
     near = cut(verified(to_heads(met, own, threshold), sets, threshold), "links")
     first = components(near)
-    wanted = across(met, own, first, threshold)
-    rest = cut(wanted, "others")
+    wanted = linked_across(met, own, sets, first, threshold)
+    far = cut(wanted, "links")
     drop(wanted)
-    far = cut(verified(rest, sets, threshold), "links")
     roots = components(near.unionByName(far))
-    for done in (met, sets, rest, near, far, first):
+    for done in (met, sets, near, far, first):
         drop(done)
     return roots
