@@ -400,3 +400,26 @@ def test_first_guess(spark):
     at = lambda t: F.lit(t).cast("timestamp")
     got = spark.range(1).select(*(objects.first_guess(F.lit(n), at("2026-07-22"), at(t)) for n, t in ((5061, "2026-07-20 12:00:00"), (3, "2026-01-01"), (10, "2026-07-25")))).first()
     assert tuple(got) == (5058, 1, 10)
+
+
+def test_a_published_file_is_read_by_ranges(spark, tmp_path):
+    """The same places as from one text, in more than one task; other layouts are one text."""
+    t = spark.range(400).select(F.concat(F.lit("node/"), "id").alias("id"), F.lit("dog_park").alias("kind"), F.lit('a ",\n"spots":[ ]},').alias("name"), (F.col("id") / 10.0).alias("lat"), F.lit(2.5).alias("lon"), F.lit(None).cast("struct<leash_required:boolean,fenced:boolean,lit:boolean,surface:string>").alias("tags"), F.lit("designated").alias("provenance"), F.lit(None).cast(dataset.RULE_TYPE).alias("seasonal"))
+    path = tmp_path / "out.json"
+    dataset.publish(t, {"include": [[(0.0, 0.0), (0.0, 1.0), (1.0, 1.0)]], "exclude": []}, 'a "spots":[ b', "now", str(path), gate=False)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 8192)
+    try:
+        envelope, rows = dataset.read_dataset(spark, str(path))
+        assert envelope["region"] == 'a "spots":[ b' and rows.rdd.getNumPartitions() > 2
+        assert sorted(rows.collect()) == sorted(dataset.valid_spots(dataset._whole(spark, str(path))[1]).collect()) and rows.count() == 400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    lines = path.read_text().split("\n")
+    for moved in ([*lines[1:], lines[0]], lines[:-1], [lines[0], "x", *lines[1:]], [lines[0], *lines]):
+        path.write_text("\n".join(moved))
+        assert dataset._by_lines(spark, str(path)) is None and dataset.read_dataset(spark, str(path)) is None
+    path.write_text("\n".join([lines[0] + lines[1], *lines[2:]]))
+    assert dataset.read_dataset(spark, str(path))[1].count() == 400
+    path.write_text("\n".join([lines[0], "", *lines[1:]]))
+    assert dataset._by_lines(spark, str(path)) is None and dataset.read_dataset(spark, str(path))[1].count() == 400

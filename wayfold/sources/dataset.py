@@ -77,12 +77,44 @@ def valid_envelope(value: object) -> dict | None:
     return None if coverage is None else {k: value[k] for k in ("schema", "generatedAt", "region", "attribution", "license")} | {"coverage": coverage}
 
 
+_SPOTS = '"spots":['
+
+
+def _whole(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The text of a file in any layout, and its spots (variant ``s``): one row, so one task reads it."""
+    doc = spark.read.text(path, wholetext=True)
+    listed = F.try_variant_get(F.try_parse_json("value"), "$.spots", "array<variant>")
+    return doc, doc.select(F.explode(listed).alias("s"))
+
+
+def _by_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """The text of a file without its spots, and these, where it has publish()'s layout: whole spots in each
+    line, the first behind the envelope. Tasks read ranges of the file. None for any other file."""
+    v, cut = F.col("value"), lambda c, n: F.left(c, F.length(c) - n)
+    at, held = F.instr(v, _SPOTS), lambda c: F.try_parse_json(F.concat(F.lit('{"s":['), c, F.lit('],"end":1}')))
+    parsed = lambda c: F.size(F.try_variant_get(held(c), "$", "map<string,variant>")) == 2
+    rest = F.substr(v, at + len(_SPOTS))
+    body = F.when(v.endswith(",") & parsed(cut(v, 1)), "body")
+    role = F.coalesce(body, F.when(v.endswith("]}") & parsed(cut(v, 2)), "tail"), F.when((at > 0) & v.endswith(",") & parsed(cut(rest, 1)), "head"), F.lit("other"))
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("pos"))
+    lines = lines.withColumn("role", role)
+    of = lambda r, c: F.when(F.col("role") == r, c)
+    ends = [F.max(of("head", F.concat(F.left(v, at + len(_SPOTS) - 1), F.lit("]}")))).alias("value"), F.min(of("head", F.col("pos"))) == F.min("pos"), F.max(of("tail", F.col("pos"))) == F.max("pos")]
+    seen = lines.agg(*ends, F.count_if(F.col("role") == "head"), F.count_if(F.col("role") == "tail"), F.count_if(F.col("role") == "other")).first()
+    if tuple(seen)[1:] != (True, True, 1, 1, 0):
+        return None
+    spot = F.when(F.col("role") == "head", cut(rest, 1)).otherwise(cut(v, F.when(F.col("role") == "tail", 2).otherwise(1)))
+    return spark.createDataFrame([(seen["value"],)], "value string"), lines.select(F.explode(F.variant_get(held(spot), "$.s", "array<variant>")).alias("s"))
+
+
 def read_dataset(spark: SparkSession, path: str) -> tuple[dict, DataFrame] | None:
     """Envelope and places of one published JSON file; None if it can't be read or is refused.
 
-    Only the envelope, without the spots, comes to the driver."""
+    Only the envelope, without the spots, comes to the driver. A file as publish() writes it is read by
+    ranges in all tasks; one of another layout is one text, which Spark bounds in size."""
     try:
-        doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("d"))
+        text, spots = _by_lines(spark, path) or _whole(spark, path)
+        doc = text.select(F.try_parse_json("value").alias("d"))
         fields = ("schema", "generatedAt", "region", "attribution", "license", "coverage")
         row = doc.select(*(F.to_json(F.try_variant_get("d", f"$.{f}", "variant")).alias(f) for f in fields), F.try_variant_get("d", "$.spots", "array<variant>").isNotNull().alias("listed")).first()
         envelope = valid_envelope({f: json.loads(row[f]) for f in fields if row[f] is not None}) if row and row["listed"] else None
@@ -90,7 +122,7 @@ def read_dataset(spark: SparkSession, path: str) -> tuple[dict, DataFrame] | Non
         return None
     if envelope is None:
         return None
-    return envelope, valid_spots(doc.select(F.explode(F.try_variant_get("d", "$.spots", "array<variant>")).alias("s")))
+    return envelope, valid_spots(spots)
 
 
 class Loader:
