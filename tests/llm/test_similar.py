@@ -242,3 +242,38 @@ def test_components_end_when_all_are_stars(spark):
     got = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_edges_are_joined_inside_tasks_before_any_round(spark, monkeypatch):
+    """A chain, a star and a circle of which one task has all edges: one frame of edges is written."""
+    written = []
+    monkeypatch.setattr(common, "cut", lambda df, name="cut", f=common.cut: written.append(name) or f(df, name))
+    edges = [(i, i + 1) for i in range(100, 140)] + [(200, 201 + i) for i in range(30)] + [(300 + i, 300 + (i + 1) % 9) for i in range(9)]
+    node = lambda x: (x % 2 == 0, str(x) if x % 3 else None, x)
+    kind = "struct<none:boolean,least:string,fp:long>"
+    rows = [(node(a), node(b)) for a, b in edges]
+    got = {r.node.fp: r.root.fp for r in common.components(spark.createDataFrame(rows, f"u {kind}, v {kind}").coalesce(1)).collect()}
+    order = lambda x: (node(x)[0], node(x)[1] is not None, node(x)[1] or "", x)
+    want = {x: min(group, key=order) for group in (range(100, 141), range(200, 231), range(300, 309)) for x in group}
+    assert got == want
+    assert written == ["edges"]
+
+
+@pytest.mark.parametrize("rows", [3, 1 << 20])
+def test_forests_connect_what_their_edges_connect(spark, rows):
+    pairs = np.random.default_rng(3).integers(0, 400, (260, 2))
+    edges = spark.createDataFrame(pairs.tolist(), "u long, v long").repartition(5)
+    got = common.forests(edges, rows).collect()
+    assert len(got) <= len(pairs)
+    def roots(edges):
+        f = simhash.Forest(400)
+        f.join(*np.array(edges, np.int64).reshape(-1, 2).T)
+        return f.find(np.arange(400)).tolist()
+    assert roots([tuple(r) for r in got]) == roots(pairs)
+
+
+def test_null_and_nan_nodes_are_not_one():
+    """Ranks of Arrow give both the same."""
+    t = common.pa.table({"u": [None, float("nan")], "v": [1.0, 2.0]})
+    assert common._joined(t).num_rows == 2
+    assert len({common._places(common.pa.array([None, float("nan"), 1.0]))[k] for k in range(3)}) == 3

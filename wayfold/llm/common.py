@@ -4,12 +4,19 @@ components and small helpers for Python workers."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.operators.durable import shared_dir
 
+#: Edges that a task joins to forests at once.
+FOREST = 1 << 20
+
 #: Folders that cut() has written and nobody has deleted.
 _WRITTEN: set[str] = set()
 
@@ -67,15 +74,63 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return out.where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _places(nodes: pa.Array) -> np.ndarray:
+    """A number for each node, equal for equal nodes only and in their order (nulls first)."""
+    if pa.types.is_struct(nodes.type):
+        parts = [_places(field) for field in nodes.flatten()]
+    else:
+        plain = nodes.cast(pa.int8()) if pa.types.is_boolean(nodes.type) else nodes
+        parts = [pc.rank(plain, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)]
+    out = nodes.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+    for own in parts:
+        out = np.unique(out * (own.max(initial=0) + 1) + own, return_inverse=True)[1]
+    return out
+
+
+def _joined(t: pa.Table) -> pa.RecordBatch:
+    """Each node of the edges u, v with the smallest that they connect it to, but for itself."""
+    nodes = pa.concat_arrays([*t["u"].chunks, *t["v"].chunks])
+    _, first, place = np.unique(_places(nodes), return_index=True, return_inverse=True)
+    a, b = place[: t.num_rows], place[t.num_rows :]
+    up = np.arange(len(first))
+    while len(a):
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up, top := up[up]):
+            up = top
+        a, b = up[a], up[b]
+        a, b = a[a != b], b[a != b]
+    hangs = np.flatnonzero(up != np.arange(len(first)))
+    return pa.RecordBatch.from_arrays([nodes.take(pa.array(first[x])) for x in (hangs, up[hangs])], names=["u", "v"])
+
+
+def forests(edges: DataFrame, rows: int = FOREST) -> DataFrame:
+    """Edges u, v that connect what ``edges`` connect: of each ``rows`` edges of a task, stars
+    round the smallest nodes, so fewer edges and fewer rounds are left. Nothing is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= rows:
+                yield _joined(pa.Table.from_batches(held))
+                held = []
+        if any(b.num_rows for b in held):
+            yield _joined(pa.Table.from_batches(held))
+
+    return edges.select("u", "v").mapInArrow(run, edges.select("u", "v").schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large and small stars.
 
     ``edges``: u, v (any type with an order), any orientation; loops and repeats are fine. Returns
     node, root, where root is the smallest node of the component, for every node
-    that has an edge to another node. Each round is a few shuffles of the edge list,
-    kept in the shared folder; nothing but two counts reaches the driver.
+    that has an edge to another node. Tasks join their own edges first (``forests``), before and after
+    the one shuffle that makes edges distinct; where a few tasks hold all, no round is left. Each round is a few
+    shuffles of the edge list, kept in the shared folder; nothing but two counts reaches the driver.
     """
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    own = forests(edges.where("u <> v"))
+    now = cut(forests(own.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), "edges")
     while True:
         ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
