@@ -134,3 +134,18 @@ def test_layers_at_their_ties(spark):
         out = places.union_layers(df, df.limit(0))
         assert [tuple(r) for r in out.select("lat", "lon").collect()] == [(1.0, 2.0)]
         assert "Window" not in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("full", [3, grid.FULL])
+def test_places_are_ranked_where_they_meet_their_point(spark, full):
+    """The same ranks as by a window, with ties, repeats, nulls, and a crowded spot; no window, and no pair is moved."""
+    spots = spark.range(700).selectExpr("'node/' || id AS id", "if(id % 3 = 0, 'dog_park', 'bathing_spot') AS kind", "if(id % 50 = 7, null, 59 + (id % 40) / 300) AS lat", "if(id < 150, 18.0, 17.9 + (id * 7 % 90) / 300) AS lon")
+    points = spark.range(60).selectExpr("if(id = 9, null, id) AS query_id", "if(id = 4, null, if(id < 20, 59.05, 58.9 + id / 200)) AS at_lat", "if(id < 20, 18.0, 17.8 + id / 150) AS at_lon")
+    points = points.unionByName(points.where("query_id in (3, 30)"))
+    got = places.nearest(spots, points, 5000, full, 1)
+    want = places.ranked(places.near_points(spots, points, 5000, (), full, 1), ["query_id"])
+    rows = lambda df: sorted((r.query_id if r.query_id is not None else -1, r.rank, r.id, round(r.meters, 3)) for r in df.select("query_id", "rank", "id", "meters").collect())
+    assert rows(got) == rows(want) and got.count() > 1000
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert places.nearest(spots, points.limit(0), 5000).count() == places.nearest(spots.limit(0), points, 5000).count() == 0
+
