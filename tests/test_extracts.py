@@ -3,6 +3,7 @@
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -259,3 +260,23 @@ def test_what_ranges_refuse(spark, tmp_path):
     for name in ("other", "empty"):
         with pytest.raises(ValueError, match="no timestamp"):
             extracts.header_timestamp(str(tmp_path / name))
+
+
+def test_a_file_is_dealt_to_many_tasks(tmp_path):
+    """Bytes are packed tight: ranges of 128 MB left most of a cluster idle."""
+    path = tmp_path / "big.osm.pbf"
+    with open(path, "wb") as f:
+        f.truncate(48 << 20)
+    reader = extracts.ExtractReader(extracts.StructType([]), {"path": f"file:{path}"})
+    assert len(reader.partitions()) >= 12
+
+
+def test_a_message_is_its_fields():
+    rng = np.random.default_rng(4)
+    whole = b"".join(osm_pbf._field(int(n), int(v)) + osm_pbf._field(int(n) + 1, bytes(int(v) % 300)) for n, v in rng.integers(1, 1 << 40, (200, 2)) % [40, 1 << 40])
+    whole = whole + b"\x09" + bytes(8) + b"\x15" + bytes(4)
+    assert osm_pbf._message(whole) == {k: v if isinstance(v, int) else bytes(v) for k, v in osm_pbf.fields(whole)}
+    for broken in (whole[:-1], b"\x0b", b"\x0a\x05abc"):
+        with pytest.raises(ValueError):
+            osm_pbf._message(broken)
+
