@@ -423,3 +423,13 @@ def test_a_published_file_is_read_by_ranges(spark, tmp_path):
     assert dataset.read_dataset(spark, str(path))[1].count() == 400
     path.write_text("\n".join([lines[0], "", *lines[1:]]))
     assert dataset._by_lines(spark, str(path)) is None and dataset.read_dataset(spark, str(path))[1].count() == 400
+
+
+def test_answers_are_dealt_out_before_they_are_sorted(spark):
+    """A task of a few MB of answers has to hold no sort of all their elements."""
+    answers = spark.range(40).selectExpr("""'{"elements":[{"type":"node","id":' || id % 7 || ',"lat":1,"lon":2,"tags":{"dog":"yes"}}]}' AS body""")
+    got = live.to_places(live.elements(answers), "bathing_spot")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Aggregate") < plan.index("Exchange") < plan.index("Generate posexplode")
+    assert got.count() == 7
+

@@ -38,9 +38,13 @@ def elements(answers: DataFrame) -> DataFrame:
 
 
 def to_places(rows: DataFrame, kind: str) -> DataFrame:
-    """Places of one layer; the service has chosen the elements, so only denial drops one."""
+    """Places of one layer; the service has chosen the elements, so only denial drops one.
+
+    The first of each id is found by sorting, for rows with tags can't be aggregated by hash; so rows are dealt
+    out by id before, or each task would sort all elements of its answers, which are many times their bytes."""
     tag = tags.of_map("tags")
-    first = rows.groupBy("id").agg(F.min_by(F.struct("lat", "lon", "tags"), "n").alias("r")).select("id", "r.*")
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    first = dealt.groupBy("id").agg(F.min_by(F.struct("lat", "lon", "tags"), "n").alias("r")).select("id", "r.*")
     grade = F.lit("designated") if kind == tags.PARK else tags.provenance(tag)
     season = F.lit(None).cast(places.seasonal.RULE_TYPE) if kind == tags.PARK else places.seasonal.parse_conditional(tag("dog:conditional"))
     made = first.select("id", F.lit(kind).alias("kind"), F.nullif(tag("name"), F.lit("")).alias("name"), "lat", "lon", tags.display_tags(tag).alias("tags"), grade.alias("provenance"), season.alias("seasonal"))
