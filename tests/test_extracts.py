@@ -280,3 +280,13 @@ def test_a_message_is_its_fields():
         with pytest.raises(ValueError):
             osm_pbf._message(broken)
 
+
+def test_lists_are_packed_as_one_by_one():
+    """Whole arrays give the bytes of plain steps, with empty lists, negative numbers and very long ones."""
+    rng = np.random.default_rng(5)
+    lists = [[], [5], [], [], [-3, 1 << 40, 7], rng.integers(-(1 << 62), 1 << 62, 70_000).tolist(), []]
+    x, ends = np.array([v for own in lists for v in own], np.int64), np.cumsum([len(own) for own in lists])
+    assert osm_pbf._packed_lists(x, ends) == [b"".join(map(osm_pbf._coded, own)) for own in lists]
+    assert osm_pbf._packed_lists(osm_pbf._steps_of_lists(x, ends), ends) == [osm_pbf._packed_steps(own) for own in lists]
+    assert osm_pbf._packed_lists(np.zeros(0, np.int64), np.zeros(3, np.int64)) == [b""] * 3
+
