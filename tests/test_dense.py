@@ -5,6 +5,8 @@ import math
 from decimal import ROUND_HALF_UP, Decimal
 from statistics import median
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -149,3 +151,38 @@ def test_places_are_ranked_where_they_meet_their_point(spark, full):
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
     assert places.nearest(spots, points.limit(0), 5000).count() == places.nearest(spots.limit(0), points, 5000).count() == 0
 
+
+def test_ranked_rows_come_by_place(spark):
+    """A file of them repeats an id; by rank, ids would come in another order for every point, and rows be as many runs of ids."""
+    spots = spark.range(3000).selectExpr("'node/' || id AS id", "'dog_park' AS kind", "59 + (id * 37 % 3000) / 1e6 AS lat", "18 + id / 1e6 AS lon")
+    points = spark.range(40).selectExpr("id AS query_id", "59 + (id * 7 % 40) / 1e5 AS at_lat", "18 + id / 1e5 AS at_lon")
+    rows = places.nearest(spots, points, 5000).collect()
+    assert len(rows) == 120_000 and sum(a.id != b.id for a, b in zip(rows, rows[1:])) < 2 * 3000
+
+
+def test_small_blocks_and_repeats_have_the_same_ranks(spark, monkeypatch):
+    """Blocks that end within a cell, points that repeat, and two places at one spot."""
+    cells = [("0", 59.0), ("1", 59.01), ("2", 59.01), ("3", 59.02), ("far", 60.0)]
+    key = {k: pa.array([0] * 8) for k in grid.KEY}
+    rows = pa.RecordBatch.from_pydict(key | {"__point": pa.array([0] * 5 + [1] * 3), "query_id": pa.array([None] * 5 + [7, 8, 9]), "id": pa.array([c for c, _ in cells] + [None] * 3), "lat": pa.array([y for _, y in cells] + [59.0, 59.02, 70.0]), "lon": pa.array([18.0] * 8), "times": pa.array([0] * 5 + [2, 1, 1])})
+    one = lambda block: monkeypatch.setattr(places, "BLOCK", block) or sorted(tuple(r.values()) for b in places._ranked_in_cells(iter([rows]), 5000.0, 0.1, 0) for r in b.to_pylist())
+    want = [(7, str(k), 2 * k + again, m) for k, m in enumerate((0.0, 1112.0, 1112.0, 2224.0)) for again in (1, 2)]
+    want += [(8, "0", 4, 2224.0), (8, "1", 2, 1112.0), (8, "2", 3, 1112.0), (8, "3", 1, 0.0)]
+    assert one(10**9) == one(5) == one(1) == sorted(want)
+
+
+def test_places_are_dealt_out_before_they_are_copied(spark):
+    """A file of one task is copied to its cells, some nine times, in as many tasks as there are for shuffles."""
+    spots = spark.range(0, 500, 1, 1).selectExpr("'node/' || id AS id", "'dog_park' AS kind", "59 + id / 1e4 AS lat", "18.0 AS lon")
+    points = spark.range(20).selectExpr("id AS query_id", "59 + id / 1e3 AS at_lat", "18.0 AS at_lon")
+    plan = places.nearest(spots, points, 5000)._jdf.queryExecution().optimizedPlan().toString()
+    copied = plan[plan.index("Generate") :]
+    assert "RepartitionByExpression [id" in copied
+
+
+def test_rounding_is_as_in_spark(spark):
+    """Halves, their neighbours, and what lies between."""
+    half = (np.arange(20_000) * 499 + 0.5) / 1000
+    some = np.concatenate([half, np.nextafter(half, 0), np.nextafter(half, 1e9), half + 0.0001, half * (1 + 1e-12), [0.0, 2.675, 1.0005, 4999.9995]])
+    df = spark.createDataFrame([(float(x), float(r)) for x, r in zip(some, geo.rounded(some, 3))], "x double, r double")
+    assert df.where(F.round("x", 3) != F.col("r")).count() == 0
